@@ -120,9 +120,12 @@ def sink_rows(scanned: DataFrame, spec: FilterSpec, values: ValueList | None = N
 
 def write_dump(
     rows: DataFrame, output: str, run_id: str | None = None, config_hash: str = "",
-    error_rate: float | None = None, manifest: bool = True,
+    error_rate: float | None = None, manifest: bool = True, window_log: int | None = None,
 ) -> None:
-    """Write rows of ``SINK_SCHEMA`` as zstd NDJSON files below ``output``."""
+    """Write rows of ``SINK_SCHEMA`` as zstd NDJSON files below ``output``.
+
+    ``window_log`` asks for long windows (27 is 128 MiB, 31 is 2 GiB).
+    """
     rows.sparkSession.dataSource.register(DumpSink)
     writer = (
         rows.write.format(FORMAT).mode("append")
@@ -130,6 +133,8 @@ def write_dump(
         .option("config_hash", config_hash)
         .option("manifest", str(manifest).lower())
     )
+    if window_log is not None:
+        writer = writer.option("window_log", window_log)
     if error_rate is not None:
         writer = writer.option("error_rate", str(error_rate))
     try:
@@ -140,11 +145,11 @@ def write_dump(
         raise
 
 
-def write_lines(lines: DataFrame, output: str) -> None:
+def write_lines(lines: DataFrame, output: str, window_log: int | None = None) -> None:
     """Write lines (``out``, ``value``) as dump files named by ``out``; lines stay in their tasks."""
     rows = lines.sortWithinPartitions("out").select(
         "out", F.col("out").alias("file"), F.spark_partition_id().cast("bigint").alias("split"),
         F.lit(LINE).alias("kind"), F.lit(None).cast("bigint").alias("lines"),
         F.col("value").cast("binary").alias("value"), F.lit(None).cast("string").alias("status"),
     )
-    write_dump(rows, output, manifest=False)
+    write_dump(rows, output, manifest=False, window_log=window_log)

@@ -73,15 +73,20 @@ class Written(WriterCommitMessage):
 class _Encoder:
     """The one part a task has open."""
 
-    def __init__(self, fs: pafs.FileSystem, folder: str, part: Part):
-        self.fs, self.folder, self.part = fs, folder, part
+    def __init__(self, fs: pafs.FileSystem, folder: str, part: Part, window_log: int | None):
+        self.fs, self.folder, self.part, self.window_log = fs, folder, part, window_log
         self.raw = self.stream = None
 
     def write(self, values: pa.Array) -> None:
         if self.stream is None:
             self.part.temp = f"{self.folder}/{uuid.uuid4().hex}"
             self.raw = self.fs.open_output_stream(self.part.temp)
-            self.stream = zstandard.ZstdCompressor().stream_writer(self.raw, closefd=False)
+            settings = {}
+            if self.window_log:
+                settings["compression_params"] = zstandard.ZstdCompressionParameters.from_level(
+                    3, window_log=self.window_log, enable_ldm=True
+                )
+            self.stream = zstandard.ZstdCompressor(**settings).stream_writer(self.raw, closefd=False)
         one_list = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
         self.stream.write(pc.binary_join(one_list, b"\n")[0].as_buffer())
         self.stream.write(b"\n")
@@ -102,6 +107,7 @@ class DumpWriter(DataSourceArrowWriter):
         self.manifest = options.get("manifest", "true") == "true"
         rate = options.get("error_rate", "")
         self.error_rate = float(rate) if rate else None
+        self.window_log = int(options.get("window_log", "0")) or None
         self.hidden = f"_tmp-{self.run_id}"
 
     # ------------------------------------------------------------ on executors
@@ -126,7 +132,7 @@ class DumpWriter(DataSourceArrowWriter):
                 ):
                     if encoder is not None:
                         message.parts.append(encoder.close())
-                    encoder = _Encoder(fs, folder, head)
+                    encoder = _Encoder(fs, folder, head, self.window_log)
                 self._take(encoder, rows)
         if encoder is not None:
             message.parts.append(encoder.close())
