@@ -5,11 +5,11 @@ reads, skips the others without building them, keeps the last of duplicate keys
 and refuses single quotes, ``NaN``, leading zeros and raw control characters.
 What it does not notice by itself is handled here, still in a single parse:
 
-* *text after the object*: an end mark, holding a hash of the line, is put in
-  front of the closing brace.  Only an object that reaches to the end of the
-  line gets its mark decoded;
+* *text after the object*: the line is decoded as the first of two elements of an
+  array, the second being an end mark that holds a hash of the line.  Whatever the
+  line lacks or has too much, the mark is then not found in its place;
 * *a line* ``null``, which counts as an empty record;
-* *numbers too large for a double*, which make the line bad wherever they stand;
+* *numbers too large for a double*, which make the line bad;
 * *lone surrogate escapes*, which become U+FFFD.
 """
 
@@ -19,14 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 END_MARK = "_end"
-CORRUPT = "_corrupt"
-
-_OPTIONS = {
-    "allowSingleQuotes": "false",
-    "allowNonNumericNumbers": "false",
-    "columnNameOfCorruptRecord": CORRUPT,
-}
-_EMPTY_RECORD = r"^[ \t\r\n]*+(?:\{[ \t\r\n]*+\}|null)[ \t\r\n]*+\z"
+
+_OPTIONS = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+_NULL_RECORD = r"^[ \t\r\n]*+null[ \t\r\n]*+\z"
 _HUGE_NUMBER = r"[0-9][eE]\+?[0-9]{3}|[0-9]{309}"
 _NUMBER = r"-?[0-9][0-9.]*+(?:[eE][+-]?[0-9]++)?"
 _LONE_HIGH = r"\\u[dD][89abAB][0-9a-fA-F]{2}(?!\\u[dD][c-fC-F][0-9a-fA-F]{2})"
@@ -42,8 +37,8 @@ def _without_lone_surrogates(line: Column) -> Column:
     # Once escaped backslashes are spelt out, every backslash starts an escape.
     plain = F.replace(line, _lit("\\\\"), _lit("\\u005c"))
     mended = F.regexp_replace(F.regexp_replace(plain, _LONE_HIGH, r"\\ufffd"), _LONE_LOW, r"\\ufffd")
-    suspicious = F.contains(line, _lit("\\ud")) | F.contains(line, _lit("\\uD"))
-    return F.when(suspicious, mended).otherwise(line)
+    surrogates = F.contains(line, _lit("\\ud")) | F.contains(line, _lit("\\uD"))
+    return F.when(F.contains(line, _lit("\\u")) & surrogates, mended).otherwise(line)
 
 
 def has_overflowing_number(line: Column) -> Column:
@@ -55,37 +50,42 @@ def has_overflowing_number(line: Column) -> Column:
     return F.when(F.rlike(line, _lit(_HUGE_NUMBER)), overflows).otherwise(F.lit(False))
 
 
-def _marked(line: Column, mark: Column) -> Column:
-    """The line with the end mark as the last member of its object."""
-    record = _without_lone_surrogates(line)
-    record = F.when(F.endswith(record, _lit("}")), record).otherwise(
-        F.regexp_replace(record, r"[ \t\r\n]++\z", "")
-    )
-    # Cut on bytes: no pass over the characters of the line.
-    body = F.substring(record.cast("binary"), F.lit(1), F.octet_length(record) - 1)
-    end = F.concat(_lit(f'"{END_MARK}":"'), mark, _lit('"}'))
-    closed = F.concat(body, _lit(",").cast("binary"), end.cast("binary")).cast("string")
-    return (
-        F.when(F.rlike(line, _lit(_EMPTY_RECORD)), F.concat(_lit("{"), end))
-        .when(F.endswith(record, _lit("}")), closed)
-        .otherwise(_lit("not an object"))
-    )
+def _overflows(v: Column) -> Column:
+    return (F.schema_of_variant(v) == "DOUBLE") & (F.abs(v.cast("double")) == F.lit(float("inf")))
 
 
-def parse_ndjson(lines: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+def parse_ndjson(
+    lines: DataFrame, keys: list[str], value: str = "value", all_numbers: bool = False
+) -> DataFrame:
     """Add one VARIANT column per key and the flag ``is_bad``.
 
     An absent key is SQL NULL, a JSON null is a variant of type VOID.  Blank lines
     (empty ``value``) and null values are neither good nor bad: ``is_bad`` is NULL.
+
+    Numbers too large for a double are looked for in the keys that are read;
+    ``all_numbers`` looks for them in the whole line, which takes longer than
+    decoding it.
     """
     line = F.col(value)
     mark = F.xxhash64(line).cast("string")
     present = line.isNotNull() & (line != "")
-    schema = ", ".join([f"`{k}` VARIANT" for k in keys] + [f"{END_MARK} STRING", f"{CORRUPT} STRING"])
-    marked = F.when(present, _marked(line, mark))
-    # inline() gives the record as columns and keeps the optimizer from copying
-    # the parse into every place that reads one of them.
-    decoded = lines.select("*", F.inline(F.array(F.from_json(marked, schema, _OPTIONS))))
-    incomplete = F.col(CORRUPT).isNotNull() | ~F.col(END_MARK).eqNullSafe(mark)
-    is_bad = F.when(present, incomplete | has_overflowing_number(line))
-    return decoded.withColumn("is_bad", is_bad).drop(END_MARK, CORRUPT)
+    schema = ", ".join([f"`{k}` VARIANT" for k in keys] + [f"{END_MARK} STRING"])
+    framed = F.concat(
+        _lit("["), _without_lone_surrogates(line), _lit(f',{{"{END_MARK}":"'), mark, _lit('"}]')
+    )
+    both = F.from_json(F.when(present, framed), f"array<struct<{schema}>>", _OPTIONS)
+    # inline() computes the parse once and keeps the optimizer from copying it into
+    # every place that reads a key.
+    decoded = lines.select("*", F.inline(F.array(F.struct(both.alias("_both")))))
+    record, end = F.get("_both", F.lit(0)), F.get("_both", F.lit(1))
+    whole = (F.size("_both") == 2) & end[END_MARK].eqNullSafe(mark)
+    no_object = record.isNull() & ~F.rlike(line, _lit(_NULL_RECORD))
+    bad = ~F.coalesce(whole, F.lit(False)) | no_object
+    if all_numbers:
+        bad = bad | has_overflowing_number(line)
+    else:
+        for k in keys:
+            bad = bad | F.coalesce(_overflows(record[k]), F.lit(False))
+    return decoded.select(
+        *lines.columns, *[record[k].alias(k) for k in keys], F.when(present, bad).alias("is_bad")
+    )

@@ -106,32 +106,6 @@ def contains_any_lower(x: Column, needles: list[str]) -> Column:
     return F.exists(lows, lambda n: F.contains(lower_simple(x), n))
 
 
-def raw_line_may_contain(line: Column, needle: str, mode: str) -> Column | None:
-    """A cheap test on the undecoded JSON line that no matching record fails.
-
-    A record can match only if the characters of ``needle`` stand in its line,
-    perhaps in another case, perhaps hidden in ``\\u`` escapes.  The longest run
-    of ASCII characters that JSON can hide in no other way is looked for; if a
-    run has no such characters, ``None`` says that no test is possible.  ``mode``
-    is ``exact`` (folding) or ``partial`` (lower-casing).
-    """
-    table = fold_table() if mode == "exact" else lower_table()
-    normal = needle.translate(table)
-    runs = "".join(c if " " <= c <= "~" and c not in '"\\/' else "\n" for c in normal).split("\n")
-    probe = max(runs, key=len)
-    if len(probe) < 2:
-        return None
-    test = F.contains(F.lower(line), F.lit(probe))
-    for special in (LONG_S, DOTTED_CAPITAL_I):
-        if table.get(ord(special), special) in probe:
-            test = test | F.contains(line, F.lit(special))
-    sources = {ord(c) for c in probe} | {cp for cp, to in table.items() if to in probe}
-    for high in {f"{cp:04x}"[:2] for cp in sources}:
-        for written in {high, high.upper(), high[0].upper() + high[1], high[0] + high[1].upper()}:
-            test = test | F.contains(line, F.lit("\\u" + written))
-    return test
-
-
 # ---------------------------------------------------------------- names
 
 # Fixed value: the characters that may not stand in a file name.

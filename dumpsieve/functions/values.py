@@ -11,8 +11,8 @@ MISSING_TIME = "None"
 NULL_TEXT = "<nil>"
 LINK_ID_PREFIX = "t3_"
 
-_NESTED_DEPTH = 2
 _DAYS_IN_400_YEARS = 146_097
+_FOUR_DIGIT_YEARS = (-62_135_596_800, 253_402_300_799)  # years 1 to 9999
 _MIN_BIGINT = -(2**63)
 
 
@@ -37,81 +37,90 @@ def string_or_empty(v: Column) -> Column:
 # ---------------------------------------------------------------- default text
 
 
+def _let(x: Column, body) -> Column:
+    """``body(x)`` with ``x`` computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(x), body), 1)
+
+
 def _shortest_general(number: Column) -> Column:
     """Decimal text -> shortest ``%g`` text: an exponent below 1e-4 and from 1e6 up."""
-    negative = F.startswith(number, F.lit("-"))
-    size = F.upper(F.ltrim(number, F.lit("-")))
-    mantissa = F.split_part(size, F.lit("E"), F.lit(1))
-    shift = F.coalesce(F.split_part(size, F.lit("E"), F.lit(2)).try_cast("int"), F.lit(0))
-    whole = F.split_part(mantissa, F.lit("."), F.lit(1))
-    written = F.replace(mantissa, F.lit("."), F.lit(""))
-    leading = F.length(written) - F.length(F.ltrim(written, F.lit("0")))
-    digits = F.trim(written, F.lit("0"))
-    point = F.length(whole) + shift - leading  # digits in front of the decimal point
-    exponent = point - 1
-    count = F.length(digits)
-
-    fraction = F.when(count > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), count))).otherwise("")
-    size_text = F.abs(exponent).cast("string")
-    scientific = F.concat(
-        F.left(digits, F.lit(1)),
-        fraction,
-        F.when(exponent < 0, "e-").otherwise("e+"),
-        F.when(F.abs(exponent) < 10, F.concat(F.lit("0"), size_text)).otherwise(size_text),
+    # sign, digits before the point, digits behind it, exponent
+    parts = F.split(
+        F.regexp_replace(F.upper(number), r"^(-?)([0-9]*)\.?([0-9]*)(?:E([-+]?[0-9]+))?\z", "$1,$2,$3,$4"), ","
     )
-    plain = (
-        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
-        .when(point >= count, F.concat(digits, F.repeat(F.lit("0"), point - count)))
-        .otherwise(F.concat(F.left(digits, point), F.lit("."), F.substring(digits, point + 1, count)))
-    )
-    text = F.when((exponent < -4) | (exponent >= 6), scientific).otherwise(plain)
-    return F.when(digits == "", "0").otherwise(F.concat(F.when(negative, "-").otherwise(""), text))
-
 
-def _number_text(v: Column, kind: Column, number_style: str) -> Column:
-    whole = v.try_cast("bigint")
+    def layout(p: Column) -> Column:
+        written = F.concat(p[1], p[2])
+        digits = F.trim(written, F.lit("0"))
+        shift = F.coalesce(p[3].try_cast("int"), F.lit(0))
+        leading = F.length(written) - F.length(F.ltrim(written, F.lit("0")))
+        point = F.length(p[1]) + shift - leading  # digits in front of the decimal point
+        return F.struct(p[0].alias("sign"), digits.alias("digits"), point.alias("point"))
+
+    def text(n: Column) -> Column:
+        digits, point = n["digits"], n["point"]
+        count = F.length(digits)
+        scientific = F.concat(
+            F.left(digits, F.lit(1)),
+            F.when(count > 1, F.lit(".")).otherwise(""),
+            F.substring(digits, F.lit(2), count),
+            F.when(point < 1, "e-").otherwise("e+"),
+            F.when(F.abs(point - 1) < 10, "0").otherwise(""),
+            F.abs(point - 1).cast("string"),
+        )
+        return (
+            F.when((point < -3) | (point > 6), scientific)
+            .when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+            .when(point >= count, F.rpad(digits, point, F.lit("0")))
+            .otherwise(F.concat(F.left(digits, point), F.lit("."), F.substring(digits, point + 1, count)))
+        )
+
+    def signed(n: Column) -> Column:
+        return F.when(F.length(n["digits"]) == 0, "0").otherwise(F.concat(n["sign"], text(n)))
+
+    return _let(_let(parts, layout), signed)
+
+
+def _number_text(written: Column, number_style: str) -> Column:
+    """Text of a number from its JSON form."""
     if number_style == "plain":
-        return F.when(kind == "BIGINT", whole.cast("string")).otherwise(v.cast("string"))
-    written = v.cast("string")
+        return written
     # Up to 15 digits a decimal is its own shortest form; past that the double decides.
-    few_digits = F.length(F.regexp_replace(written, r"^-?0*|\.", "")) <= 15
-    exact = F.when((kind != "DOUBLE") & few_digits, written).otherwise(v.cast("double").cast("string"))
-    small = (kind == "BIGINT") & (F.abs(whole) < 1_000_000)
-    return F.when(small, whole.cast("string")).otherwise(_shortest_general(exact))
+    few_digits = F.length(F.regexp_replace(written, r"[eE].*|^-?0*|\.", "")) <= 15
+    shortest = F.when(few_digits, written).otherwise(written.cast("double").cast("string"))
+    return _shortest_general(shortest)
 
 
-def default_text(v: Column, number_style: str = "g", depth: int = _NESTED_DEPTH) -> Column:
+# A JSON string, a number or word, or one mark of structure.
+_JSON_TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^",:\[\]{}]++|[,:\[\]{}]'
+
+
+def default_text(v: Column, number_style: str = "g") -> Column:
     """Text of a value of any type; empty for an absent key.
 
     Numbers are doubles in shortest ``%g`` form (``number_style='plain'`` keeps
-    whole numbers as digits), null is ``<nil>``, arrays are ``[a b]`` and objects
-    ``map[k:v]`` by key.  Values nested more than ``depth`` levels deep are JSON.
+    their digits), null is ``<nil>``, arrays are ``[a b]`` and objects ``map[k:v]``
+    in the order of their keys.
     """
     kind = json_type(v)
-    text = (
+    small = F.when(kind == "BIGINT", v.cast("bigint"))
+
+    def token_text(token: Column) -> Column:
+        return (
+            F.when(F.startswith(token, F.lit('"')), F.parse_json(token).cast("string"))
+            .when(F.rlike(token, F.lit("^[-0-9]")), _number_text(token, number_style))
+            .when(token == "{", "map[").when(token == "}", "]")
+            .when(token == ",", " ").when(token == "null", NULL_TEXT)
+            .otherwise(token)
+        )
+
+    tokens = F.regexp_extract_all(F.to_json(v), F.lit(_JSON_TOKEN), F.lit(0))
+    return (
         F.when(v.isNull(), "")
         .when(kind == "STRING", v.cast("string"))
-        .when((kind == "BIGINT") | (kind == "DOUBLE") | F.startswith(kind, F.lit("DECIMAL")),
-              _number_text(v, kind, number_style))
-        .when(kind == "BOOLEAN", v.cast("string"))
-        .when(kind == "VOID", NULL_TEXT)
+        .when(F.abs(small) < 1_000_000, small.cast("string"))
+        .otherwise(F.array_join(F.transform(tokens, token_text), ""))
     )
-    if depth == 0:
-        return text.otherwise(F.to_json(v))
-
-    def inner(x: Column) -> Column:
-        return F.when(x.isNull(), NULL_TEXT).otherwise(default_text(x, number_style, depth - 1))
-
-    items = F.transform(F.variant_get(v, "$", "array<variant>"), inner)
-    members = F.variant_get(v, "$", "map<string,variant>")
-    pairs = F.transform(
-        F.array_sort(F.map_keys(members)),
-        lambda k: F.concat(k, F.lit(":"), inner(F.element_at(members, k))),
-    )
-    return text.when(
-        F.startswith(kind, F.lit("ARRAY")),
-        F.concat(F.lit("["), F.array_join(items, " "), F.lit("]")),
-    ).otherwise(F.concat(F.lit("map["), F.array_join(pairs, " "), F.lit("]")))
 
 
 # ---------------------------------------------------------------- creation time
@@ -132,10 +141,21 @@ def parse_created(v: Column) -> Column:
 
 
 def format_created(seconds: Column) -> Column:
-    """Unix seconds -> ``YYYY-MM-DD HH:MM`` in UTC, whatever the session zone.
+    """Unix seconds -> ``YYYY-MM-DD HH:MM`` in UTC, whatever the session zone."""
+    return _let(
+        seconds,
+        lambda s: F.when(s.between(*_FOUR_DIGIT_YEARS), _plain_time(s)).otherwise(_any_time(s)),
+    )
 
-    Days are reduced by whole 400-year cycles, so any BIGINT stays in date range.
-    """
+
+def _plain_time(seconds: Column) -> Column:
+    start = F.lit("1970-01-01").cast("timestamp_ntz")
+    moment = start + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
+    return F.left(moment.cast("string"), F.lit(16))
+
+
+def _any_time(seconds: Column) -> Column:
+    """Days are reduced by whole 400-year cycles, so any BIGINT stays in date range."""
     in_day = F.pmod(seconds, F.lit(86_400))
     # Dividing before subtracting keeps the smallest BIGINT in range.
     days = F.call_function("div", seconds, F.lit(86_400)) - F.when(
@@ -143,15 +163,13 @@ def format_created(seconds: Column) -> Column:
     ).otherwise(0)
     in_cycle = F.pmod(days, F.lit(_DAYS_IN_400_YEARS))
     cycles = F.call_function("div", days - in_cycle, F.lit(_DAYS_IN_400_YEARS))
-    date = F.date_add(F.lit("1970-01-01").cast("date"), in_cycle.cast("int"))
-    year = F.year(date) + cycles * 400
-    year_text = F.when(F.abs(year) >= 10_000, year.cast("string")).otherwise(
-        F.concat(F.when(year < 0, "-").otherwise(""), F.lpad(F.abs(year).cast("string"), 4, "0"))
+    same_day = _plain_time(in_cycle * 86_400 + in_day)  # of a year from 1970 on
+    year = F.left(same_day, F.lit(4)).cast("bigint") + cycles * 400
+    digits = F.abs(year).cast("string")
+    year_text = F.concat(
+        F.when(year < 0, "-").otherwise(""), F.lpad(digits, F.greatest(F.length(digits), F.lit(4)), F.lit("0"))
     )
-    hours = F.lpad(F.call_function("div", in_day, F.lit(3_600)).cast("string"), 2, "0")
-    minutes = F.lpad(F.call_function("div", F.pmod(in_day, F.lit(3_600)), F.lit(60)).cast("string"), 2, "0")
-    month_day = F.substring(date.cast("string"), 5, 6)
-    return F.concat(year_text, month_day, F.lit(" "), hours, F.lit(":"), minutes)
+    return F.concat(year_text, F.substring(same_day, 5, 12))
 
 
 # ---------------------------------------------------------------- links
@@ -178,15 +196,18 @@ def link_from_parts(subreddit: Column, link_id: Column, id_: Column) -> Column:
 
 # ---------------------------------------------------------------- CSV
 
-# Fixed value: a field starting with one of these spaces is quoted.
-_SPACES = r"\t\n\x0B\f\r \u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
-_NEEDS_QUOTES = r'[",\r\n]|^[' + _SPACES + r"]|^\\\.\z"
+# A field with one of these, or starting with one of the spaces, is quoted.
+_QUOTED_CHARS = ('"', ",", "\n", "\r")
+_LEADING_SPACE = r"^[\t\n\x0B\f\r \u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 
 
 def csv_quote(x: Column) -> Column:
     """One CSV field: quoted only where needed, quotes doubled, empty left empty."""
+    needed = F.rlike(F.left(x, F.lit(1)), F.lit(_LEADING_SPACE)) | (x == "\\.")
+    for char in _QUOTED_CHARS:
+        needed = needed | F.contains(x, F.lit(char))
     quoted = F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))
-    return F.when(F.rlike(x, F.lit(_NEEDS_QUOTES)), quoted).otherwise(x)
+    return F.when(needed, quoted).otherwise(x)
 
 
 def csv_line(columns: list[Column]) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dumpsieve.functions.json_lines import parse_ndjson
 from dumpsieve.functions.regex import re2_search
-from dumpsieve.functions.text import contains_lower, equals_fold, first_letter, raw_line_may_contain
+from dumpsieve.functions.text import contains_lower, equals_fold, first_letter
 from dumpsieve.functions.values import string_or_null
 from dumpsieve.operators.value_list import ValueList, flag_listed
 from dumpsieve.specs import FilterSpec
@@ -51,14 +51,7 @@ def tag_matches(
 def filter_lines(
     lines: DataFrame, spec: FilterSpec, values: ValueList | None = None, value: str = "value"
 ) -> DataFrame:
-    """The lines that match, untouched.
-
-    Lines that cannot match are dropped before decoding where the raw text tells.
-    """
-    if values is None and not spec.regex:
-        test = raw_line_may_contain(F.col(value), spec.value, spec.mode)
-        if test is not None:
-            lines = lines.where(test)
+    """The lines that match, untouched."""
     return tag_matches(lines, spec, values, value).where("matched").drop("matched", "is_bad", "letter")
 
 

@@ -15,6 +15,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import zstandard
 from pyspark import cloudpickle
@@ -212,27 +213,25 @@ def _split_bytes_with_last_line(file, first: int, last: int, size: int) -> Itera
             yield chunk
 
 
-def _lines_of(data: bytes, complete: bool) -> tuple[pa.Array, np.ndarray, int]:
-    """Lines of ``data`` without their ends, their lengths as read, the bytes they took.
+def _lines_of(data: bytes, complete: bool) -> tuple[pa.Array, pa.Array, bytes]:
+    """Lines of ``data`` without their ends, their lengths as read, and the bytes left over.
 
     What follows the last newline is a line only if the data is ``complete``.
     """
-    octets = np.frombuffer(data, np.uint8)
-    ends = np.flatnonzero(octets == 10)
-    if complete and len(octets) and octets[-1] != 10:
-        ends = np.append(ends, len(octets))
-    if not len(ends):
-        return pa.array([], pa.binary()), ends, 0
-    used = min(int(ends[-1]) + 1, len(octets))
-    lengths = np.diff(ends, prepend=-1) - 1
-    has_cr = (lengths > 0) & (octets[ends - 1] == 13)
-    keep = np.ones(used, bool)
-    keep[ends[ends < used]] = False
-    keep[ends[has_cr] - 1] = False
-    offsets = np.zeros(len(ends) + 1, np.int32)
-    offsets[1:] = np.cumsum(lengths - has_cr)
-    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(octets[:used][keep])]
-    return pa.Array.from_buffers(pa.binary(), len(ends), buffers), lengths, used
+    cut = data.rfind(b"\n") + 1
+    rest, whole = data[cut:], memoryview(data)[: cut - 1] if cut else None
+    if whole is None:
+        lines = pa.array([], pa.binary())
+    else:
+        offsets = pa.py_buffer(np.array([0, len(whole)], np.int32))
+        text = pa.Array.from_buffers(pa.binary(), 1, [None, offsets, pa.py_buffer(whole)])
+        lines = pc.split_pattern(text, b"\n").values
+    if complete and rest:
+        lines, rest = pa.concat_arrays([lines, pa.array([rest], pa.binary())]), b""
+    lengths = pc.binary_length(lines)
+    if b"\r" in data:
+        lines = pc.if_else(pc.ends_with(lines, b"\r"), pc.binary_slice(lines, 0, -1), lines)
+    return lines, lengths, rest
 
 
 def _line_arrays(chunks: Iterator[bytes]) -> Iterator[pa.Array]:
@@ -240,8 +239,7 @@ def _line_arrays(chunks: Iterator[bytes]) -> Iterator[pa.Array]:
 
     Bytes left in front of damage are the last line, as they are at the end of a file.
     """
-    pending = b""
-    gathered: list[bytes] = []
+    pending, gathered, held = b"", [], 0
     error = None
     done = False
     while not done:
@@ -252,17 +250,17 @@ def _line_arrays(chunks: Iterator[bytes]) -> Iterator[pa.Array]:
         done = chunk is None
         if not done:
             gathered.append(chunk)
-            if sum(map(len, gathered)) < _BATCH_BYTES:
+            held += len(chunk)
+            if held < _BATCH_BYTES:
                 continue
-        data = pending + b"".join(gathered)
-        gathered.clear()
-        lines, lengths, used = _lines_of(data, complete=done)
-        too_long = np.flatnonzero(lengths >= MAX_LINE_BYTES)
-        if len(too_long):
-            yield lines[: too_long[0]]
+        data = b"".join([pending, *gathered])
+        gathered, held = [], 0
+        lines, lengths, pending = _lines_of(data, complete=done)
+        if (pc.max(lengths).as_py() or 0) >= MAX_LINE_BYTES:
+            too_long = pc.greater_equal(lengths, MAX_LINE_BYTES)
+            yield lines[: pc.index(too_long, True).as_py()]
             raise DumpError("line too long")
         yield lines
-        pending = data[used:]
         if len(pending) >= MAX_LINE_BYTES:
             raise DumpError("line too long")
     if error is not None:
