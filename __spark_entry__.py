@@ -128,24 +128,19 @@ def filter_regex_plain(spark, sf_dir):
     return _filtered(spark, sf_dir, FilterSpec("subreddit", "^(src|SRC)1[0-5]$", regex=True))
 
 
-@query("filter_value_list", _matching("source IN (SELECT s.source FROM documents s WHERE s.lang = 'de' GROUP BY 1 HAVING count(*) > 6)"))
-def filter_value_list(spark, sf_dir):
-    docs = fx.table(spark, sf_dir, "documents").where("lang = 'de'")
-    names = docs.groupBy("source").count().where("count > 6").select(F.initcap("source"))
-    path = shared_folder(spark, "names")
-    names.coalesce(1).write.option("lineSep", "\n").text(path)
-    listed = next(f.path for f in _files(spark, path) if f.size)
-    spec = FilterSpec("subreddit", value_list=listed)
-    return filter_lines(fx.submissions(spark, sf_dir), spec, value_list_source(spark, listed)).select("doc_id", "value")
-
+_SHORT_SOURCES = """
+  SELECT source FROM documents GROUP BY source
+  HAVING sum(n_chars) * (SELECT count(*) FROM documents) < count(*) * (SELECT sum(n_chars) FROM documents)"""
 
-def _files(spark: SparkSession, folder: str):
-    import pyarrow.fs as pafs
 
-    from dumpsieve.sources.zst import open_fs
-
-    fs, name = open_fs(folder)
-    return [i for i in fs.get_file_info(pafs.FileSelector(name)) if i.base_name.startswith("part-")]
+@query("filter_value_list", _matching(f"source IN ({_SHORT_SOURCES})"))
+def filter_value_list(spark, sf_dir):
+    # The sources whose documents are shorter than the average.
+    fx.table(spark, sf_dir, "documents").createOrReplaceTempView("documents")
+    path = shared_folder(spark, "names")
+    spark.sql(_SHORT_SOURCES).select(F.initcap("source")).write.option("lineSep", "\n").text(path)
+    spec = FilterSpec("subreddit", value_list=path)
+    return filter_lines(fx.submissions(spark, sf_dir), spec, value_list_source(spark, path)).select("doc_id", "value")
 
 
 @query("field_is_string", _matching("lang NOT IN ('de', 'es')"))
@@ -481,8 +476,8 @@ def ingest_dump(spark, sf_dir):
 @query("value_list_source", "SELECT DISTINCT url AS item FROM pages WHERE url <> ''")
 def read_value_list(spark, sf_dir):
     path = shared_folder(spark, "urls")
-    fx.table(spark, sf_dir, "pages").select("url").coalesce(1).write.option("lineSep", "\n").text(path)
-    return value_list_source(spark, next(f.path for f in _files(spark, path) if f.size)).items
+    fx.table(spark, sf_dir, "pages").select("url").write.option("lineSep", "\n").text(path)
+    return value_list_source(spark, path).items
 
 
 SPEC = FilterSpec("subreddit", "src7", file_filter="^RS_")
@@ -554,7 +549,7 @@ def sink_csv_exact(spark, sf_dir):
   SELECT {AUTHOR} AS author, CAST(n_chars AS VARCHAR) AS score, {CREATED} AS created, {LINK} AS link, '' AS body
   FROM documents UNION ALL SELECT {COMMENT_ROW} FROM conversations""")
 def csv_of_dump(spark, sf_dir):
-    # The walk meets RS_ files in the root before talk/RC_: unless only comments' columns are asked for.
+    # The files of both kinds under the columns of comments.
     lines = only_lines(scan_dump_lines(spark, fx.dump(spark, sf_dir)))
     return pj.project_comment(lines)
 

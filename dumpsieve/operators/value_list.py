@@ -34,16 +34,18 @@ class ValueList:
 
 
 def value_list_source(spark: SparkSession, path: str) -> ValueList:
-    """Newline-separated values of a text file."""
+    """Newline-separated values of a text file, or of the files of a folder."""
     fs, name = open_fs(path)
     info = fs.get_file_info(name)
-    if info.type != pafs.FileType.File:
+    if info.type == pafs.FileType.NotFound:
         raise ValueError(f"value list {path} does not exist")
-    if info.size == 0:
+    files = [info] if info.type == pafs.FileType.File else fs.get_file_info(pafs.FileSelector(name, recursive=True))
+    size = sum(f.size for f in files if f.type == pafs.FileType.File)
+    if size == 0:
         raise ValueError(f"value list {path} is empty")
     text = spark.read.option("lineSep", "\n").text(path)
     item = F.regexp_replace("value", r"\r\z", "")
-    return ValueList(text.select(item.alias("item")).where("item <> ''").distinct(), info.size)
+    return ValueList(text.select(item.alias("item")).where("item <> ''").distinct(), size)
 
 
 def _texts(values: ValueList) -> list[str]:
