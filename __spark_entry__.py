@@ -136,9 +136,10 @@ _SHORT_SOURCES = """
 @query("filter_value_list", _matching(f"source IN ({_SHORT_SOURCES})"))
 def filter_value_list(spark, sf_dir):
     # The sources whose documents are shorter than the average.
-    fx.table(spark, sf_dir, "documents").createOrReplaceTempView("documents")
     path = shared_folder(spark, "names")
-    spark.sql(_SHORT_SOURCES).select(F.initcap("source")).write.option("lineSep", "\n").text(path)
+    sql = _SHORT_SOURCES.replace("FROM documents", "FROM {documents}")
+    short = spark.sql(sql, documents=fx.table(spark, sf_dir, "documents"))
+    short.select(F.initcap("source")).write.option("lineSep", "\n").text(path)
     spec = FilterSpec("subreddit", value_list=path)
     return filter_lines(fx.submissions(spark, sf_dir), spec, value_list_source(spark, path)).select("doc_id", "value")
 
@@ -546,12 +547,11 @@ def sink_csv_exact(spark, sf_dir):
 
 
 @query("csv_projection", f"""
-  SELECT {AUTHOR} AS author, CAST(n_chars AS VARCHAR) AS score, {CREATED} AS created, {LINK} AS link, '' AS body
-  FROM documents UNION ALL SELECT {COMMENT_ROW} FROM conversations""")
+  SELECT {SUBMISSION_ROW} FROM documents
+  UNION ALL SELECT author, '' AS title, score, created, link, '' AS text, '' AS url FROM (SELECT {COMMENT_ROW} FROM conversations)""")
 def csv_of_dump(spark, sf_dir):
-    # The files of both kinds under the columns of comments.
-    lines = only_lines(scan_dump_lines(spark, fx.dump(spark, sf_dir)))
-    return pj.project_comment(lines)
+    # The walk meets a submission file first: its columns serve the comments too.
+    return csv_projection(spark, fx.dump(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- incremental runs

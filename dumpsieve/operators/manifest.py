@@ -14,12 +14,12 @@ def manifest_path(output: str) -> str:
     return f"{output.rstrip('/')}/{MANIFEST_DIR}"
 
 
-def read_manifest(spark: SparkSession, output: str) -> DataFrame:
-    """Rows of all runs into ``output``; none if there was no run."""
+def read_manifest(spark: SparkSession, output: str) -> DataFrame | None:
+    """Rows of all runs into ``output``; ``None`` if there was no run."""
     path = manifest_path(output)
     fs, name = open_fs(path)
     if fs.get_file_info(name).type != pafs.FileType.Directory:
-        return spark.createDataFrame([], MANIFEST_SCHEMA)
+        return None
     return spark.read.schema(MANIFEST_SCHEMA).parquet(path)
 
 

@@ -14,7 +14,7 @@ from dumpsieve.operators import counters
 from dumpsieve.operators.projections import COLUMNS, column, keys_for, project
 from dumpsieve.sources.listing import DumpFile, collect_files, kind_of, list_input_files
 from dumpsieve.sources.scan import (
-    SPLIT_BYTES, first_failures, is_split, keep_until_failure, only_lines, scan_files, shared_folder, stage,
+    SPLIT_BYTES, first_failures, keep_until_failure, only_lines, plan_scan, scan_splits, shared_folder, stage,
 )
 from dumpsieve.specs import CsvSpec
 
@@ -37,8 +37,8 @@ def csv_projection(
 ) -> DataFrame:
     """The table of the dump files below ``path``, with the columns of the first file's kind."""
     files = collect_files(list_input_files(spark, path, spec.file_filter))
-    scanned = _scan(spark, files, split_bytes)
-    return project(_usable(scanned, files, split_bytes), kind_of(files[0].file), spec.number_style)
+    lines, _ = _usable_lines(spark, files, split_bytes)
+    return project(only_lines(lines), kind_of(files[0].file), spec.number_style)
 
 
 def run_csv(
@@ -59,33 +59,28 @@ def run_csv(
     ]
 
 
-def _scan(spark: SparkSession, files: list[DumpFile], split_bytes: int) -> DataFrame:
-    """Rows behind a failure are dropped, also those of later splits of the file.
+def _usable_lines(spark: SparkSession, files: list[DumpFile], split_bytes: int) -> tuple[DataFrame, int]:
+    """Lines in front of a failure, and how many files are known to have failed.
 
-    Where files are read by one task each there are none, and lines are used as they
-    are read.  Else they are staged, so that failures are known beforehand and a large
-    file of a single frame is decoded once and parsed by many tasks.
+    Where each file is read by one task, none stand behind a failure, and lines are
+    used as they are read, closing rows among them.  Else they are staged, so that
+    failures are known beforehand; a huge frame is then decoded once and its lines
+    used by many tasks.
     """
-    scanned = scan_files(spark, files, split_bytes)
-    if is_split(files, split_bytes):
-        return stage(scanned, shared_folder(spark, "csv"))
-    return scanned
-
-
-def _usable(scanned: DataFrame, files: list[DumpFile], split_bytes: int) -> DataFrame:
-    return keep_until_failure(scanned) if is_split(files, split_bytes) else only_lines(scanned)
+    plan = plan_scan(spark, files, split_bytes)
+    scanned = scan_splits(plan)
+    if not plan.cut and not plan.uneven:
+        return scanned, 0
+    staged = stage(scanned, shared_folder(spark, "csv"))
+    lines = keep_until_failure(staged).withColumn("status", F.lit(None).cast("string"))
+    return lines, first_failures(staged).count()
 
 
 def _write(
     spark: SparkSession, files: list[DumpFile], kind: str, path: str, spec: CsvSpec, split_bytes: int
 ) -> CsvReport:
-    scanned = _scan(spark, files, split_bytes)
     columns = COLUMNS[kind]
-    if is_split(files, split_bytes):
-        lines, failed = keep_until_failure(scanned), first_failures(scanned).count()
-        lines = lines.withColumn("status", F.lit(None).cast("string"))
-    else:
-        lines, failed = scanned, 0
+    lines, failed = _usable_lines(spark, files, split_bytes)
     seen = Observation()
     parsed = parse_ndjson(lines, keys_for(columns)).observe(
         seen,

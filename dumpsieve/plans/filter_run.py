@@ -6,19 +6,19 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dumpsieve.functions.text import output_name
 from dumpsieve.operators.manifest import manifest_path, read_manifest, skip_processed
-from dumpsieve.operators.predicates import filter_lines, tag_matches
+from dumpsieve.operators.predicates import tag_matches
 from dumpsieve.operators.value_list import BROADCAST_BYTES, ValueList, value_list_source
 from dumpsieve.sources.dump_sink import (
-    BAD, CLOSE, FORMAT, LINE, MANIFEST_SCHEMA, RATE_EXCEEDED, SINK_SCHEMA, DumpSink,
+    BAD, CLOSE, FORMAT, LINE, MANIFEST_SCHEMA, RATE_EXCEEDED, DumpSink,
 )
-from dumpsieve.sources.listing import NoInputError, collect_files, list_input_files
+from dumpsieve.sources.listing import DumpFile, NoInputError, collect_files, list_input_files
 from dumpsieve.sources.scan import (
-    SPLIT_BYTES, drop_failed_files, scan_dump_lines, scan_files, shared_folder, stage,
+    SPLIT_BYTES, drop_failed_files, piece_of_staged, plan_scan, scan_splits, shared_folder, stage,
 )
 from dumpsieve.specs import FilterSpec
 
@@ -53,11 +53,13 @@ def filter_dump(spark: SparkSession, path: str, spec: FilterSpec, split_bytes: i
     """Matching lines of the dump files below ``path`` as a DataFrame.
 
     A file that cannot be read to its end gives no lines, which is known only once it
-    was read: the lines are staged in the shared folder first.
+    was read: the matching lines are staged in the shared folder first.
     """
-    scanned = scan_dump_lines(spark, path, spec.file_filter, split_bytes)
-    lines = drop_failed_files(stage(scanned, shared_folder(spark, "filter")))
-    return filter_lines(lines, spec, _values(spark, spec))
+    scanned, _ = _scan(spark, collect_files(list_input_files(spark, path, spec.file_filter)), split_bytes)
+    tagged = tag_matches(scanned, spec, _values(spark, spec))
+    found = tagged.where(F.col("matched") | F.col("status").isNotNull())
+    found = found.select("file", "split", "line", "value", "status")
+    return drop_failed_files(stage(found, shared_folder(spark, "filter")))
 
 
 def run_filter(
@@ -65,28 +67,33 @@ def run_filter(
 ) -> FilterReport:
     """Filter the dump files below ``path`` that are new under these settings."""
     files = list_input_files(spark, path, spec.file_filter)
-    if files.isEmpty():
+    report = filter_files(spark, files, output, spec, split_bytes)
+    if not report.new_files + report.skipped_files:
         raise NoInputError("no input files found")
-    return filter_files(spark, files, output, spec, split_bytes)
+    return report
 
 
 def filter_files(
     spark: SparkSession, files: DataFrame, output: str, spec: FilterSpec, split_bytes: int = SPLIT_BYTES
 ) -> FilterReport:
-    """Filter listed files; one pass, no exchange of lines.
+    """Filter listed files in one pass.
 
-    Lines are decoded, tested, counted and encoded in the task that reads them.
+    Lines are decoded, tested, counted and encoded in the task that reads them,
+    without an exchange.  Only where a file is one huge frame, which one task has to
+    decode, are the lines staged for many tasks to test.
     """
     values = _values(spark, spec)
     hashed = spec.config_hash("" if values is None else values.digest())
-    listed = collect_files(files)
-    todo = collect_files(skip_processed(files, read_manifest(spark, output), hashed))
+    listed = todo = collect_files(files)
+    done = read_manifest(spark, output)
+    if listed and done is not None:
+        todo = collect_files(skip_processed(files, done, hashed))
     run_id = uuid.uuid4().hex
     if not todo:
         return FilterReport(run_id, 0, len(listed), 0, 0, 0, spark.createDataFrame([], MANIFEST_SCHEMA))
 
-    rows = sink_rows(scan_files(spark, todo, split_bytes), spec, values)
-    write_dump(rows, output, run_id, hashed, spec.error_rate)
+    scanned, piece = _scan(spark, todo, split_bytes)
+    write_dump(sink_rows(scanned, spec, values, piece), output, run_id, hashed, spec.error_rate)
 
     run = spark.read.schema(MANIFEST_SCHEMA).parquet(f"{manifest_path(output)}/{run_id}.parquet")
     totals = run.agg(
@@ -95,27 +102,36 @@ def filter_files(
     return FilterReport(run_id, len(todo), len(listed) - len(todo), *totals, run)
 
 
-def sink_rows(scanned: DataFrame, spec: FilterSpec, values: ValueList | None = None) -> DataFrame:
+def _scan(spark: SparkSession, files: list[DumpFile], split_bytes: int) -> tuple[DataFrame, Column]:
+    """Lines, staged if some split is huge, and the run of lines that each is read in."""
+    plan = plan_scan(spark, files, split_bytes)
+    scanned = scan_splits(plan)
+    if plan.uneven:
+        return stage(scanned, shared_folder(spark, "lines")), piece_of_staged()
+    return scanned, F.lit("")
+
+
+def sink_rows(
+    scanned: DataFrame, spec: FilterSpec, values: ValueList | None = None, piece: Column | None = None
+) -> DataFrame:
     """Scanned lines as rows for the sink: matches, bad lines to count, closing rows."""
+    scanned = scanned.withColumn("piece", F.lit("") if piece is None else piece)
     tagged = tag_matches(scanned, spec, values)
     kind = F.when(F.col("matched"), LINE).when(F.col("is_bad"), BAD)
     kind = kind.when(F.col("status").isNotNull(), CLOSE)
+    rows = tagged.withColumn("kind", kind).where(F.col("kind").isNotNull())
+    order = ["file", "split", "piece", "line"]
     label = spec.value
     if values is not None:
         label = "list-" + spec.config_hash(values.digest())[:12]
         if values.size_bytes > BROADCAST_BYTES:  # the join has moved the lines
-            tagged = tagged.repartition("file", "split").sortWithinPartitions("file", "split", "line")
+            rows = rows.repartition(*order[:3]).sortWithinPartitions(*order)
     out = output_name(F.col("file"), F.lit(label))
     if spec.split_by_letter:
         out = F.concat(F.coalesce(F.concat("letter", F.lit("/")), F.lit("")), out)
-        tagged = tagged.sortWithinPartitions("file", "split", F.asc_nulls_last("letter"), "line")
-    rows = tagged.withColumn("kind", kind).where(F.col("kind").isNotNull())
-    return rows.select(
-        out.alias("out"), "file", "split", "kind",
-        F.when(F.col("kind") == CLOSE, F.col("line")).alias("lines"),
-        F.when(F.col("kind") == LINE, F.col("value").cast("binary")).alias("value"),
-        "status",
-    )
+        rows = rows.sortWithinPartitions(*order[:3], F.asc_nulls_last("letter"), "line")
+    value = F.when(F.col("kind") == LINE, F.col("value").cast("binary")).alias("value")
+    return rows.select(out.alias("out"), *order, "kind", value, "status")
 
 
 def write_dump(
@@ -147,9 +163,10 @@ def write_dump(
 
 def write_lines(lines: DataFrame, output: str, window_log: int | None = None) -> None:
     """Write lines (``out``, ``value``) as dump files named by ``out``; lines stay in their tasks."""
+    none = F.lit(None).cast("string")
     rows = lines.sortWithinPartitions("out").select(
         "out", F.col("out").alias("file"), F.spark_partition_id().cast("bigint").alias("split"),
-        F.lit(LINE).alias("kind"), F.lit(None).cast("bigint").alias("lines"),
-        F.col("value").cast("binary").alias("value"), F.lit(None).cast("string").alias("status"),
+        F.lit("").alias("piece"), F.lit(0).cast("bigint").alias("line"), F.lit(LINE).alias("kind"),
+        F.col("value").cast("binary").alias("value"), none.alias("status"),
     )
     write_dump(rows, output, manifest=False, window_log=window_log)

@@ -34,7 +34,11 @@ FORMAT = "dump_parts"
 
 # Kinds of row: a line to write, a bad line to count, the closing row of a split.
 LINE, BAD, CLOSE = 0, 1, 2
-SINK_SCHEMA = "out string, file string, split bigint, kind int, lines bigint, value binary, status string"
+# ``piece`` tells apart the runs of consecutive lines that one task may get of a split;
+# ``line`` is the number of lines in a closing row.
+SINK_SCHEMA = (
+    "out string, file string, split bigint, piece string, line bigint, kind int, value binary, status string"
+)
 
 MANIFEST_DIR = "_manifest"
 MANIFEST_SCHEMA = (
@@ -53,11 +57,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 @dataclass
 class Part:
-    """What one task wrote and saw of one split of one file."""
+    """What one task wrote and saw of one run of lines of one file."""
 
     out: str
     file: str
     split: int
+    first: int
     temp: str | None = None
     matched: int = 0
     bad: int = 0
@@ -116,23 +121,21 @@ class DumpWriter(DataSourceArrowWriter):
         fs, target = open_fs(self.target)
         folder = f"{target}/{self.hidden}"
         fs.create_dir(folder, recursive=True)
-        message, encoder = Written(), None
+        message, encoder, open_key = Written(), None, None
         for batch in iterator:
             keys = pc.binary_join_element_wise(
-                batch["out"], batch["file"], pc.cast(batch["split"], pa.string()), "\n"
+                batch["out"], batch["file"], pc.cast(batch["split"], pa.string()), batch["piece"], "\n"
             )
             runs = pc.run_end_encode(keys)
             start = 0
-            for end in runs.run_ends.to_pylist():
+            for end, key in zip(runs.run_ends.to_pylist(), runs.values.to_pylist()):
                 rows = batch.slice(start, end - start)
                 start = end
-                head = Part(rows["out"][0].as_py(), rows["file"][0].as_py(), rows["split"][0].as_py())
-                if encoder is None or (encoder.part.out, encoder.part.file, encoder.part.split) != (
-                    head.out, head.file, head.split
-                ):
+                if key != open_key:
                     if encoder is not None:
                         message.parts.append(encoder.close())
-                    encoder = _Encoder(fs, folder, head, self.window_log)
+                    head = [rows[c][0].as_py() for c in ("out", "file", "split", "line")]
+                    encoder, open_key = _Encoder(fs, folder, Part(*head), self.window_log), key
                 self._take(encoder, rows)
         if encoder is not None:
             message.parts.append(encoder.close())
@@ -146,7 +149,7 @@ class DumpWriter(DataSourceArrowWriter):
             encoder.write(rows["value"] if is_line.all() else rows["value"].filter(pa.array(is_line)))
         encoder.part.bad += int((kinds == BAD).sum())
         for at in np.flatnonzero(kinds == CLOSE):
-            encoder.part.lines += rows["lines"][at].as_py()
+            encoder.part.lines += rows["line"][at].as_py()
             status = rows["status"][at].as_py()
             if status != END:
                 encoder.part.failure = status
@@ -156,7 +159,7 @@ class DumpWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         parts = [p for m in messages if m is not None for p in m.parts]
         by_file: dict[str, list[Part]] = {}
-        for part in sorted(parts, key=lambda p: (p.file, p.split)):
+        for part in sorted(parts, key=lambda p: (p.file, p.split, p.first)):
             by_file.setdefault(part.file, []).append(part)
         rows = [self._summary(file, group) for file, group in by_file.items()]
         self._check_rate(rows)

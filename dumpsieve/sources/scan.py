@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dumpsieve.sources.listing import DumpFile, NoInputError, collect_files, list_input_files
@@ -15,6 +16,7 @@ from dumpsieve.sources.zst import END, LINE_SCHEMA, SPLIT_SCHEMA, plan_splits, r
 SPLIT_BYTES = 128 << 20  # compressed
 _MAX_TASKS = 100_000  # beyond, splits grow instead
 _MAX_WALKS = 10_000
+_UNEVEN = 8
 _STAGE_ROWS_PER_FILE = 20_000_000
 
 
@@ -26,22 +28,23 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def is_split(files: list[DumpFile], split_bytes: int = SPLIT_BYTES) -> bool:
-    """Whether some file is large enough to be read by several tasks."""
-    return any(f.length > split_bytes for f in files)
+@dataclass(frozen=True)
+class ScanPlan:
+    """Where reading is cut: rows of ``SPLIT_SCHEMA`` and what is known of them."""
 
+    splits: DataFrame
+    n_tasks: int
+    cut: bool  # some file is read by several tasks
+    uneven: bool  # some split is so long that its lines should be spread before use
 
-def scan_files(spark: SparkSession, files: list[DumpFile], split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Lines of the files: ``file, split, line, value, status``.
 
-    ``status`` is NULL on lines.  Each split adds one closing row without value,
-    whose status is ``end`` or the reason why reading failed, and whose ``line`` is
-    the number of its lines.  Within a split, rows keep the order of the file.
+def plan_scan(spark: SparkSession, files: list[DumpFile], split_bytes: int = SPLIT_BYTES) -> ScanPlan:
+    """Cut the files for reading.
 
     Files are laid end to end and cut into bins, one task each; a task reads the
     splits that start in its bin, so small files share a task and files larger than
-    ``split_bytes`` get many.  The exchanges below move descriptors of splits, never
-    lines.
+    ``split_bytes`` get many.  What is moved and stored here describes splits: a short
+    row for every ``split_bytes``, never a line.
     """
     if not files:
         raise NoInputError("no input files found")
@@ -54,20 +57,35 @@ def scan_files(spark: SparkSession, files: list[DumpFile], split_bytes: int = SP
         base += f.length
         large += f.length > split_bytes
     listed = spark.createDataFrame(rows, "file string, path string, length bigint, base bigint, slot int")
-    if large:
-        # Walking the frames of a large file takes a while: spread these files.
-        listed = listed.repartitionById(min(large, _MAX_WALKS) + 1, "slot")
-    splits = listed.mapInArrow(plan_splits(split_bytes, bin_bytes), SPLIT_SCHEMA)
-    lines = splits.repartitionById(total // bin_bytes + 1, "bin").mapInArrow(read_splits, LINE_SCHEMA)
+    n_tasks = total // bin_bytes + 1
+    if not large:
+        return ScanPlan(listed.mapInArrow(plan_splits(split_bytes, bin_bytes), SPLIT_SCHEMA), n_tasks, False, False)
+    # Walking the frames of a large file takes a while: spread these files, walk once.
+    folder = shared_folder(spark, "splits")
+    walked = listed.repartitionById(min(large, _MAX_WALKS) + 1, "slot")
+    walked.mapInArrow(plan_splits(split_bytes, bin_bytes), SPLIT_SCHEMA).write.parquet(folder)
+    splits = spark.read.schema(SPLIT_SCHEMA).parquet(folder)
+    longest, last_start = splits.agg(F.max(F.col("last") - F.col("first")), F.max("first")).first()
+    return ScanPlan(splits, n_tasks, last_start > 0, longest > _UNEVEN * split_bytes)
+
+
+def scan_splits(plan: ScanPlan) -> DataFrame:
+    """Lines of the planned files: ``file, split, line, value, status``.
+
+    ``status`` is NULL on lines.  Each split adds one closing row without value,
+    whose status is ``end`` or the reason why reading failed, and whose ``line`` is
+    the number of its lines.  Within a split, rows keep the order of the file.
+    """
+    lines = plan.splits.repartitionById(plan.n_tasks, "bin").mapInArrow(read_splits, LINE_SCHEMA)
     return lines.withColumn("value", F.col("value").cast("string"))
 
 
 def scan_dump_lines(
     spark: SparkSession, path: str, file_filter: str = ".*", split_bytes: int = SPLIT_BYTES
 ) -> DataFrame:
-    """Lines of all dump files below ``path`` (see ``scan_files``)."""
+    """Lines of all dump files below ``path`` (see ``scan_splits``)."""
     files = collect_files(list_input_files(spark, path, file_filter))
-    return scan_files(spark, files, split_bytes)
+    return scan_splits(plan_scan(spark, files, split_bytes))
 
 
 def only_lines(scanned: DataFrame) -> DataFrame:
@@ -95,6 +113,11 @@ def read_staged(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def piece_of_staged() -> Column:
+    """Names the run of consecutive staged rows that a row is read in."""
+    return F.concat_ws(":", "_metadata.file_path", "_metadata.file_block_start")
+
+
 def ingest(
     spark: SparkSession, path: str, dest: str, file_filter: str = ".*", split_bytes: int = SPLIT_BYTES
 ) -> DataFrame:

@@ -44,7 +44,7 @@ def leftovers(root) -> list[str]:
     return [n for n in os.listdir(root) if n.startswith("_tmp")]
 
 
-@pytest.mark.parametrize("split_bytes", [1 << 27, 16])
+@pytest.mark.parametrize("split_bytes", [1 << 27, 16, 1])  # 1: long splits, staged
 def test_filter_run(spark, dump, tmp_path, split_bytes):
     out = str(tmp_path / "out")
     report = run_filter(spark, dump(FILES), out, SPEC, split_bytes)
@@ -96,7 +96,7 @@ def test_error_rate(spark, dump, tmp_path):
     out = str(tmp_path / "out")
     with pytest.raises(ErrorRateExceeded):
         run_filter(spark, root, out, FilterSpec("author", "ab", error_rate=24))
-    assert outputs(out) == {} and leftovers(out) == [] and read_manifest(spark, out).isEmpty()
+    assert outputs(out) == {} and leftovers(out) == [] and read_manifest(spark, out) is None
     assert run_filter(spark, root, out, FilterSpec("author", "ab", error_rate=25)).errors == 1
     tagged = tag_matches(only_lines(scan_dump_lines(spark, root)), SPEC)
     assert error_rate_gate(tagged, 24).first().passed is False
@@ -172,7 +172,7 @@ def whole(path) -> str:
     return "".join(open(os.path.join(path, n), newline="").read() for n in parts)
 
 
-@pytest.mark.parametrize("split_bytes", [1 << 27, 16])
+@pytest.mark.parametrize("split_bytes", [1 << 27, 16, 1])
 def test_csv_run(spark, dump, tmp_path, split_bytes):
     root = dump({k: v for k, v in FILES.items() if k != "RC_1.zst"})
     (report,) = run_csv(spark, root, str(tmp_path), split_bytes=split_bytes)
