@@ -144,6 +144,26 @@ def filter_value_list(spark, sf_dir):
     return filter_lines(fx.submissions(spark, sf_dir), spec, value_list_source(spark, path)).select("doc_id", "value")
 
 
+_EVENT_LINE = "'{\"id\":\"' || event_id || '\",\"subreddit\":\"' || event_type || '\",\"body\":' || to_json(props) || '}'"
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.to_json(F.struct(
+        F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("subreddit"), F.col("props").alias("body")
+    ))
+    return fx.table(spark, sf_dir, "events").select("event_id", line.alias("value"))
+
+
+@query("filter_events", f"SELECT event_id, {_EVENT_LINE} AS value FROM events WHERE event_type = 'purchase'")
+def filter_events(spark, sf_dir):
+    return filter_lines(_events(spark, sf_dir), FilterSpec("subreddit", "PURCHASE"))
+
+
+@query("filter_body", f"SELECT event_id, {_EVENT_LINE} AS value FROM events WHERE regexp_matches(props, ': *[0-9]*7}}')")
+def filter_body(spark, sf_dir):
+    return filter_lines(_events(spark, sf_dir), FilterSpec("body", ": *[0-9]*7}", regex=True))
+
+
 @query("field_is_string", _matching("lang NOT IN ('de', 'es')"))
 def field_is_string(spark, sf_dir):
     return _filtered(spark, sf_dir, FilterSpec("author", ".*", regex=True))
@@ -581,6 +601,17 @@ def manifest_of_run(spark, sf_dir):
     return _by_lang(read_manifest(spark, output))
 
 
+@query("state_key", """
+  SELECT 'talk/RC_' || role AS name, count(*) FILTER (contains(lower(text), 'ed')) AS match_count FROM conversations GROUP BY role""")
+def state_key(spark, sf_dir):
+    # The manifest knows files by their path below the input.
+    output = shared_folder(spark, "keys")
+    spec = FilterSpec("body", "ed", partial=True, file_filter="^RC_")
+    files = run_filter(spark, fx.dump(spark, sf_dir), output, spec).files
+    name = F.regexp_extract("file", "^talk/RC_[a-z]+", 0)
+    return files.groupBy(name.alias("name")).agg(F.sum("match_count").cast("bigint").alias("match_count"))
+
+
 @query("skip_processed_files", "SELECT DISTINCT lang FROM documents WHERE lang NOT IN ('en', 'fr')")
 def skip_processed_files(spark, sf_dir):
     output = shared_folder(spark, "skip")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -91,6 +93,9 @@ def _number_text(written: Column, number_style: str) -> Column:
     return _shortest_general(shortest)
 
 
+# Below 1e6, at least 1e-4 or 0, and at most 15 digits.
+_PLAIN_NUMBER = r"^-?(?:[1-9][0-9]{0,5}(?:\.[0-9]{1,9})?|0(?:\.(?!0000)[0-9]{1,15})?)\z"
+
 # A JSON string, a number or word, or one mark of structure.
 _JSON_TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^",:\[\]{}]++|[,:\[\]{}]'
 
@@ -103,7 +108,9 @@ def default_text(v: Column, number_style: str = "g") -> Column:
     in the order of their keys.
     """
     kind = json_type(v)
-    small = F.when(kind == "BIGINT", v.cast("bigint"))
+    # Most numbers need no exponent and few digits: their plain text is the shortest.
+    exact = (kind == "BIGINT") | F.startswith(kind, F.lit("DECIMAL"))
+    plain = exact & F.rlike(v.cast("string"), F.lit(_PLAIN_NUMBER))
 
     def token_text(token: Column) -> Column:
         return (
@@ -118,7 +125,7 @@ def default_text(v: Column, number_style: str = "g") -> Column:
     return (
         F.when(v.isNull(), "")
         .when(kind == "STRING", v.cast("string"))
-        .when(F.abs(small) < 1_000_000, small.cast("string"))
+        .when(plain, v.cast("string"))
         .otherwise(F.array_join(F.transform(tokens, token_text), ""))
     )
 
@@ -149,8 +156,7 @@ def format_created(seconds: Column) -> Column:
 
 
 def _plain_time(seconds: Column) -> Column:
-    start = F.lit("1970-01-01").cast("timestamp_ntz")
-    moment = start + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
+    moment = F.lit("1970-01-01").cast("timestamp_ntz") + F.lit(timedelta(seconds=1)) * seconds
     return F.left(moment.cast("string"), F.lit(16))
 
 

@@ -42,7 +42,7 @@ def tag_matches(
     else:
         tagged = flag_listed(parsed, field, values, spec)
     good = F.coalesce(~F.col("is_bad"), F.lit(False))
-    tagged = tagged.withColumn("matched", good & F.coalesce("matched", F.lit(False)))
+    tagged = tagged.withColumn("matched", F.coalesce("matched", F.lit(False)) & good)
     if spec.split_by_letter:
         tagged = tagged.withColumn("letter", F.when(F.col("matched"), first_letter(field)))
     return tagged.drop(spec.field)

@@ -14,8 +14,10 @@ from dumpsieve.operators import counters
 from dumpsieve.operators.projections import COLUMNS, column, keys_for, project
 from dumpsieve.sources.listing import DumpFile, collect_files, kind_of, list_input_files
 from dumpsieve.sources.scan import (
-    SPLIT_BYTES, first_failures, keep_until_failure, only_lines, plan_scan, scan_splits, shared_folder, stage,
+    SPLIT_BYTES, first_failures, keep_until_failure, only_lines, plan_scan, scan_splits,
+    scratch_folder, shared_folder, stage,
 )
+from dumpsieve.sources.zst import FAILED
 from dumpsieve.specs import CsvSpec
 
 OUTPUT_NAME = "output.csv"
@@ -37,7 +39,7 @@ def csv_projection(
 ) -> DataFrame:
     """The table of the dump files below ``path``, with the columns of the first file's kind."""
     files = collect_files(list_input_files(spark, path, spec.file_filter))
-    lines, _ = _usable_lines(spark, files, split_bytes)
+    lines, _ = _usable_lines(spark, files, split_bytes, shared_folder(spark, "csv"))
     return project(only_lines(lines), kind_of(files[0].file), spec.number_style)
 
 
@@ -59,7 +61,9 @@ def run_csv(
     ]
 
 
-def _usable_lines(spark: SparkSession, files: list[DumpFile], split_bytes: int) -> tuple[DataFrame, int]:
+def _usable_lines(
+    spark: SparkSession, files: list[DumpFile], split_bytes: int, folder: str
+) -> tuple[DataFrame, int]:
     """Lines in front of a failure, and how many files are known to have failed.
 
     Where each file is read by one task, none stand behind a failure, and lines are
@@ -67,11 +71,11 @@ def _usable_lines(spark: SparkSession, files: list[DumpFile], split_bytes: int)
     failures are known beforehand; a huge frame is then decoded once and its lines
     used by many tasks.
     """
-    plan = plan_scan(spark, files, split_bytes)
+    plan = plan_scan(spark, files, split_bytes, folder)
     scanned = scan_splits(plan)
     if not plan.cut and not plan.uneven:
         return scanned, 0
-    staged = stage(scanned, shared_folder(spark, "csv"))
+    staged = stage(scanned, folder + "/lines")
     lines = keep_until_failure(staged).withColumn("status", F.lit(None).cast("string"))
     return lines, first_failures(staged).count()
 
@@ -80,16 +84,17 @@ def _write(
     spark: SparkSession, files: list[DumpFile], kind: str, path: str, spec: CsvSpec, split_bytes: int
 ) -> CsvReport:
     columns = COLUMNS[kind]
-    lines, failed = _usable_lines(spark, files, split_bytes)
     seen = Observation()
-    parsed = parse_ndjson(lines, keys_for(columns)).observe(
-        seen,
-        counters.emitted().alias("processed"),
-        counters.errors().alias("bad_lines"),
-        F.count_if(F.startswith("status", F.lit("failed"))).alias("failed"),
-    )
-    table = parsed.where(~F.col("is_bad")).select(*[column(c, spec.number_style) for c in columns])
-    write_csv(table, path, spec.exact)
+    with scratch_folder(spark) as folder:
+        lines, failed = _usable_lines(spark, files, split_bytes, folder)
+        parsed = parse_ndjson(lines, keys_for(columns)).observe(
+            seen,
+            counters.emitted().alias("processed"),
+            counters.errors().alias("bad_lines"),
+            F.count_if(F.startswith("status", F.lit(FAILED))).alias("failed"),
+        )
+        table = parsed.where(~F.col("is_bad")).select(*[column(c, spec.number_style) for c in columns])
+        write_csv(table, path, spec.exact)
     got = seen.get
     return CsvReport(kind, got["processed"], got["bad_lines"], got["bad_lines"] + got["failed"] + failed, path)
 

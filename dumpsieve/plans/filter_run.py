@@ -18,7 +18,7 @@ from dumpsieve.sources.dump_sink import (
 )
 from dumpsieve.sources.listing import DumpFile, NoInputError, collect_files, list_input_files
 from dumpsieve.sources.scan import (
-    SPLIT_BYTES, drop_failed_files, piece_of_staged, plan_scan, scan_splits, shared_folder, stage,
+    SPLIT_BYTES, drop_failed_files, piece_of_staged, plan_scan, scan_splits, scratch_folder, shared_folder, stage,
 )
 from dumpsieve.specs import FilterSpec
 
@@ -55,11 +55,13 @@ def filter_dump(spark: SparkSession, path: str, spec: FilterSpec, split_bytes: i
     A file that cannot be read to its end gives no lines, which is known only once it
     was read: the matching lines are staged in the shared folder first.
     """
-    scanned, _ = _scan(spark, collect_files(list_input_files(spark, path, spec.file_filter)), split_bytes)
+    folder = shared_folder(spark, "filter")
+    files = collect_files(list_input_files(spark, path, spec.file_filter))
+    scanned, _ = _scan(spark, files, split_bytes, folder)
     tagged = tag_matches(scanned, spec, _values(spark, spec))
     found = tagged.where(F.col("matched") | F.col("status").isNotNull())
     found = found.select("file", "split", "line", "value", "status")
-    return drop_failed_files(stage(found, shared_folder(spark, "filter")))
+    return drop_failed_files(stage(found, folder + "/found"))
 
 
 def run_filter(
@@ -92,8 +94,9 @@ def filter_files(
     if not todo:
         return FilterReport(run_id, 0, len(listed), 0, 0, 0, spark.createDataFrame([], MANIFEST_SCHEMA))
 
-    scanned, piece = _scan(spark, todo, split_bytes)
-    write_dump(sink_rows(scanned, spec, values, piece), output, run_id, hashed, spec.error_rate)
+    with scratch_folder(spark) as folder:
+        scanned, piece = _scan(spark, todo, split_bytes, folder)
+        write_dump(sink_rows(scanned, spec, values, piece), output, run_id, hashed, spec.error_rate)
 
     run = spark.read.schema(MANIFEST_SCHEMA).parquet(f"{manifest_path(output)}/{run_id}.parquet")
     totals = run.agg(
@@ -102,12 +105,14 @@ def filter_files(
     return FilterReport(run_id, len(todo), len(listed) - len(todo), *totals, run)
 
 
-def _scan(spark: SparkSession, files: list[DumpFile], split_bytes: int) -> tuple[DataFrame, Column]:
+def _scan(
+    spark: SparkSession, files: list[DumpFile], split_bytes: int, folder: str
+) -> tuple[DataFrame, Column]:
     """Lines, staged if some split is huge, and the run of lines that each is read in."""
-    plan = plan_scan(spark, files, split_bytes)
+    plan = plan_scan(spark, files, split_bytes, folder)
     scanned = scan_splits(plan)
     if plan.uneven:
-        return stage(scanned, shared_folder(spark, "lines")), piece_of_staged()
+        return stage(scanned, folder + "/lines"), piece_of_staged()
     return scanned, F.lit("")
 
 

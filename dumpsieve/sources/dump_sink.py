@@ -16,6 +16,7 @@ from __future__ import annotations
 import sys
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
@@ -51,6 +52,7 @@ _MANIFEST_ARROW = pa.schema([
     ("hashed_config", pa.string()), ("run_id", pa.string()),
 ])
 RATE_EXCEEDED = "error rate exceeded"
+_PUBLISHERS = 32
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -208,8 +210,8 @@ class DumpWriter(DataSourceArrowWriter):
 
     @staticmethod
     def _publish(fs: pafs.FileSystem, target: str, by_out: dict[str, list[Part]]) -> None:
-        for out, group in by_out.items():
-            final = f"{target}/{out}"
+        def publish(out: str) -> None:
+            final, group = f"{target}/{out}", by_out[out]
             earlier = fs.get_file_info(final).type
             if earlier == pafs.FileType.Directory:
                 fs.delete_dir(final)
@@ -218,12 +220,15 @@ class DumpWriter(DataSourceArrowWriter):
             if len(group) == 1:
                 fs.create_dir(final.rsplit("/", 1)[0], recursive=True)
                 fs.move(group[0].temp, final)
-                continue
+                return
             fs.create_dir(final, recursive=True)
             stem = final.rsplit("/", 1)[1][: -len(EXTENSION)]
             for i, part in enumerate(group):
                 fs.move(part.temp, f"{final}/{stem}.p{i:05d}{EXTENSION}")
 
+        with ThreadPoolExecutor(_PUBLISHERS) as pool:  # renames wait on the file system
+            list(pool.map(publish, by_out))
+
     def abort(self, messages: list[Written | None]) -> None:
         self._drop_hidden()
 

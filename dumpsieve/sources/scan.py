@@ -5,13 +5,16 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dumpsieve.sources.listing import DumpFile, NoInputError, collect_files, list_input_files
-from dumpsieve.sources.zst import END, LINE_SCHEMA, SPLIT_SCHEMA, plan_splits, read_splits
+from dumpsieve.sources.zst import END, LINE_SCHEMA, SPLIT_SCHEMA, open_fs, plan_splits, read_splits
 
 SPLIT_BYTES = 128 << 20  # compressed
 _MAX_TASKS = 100_000  # beyond, splits grow instead
@@ -28,6 +31,18 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def scratch_folder(spark: SparkSession) -> Iterator[str]:
+    """A fresh shared folder that goes away with the run that uses it."""
+    folder = shared_folder(spark, "run")
+    try:
+        yield folder
+    finally:
+        fs, name = open_fs(folder)
+        if fs.get_file_info(name).type == pafs.FileType.Directory:
+            fs.delete_dir(name)
+
+
 @dataclass(frozen=True)
 class ScanPlan:
     """Where reading is cut: rows of ``SPLIT_SCHEMA`` and what is known of them."""
@@ -38,8 +53,10 @@ class ScanPlan:
     uneven: bool  # some split is so long that its lines should be spread before use
 
 
-def plan_scan(spark: SparkSession, files: list[DumpFile], split_bytes: int = SPLIT_BYTES) -> ScanPlan:
-    """Cut the files for reading.
+def plan_scan(
+    spark: SparkSession, files: list[DumpFile], split_bytes: int = SPLIT_BYTES, folder: str | None = None
+) -> ScanPlan:
+    """Cut the files for reading; splits of large files are noted in the shared ``folder``.
 
     Files are laid end to end and cut into bins, one task each; a task reads the
     splits that start in its bin, so small files share a task and files larger than
@@ -61,10 +78,10 @@ def plan_scan(spark: SparkSession, files: list[DumpFile], split_bytes: int = SPL
     if not large:
         return ScanPlan(listed.mapInArrow(plan_splits(split_bytes, bin_bytes), SPLIT_SCHEMA), n_tasks, False, False)
     # Walking the frames of a large file takes a while: spread these files, walk once.
-    folder = shared_folder(spark, "splits")
+    noted = (folder or shared_folder(spark, "scan")) + "/splits"
     walked = listed.repartitionById(min(large, _MAX_WALKS) + 1, "slot")
-    walked.mapInArrow(plan_splits(split_bytes, bin_bytes), SPLIT_SCHEMA).write.parquet(folder)
-    splits = spark.read.schema(SPLIT_SCHEMA).parquet(folder)
+    walked.mapInArrow(plan_splits(split_bytes, bin_bytes), SPLIT_SCHEMA).write.parquet(noted)
+    splits = spark.read.schema(SPLIT_SCHEMA).parquet(noted)
     longest, last_start = splits.agg(F.max(F.col("last") - F.col("first")), F.max("first")).first()
     return ScanPlan(splits, n_tasks, last_start > 0, longest > _UNEVEN * split_bytes)
 
