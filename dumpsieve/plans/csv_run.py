@@ -87,13 +87,16 @@ def _write(
     seen = Observation()
     with scratch_folder(spark) as folder:
         lines, failed = _usable_lines(spark, files, split_bytes, folder)
-        parsed = parse_ndjson(lines, keys_for(columns)).observe(
+        parsed = parse_ndjson(lines, keys_for(columns))
+        made = [column(c, spec.number_style) for c in columns]
+        # Counting sits above the projection: below it, all columns would be carried along.
+        counted = parsed.select(*made, "is_bad", "status").observe(
             seen,
             counters.emitted().alias("processed"),
             counters.errors().alias("bad_lines"),
             F.count_if(F.startswith("status", F.lit(FAILED))).alias("failed"),
         )
-        table = parsed.where(~F.col("is_bad")).select(*[column(c, spec.number_style) for c in columns])
+        table = counted.where(~F.col("is_bad")).select(*columns)
         write_csv(table, path, spec.exact)
     got = seen.get
     return CsvReport(kind, got["processed"], got["bad_lines"], got["bad_lines"] + got["failed"] + failed, path)

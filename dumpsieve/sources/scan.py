@@ -59,8 +59,8 @@ def plan_scan(
     """Cut the files for reading; splits of large files are noted in the shared ``folder``.
 
     Files are laid end to end and cut into bins, one task each; a task reads the
-    splits that start in its bin, so small files share a task and files larger than
-    ``split_bytes`` get many.  What is moved and stored here describes splits: a short
+    splits whose middle lies in its bin, so small files share a task and files larger
+    than ``split_bytes`` get many.  What is moved and stored here describes splits: a short
     row for every ``split_bytes``, never a line.
     """
     if not files:

@@ -114,7 +114,7 @@ def plan_splits(split_bytes: int, bin_bytes: int):
     """Task function: rows (file, path, length, base) -> rows of ``SPLIT_SCHEMA``.
 
     ``base`` is the sum of the lengths of the files before; a split goes to the bin
-    of ``bin_bytes`` in which it starts.
+    of ``bin_bytes`` that holds its middle, so files of about that size get one each.
     """
 
     def plan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +132,7 @@ def plan_splits(split_bytes: int, bin_bytes: int):
                     "path": [row["path"]] * len(spans),
                     "first": pa.array([a for a, _ in spans], pa.int64()),
                     "last": pa.array([b for _, b in spans], pa.int64()),
-                    "bin": pa.array([(row["base"] + a) // bin_bytes for a, _ in spans], pa.int32()),
+                    "bin": pa.array([(row["base"] + (a + b) // 2) // bin_bytes for a, b in spans], pa.int32()),
                 })
 
     return plan
