@@ -33,6 +33,17 @@ from dumpsieve.sources.scan import ingest, only_lines, read_staged, scan_dump_li
 from dumpsieve.specs import CsvSpec, FilterSpec
 from dumpsieve.streaming.incremental import stream_filter
 
+try:
+    from corpus_pipeline import pipeline
+    from dumpsieve.llm.queries import ORACLES as _LLM_ORACLES
+    from dumpsieve.llm.queries import QUERIES as _LLM_QUERIES
+
+    _LLM_QUERIES = {**_LLM_QUERIES, "pipeline": pipeline}
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "dumpsieve.llm"):
+        raise
+    _LLM_QUERIES, _LLM_ORACLES = {}, {}
+
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
@@ -56,11 +67,11 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return {**_QUERIES, **_LLM_QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return {**_ORACLES, **_LLM_ORACLES}
 
 
 # ---------------------------------------------------------------- SQL pieces

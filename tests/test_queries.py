@@ -20,7 +20,7 @@ def db():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query(spark, db, name):
     assert normal(entry.queries()[name](spark, SF_DIR).toPandas()) == normal(db.execute(entry.oracle_sql()[name]).df())
 
