@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dumpsieve.llm.exact import exact_groups
+from dumpsieve.llm.language import identify_language
 from dumpsieve.llm.lines import drop_repeated_lines
 from dumpsieve.llm.minhash import MinHash, near_duplicates
+from dumpsieve.llm.quality import score_quality
+from dumpsieve.llm.secrets import secret_spans
 from dumpsieve.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,7 +30,22 @@ def _query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-_SPACE = r"[\x20\x09-\x0D]"
+@_query("op1_quality_classifier")
+def op1(spark, sf_dir):
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query("op3_language_id")
+def op3(spark, sf_dir):
+    return identify_language(table(spark, sf_dir, "documents"))
+
+
+@_query("op5_secret_scan")
+def op5(spark, sf_dir):
+    found = secret_spans(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans"
+    )
 
 
 @_query(
