@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dumpsieve.llm.byte_bpe import encode_documents
 from dumpsieve.llm.exact import exact_groups
 from dumpsieve.llm.language import identify_language
 from dumpsieve.llm.lines import drop_repeated_lines
 from dumpsieve.llm.minhash import MinHash, near_duplicates
+from dumpsieve.llm.packing import pack_documents
 from dumpsieve.llm.quality import score_quality
 from dumpsieve.llm.secrets import secret_spans
 from dumpsieve.llm.shared import table
@@ -35,11 +38,32 @@ def op1(spark, sf_dir):
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def _tokenizer(name: str) -> bytes:
+    with open(public_tokenizers.path(name), "rb") as file:
+        return file.read()
+
+
+@_query("op2_byte_bpe")
+def op2(spark, sf_dir):
+    ranks = _tokenizer("byte_bpe_multi_50k.tiktoken")
+    found = encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return found.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 @_query("op3_language_id")
 def op3(spark, sf_dir):
     return identify_language(table(spark, sf_dir, "documents"))
 
 
+@_query("op4_best_fit_packing")
+def op4(spark, sf_dir):
+    return pack_documents(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json").decode("utf-8"))
+
+
 @_query("op5_secret_scan")
 def op5(spark, sf_dir):
     found = secret_spans(table(spark, sf_dir, "documents"))
