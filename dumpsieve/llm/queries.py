@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dumpsieve.llm.byte_bpe import encode_documents
+from dumpsieve.llm.embeddings import near_vectors
 from dumpsieve.llm.exact import exact_groups
 from dumpsieve.llm.language import identify_language
 from dumpsieve.llm.lines import drop_repeated_lines
@@ -125,3 +126,23 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM r
 )
 def op8(spark, sf_dir):
     return exact_groups(table(spark, sf_dir, "documents"))
+
+
+@_query(
+    "op9_embedding_near_dedup",
+    r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
+  WHERE list_cosine_similarity(x.e, y.e) >= 0.98),
+degree AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, c AS component_id, vec_id = c AS kept
+FROM embeddings LEFT JOIN degree ON degree.a = vec_id JOIN least ON least.a = vec_id""",
+)
+def op9(spark, sf_dir):
+    return near_vectors(table(spark, sf_dir, "embeddings"))
