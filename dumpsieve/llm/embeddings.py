@@ -9,6 +9,7 @@ compared with all others tells the recall, and more shards are used where it is
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -109,7 +110,7 @@ def _pruned(x: np.ndarray, options: GraphSearch) -> list[np.ndarray]:
     for i, found in enumerate(out):
         for j in found:
             back[j].append(i)
-    return [np.unique(np.concatenate([a, np.array(b[: options.degree], np.int64)])) for a, b in zip(out, back)]
+    return [np.unique(np.concatenate([a, np.array(b[: 2 * options.degree], np.int64)])) for a, b in zip(out, back)]
 
 
 def _builder(options: GraphSearch):
@@ -162,19 +163,21 @@ def _search(q: np.ndarray, x: np.ndarray, graph: np.ndarray, own: np.ndarray, op
     a, b = np.concatenate([a, np.flatnonzero(mine)]), np.concatenate([b, own[mine]])
     found_a, found_b = [], []
     while len(a):
-        fresh = ~seen[a, b]
-        a, b = a[fresh], b[fresh]
-        a, b = np.unique(np.stack([a, b]), axis=1) if len(a) else (a, b)
-        seen[a, b] = True
-        cosine = np.empty(len(a))
+        fresh = np.zeros_like(seen)
+        fresh[a, b] = True
+        fresh &= ~seen
+        seen |= fresh
+        a, b = np.nonzero(fresh)
+        near_a, near_b = [], []
         for at in range(0, len(a), 1 << 16):  # double precision, a bounded number at a time
-            part = slice(at, at + (1 << 16))
-            cosine[part] = np.einsum("nd,nd->n", q[a[part]], x[b[part]])
-        hit = cosine >= options.cosine
-        found_a.append(a[hit])
-        found_b.append(b[hit])
-        near = cosine >= low
-        a, b = np.repeat(a[near], graph.shape[1]), graph[b[near]].ravel()
+            i, j = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
+            cosine = np.einsum("nd,nd->n", q[i], x[j])
+            hit, near = cosine >= options.cosine, cosine >= low
+            found_a.append(i[hit])
+            found_b.append(j[hit])
+            near_a.append(np.repeat(i[near], graph.shape[1]))
+            near_b.append(graph[j[near]].ravel())
+        a, b = np.concatenate([a[:0], *near_a]), np.concatenate([b[:0], *near_b])
         a, b = a[b >= 0], b[b >= 0]
     return np.concatenate(found_a), np.concatenate(found_b)
 
@@ -245,23 +248,33 @@ def _searcher(options: GraphSearch):
 # ---------------------------------------------------------------- the whole
 
 
+def _unit(values: list | None) -> np.ndarray | None:
+    """The vector at length one, or None where it has no direction."""
+    x = np.array(values or [], np.float64)  # null components become NaN
+    peak = np.abs(x).max(initial=0)
+    if not np.isfinite(peak) or peak == 0:
+        return None
+    x = x / peak  # first, so that squares neither overflow nor vanish
+    return x / np.sqrt((x * x).sum()) + 0.0
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        labels = batch.column("label").to_pylist()
+        units = [None if label is None else _unit(v) for label, v in zip(labels, batch.column("vector").to_pylist())]
+        keys = [None if u is None else hashlib.md5(f"{label}:".encode() + u.tobytes()).digest() for label, u in zip(labels, units)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("vec_id"), batch.column("label"), pa.array(units, pa.list_(pa.float64())), pa.array(keys, pa.binary())],
+            names=["vec_id", "label", "unit", "key"],
+        )
+
+
 def _classes(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> tuple[DataFrame, DataFrame]:
     """All rows with the key of their class, and one row per class of equal vectors with equal labels."""
-    v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
-    good = F.size(v) > 0
-    for bad in (lambda x: x.isNull(), lambda x: F.isnan(x), lambda x: F.abs(x) == float("inf")):
-        good = good & ~F.exists(v, bad)
-    peak = F.array_max(F.transform(v, lambda x: F.abs(x)))
-    usable = F.coalesce(F.col(label_col).isNotNull() & good & (peak > 0), F.lit(False))
-    # Scaled by the largest component first, so that squares neither overflow nor vanish.
-    scaled = F.transform(v, lambda x: x / peak)
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, x: s + x * x))
     rows = vectors.select(
-        F.col(id_col).cast("long").alias("vec_id"),
-        F.when(usable, F.col(label_col).cast("long")).alias("label"),
-        F.when(usable, F.transform(scaled, lambda x: x / norm + F.lit(0.0))).alias("unit"),
-    )
-    rows = rows.withColumn("key", F.md5(F.to_json(F.struct("label", "unit")).cast("binary")))
+        F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"),
+        F.col(vector_col).cast("array<double>").alias("vector"),
+    ).mapInArrow(_units, "vec_id long, label long, unit array<double>, key binary")
     rows = stored(rows, "vectors")
     classes = rows.filter("unit IS NOT NULL").groupBy("key", "label").agg(
         F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.first("unit").alias("unit")
