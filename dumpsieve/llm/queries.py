@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from dumpsieve.llm.byte_bpe import encode_documents
 from dumpsieve.llm.embeddings import near_vectors
 from dumpsieve.llm.exact import exact_groups
+from dumpsieve.llm.html import extract_pages
 from dumpsieve.llm.language import identify_language
 from dumpsieve.llm.lines import drop_repeated_lines
 from dumpsieve.llm.minhash import MinHash, near_duplicates
@@ -146,3 +147,8 @@ FROM embeddings LEFT JOIN degree ON degree.a = vec_id JOIN least ON least.a = ve
 )
 def op9(spark, sf_dir):
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@_query("op10_html_extraction")
+def op10(spark, sf_dir):
+    return extract_pages(table(spark, sf_dir, "pages"))
