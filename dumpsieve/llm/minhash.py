@@ -297,3 +297,12 @@ def near_duplicates(
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
         F.col("doc_id").eqNullSafe(component).alias("kept"),
     )
+
+
+def drop_near_copies(
+    docs: DataFrame, options: MinHash = MinHash(), id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its group, all columns; rows with the same id are one document."""
+    found = near_duplicates(docs, options, id_col, text_col)
+    gone = stored(found.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    return docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("_gone")), "left_anti")
