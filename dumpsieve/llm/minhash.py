@@ -37,8 +37,9 @@ class MinHash:
     percent: int = 80
     k: int = 32
     overlap: int = 16
-    common: int = 4  # shared index values asked of two full sketches
-    estimate: float = 0.4
+    common: int = 6  # shared index values asked of two full sketches
+    leaders: int = 4  # members of each list that all others are compared with first
+    estimate: float = 0.45
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -115,43 +116,53 @@ def _counters(classes: DataFrame) -> np.ndarray:
 
 
 def _indexer(options: MinHash, counts):
-    k, overlap, common, share = options.k, options.overlap, options.common, options.percent / 100
+    k, overlap, common, percent = options.k, options.overlap, options.common, options.percent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out_cid, out_value, out_need = [], [], []
+            out_cid, out_value, out_n = [], [], []
             for cid, n, sketch in zip(*(batch.column(c).to_pylist() for c in ("cid", "n", "sketch"))):
                 values = np.array(sketch, np.int64)
-                if n / share <= k:  # every partner's sketch is its whole set
-                    must, need = -(-n * options.percent // 100), 1
+                if n * 100 <= k * percent:  # every partner's sketch is its whole set
+                    must, need = -(-n * percent // 100), 1
                 else:
                     must, need = overlap, common
                 order = np.lexsort((values, counts.value[values % _COUNTERS]))
                 values = values[order[: len(values) - must + need]]
                 out_value.append(values)
                 out_cid.append(np.full(len(values), cid, np.int64))
-                out_need.append(np.full(len(values), need, np.int32))
+                out_n.append(np.full(len(values), n, np.int64))
             if out_cid:
-                columns = [pa.array(np.concatenate(x)) for x in (out_value, out_cid, out_need)]
-                yield pa.RecordBatch.from_arrays(columns, names=["value", "cid", "need"])
+                columns = [pa.array(np.concatenate(x)) for x in (out_value, out_cid, out_n)]
+                yield pa.RecordBatch.from_arrays(columns, names=["value", "cid", "n"])
 
     return run
 
 
 def _index(classes: DataFrame, options: MinHash) -> DataFrame:
-    """value, cid, need: the values of each class under which it can meet its partners.
+    """value, cid, n, leaders: the values of each class under which it can meet its partners.
 
     Two sets at the threshold share at least ``overlap`` retained values. In any order that
-    all share, here rarest first, the values left after taking away ``overlap`` - ``need`` of
-    the last ones hold ``need`` common ones. So very common values are seldom indexed.
-    Values that only one class has are dropped.
+    all share, here rarest first, the values left after taking away ``overlap`` - ``common`` of
+    the last ones hold ``common`` shared ones. So very common values are seldom indexed.
+    Values that only one class has are dropped. Leaders are the first members in orders that
+    are the same for all lists, so lists of the same classes have the same leaders.
     """
     spark = classes.sparkSession
     counts = spark.sparkContext.broadcast(_counters(classes))
-    rows = classes.select("cid", "n", "sketch").mapInArrow(_indexer(options, counts), "value long, cid long, need int")
+    rows = classes.select("cid", "n", "sketch").mapInArrow(_indexer(options, counts), "value long, cid long, n long")
     rows = stored(rows, "index")
-    shared = rows.groupBy("value").agg(F.min("cid").alias("leader"), F.max("cid").alias("last")).filter("leader < last")
-    return stored(rows.join(shared.select("value", "leader"), "value"), "index")
+    masks = [0] + [int.from_bytes(hashlib.md5(bytes([i])).digest()[:7], "big") for i in range(1, options.leaders)]
+    leader = [F.min(F.col("cid").bitwiseXOR(F.lit(m).cast("long"))).bitwiseXOR(F.lit(m).cast("long")) for m in masks]
+    lists = rows.groupBy("value").agg(
+        F.max("cid").alias("last"), F.min("cid").alias("first"), F.array_distinct(F.array(*leader)).alias("leaders")
+    )
+    lists = stored(lists.filter("first < last").select("value", "leaders"), "lists")
+    return stored(rows.join(lists, "value"), "index")
+
+
+def _need(options: MinHash):
+    return F.when(F.col("n") * 100 <= options.k * options.percent, 1).otherwise(options.common)
 
 
 def _enough(pairs: DataFrame) -> DataFrame:
@@ -160,32 +171,41 @@ def _enough(pairs: DataFrame) -> DataFrame:
     )
 
 
-def _leader_pairs(index: DataFrame) -> DataFrame:
-    """Every class with the first class of each of its lists: as many rows as the lists have."""
-    rows = index.filter("cid != leader")
-    return _enough(rows.select(F.col("leader").alias("a"), F.col("cid").alias("b"), "need"))
+def _leader_pairs(index: DataFrame, options: MinHash) -> DataFrame:
+    """Every class with the leaders of each of its lists: a bounded number for each row of the lists."""
+    rows = index.select("cid", "leaders", _need(options).alias("need"), F.explode("leaders").alias("leader"))
+    rows = rows.filter((F.col("cid") < F.col("leader")) | ~F.array_contains("leaders", F.col("cid")))
+    return _enough(rows.select(F.least("leader", "cid").alias("a"), F.greatest("leader", "cid").alias("b"), "need"))
 
 
-def _pairs_between(index: DataFrame, components: DataFrame) -> DataFrame:
-    """Pairs that share enough values and are not yet in one component.
+def _pairs_between(index: DataFrame, components: DataFrame, tried: DataFrame, options: MinHash) -> DataFrame:
+    """Pairs that share enough values, are not yet in one component and not in ``tried``.
 
     In each list only the classes outside of its largest component look for partners, so
-    a list of copies that are already joined costs nothing.
+    a list of copies that are already joined costs nothing. Sizes too unlike cannot reach the threshold.
     """
-    found = index.select("value", "cid", "need").join(
+    found = index.select("value", "cid", "n", _need(options).alias("need")).join(
         components.select(F.col("node").alias("cid"), "component"), "cid", "left"
     ).withColumn("component", F.coalesce("component", "cid"))
-    mixed = found.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
-    found = stored(found.join(mixed.select("value"), "value", "left_semi"), "mixed")
-    sizes = found.groupBy("value", "component").count()
-    main = sizes.groupBy("value").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-    found = found.join(main, "value")
-    few = found.filter("component != main").select("value", F.col("cid").alias("a"), F.col("component").alias("ca"), F.col("need").alias("na"))
-    every = found.select("value", F.col("cid").alias("b"), F.col("component").alias("cb"), F.col("need").alias("nb"), "main")
-    pairs = few.join(every, "value").filter((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))))
-    return _enough(
-        pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("na", "nb").alias("need"))
+    found = stored(found, "members")
+    sizes = found.groupBy("value", "component").agg(F.count("*").alias("members"))
+    lists = sizes.groupBy("value").agg(F.max(F.struct("members", "component")).alias("top"), F.count("*").alias("parts"))
+    lists = stored(lists.filter("parts > 1").select("value", F.col("top.component").alias("main")), "lists")
+    found = stored(found.join(lists, "value"), "mixed")
+    few = found.filter("component != main").select(
+        "value", F.col("cid").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("need").alias("need_a")
+    )
+    every = found.select(
+        "value", F.col("cid").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("need").alias("need_b"), "main"
+    )
+    alike = 100 * F.least("na", "nb") >= options.percent * F.greatest("na", "nb")
+    pairs = few.join(every, "value").filter(
+        alike & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b")))
+    )
+    pairs = _enough(
+        pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("need_a", "need_b").alias("need"))
     )
+    return pairs.join(tried, ["a", "b"], "left_anti")
 
 
 # ---------------------------------------------------------------- estimate and proof
@@ -208,9 +228,11 @@ def _thin(pairs: DataFrame, classes: DataFrame, options: MinHash) -> DataFrame:
             ]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    left = classes.select(F.col("cid").alias("a"), F.col("sketch").alias("sa"))
-    right = classes.select(F.col("cid").alias("b"), F.col("sketch").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    left = classes.select(F.col("cid").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na"))
+    right = classes.select(F.col("cid").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
+    both = pairs.join(left, "a").join(right, "b")
+    both = both.filter(100 * F.least("na", "nb") >= options.percent * F.greatest("na", "nb"))
+    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def _set_maker(words: int):
@@ -244,7 +266,7 @@ def _proven(pairs: DataFrame, classes: DataFrame, texts: DataFrame, options: Min
     A bounded Bloom bitmap of the documents in question keeps other texts out of the exchange.
     """
     pairs = stored(_thin(pairs, classes, options), "pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    asked = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
     asked = stored(asked.join(classes, "cid").select("cid", F.col("doc_id").alias("doc"), "set_key"), "asked")
     bits = bloom_bits(asked.count())
     bitmap = stored(member_bitmap(asked, F.col("doc"), _SEEDS, bits), "bloom")
@@ -268,7 +290,7 @@ def near_duplicates(
     and are compared once. A null id is kept only where its component has no other id. An
     empty table gives an empty result; other columns are not read.
 
-    First every class is compared with the first class of each of its inverted lists, then
+    First every class is compared with a few leaders of each of its inverted lists, then
     pairs across the components found so far; so large groups of copies cost a comparison
     per member, and no pair of different components that share enough values is left out.
     """
@@ -279,9 +301,10 @@ def near_duplicates(
     )
     classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     index = _index(classes, options)
-    links = _proven(_leader_pairs(index), classes, texts, options)
+    first = stored(_leader_pairs(index, options), "first")
+    links = _proven(first, classes, texts, options)
     components = connected_components(links)
-    more = _proven(_pairs_between(index, components), classes, texts, options)
+    more = _proven(_pairs_between(index, components, first, options), classes, texts, options)
     if not more.isEmpty():
         # What is known moves on as links to the components, not as all links.
         known = components.select(F.col("node").alias("a"), F.col("component").alias("b"))
