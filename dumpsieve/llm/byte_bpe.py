@@ -29,7 +29,8 @@ _ID_BITS = 17  # of a pair's parts in the rank map
 _PLACE_AT, _RANK_AT = 20, 40  # bits of a token in the fold's state: id, place, rank
 NEVER = 1 << 20
 _LONG_WORD = 256  # bytes, beyond which merges use a heap instead of a fold
-_WORDS_HELD = 400_000
+_WORDS_HELD = 200_000
+_BLOCK_CHARS = 1 << 20
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
@@ -285,7 +286,7 @@ def _blocker(shared, native: bool):
         piece_codes: dict[str, int] = {}
         word_codes: dict[str, int] = {}
         fresh = True
-        for part in text_chunks(batches):
+        for part in text_chunks(batches, size=_BLOCK_CHARS):
             if len(piece_codes) > _WORDS_HELD:
                 piece_codes, word_codes, fresh = {}, {}, True
             counts, flat = _pieces([t or "" for t in part.column("text").to_pylist()])
@@ -378,7 +379,7 @@ def _assembler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def encode_documents(
-    docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", native: bool = True
+    docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", native: bool = False
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, ids, decoded (the bytes that the ids stand for).
 
@@ -386,6 +387,7 @@ def encode_documents(
     the empty text, with no ids. Repeated rows give repeated results, a null id stays null; an
     empty table gives an empty result; other columns are not read. ``native`` folds merges
     with higher-order functions in the JVM, else the same steps are taken for a batch of words at once.
+    Decoding is a higher-order function either way.
     """
     spark = docs.sparkSession
     file = RankFile.read(ranks, pattern)

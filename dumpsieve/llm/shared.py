@@ -79,14 +79,16 @@ def member_bitmap(keys: DataFrame, key: Column, seeds: tuple[int, ...], bits: in
 # ---------------------------------------------------------------- texts in batches
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+def text_chunks(
+    batches: Iterator[pa.RecordBatch], column: str = "text", size: int = CHUNK_CHARS
+) -> Iterator[pa.RecordBatch]:
     """The batches cut so that one chunk holds few texts or few MiB of text; a text is never cut."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         begin = 0
         while begin < batch.num_rows:
             ends = np.cumsum(sizes[begin:])
-            rows = max(1, int(np.searchsorted(ends, CHUNK_CHARS, "right")))
+            rows = max(1, int(np.searchsorted(ends, size, "right")))
             yield batch.slice(begin, rows)
             begin += rows
 
