@@ -28,8 +28,9 @@ from dumpsieve.operators.predicates import field_present, file_name_filter, filt
 from dumpsieve.operators.value_list import value_list_source
 from dumpsieve.plans.csv_run import csv_lines, csv_projection, run_csv, write_by_letter
 from dumpsieve.plans.filter_run import filter_dump, filter_files, run_filter
-from dumpsieve.sources.listing import dump_kind, list_input_files
+from dumpsieve.sources.listing import NoInputError, dump_kind, list_input_files
 from dumpsieve.sources.scan import ingest, only_lines, read_staged, scan_dump_lines, shared_folder
+from dumpsieve.sources.zst import open_fs
 from dumpsieve.specs import CsvSpec, FilterSpec
 from dumpsieve.streaming.incremental import stream_filter
 
@@ -585,6 +586,56 @@ def csv_of_dump(spark, sf_dir):
     return csv_projection(spark, fx.dump(spark, sf_dir))
 
 
+_STARTS = "SELECT DISTINCT replace(left(split_part(text, chr(10), 1), 30), '.', '[.]') AS item FROM {benchmark}"
+_START = _STARTS.format(benchmark="benchmark").replace("replace(", "(").replace(", '.', '[.]')", ")")
+
+
+def _starts(spark, sf_dir, sql) -> str:
+    path = shared_folder(spark, "starts")
+    spark.sql(sql.replace("FROM benchmark", "FROM {benchmark}"), benchmark=fx.table(spark, sf_dir, "benchmark")).where("item <> ''").write.text(path)
+    return path
+
+
+@query("filter_value_list_partial", _matching(f"EXISTS (SELECT 1 FROM ({_START}) WHERE item <> '' AND contains(lower(text), lower(item)))"))
+def filter_value_list_partial(spark, sf_dir):
+    # The beginnings of the benchmark's items, anywhere in a text.
+    path = _starts(spark, sf_dir, _START.replace("split_part(text, chr(10), 1)", "split_part(text, '\n', 1)"))
+    spec = FilterSpec("selftext", value_list=path, partial=True)
+    return filter_lines(fx.submissions(spark, sf_dir), spec, value_list_source(spark, path)).select("doc_id", "value")
+
+
+@query("filter_value_list_regex", _matching(
+    f"EXISTS (SELECT 1 FROM ({_STARTS.format(benchmark='benchmark')}) WHERE item <> '' AND regexp_matches(text, item))"))
+def filter_value_list_regex(spark, sf_dir):
+    path = _starts(spark, sf_dir, _STARTS.replace("{benchmark}", "benchmark").replace("chr(10)", "'\n'"))
+    spec = FilterSpec("selftext", value_list=path, regex=True)
+    return filter_lines(fx.submissions(spark, sf_dir), spec, value_list_source(spark, path)).select("doc_id", "value")
+
+
+@query("parse_deep_lines", "SELECT doc_id, doc_id % 2 = 1 AS is_bad, text FROM documents")
+def parse_deep_lines(spark, sf_dir):
+    # A key that nobody reads nests to the limit, or one level beyond.
+    docs = fx.table(spark, sf_dir, "documents")
+    depth = F.when(F.col("doc_id") % 2 == 1, 10_000).otherwise(9_999)
+    line = F.concat(
+        F.lit('{"deep":'), F.repeat(F.lit("["), depth), F.repeat(F.lit("]"), depth), F.lit(","),
+        F.substring(F.to_json(F.struct(F.col("text").alias("read"))), 2, 1 << 30),
+    )
+    parsed = parse_ndjson(docs.select("doc_id", "text", line.alias("value")), ["read"])
+    return parsed.select("doc_id", "is_bad", "text")
+
+
+@query("parse_long_numbers", "SELECT doc_id, doc_id % 2 = 1 AS is_bad, CASE WHEN doc_id % 2 = 0 THEN text END AS text FROM documents")
+def parse_long_numbers(spark, sf_dir):
+    # Thousands of digits are a number; where they stand for more than a double holds, the line is bad.
+    docs = fx.table(spark, sf_dir, "documents")
+    number = F.concat(F.when(F.col("doc_id") % 2 == 1, "").otherwise("0."), F.repeat(F.lit("7"), F.lit(3_000)))
+    line = F.concat(F.lit('{"long":'), number, F.lit(","), F.substring(F.to_json(F.struct(F.col("text").alias("read"))), 2, 1 << 30))
+    parsed = parse_ndjson(docs.select("doc_id", line.alias("value")), ["read"])
+    read = F.when(~F.col("is_bad"), F.col("read").cast("string"))
+    return parsed.select("doc_id", "is_bad", read.alias("text"))
+
+
 # ---------------------------------------------------------------- incremental runs
 
 
@@ -649,3 +700,53 @@ def filter_stream(spark, sf_dir):
     output, checkpoint = shared_folder(spark, "stream"), shared_folder(spark, "stream-state")
     stream_filter(spark, fx.dump(spark, sf_dir), output, SPEC, checkpoint, max_files=2).awaitTermination()
     return _output_lines(spark, output)
+
+
+@query("rerun_after_change", _matching("lower(source) = 'src1'"))
+def rerun_after_change(spark, sf_dir):
+    # Other settings in between replace the output, so the first settings run again.
+    output, root = shared_folder(spark, "changed"), fx.dump(spark, sf_dir)
+    exact = FilterSpec("subreddit", "src1", file_filter="^RS_")
+    for spec in (exact, FilterSpec("subreddit", "src1", partial=True, file_filter="^RS_"), exact):
+        run_filter(spark, root, output, spec)
+    return _output_lines(spark, output)
+
+
+@query("no_new_files", _MATCHED_FILES.replace("AS total_lines", "AS total_lines, CAST(0 AS BIGINT) AS again"))
+def no_new_files(spark, sf_dir):
+    output = shared_folder(spark, "again")
+    run_filter(spark, fx.dump(spark, sf_dir), output, SPEC)
+    again = run_filter(spark, fx.dump(spark, sf_dir), output, SPEC).new_files
+    return _by_lang(read_manifest(spark, output)).withColumn("again", F.lit(again).cast("bigint"))
+
+
+@query("no_input_error", "SELECT count(*) AS lines, true AS refused FROM documents")
+def no_input_error(spark, sf_dir):
+    # The dump holds lines, but no file whose name the pattern meets.
+    root, refused = fx.dump(spark, sf_dir), False
+    try:
+        run_filter(spark, root, shared_folder(spark, "none"), FilterSpec("author", "x", file_filter="^nothing"))
+    except NoInputError:
+        refused = True
+    return only_lines(scan_dump_lines(spark, root, "^RS_")).agg(F.count("*").alias("lines")).withColumn("refused", F.lit(refused))
+
+
+@query("file_failure_policy", _matching("lower(source) = 'src7' AND lang <> 'es'"))
+def file_failure_policy(spark, sf_dir):
+    # The files of one language end in the middle: nothing of them is published.
+    damaged, output = shared_folder(spark, "damaged"), shared_folder(spark, "published")
+    files = list_input_files(spark, fx.dump(spark, sf_dir), "^RS_").select("file", "path", "length")
+
+    def copy(row) -> None:
+        source, name = open_fs(row.path)
+        target, folder = open_fs(damaged)
+        target.create_dir(f"{folder}/{row.file}".rsplit("/", 1)[0], recursive=True)
+        left = row.length // 2 if "RS_es" in row.file else row.length
+        with source.open_input_file(name) as read, target.open_output_stream(f"{folder}/{row.file}", compression=None) as write:
+            while left and (data := read.read(min(left, 1 << 20))):
+                write.write(data)
+                left -= len(data)
+
+    files.foreach(copy)
+    run_filter(spark, damaged, output, SPEC)
+    return _output_lines(spark, output)

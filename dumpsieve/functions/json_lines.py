@@ -20,9 +20,14 @@ from pyspark.sql import functions as F
 
 END_MARK = "_end"
 
-_OPTIONS = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+# Depth of JSON, with one more level for the array that frames a line; numbers as long as a line may be.
+MAX_DEPTH = 10_000
+_OPTIONS = {
+    "allowSingleQuotes": "false", "allowNonNumericNumbers": "false",
+    "maxNestingDepth": str(MAX_DEPTH + 1), "maxNumLen": "20000000",
+}
 _NULL_RECORD = r"^[ \t\r\n]*+null[ \t\r\n]*+\z"
-_HUGE_NUMBER = r"[0-9][eE]\+?[0-9]{3}|[0-9]{309}"
+_HUGE_NUMBER = r"[0-9][eE]\+?[0-9]{3}|[0-9]{309}|[0-9]{200}[0-9.]*+[eE]\+?[0-9]{2}"
 _NUMBER = r"-?[0-9][0-9.]*+(?:[eE][+-]?[0-9]++)?"
 _LONE_HIGH = r"\\u[dD][89abAB][0-9a-fA-F]{2}(?!\\u[dD][c-fC-F][0-9a-fA-F]{2})"
 _LONE_LOW = r"(?<!\\u[dD][89abAB][0-9a-fA-F]{2})\\u[dD][c-fC-F][0-9a-fA-F]{2}"
@@ -55,16 +60,15 @@ def _overflows(v: Column) -> Column:
 
 
 def parse_ndjson(
-    lines: DataFrame, keys: list[str], value: str = "value", all_numbers: bool = False
+    lines: DataFrame, keys: list[str], value: str = "value", all_numbers: bool = True
 ) -> DataFrame:
     """Add one VARIANT column per key and the flag ``is_bad``.
 
     An absent key is SQL NULL, a JSON null is a variant of type VOID.  Blank lines
     (empty ``value``) and null values are neither good nor bad: ``is_bad`` is NULL.
 
-    Numbers too large for a double are looked for in the keys that are read;
-    ``all_numbers`` looks for them in the whole line, which takes longer than
-    decoding it.
+    Numbers too large for a double make a line bad wherever they stand; without
+    ``all_numbers`` they are looked for in the keys that are read only.
     """
     line = F.col(value)
     mark = F.xxhash64(line).cast("string")

@@ -33,9 +33,9 @@ def check_re2(pattern: str) -> None:
     try:
         pc.match_substring_regex(pa.array([""]), pattern)
     except pa.ArrowInvalid as err:
-        raise ValueError(f"invalid regex pattern {pattern!r}: {err}") from err
+        raise ValueError(f"{pattern!r} is no RE2 pattern: {err}") from err
     if re.search(r"(?<!\\)(?:\\\\)*\\C", pattern):
-        raise ValueError(f"invalid regex pattern {pattern!r}: \\C is not supported")
+        raise ValueError(f"{pattern!r} asks for \\C, which is left out")
 
 
 def java_equivalent(pattern: str) -> str | None:

@@ -15,8 +15,11 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.sql import Column
+import ahocorasick
+import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The characters outside ASCII that fold to an ASCII letter, and
 # the one whose simple lower case is ASCII but whose full lower case is not.
@@ -101,9 +104,26 @@ def contains_lower(x: Column, needle: str) -> Column:
 
 
 def contains_any_lower(x: Column, needles: list[str]) -> Column:
-    """Lower-cased ``x`` contains at least one of the lower-cased needles."""
-    lows = F.lit([lower_literal(n) for n in needles])
-    return F.exists(lows, lambda n: F.contains(lower_simple(x), n))
+    """Lower-cased ``x`` contains at least one of the lower-cased needles.
+
+    ``x`` is lower-cased once; one automaton looks for all needles in one pass over the text.
+    """
+    lows = sorted({lower_literal(n) for n in needles})
+    shared = SparkSession.getActiveSession().sparkContext.broadcast(lows)
+    held: list[ahocorasick.Automaton] = []
+
+    def search(texts: pd.Series) -> pd.Series:
+        if not held:
+            automaton = ahocorasick.Automaton()
+            for low in shared.value:
+                automaton.add_word(low, True)
+            automaton.make_automaton()
+            held.append(automaton)
+        if not len(held[0]):
+            return pd.Series([None if t is None else False for t in texts], dtype=object)
+        return pd.Series([None if t is None else next(held[0].iter(t), None) is not None for t in texts], dtype=object)
+
+    return F.pandas_udf(search, T.BooleanType())(lower_simple(x))
 
 
 # ---------------------------------------------------------------- names

@@ -24,6 +24,7 @@ def read_manifest(spark: SparkSession, output: str) -> DataFrame | None:
 
 
 def skip_processed(files: DataFrame, manifest: DataFrame, config_hash: str) -> DataFrame:
-    """The files not yet finished under the same settings; failed ones are tried again."""
-    done = manifest.where((F.col("hashed_config") == config_hash) & F.col("failure").isNull())
-    return files.join(done.select("file").distinct(), "file", "left_anti")
+    """The files whose latest finished run had other settings, or that no run has finished."""
+    order = F.struct("processed_at", "run_id")
+    latest = manifest.where(F.col("failure").isNull()).groupBy("file").agg(F.max_by("hashed_config", order).alias("latest"))
+    return files.join(latest.where(F.col("latest") == config_hash).select("file"), "file", "left_anti")

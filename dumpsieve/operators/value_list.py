@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,7 @@ from dumpsieve.sources.zst import open_fs
 from dumpsieve.specs import FilterSpec
 
 BROADCAST_BYTES = 64 << 20  # a list file up to this size goes to every task
-PATTERN_LIST_BYTES = 1 << 20
+PATTERN_BYTES = 32 << 10  # of the values that one pattern joins
 SALTS = 64
 
 
@@ -38,34 +39,42 @@ def value_list_source(spark: SparkSession, path: str) -> ValueList:
     fs, name = open_fs(path)
     info = fs.get_file_info(name)
     if info.type == pafs.FileType.NotFound:
-        raise ValueError(f"value list {path} does not exist")
+        raise ValueError(f"there is no value list at {path}")
     files = [info] if info.type == pafs.FileType.File else fs.get_file_info(pafs.FileSelector(name, recursive=True))
     size = sum(f.size for f in files if f.type == pafs.FileType.File)
     if size == 0:
-        raise ValueError(f"value list {path} is empty")
+        raise ValueError(f"the value list at {path} holds nothing")
     text = spark.read.option("lineSep", "\n").text(path)
     item = F.regexp_replace("value", r"\r\z", "")
     return ValueList(text.select(item.alias("item")).where("item <> ''").distinct(), size)
 
 
 def _texts(values: ValueList) -> list[str]:
-    if values.size_bytes > PATTERN_LIST_BYTES:
-        raise ValueError(
-            f"a list of {values.size_bytes} bytes is too long for partial or regex matching; "
-            f"split it into lists of at most {PATTERN_LIST_BYTES} bytes"
-        )
-    return sorted(r.item for r in values.items.collect())
+    return sorted(r.item for r in values.items.toLocalIterator())
+
+
+def _joined(patterns: list[str]) -> list[str]:
+    """Alternatives of bounded length that match what any of the patterns does."""
+    out, size = [[]], 0
+    for pattern in patterns:
+        if out[-1] and size + len(pattern) > PATTERN_BYTES:
+            out.append([])
+            size = 0
+        out[-1].append(f"(?:{pattern})")
+        size += len(pattern)
+    return ["|".join(group) for group in out if group]
 
 
 def flag_listed(parsed: DataFrame, x: Column, values: ValueList, spec: FilterSpec) -> DataFrame:
-    """Add ``matched``: the string ``x`` matches some value of the list."""
+    """Add ``matched``: the string ``x`` matches some value of the list; an empty list matches nothing."""
     if spec.partial:
         return parsed.withColumn("matched", contains_any_lower(x, _texts(values)))
     if spec.regex:
         patterns = _texts(values)
         for pattern in patterns:
             check_re2(pattern)
-        return parsed.withColumn("matched", re2_search(x, "|".join(f"(?:{p})" for p in patterns)))
+        found = [re2_search(x, joined) for joined in _joined(patterns)]
+        return parsed.withColumn("matched", reduce(lambda a, b: a | b, found, F.lit(False)))
     return _flag_equal(parsed, x, values)
 
 

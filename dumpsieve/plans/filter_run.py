@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from dataclasses import dataclass
 
@@ -64,6 +65,12 @@ def filter_dump(spark: SparkSession, path: str, spec: FilterSpec, split_bytes: i
     return drop_failed_files(stage(found, folder + "/found"))
 
 
+def check_output(output: str) -> None:
+    """Outputs replace files of the same name, so the root of a file system is refused."""
+    if not re.sub(r"^[a-z0-9+.-]+:(//[^/]*)?", "", output).strip("/"):
+        raise ValueError(f"the output must be a folder below the root, not {output!r}")
+
+
 def run_filter(
     spark: SparkSession, path: str, output: str, spec: FilterSpec, split_bytes: int = SPLIT_BYTES
 ) -> FilterReport:
@@ -71,7 +78,7 @@ def run_filter(
     files = list_input_files(spark, path, spec.file_filter)
     report = filter_files(spark, files, output, spec, split_bytes)
     if not report.new_files + report.skipped_files:
-        raise NoInputError("no input files found")
+        raise NoInputError("there is no dump file to filter")
     return report
 
 
@@ -84,6 +91,7 @@ def filter_files(
     without an exchange.  Only where a file is one huge frame, which one task has to
     decode, are the lines staged for many tasks to test.
     """
+    check_output(output)
     values = _values(spark, spec)
     hashed = spec.config_hash("" if values is None else values.digest())
     listed = todo = collect_files(files)

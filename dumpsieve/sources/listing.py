@@ -41,13 +41,13 @@ def _infos(uri: str) -> tuple[str, list[tuple[str, str, pafs.FileInfo]]]:
     scheme = uri[: len(uri.rstrip("/")) - len(root)] if "://" in uri else ""
     info = fs.get_file_info(root)
     if info.type == pafs.FileType.NotFound:
-        raise NoInputError(f"accessing input: {uri} does not exist")
+        raise NoInputError(f"nothing to read at {uri}")
     if info.type == pafs.FileType.File:
         name = info.base_name
         if not name.endswith(EXTENSION):
-            raise NoInputError(f"not a {EXTENSION} file: {uri}")
+            raise NoInputError(f"{uri} is a single file without the extension {EXTENSION}")
         if not name.startswith((SUBMISSION_PREFIX, COMMENT_PREFIX)):
-            raise NoInputError(f"file must start with {COMMENT_PREFIX} or {SUBMISSION_PREFIX}: {uri}")
+            raise NoInputError(f"the name of a single file begins with {SUBMISSION_PREFIX} or {COMMENT_PREFIX}, unlike {uri}")
         return scheme, [(name, info.path, info)]
     found = fs.get_file_info(pafs.FileSelector(root, recursive=True))
     return scheme, [

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,16 +18,17 @@ from dumpsieve.sources.listing import DumpFile, NoInputError, collect_files, lis
 from dumpsieve.sources.zst import END, LINE_SCHEMA, SPLIT_SCHEMA, open_fs, plan_splits, read_splits
 
 SPLIT_BYTES = 128 << 20  # compressed
-_MAX_TASKS = 100_000  # beyond, splits grow instead
 _MAX_WALKS = 10_000
 _UNEVEN = 8
 _STAGE_ROWS_PER_FILE = 20_000_000
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the one the cluster shares; a local one where none is set."""
+    """A fresh folder below the one the cluster shares; a local one where all runs on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = os.path.join(tempfile.gettempdir(), "dumpsieve")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -64,9 +66,8 @@ def plan_scan(
     row for every ``split_bytes``, never a line.
     """
     if not files:
-        raise NoInputError("no input files found")
+        raise NoInputError("there is no dump file to read")
     total = sum(f.length for f in files)
-    split_bytes = max(split_bytes, total // _MAX_TASKS)
     bin_bytes = max(1, min(split_bytes, total // spark.sparkContext.defaultParallelism))
     rows, base, large = [], 0, 0
     for f in files:

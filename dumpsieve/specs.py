@@ -34,13 +34,13 @@ class FilterSpec:
 
     def __post_init__(self):
         if self.field not in FILTER_FIELDS:
-            raise ValueError(f"invalid field name: {self.field!r}")
+            raise ValueError(f"{self.field!r} is none of the fields that lines can be filtered on: {', '.join(FILTER_FIELDS)}")
         if not self.value and self.value_list is None:
-            raise ValueError("either value or value_list must be set")
+            raise ValueError("nothing to match: give a value or a value_list")
         if self.value and self.value_list is not None:
-            raise ValueError("value and value_list cannot be combined")
+            raise ValueError("give a value or a value_list, one of them only")
         if self.regex and self.partial:
-            raise ValueError("cannot use both regex and partial matching")
+            raise ValueError("a value is a pattern (regex) or a part (partial), one of them only")
         if self.error_rate is not None and not 0 <= self.error_rate <= 100:
             raise ValueError("error_rate must be between 0 and 100")
         if self.regex and self.value:
@@ -52,11 +52,13 @@ class FilterSpec:
         return "regex" if self.regex else "partial" if self.partial else "exact"
 
     def config_hash(self, list_digest: str = "") -> str:
-        """Identifies the settings that decide which lines are kept."""
+        """Identifies the settings that decide which lines are kept, and where."""
         flags = [str(flag).lower() for flag in (self.regex, self.partial)]
         parts = [self.field, self.value, *flags, self.file_filter]
         if list_digest:
             parts.append(list_digest)
+        if self.split_by_letter:
+            parts.append("letters")
         return hashlib.sha256(":".join(parts).encode()).hexdigest()
 
 

@@ -46,8 +46,15 @@ def test_types_and_presence(spark):
 
 def test_numbers_out_of_range(spark):
     lines = ['{"a":1e400}', '{"b":-1e400}', '{"b":[1,{"c":2E+999}]}', '{"b":' + "9" * 400 + "}", '{"b":1e-400}', '{"s":"1e400"}']
-    assert [r.is_bad for r in parsed(spark, lines, ["a"]).collect()] == [True, False, False, False, False, False]
-    assert [r.is_bad for r in parsed(spark, lines, ["a"], all_numbers=True).collect()] == [True] * 4 + [False] * 2
+    assert [r.is_bad for r in parsed(spark, lines, ["a"], all_numbers=False).collect()] == [True] + [False] * 5
+    assert [r.is_bad for r in parsed(spark, lines, ["a"]).collect()] == [True] * 4 + [False] * 2
+    assert [r.is_bad for r in parsed(spark, ['{"b":' + "7" * 250 + "e99}"], ["a"]).collect()] == [True]
+
+
+def test_deep_and_long_values(spark):
+    lines = ['{"a":"x","b":%s%s}' % ("[" * d, "]" * d) for d in (2000, 9999, 10000)] + ['{"a":"x","b":0.%s}' % ("1" * 5000)]
+    got = parsed(spark, lines, ["a"]).collect()
+    assert [r.is_bad for r in got] == [False, False, True, False]
 
 
 def test_surrogate_escapes(spark):

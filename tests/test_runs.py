@@ -135,13 +135,36 @@ def test_value_list(spark, dump, tmp_path, monkeypatch, limit):
         assert filter_dump(spark, root, spec).count() == n
 
 
-def test_long_lists_are_refused_for_patterns(spark, tmp_path, monkeypatch):
-    path = tmp_path / "values.txt"
-    path.write_text("abc\n")
-    monkeypatch.setattr(lists, "PATTERN_LIST_BYTES", 1)
-    table = spark.createDataFrame([('{"author":"x"}',)], "value string")
-    with pytest.raises(ValueError, match="too long"):
-        tag_matches(table, FilterSpec("author", value_list=str(path), partial=True), lists.value_list_source(spark, str(path)))
+def test_long_and_blank_lists_of_patterns(spark, tmp_path):
+    table = spark.createDataFrame([('{"author":"xABCy"}',), ('{"author":"q"}',)], "value string")
+
+    def matched(text, **flags):
+        path = tmp_path / "values.txt"
+        path.write_text(text)
+        tagged = tag_matches(table, FilterSpec("author", value_list=str(path), **flags), lists.value_list_source(spark, str(path)))
+        return [r.matched for r in tagged.collect()]
+
+    long = "".join(f"value{i:06d}\n" for i in range(100_000))  # above 1 MiB
+    assert matched(long + "abc\n", partial=True) == [True, False]
+    assert matched("".join(f"v{i:05d}\n" for i in range(12_000)) + "A.C\n", regex=True) == [True, False]
+    for flags in (dict(partial=True), dict(regex=True), {}):
+        assert not any(matched("\n\n", **flags))
+
+
+def test_the_latest_run_decides(spark, dump, tmp_path):
+    root, output = dump({"RS_a.zst": frame(b'{"author":"ab"}\n{"author":"xaby"}\n')}), str(tmp_path / "out")
+    exact, partial = FilterSpec("author", "ab"), FilterSpec("author", "ab", partial=True)
+    for spec, lines in ((exact, 1), (partial, 2), (exact, 1)):
+        assert run_filter(spark, root, output, spec).new_files == 1
+        assert read_zst(f"{output}/RS_a_ab.zst").count(b"\n") == lines
+    assert run_filter(spark, root, output, exact).new_files == 0
+    assert run_filter(spark, root, output, FilterSpec("author", "ab", split_by_letter=True)).new_files == 1
+    for bad in ("/", "file:///", "//"):
+        with pytest.raises(ValueError):
+            run_filter(spark, root, bad, exact)
+
+
+def test_missing_and_empty_lists(spark, tmp_path):
     (tmp_path / "empty.txt").write_text("")
     for bad in ("empty.txt", "missing.txt"):
         with pytest.raises(ValueError):
