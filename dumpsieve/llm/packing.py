@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 from dumpsieve.llm.shared import spread, stored, text_chunks, words_of
 
-_CACHED_WORDS = 1_000_000
+_CACHED_WORDS = 500_000
 
 
 @dataclass(frozen=True)
