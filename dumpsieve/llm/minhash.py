@@ -23,6 +23,7 @@ from dumpsieve.llm.shared import bloom_bits, member_bitmap, passes_bloom, spread
 
 _COUNTERS = 1 << 20  # of the table that orders values by how common they are: 4 MiB, fixed
 _SEEDS = (31, 32)
+_PARITIES = ("p0", "p1", "p2", "p3")
 
 
 @dataclass(frozen=True)
@@ -178,34 +179,92 @@ def _leader_pairs(index: DataFrame, options: MinHash) -> DataFrame:
     return _enough(rows.select(F.least("leader", "cid").alias("a"), F.greatest("leader", "cid").alias("b"), "need"))
 
 
-def _pairs_between(index: DataFrame, components: DataFrame, tried: DataFrame, options: MinHash) -> DataFrame:
-    """Pairs that share enough values, are not yet in one component and not in ``tried``.
+def _unsettled(index: DataFrame, components: DataFrame, classes: DataFrame, options: MinHash) -> DataFrame:
+    """The classes that share enough values with classes of other components: cid, doc, set_key, component.
 
-    In each list only the classes outside of its largest component look for partners, so
-    a list of copies that are already joined costs nothing. Sizes too unlike cannot reach the threshold.
+    Sets of at most ``k`` shingles may have a partner that is indexed by fewer values: one shared value will do.
     """
-    found = index.select("value", "cid", "n", _need(options).alias("need")).join(
+    need = F.when(F.col("n") <= options.k, 1).otherwise(options.common)
+    found = index.select("value", "cid", need.alias("need")).join(
         components.select(F.col("node").alias("cid"), "component"), "cid", "left"
     ).withColumn("component", F.coalesce("component", "cid"))
     found = stored(found, "members")
-    sizes = found.groupBy("value", "component").agg(F.count("*").alias("members"))
+    lists = found.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    lists = stored(lists.filter("low < high").select("value"), "lists")
+    some = found.join(lists, "value").groupBy("cid").agg(
+        F.count("*").alias("shared"), F.min("need").alias("need"), F.min("component").alias("component")
+    ).filter("shared >= need").select("cid", "component")
+    return stored(some.join(classes, "cid").select("cid", F.col("doc_id").alias("doc"), "set_key", "component"), "asked")
+
+
+def _bucket_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        flat = np.frombuffer(b"".join(batch.column("members").to_pylist()), np.uint64)
+        bucket, n = np.unique(flat % np.uint64(_COUNTERS), return_counts=True)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(bucket.astype(np.int32)), pa.array(n.astype(np.int64))], names=["bucket", "n"]
+        )
+
+
+def _prefixer(percent: int, counts):
+    """Rows of each set's rarest shingles, with their place and the parities of the set's hashes in 256 buckets."""
+    names = ["value", "cid", "component", "n", "place", *_PARITIES]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cid, component, members in zip(*(batch.column(c).to_pylist() for c in ("cid", "component", "members"))):
+                values = np.frombuffer(members, np.uint64)
+                n = len(values)
+                common = counts.value[values % np.uint64(_COUNTERS)]
+                order = np.lexsort((values, common))[: n + (-n * percent // 100) + 1]
+                place = np.flatnonzero(common[order] > 1)  # a counter of 1: no other set has the value
+                odd = np.bincount((values >> np.uint64(40)).astype(np.int64) & 255, minlength=256) & 1
+                parities = np.packbits(odd.astype(np.uint8)).view(np.int64)
+                fixed = [cid, component, n]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(values[order[place]].view(np.int64))]
+                    + [pa.array(np.full(len(place), x, np.int64)) for x in fixed]
+                    + [pa.array(place.astype(np.int64))]
+                    + [pa.array(np.full(len(place), x, np.int64)) for x in parities],
+                    names=names,
+                )
+
+    return run
+
+
+def _pairs_between(sets: DataFrame, options: MinHash) -> DataFrame:
+    """Pairs of different components that can reach the threshold, by the rarest shingles of their full sets.
+
+    Members of a group of near copies share most retained values, so their lists would give all pairs of the group. In
+    an order that all sets share, rarest first, two sets at the threshold have their first common shingle so early that
+    enough are left behind it in both. A pair is kept only where a common shingle stands early enough, and where the
+    buckets whose parities differ (at most as many as shingles that one set lacks) allow the threshold. Both bounds are
+    exact. In each list only sets outside of its largest component look for partners.
+    """
+    spark = sets.sparkSession
+    found = sets.mapInArrow(_bucket_counter, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(_COUNTERS, np.int64)
+    counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    schema = "value long, cid long, component long, n long, place long, " + ", ".join(f"{p} long" for p in _PARITIES)
+    rows = stored(sets.mapInArrow(_prefixer(options.percent, spark.sparkContext.broadcast(counts)), schema), "prefixes")
+    sizes = rows.groupBy("value", "component").agg(F.count("*").alias("members"))
     lists = sizes.groupBy("value").agg(F.max(F.struct("members", "component")).alias("top"), F.count("*").alias("parts"))
     lists = stored(lists.filter("parts > 1").select("value", F.col("top.component").alias("main")), "lists")
-    found = stored(found.join(lists, "value"), "mixed")
-    few = found.filter("component != main").select(
-        "value", F.col("cid").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("need").alias("need_a")
-    )
-    every = found.select(
-        "value", F.col("cid").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("need").alias("need_b"), "main"
-    )
-    alike = 100 * F.least("na", "nb") >= options.percent * F.greatest("na", "nb")
+    rows = stored(rows.join(lists, "value"), "mixed")
+    few = rows.filter("component != main").drop("main")
+    few = few.select("value", *(F.col(c).alias(f"{c}_a") for c in few.columns if c != "value"))
+    every = rows.select("value", "main", *(F.col(c).alias(f"{c}_b") for c in rows.columns if c not in ("value", "main")))
+    both = F.col("n_a") + F.col("n_b")
+    left = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    unlike = sum((F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in _PARITIES), F.lit(0))
+    percent, whole = options.percent, 100 + options.percent
     pairs = few.join(every, "value").filter(
-        alike & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b")))
+        (F.col("component_a") != F.col("component_b"))
+        & ((F.col("component_b") == F.col("main")) | (F.col("cid_a") < F.col("cid_b")))
+        & (left * whole >= both * percent)
+        & ((both - unlike) * whole >= both * (2 * percent))
     )
-    pairs = _enough(
-        pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("need_a", "need_b").alias("need"))
-    )
-    return pairs.join(tried, ["a", "b"], "left_anti")
+    return pairs.select(F.least("cid_a", "cid_b").alias("a"), F.greatest("cid_a", "cid_b").alias("b")).distinct()
 
 
 # ---------------------------------------------------------------- estimate and proof
@@ -241,12 +300,27 @@ def _set_maker(words: int):
             values, begin = shingle_sets(part.column("text"), words)
             sets = [values[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:])]
             same = [hashlib.md5(s).digest() == key for s, key in zip(sets, part.column("set_key").to_pylist())]
-            out = pa.RecordBatch.from_arrays([part.column("cid"), pa.array(sets, pa.binary())], names=["cid", "members"])
+            out = pa.RecordBatch.from_arrays(
+                [part.column("cid"), part.column("component"), pa.array(sets, pa.binary())], names=["cid", "component", "members"]
+            )
             yield out.filter(pa.array(same, pa.bool_()))
 
     return run
 
 
+def _sets(asked: DataFrame, texts: DataFrame, options: MinHash) -> DataFrame:
+    """cid, component and full sets of the documents in ``asked``.
+
+    A bounded Bloom bitmap of the documents in question keeps other texts out of the exchange.
+    """
+    bits = bloom_bits(asked.count())
+    bitmap = stored(member_bitmap(asked, F.col("doc"), _SEEDS, bits), "bloom")
+    some = passes_bloom(texts, F.col("doc_id"), bitmap, _SEEDS, bits).filter("maybe").drop("maybe")
+    some = some.join(asked, some.doc_id.eqNullSafe(asked.doc)).select("cid", "component", "set_key", "text")
+    made = some.mapInArrow(_set_maker(options.shingle), "cid long, component long, members binary")
+    return stored(made.dropDuplicates(["cid"]), "sets")
+
+
 def _prover(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,19 +334,8 @@ def _prover(percent: int):
     return run
 
 
-def _proven(pairs: DataFrame, classes: DataFrame, texts: DataFrame, options: MinHash) -> DataFrame:
-    """The pairs whose full sets reach the threshold.
-
-    A bounded Bloom bitmap of the documents in question keeps other texts out of the exchange.
-    """
-    pairs = stored(_thin(pairs, classes, options), "pairs")
-    asked = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
-    asked = stored(asked.join(classes, "cid").select("cid", F.col("doc_id").alias("doc"), "set_key"), "asked")
-    bits = bloom_bits(asked.count())
-    bitmap = stored(member_bitmap(asked, F.col("doc"), _SEEDS, bits), "bloom")
-    some = passes_bloom(texts, F.col("doc_id"), bitmap, _SEEDS, bits).filter("maybe").drop("maybe")
-    sets = some.join(asked, some.doc_id.eqNullSafe(asked.doc)).select("cid", "set_key", "text")
-    sets = stored(sets.mapInArrow(_set_maker(options.shingle), "cid long, members binary").dropDuplicates(["cid"]), "sets")
+def _proven(pairs: DataFrame, sets: DataFrame, options: MinHash) -> DataFrame:
+    """The pairs whose full sets reach the threshold."""
     left = sets.select(F.col("cid").alias("a"), F.col("members").alias("ma"))
     right = sets.select(F.col("cid").alias("b"), F.col("members").alias("mb"))
     found = pairs.join(left, "a").join(right, "b").select("a", "b", "ma", "mb").mapInArrow(_prover(options.percent), "a long, b long")
@@ -290,9 +353,9 @@ def near_duplicates(
     and are compared once. A null id is kept only where its component has no other id. An
     empty table gives an empty result; other columns are not read.
 
-    First every class is compared with a few leaders of each of its inverted lists, then
-    pairs across the components found so far; so large groups of copies cost a comparison
-    per member, and no pair of different components that share enough values is left out.
+    First every class is compared with a few leaders of each of its inverted lists. Classes whose lists
+    still hold other components then meet those by the rarest shingles of their full sets; so large groups
+    of copies cost a few comparisons per member, and no pair of different components is left out.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     drawn = stored(sketches(texts, options), "sketches")
@@ -301,10 +364,13 @@ def near_duplicates(
     )
     classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     index = _index(classes, options)
-    first = stored(_leader_pairs(index, options), "first")
-    links = _proven(first, classes, texts, options)
-    components = connected_components(links)
-    more = _proven(_pairs_between(index, components, first, options), classes, texts, options)
+    first = stored(_thin(_leader_pairs(index, options), classes, options), "pairs")
+    asked = first.select(F.col("a").alias("cid")).union(first.select(F.col("b").alias("cid"))).distinct().join(classes, "cid")
+    asked = stored(asked.select("cid", F.col("doc_id").alias("doc"), "set_key", F.col("cid").alias("component")), "asked")
+    components = connected_components(_proven(first, _sets(asked, texts, options), options))
+    sets = _sets(_unsettled(index, components, classes, options), texts, options)
+    second = stored(_thin(_pairs_between(sets, options), classes, options), "pairs")
+    more = _proven(second, sets, options)
     if not more.isEmpty():
         # What is known moves on as links to the components, not as all links.
         known = components.select(F.col("node").alias("a"), F.col("component").alias("b"))
