@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dumpsieve.llm.graph import connected_components
@@ -40,6 +40,7 @@ class MinHash:
     overlap: int = 16
     common: int = 6  # shared index values asked of two full sketches
     leaders: int = 4  # members of each list that all others are compared with first
+    long_list: int = 16  # members; longer lists are not searched pair by pair, full sets are
     estimate: float = 0.45
 
 
@@ -76,30 +77,43 @@ def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     return value, np.searchsorted(owner, np.arange(len(texts) + 1))
 
 
+def _parities(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For sets one after the other, four numbers each: whether 256 buckets of hashes hold odd counts."""
+    place = np.repeat(np.arange(len(sizes)) * 256, sizes) + ((values >> np.uint64(20)) & np.uint64(255)).astype(np.int64)
+    odd = (np.bincount(place, minlength=256 * len(sizes)) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(len(sizes), 256), axis=1).view(np.int64)
+
+
+def _unlike() -> Column:
+    """Buckets in which the parities of two sets differ: at most as many as values that only one of them has."""
+    return sum((F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in _PARITIES), F.lit(0))
+
+
 def _sketcher(words: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_chunks(batches):
             values, begin = shingle_sets(part.column("text"), words)
             n = np.diff(begin)
             kept = np.minimum(n, k)
-            flat = values[spread(begin[:-1], kept)].view(np.int64)
+            flat = values[spread(begin[:-1], kept)]
+            parities = _parities(flat, kept)
             sets = [hashlib.md5(values[a:b].tobytes()).digest() for a, b in zip(begin[:-1], begin[1:])]
             offsets = np.concatenate([[0], np.cumsum(kept)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(sets, pa.binary()),
-                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                names=["doc_id", "n", "set_key", "sketch"],
+                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))]
+                + [pa.array(np.ascontiguousarray(parities[:, i])) for i in range(4)],
+                names=["doc_id", "n", "set_key", "sketch", *_PARITIES],
             )
 
     return run
 
 
 def sketches(docs: DataFrame, options: MinHash, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n (size of the shingle set), set_key (equal for equal sets), sketch."""
+    """doc_id, n (size of the shingle set), set_key (equal for equal sets), sketch and its parities."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(
-        _sketcher(options.shingle, options.k), "doc_id long, n long, set_key binary, sketch array<long>"
-    )
+    schema = "doc_id long, n long, set_key binary, sketch array<long>, " + ", ".join(f"{p} long" for p in _PARITIES)
+    return rows.mapInArrow(_sketcher(options.shingle, options.k), schema)
 
 
 # ---------------------------------------------------------------- candidates
@@ -180,21 +194,37 @@ def _leader_pairs(index: DataFrame, options: MinHash) -> DataFrame:
 
 
 def _unsettled(index: DataFrame, components: DataFrame, classes: DataFrame, options: MinHash) -> DataFrame:
-    """The classes that share enough values with classes of other components: cid, doc, set_key, component.
+    """The classes that may have partners in other components: cid, doc, set_key, component.
 
-    Sets of at most ``k`` shingles may have a partner that is indexed by fewer values: one shared value will do.
+    Those that meet a class of a like sketch in a list of at most ``long_list`` members, and those in enough longer lists:
+    a pair that shares no short list shares enough long ones. Sets of at most ``k`` shingles may have a partner that
+    is indexed by fewer values: one long list will do.
     """
     need = F.when(F.col("n") <= options.k, 1).otherwise(options.common)
-    found = index.select("value", "cid", need.alias("need")).join(
+    found = index.select("value", "cid", "n", need.alias("need")).join(
         components.select(F.col("node").alias("cid"), "component"), "cid", "left"
     ).withColumn("component", F.coalesce("component", "cid"))
     found = stored(found, "members")
-    lists = found.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    lists = stored(lists.filter("low < high").select("value"), "lists")
-    some = found.join(lists, "value").groupBy("cid").agg(
-        F.count("*").alias("shared"), F.min("need").alias("need"), F.min("component").alias("component")
-    ).filter("shared >= need").select("cid", "component")
-    return stored(some.join(classes, "cid").select("cid", F.col("doc_id").alias("doc"), "set_key", "component"), "asked")
+    lists = found.groupBy("value").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), (F.count("*") > options.long_list).alias("long")
+    )
+    lists = stored(lists.filter("low < high").select("value", "long"), "lists")
+    found = found.join(lists, "value")
+    many = found.filter("long").groupBy("cid").agg(F.count("*").alias("shared"), F.min("need").alias("need"))
+    few = found.filter("not long").join(classes.select("cid", *_PARITIES), "cid")
+    few = stored(few.select("value", "cid", "component", "n", *_PARITIES), "members")
+    a, b = (few.select("value", *(F.col(c).alias(f"{c}_{side}") for c in few.columns if c != "value")) for side in "ab")
+    least, most = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    whole = (least + most - _unlike()) * (100 + options.percent) >= (least + most) * (2 * options.percent)
+    met = a.join(b, "value").filter(
+        (F.col("cid_a") < F.col("cid_b")) & (F.col("component_a") != F.col("component_b"))
+        & (least * 100 >= most * options.percent)
+        & F.when(most <= options.k, whole).otherwise(_unlike() <= 2 * (options.k - options.overlap))
+    )
+    some = many.filter("shared >= need").select("cid").union(met.select(F.explode(F.array("cid_a", "cid_b")))).distinct()
+    some = some.join(classes, "cid").join(components.select(F.col("node").alias("cid"), "component"), "cid", "left")
+    component = F.coalesce("component", "cid").alias("component")
+    return stored(some.select("cid", F.col("doc_id").alias("doc"), "set_key", component), "asked")
 
 
 def _bucket_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +237,7 @@ def _bucket_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _prefixer(percent: int, counts):
-    """Rows of each set's rarest shingles, with their place and the parities of the set's hashes in 256 buckets."""
+    """Rows of each set's rarest shingles, with their place and the parities of the whole set."""
     names = ["value", "cid", "component", "n", "place", *_PARITIES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,14 +248,12 @@ def _prefixer(percent: int, counts):
                 common = counts.value[values % np.uint64(_COUNTERS)]
                 order = np.lexsort((values, common))[: n + (-n * percent // 100) + 1]
                 place = np.flatnonzero(common[order] > 1)  # a counter of 1: no other set has the value
-                odd = np.bincount((values >> np.uint64(40)).astype(np.int64) & 255, minlength=256) & 1
-                parities = np.packbits(odd.astype(np.uint8)).view(np.int64)
                 fixed = [cid, component, n]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(values[order[place]].view(np.int64))]
                     + [pa.array(np.full(len(place), x, np.int64)) for x in fixed]
                     + [pa.array(place.astype(np.int64))]
-                    + [pa.array(np.full(len(place), x, np.int64)) for x in parities],
+                    + [pa.array(np.full(len(place), x, np.int64)) for x in _parities(values, np.array([n]))[0]],
                     names=names,
                 )
 
@@ -256,13 +284,12 @@ def _pairs_between(sets: DataFrame, options: MinHash) -> DataFrame:
     every = rows.select("value", "main", *(F.col(c).alias(f"{c}_b") for c in rows.columns if c not in ("value", "main")))
     both = F.col("n_a") + F.col("n_b")
     left = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
-    unlike = sum((F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in _PARITIES), F.lit(0))
     percent, whole = options.percent, 100 + options.percent
     pairs = few.join(every, "value").filter(
         (F.col("component_a") != F.col("component_b"))
         & ((F.col("component_b") == F.col("main")) | (F.col("cid_a") < F.col("cid_b")))
         & (left * whole >= both * percent)
-        & ((both - unlike) * whole >= both * (2 * percent))
+        & ((both - _unlike()) * whole >= both * (2 * percent))
     )
     return pairs.select(F.least("cid_a", "cid_b").alias("a"), F.greatest("cid_a", "cid_b").alias("b")).distinct()
 
@@ -360,7 +387,8 @@ def near_duplicates(
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     drawn = stored(sketches(texts, options), "sketches")
     classes = drawn.filter("n > 0").groupBy("set_key").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
+        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"),
+        *(F.first(p).alias(p) for p in _PARITIES),
     )
     classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     index = _index(classes, options)
