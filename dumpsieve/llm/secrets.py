@@ -76,33 +76,77 @@ def _char_starts(data: bytes) -> np.ndarray:
     return np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
 
 
-def _unfold(data: bytes, room: int) -> bytes | None:
-    """What a compressed piece holds, by its first bytes; None if it is none, damaged or too large."""
+def _member(data: bytes, room: int) -> tuple[bytes, bytes] | None:
+    """What the compressed member at the front holds, by its first bytes, and what is behind it; None if it is none, damaged or too large."""
     try:
         if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
             codec = zlib.decompressobj(wbits=47)
-            out = codec.decompress(data, room)
-            return out if codec.eof else None
-        if data[:3] == b"BZh":
+        elif data[:3] == b"BZh":
             codec = bz2.BZ2Decompressor()
-            out = codec.decompress(data, room)
-            return out if codec.eof else None
-        if data[:6] == b"\xfd7zXZ\x00":
+        elif data[:6] == b"\xfd7zXZ\x00":
             codec = lzma.LZMADecompressor()
-            out = codec.decompress(data, room)
-            return out if codec.eof else None
-        if data[:4] == b"\x28\xb5\x2f\xfd":
+        elif data[:4] == b"\x28\xb5\x2f\xfd":
             codec = zstandard.ZstdDecompressor(max_window_size=1 << 27).decompressobj()
-            out = b""
+            out = []
             for at in range(0, len(data), 1 << 10):
-                out += codec.decompress(data[at : at + (1 << 10)])
-                if len(out) > room:
+                out.append(codec.decompress(data[at : at + (1 << 10)]))
+                room -= len(out[-1])
+                if room < 0:
                     return None
                 if codec.eof:
-                    return out
+                    return b"".join(out), codec.unused_data + data[at + (1 << 10) :]
+            return None
+        elif data[1:4] == b"\x2a\x4d\x18" and data[0] >> 4 == 5 and len(data) >= 8:  # a frame that zstd skips
+            size = 8 + int.from_bytes(data[4:8], "little")
+            return (b"", data[size:]) if size <= len(data) else None
+        else:
+            return None
+        out = codec.decompress(data, room + 1)
+        return (out, codec.unused_data) if codec.eof and len(out) <= room else None
     except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError, ValueError):
         return None
-    return None
+
+
+def _unfold(data: bytes, room: int) -> tuple[list[bytes], bytes]:
+    """What the compressed members at the front of a piece hold, one after the other, and the bytes behind the last."""
+    members: list[bytes] = []
+    while (member := _member(data, room)) is not None:
+        out, data = member
+        members.append(out)
+        room -= len(out)
+        if not data.startswith(b"\0"):
+            continue
+        behind = data.lstrip(b"\0")  # padding between members
+        if not behind or _member(behind, room) is not None:
+            data = behind
+    return members, data
+
+
+def _unfolded(data: bytes, room: int) -> tuple[list[bytes], bytes, int]:
+    """What a piece holds below all its compressed layers, the bytes behind them in the piece itself, and the bytes unfolded."""
+    members, behind = _unfold(data, room)
+    found: list[bytes] = []
+    used, seen = sum(map(len, members)), {data}
+    work = [members] if members else []
+    while work:
+        members = work.pop()
+        whole = b"".join(members)
+        if whole in seen:  # such as a file that unfolds to itself
+            continue
+        seen.add(whole)
+        inner, rest = _unfold(whole, room - used)
+        if inner:
+            used += sum(map(len, inner))
+            work.append(inner)
+            found.append(rest)
+            continue
+        found.append(whole)
+        for out in members[1:]:
+            inner, rest = _unfold(out, room - used)
+            if inner:
+                used += sum(map(len, inner))
+                work.append(inner)
+    return [piece for piece in found if piece], behind, used
 
 
 def _escaped(layer: _Layer, escapes: list[re.Match], decode) -> _Layer | None:
@@ -171,13 +215,21 @@ def _joined(layer: _Layer | None) -> _Layer | None:
     return _Layer("".join(text), layer.begin[keep], ends[keep])
 
 
-def _base64_layer(layer: _Layer, body: str, places: np.ndarray, room: int) -> tuple[_Layer | None, int]:
-    """A run of base64 as text, or as what a compressed piece in it unfolds to, and the bytes unfolded.
+def _printed_layer(layer: _Layer, data: bytes, places: np.ndarray, skip: int, begin: int = 0) -> _Layer | None:
+    """The bytes of a run of base64 from ``begin`` on, with blanks for all that is not printed; None if no longer run is."""
+    if not _PRINTED.search(data, begin):
+        return None
+    byte = np.arange(begin, len(data))
+    first, last = places[skip + byte * 4 // 3], places[skip + (byte * 8 + 7) // 6]
+    return _Layer(_OTHER.sub(b" ", data[begin:]).decode("ascii"), layer.begin[first], layer.end[last])
+
+
+def _base64_layer(layer: _Layer, body: str, places: np.ndarray, room: int) -> tuple[list[_Layer], int]:
+    """A run of base64 as text, or as what compressed pieces in it unfold to, and the bytes unfolded.
 
     Characters in front may belong to something else, so all four phases are tried.
     """
     body = body.replace("-", "+").replace("_", "/")
-    used = 0
     for skip in range(4):
         piece = body[skip:]
         if len(piece) % 4 == 1:
@@ -188,23 +240,22 @@ def _base64_layer(layer: _Layer, body: str, places: np.ndarray, room: int) -> tu
             byte = _char_starts(data)
             first = places[skip + byte[:-1] * 4 // 3]
             last = places[skip + ((byte[1:] - 1) * 8 + 7) // 6]
-            return _Layer(text, layer.begin[first], layer.end[last]), used
-        inner = data
-        while (deeper := _unfold(inner, room - used)) is not None:
-            used += len(deeper)
-            text = _readable(deeper)
-            if text is not None:
+            return [_Layer(text, layer.begin[first], layer.end[last])], 0
+        contents, behind, used = _unfolded(data, room)
+        if used:
+            found = []
+            for content in contents:
+                # Archives and mixed content: control characters stay, other bytes that are no UTF-8 become marks.
+                text = content.decode("utf-8", "replace")
                 n = len(text)  # no character of a compressed piece has a place of its own
                 whole = np.full(n, layer.begin[places[skip]]), np.full(n, layer.end[places[-1]])
-                return _Layer(text, *whole), used
-            if deeper == inner:
-                break
-            inner = deeper
-        if _PRINTED.search(data):  # text behind or between something else
-            byte = np.arange(len(data))
-            first, last = places[skip + byte * 4 // 3], places[skip + (byte * 8 + 7) // 6]
-            return _Layer(_OTHER.sub(b" ", data).decode("ascii"), layer.begin[first], layer.end[last]), used
-    return None, used
+                found.append(_Layer(text, *whole))
+            if behind and (printed := _printed_layer(layer, data, places, skip, len(data) - len(behind))):
+                found.append(printed)
+            return found, used
+        if printed := _printed_layer(layer, data, places, skip):  # text behind or between something else
+            return [printed], 0
+    return [], 0
 
 
 def _base64_layers(layer: _Layer, room: int) -> tuple[list[_Layer], int]:
@@ -215,15 +266,14 @@ def _base64_layers(layer: _Layer, room: int) -> tuple[list[_Layer], int]:
             places = np.array([m.start() for m in _BASE64_CHARS.finditer(body)]) + run.start()
             joined, more = _base64_layer(layer, re.sub(r"[\r\n=]", "", body), places, room - used)
             used += more
-            if joined is not None:
-                found.append(joined)
+            if joined:
+                found += joined
                 continue
         for line in _BASE64_LINE.finditer(body):
             places = np.arange(run.start() + line.start(), run.start() + line.end())
             alone, more = _base64_layer(layer, line.group(), places, room - used)
             used += more
-            if alone is not None:
-                found.append(alone)
+            found += alone
     return found, used
 
 
