@@ -179,45 +179,59 @@ def fill(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
 _MARK = "sequence_id long, offset long, open boolean"
 
 
-def _packer(capacity: int, level: int):
+def _packer(capacity: int, base: int, bits: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "ids_crc32"], kind="stable")
-        sequence, offset = fill(group["length"].to_numpy(), capacity)
-        filled = np.bincount(sequence, weights=group["length"].to_numpy())
-        out = group.copy()
-        # 6 bits of level, 40 of group, 17 of sequence: pieces of a group are far fewer.
-        out["sequence_id"] = (level << 57) | (group["team"].to_numpy() << 17) | sequence
+        sizes = group["length"].to_numpy()
+        sequence, offset = fill(sizes, capacity)
+        if "sequence_id" in group and group["sequence_id"].nunique() <= sequence.max() + 1:
+            return group.assign(open=True)[[*_COLUMNS, "sequence_id", "offset", "open"]]  # nothing saved: all stay as they were
+        out = group[_COLUMNS].copy()
+        out["sequence_id"] = base + (group["team"].to_numpy() << bits) + sequence
         out["offset"] = offset
-        out["open"] = filled[sequence] < capacity
+        out["open"] = np.bincount(sequence, weights=sizes)[sequence] < capacity
         return out
 
     return run
 
 
+_COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32"]
+
+
 def pack(pieces: DataFrame, options: Packing = Packing()) -> DataFrame:
     """``pieces`` (doc_id, piece, start, length, ids_crc32) with sequence_id and offset.
 
-    Pieces of full length are sequences. The others are dealt into groups of bounded size, packed in
-    one task each; pieces of sequences that stay open are packed anew with those of other groups, ever
-    fewer, until one group is left. No task holds more than a few thousand rows.
+    Pieces of full length are sequences. The others are dealt at random into teams of about ``group``
+    rows, packed in one task each. Sequences that stay open are dealt anew, whole, and their pieces packed
+    anew: ``merge`` times fewer teams as long as none gets more than about ``group`` rows (or few sequences
+    of more rows each), until one team is left, or teams are that large and a level saves no sequence.
     """
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     full = pieces.filter(F.col("length") == options.length).select(
-        *columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
+        *_COLUMNS, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )
-    rest = pieces.filter(F.col("length") < options.length).select(*columns)
-    teams = max(1, -(-rest.count() // options.group))
-    rest = rest.withColumn("team", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(teams).cast("long")))
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, team long, " + _MARK
-    done, level = [full], 1
+    rest = pieces.filter(F.col("length") < options.length).select(*_COLUMNS)
+    rows, sequences, base, level = rest.count(), None, 0, 1
+    teams = max(1, -(-rows // options.group))
+    key = F.monotonically_increasing_id()  # rows may repeat, also with their ids
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, " + _MARK
+    done = [full]
     while True:
-        packed = stored(rest.groupBy("team").applyInPandas(_packer(options.length, level), schema), "packed")
-        last = teams == 1
-        done.append((packed if last else packed.filter(~F.col("open"))).select(*columns, "sequence_id", "offset"))
+        team = F.pmod(F.xxhash64(key, F.lit(level)), F.lit(teams).cast("long")).alias("team")
+        bits = rows.bit_length()  # so many sequences fit whatever a team gets
+        packer = _packer(options.length, base, bits)
+        packed = stored(rest.select("*", team).groupBy("team").applyInPandas(packer, schema), "packed")
+        begins = F.col("offset") == 0
+        made, still, open_rows = packed.agg(
+            F.count_if(begins), F.count_if(begins & F.col("open")), F.count_if(F.col("open"))
+        ).first()
+        fewest = max(1, -(-open_rows // options.group))
+        last = teams == 1 or made == sequences and teams <= fewest
+        done.append((packed if last else packed.filter(~F.col("open"))).select(*_COLUMNS, "sequence_id", "offset"))
         if last:
             break
-        teams, level = -(-teams // options.merge), level + 1
-        rest = packed.filter("open").select(*columns, F.pmod("team", F.lit(teams).cast("long")).alias("team"))
+        rest = packed.filter("open").select(*_COLUMNS, "sequence_id", "offset")
+        base, level, rows, sequences, key = base + (teams << bits), level + 1, open_rows, still, F.col("sequence_id")
+        teams = max(fewest, -(-teams // options.merge))
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)

@@ -10,10 +10,12 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from dumpsieve.llm import packing
 from dumpsieve.llm.byte_bpe import encode_documents, read_ranks
-from dumpsieve.llm.packing import Packing, fill, pack_documents
+from dumpsieve.llm.packing import Packing, fill, pack, pack_documents
 
 ODD = [
     None, "", " ", "   a", "a   b", "a \n b", "x\n \ny", "it's we'll 123４ ½", "a" * 300 + " " + "thinanble" * 60,
@@ -67,3 +69,41 @@ def test_packing(docs):
 def test_fill_finds_full_sequences():
     sequence, _ = fill(np.array([7, 3, 6, 4, 5, 5, 10]), 10)
     assert sequence.max() + 1 == 4
+
+
+@pytest.mark.parametrize("doc_id", ["id", "null"])
+def test_teams_stay_bounded(spark, monkeypatch, doc_id):
+    packer = packing._packer
+
+    def bounded(*args):
+        run = packer(*args)
+
+        def checked(group):
+            assert len(group) <= 160, len(group)
+            return run(group)
+
+        return checked
+
+    monkeypatch.setattr(packing, "_packer", bounded)
+    length = F.when(F.col("id") < 900, 2500).otherwise(1596).cast("long")
+    rows = spark.range(0, 1200, 1, 4).select(
+        F.expr(doc_id).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"),
+        length.alias("length"), length.alias("ids_crc32"),
+    )
+    got = pack(rows, Packing(group=100)).collect()
+    sequences = defaultdict(list)
+    for r in got:
+        sequences[r.sequence_id].append(r)
+    assert len(got) == 1200 and len(sequences) <= 910
+    for own in sequences.values():
+        assert [r.offset for r in sorted(own, key=lambda r: r.offset)] in ([0], [0, 1596], [0, 2500])
+        assert sum(r.length for r in own) <= 4096
+
+
+def test_many_sequences_in_a_team(spark):
+    one = F.lit(1).cast("long")
+    rows = spark.range(560_000).select(
+        F.col("id").alias("doc_id"), F.lit(0).alias("piece"), (one - 1).alias("start"), one.alias("length"), F.col("id").alias("ids_crc32")
+    )
+    got = pack(rows, Packing(length=2, group=280_000)).groupBy("sequence_id").agg(F.sum("length").alias("n"))
+    assert got.filter("n > 2").count() == 0 and got.count() == 280_000
