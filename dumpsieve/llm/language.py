@@ -5,10 +5,10 @@ from __future__ import annotations
 import functools
 import sys
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,13 +31,6 @@ def _folding() -> np.ndarray:
     return table
 
 
-def _hash(grams: np.ndarray) -> np.ndarray:
-    """A one-to-one scrambling of packed characters."""
-    grams = (grams ^ (grams >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    grams = (grams ^ (grams >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return grams ^ (grams >> np.uint64(31))
-
-
 def grams_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Text and packed characters of every letter and word end, each with the three before it.
 
@@ -91,111 +84,111 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-@dataclass(frozen=True)
-class _Level:
-    """Of one order: sorted hashes of n-grams with log probabilities, of contexts with log weights of the order below."""
-
-    grams: np.ndarray
-    logs: np.ndarray
-    contexts: np.ndarray
-    weights: np.ndarray
-
-
-def _find(keys: np.ndarray, values: np.ndarray, asked: np.ndarray, missing: float) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return np.full(len(asked), missing), np.zeros(len(asked), bool)
-    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-    there = keys[at] == asked
-    return np.where(there, values[at], missing), there
-
-
-class CharModel:
-    """Interpolated Kneser-Ney over packed characters of one language."""
-
-    def __init__(self, grams: np.ndarray, counts: np.ndarray):
-        mask = [np.uint64((1 << 16 * n) - 1) for n in range(ORDER + 1)]
-        types = [np.empty(0, np.uint64)] * (ORDER + 1)
-        number = [np.empty(0)] * (ORDER + 1)
-        types[ORDER], number[ORDER] = grams, counts.astype(np.float64)
-        for n in range(ORDER - 1, 0, -1):  # how many different characters a shorter n-gram follows
-            types[n], number[n] = np.unique(types[n + 1] & mask[n], return_counts=True)
-            number[n] = number[n].astype(np.float64)
-        self.base = -np.log(65536.0)
-        lower = np.full(len(types[1]), self.base)  # log probability one order below, for each type
-        self.levels: list[_Level] = []
-        for n in range(1, ORDER + 1):
-            once, twice = (number[n] == 1).sum(), (number[n] == 2).sum()
-            discount = once / (once + 2 * twice) if once and twice else 0.5
-            context, where = np.unique(types[n] >> np.uint64(16), return_inverse=True) if n > 1 else (np.zeros(1, np.uint64), np.zeros(len(types[1]), int))
-            total = np.bincount(where, weights=number[n], minlength=len(context))
-            kinds = np.bincount(where, minlength=len(context))
-            weight = np.maximum(discount * kinds / np.maximum(total, 1e-12), 1e-12)
-            probability = (number[n] - discount) / total[where] + weight[where] * np.exp(lower)
-            hashed = _hash(types[n])
-            order = np.argsort(hashed)
-            hashed_context = _hash(context)
-            context_order = np.argsort(hashed_context)
-            level = _Level(hashed[order], np.log(probability)[order], hashed_context[context_order], np.log(weight)[context_order])
-            self.levels.append(level)
-            if n < ORDER:
-                lower = self._logs(types[n + 1], n)
-
-    def _logs(self, grams: np.ndarray, order: int) -> np.ndarray:
-        """Log probability of the last character, by up to ``order`` characters."""
-        out, carry = np.zeros(len(grams)), np.zeros(len(grams))
-        open_ = np.ones(len(grams), bool)
-        for n in range(order, 0, -1):
-            level, asked = self.levels[n - 1], grams & np.uint64((1 << 16 * n) - 1)
-            found, there = _find(level.grams, level.logs, _hash(asked), 0.0)
-            hit = open_ & there
-            out[hit] = carry[hit] + found[hit]
-            open_ &= ~there
-            context = asked >> np.uint64(16) if n > 1 else np.zeros(len(asked), np.uint64)
-            carry += _find(level.contexts, level.weights, _hash(context), 0.0)[0]
-        out[open_] = carry[open_] + self.base
-        return out
-
-    def logs(self, grams: np.ndarray) -> np.ndarray:
-        return self._logs(grams, ORDER)
-
-
-def fit_languages(docs: DataFrame, train: Column, max_grams: int = 200_000) -> dict[str, CharModel]:
-    """One model per non-null value of lang among the rows of ``docs`` (text, lang) where ``train`` holds.
-
-    All their texts are counted. A model holds the most frequent ``max_grams`` n-grams of its
-    language at most (about 10 MB), which bounds what is broadcast.
+_BASE = -np.log(65536.0)  # log probability of a character below all orders
+
+
+def _model(counts: DataFrame) -> DataFrame:
+    """Interpolated Kneser-Ney per language, as terms (lang, kind, key, value) of all n-grams of ``counts``.
+
+    With kind 2n, what having seen an n-gram adds to the log probability that is left without it; with
+    2n + 1, the log weight of the order below for a context of n - 1 characters. The log probability of a
+    character is the base and the terms of its n-grams and contexts, so terms can be looked up one by one.
     """
+    types = {ORDER: counts.select("lang", "gram", F.col("n").cast("double").alias("number"))}
+
+    def shorter(n: int) -> Column:
+        return F.col("gram").bitwiseAND(F.lit((1 << 16 * n) - 1).cast("long"))
+
+    for n in range(ORDER - 1, 0, -1):  # how many different characters a shorter n-gram follows
+        grown = types[n + 1].groupBy("lang", shorter(n).alias("gram")).agg(F.count("*").cast("double").alias("number"))
+        types[n] = stored(grown, "grams")
+    terms: list[DataFrame] = []
+    below = None
+    for n in range(1, ORDER + 1):
+        once, twice = F.count_if(F.col("number") == 1), F.count_if(F.col("number") == 2)
+        discount = F.when((once > 0) & (twice > 0), once / (once + 2 * twice)).otherwise(0.5)
+        discounts = types[n].groupBy("lang").agg(discount.alias("discount"))  # one row per language
+        context = F.shiftrightunsigned("gram", 16) if n > 1 else F.lit(0).cast("long")
+        contexts = types[n].groupBy("lang", context.alias("context")).agg(
+            F.sum("number").alias("total"), F.count("*").alias("kinds")
+        ).join(F.broadcast(discounts), "lang")
+        weight = F.greatest(F.col("discount") * F.col("kinds") / F.greatest("total", F.lit(1e-12)), F.lit(1e-12))
+        contexts = stored(contexts.select("lang", "context", "total", "discount", F.log(weight).alias("weight")), "contexts")
+        level = types[n].withColumn("context", context)
+        if n > 1:
+            level = level.join(contexts, ["lang", "context"]).withColumn("rest", shorter(n - 1)).join(below, ["lang", "rest"])
+        else:
+            level = level.join(F.broadcast(contexts), ["lang", "context"]).withColumn("low", F.lit(float(_BASE)))
+        without = F.col("weight") + F.col("low")
+        log = F.log((F.col("number") - F.col("discount")) / F.col("total") + F.exp(without))
+        level = stored(level.select("lang", "gram", log.alias("low"), (log - without).alias("value")), "level")
+        below = level.select("lang", F.col("gram").alias("rest"), "low")
+        terms.append(level.select("lang", F.lit(2 * n).alias("kind"), F.col("gram").alias("key"), "value"))
+        terms.append(contexts.select("lang", F.lit(2 * n + 1).alias("kind"), F.col("context").alias("key"), F.col("weight").alias("value")))
+    return stored(functools.reduce(DataFrame.union, terms), "model")
+
+
+def fit_languages(docs: DataFrame, train: Column) -> DataFrame:
+    """The models (see :func:`_model`) of all non-null values of lang among the rows of ``docs`` (text, lang) where ``train`` holds."""
     rows = docs.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     counts = rows.mapInArrow(_counter, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts = stored(counts, "grams")
-    least: dict[str, int] = {}
-    steps = counts.groupBy("lang", F.least("n", F.lit(1 << 20)).alias("n")).count().toPandas()
-    for lang, found in steps.groupby("lang"):
-        found = found.sort_values("n", ascending=False)
-        fits = found[found["count"].cumsum() <= max_grams]
-        least[lang] = int(fits["n"].iloc[-1]) if len(fits) else 1 << 20
-    models = {}
-    for lang, n in sorted(least.items()):
-        found = counts.filter((F.col("lang") == lang) & (F.col("n") >= n)).select("gram", "n").orderBy("gram").toArrow()
-        grams = found.column("gram").to_numpy().view(np.uint64)
-        order = np.argsort(grams)
-        if len(grams):
-            models[lang] = CharModel(grams[order], found.column("n").to_numpy()[order])
-    return models
-
-
-def _guesser(models):
+    return _model(stored(counts, "grams"))
+
+
+def _slice(model: DataFrame, names: list[str], block: int, blocks: int) -> list[dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """One block of the terms: for each language, sorted keys and values by kind."""
+    found = model.filter(F.pmod(F.xxhash64("kind", "key"), F.lit(blocks).cast("long")) == block)
+    number = F.array_position(F.array(*[F.lit(x) for x in names]), F.col("lang")).cast("int") - 1
+    found = found.select(number.alias("lang"), "kind", "key", "value").toArrow()
+    langs, kinds, keys, values = (found.column(c).to_numpy() for c in ("lang", "kind", "key", "value"))
+    order = np.lexsort((keys.view(np.uint64), kinds, langs))
+    langs, kinds, keys, values = langs[order], kinds[order], keys[order].view(np.uint64), values[order]
+    out: list[dict[int, tuple[np.ndarray, np.ndarray]]] = [{} for _ in names]
+    cuts = np.flatnonzero(np.diff(langs * 16 + kinds, prepend=-1, append=-1))
+    for begin, end in zip(cuts[:-1], cuts[1:]):
+        out[langs[begin]][int(kinds[begin])] = keys[begin:end], values[begin:end]
+    return out
+
+
+def _asked(grams: np.ndarray, kind: int) -> np.ndarray:
+    own = grams & np.uint64((1 << 16 * (kind // 2)) - 1)
+    return own >> np.uint64(16) if kind % 2 else own
+
+
+def _scorer(tables):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = list(models.value)
         for part in text_chunks(batches):
-            sums, n = np.zeros((part.num_rows, len(names))), np.zeros(part.num_rows)
+            sums, n = np.zeros((part.num_rows, len(tables.value))), np.zeros(part.num_rows, np.int64)
             for rows, texts in _pieces(part):
                 owner, grams = grams_of(texts)
                 at = np.array(rows)[owner]
                 distinct, inverse = np.unique(grams, return_inverse=True)
                 n += np.bincount(at, minlength=part.num_rows)
-                for k, name in enumerate(names):
-                    sums[:, k] += np.bincount(at, weights=models.value[name].logs(distinct)[inverse], minlength=part.num_rows)
+                logs = np.zeros((len(tables.value), len(distinct)))
+                for kind in range(2, 2 * ORDER + 2):
+                    asked, where = np.unique(_asked(distinct, kind), return_inverse=True)
+                    for k, table in enumerate(tables.value):
+                        if kind in table and len(asked):
+                            keys, values = table[kind]
+                            place = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+                            logs[k] += np.where(keys[place] == asked, values[place], 0.0)[where]
+                for k in range(len(logs)):
+                    sums[:, k] += np.bincount(at, weights=logs[k][inverse], minlength=part.num_rows)
+            offsets = np.arange(part.num_rows + 1, dtype=np.int32) * sums.shape[1]
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(sums.ravel()))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("row"), part.column("doc_id"), part.column("lang"), pa.array(n), lists],
+                names=["row", "doc_id", "lang", "n", "sums"],
+            )
+
+    return run
+
+
+def _guesser(names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            n = part.column("n").to_numpy().astype(np.float64)
+            sums = pc.list_flatten(part.column("sums")).to_numpy().reshape(part.num_rows, len(names)) + _BASE * n[:, None]
             some = (n > 0) & bool(names)
             entropy = -sums / np.maximum(n, 1)[:, None]
             best = entropy.argmin(1) if names else np.zeros(part.num_rows, int)
@@ -213,8 +206,39 @@ def _guesser(models):
     return run
 
 
+def _scores(rows: DataFrame, model: DataFrame, block_terms: int) -> DataFrame:
+    """``rows`` (doc_id, text, lang) with lang_pred, score and cross_entropy.
+
+    The terms are broadcast in blocks of about ``block_terms``, one pass over the texts for each; the
+    sums of a text over all blocks are added up.
+    """
+    names = sorted(r["lang"] for r in model.select("lang").distinct().collect())
+    blocks = max(1, -(-model.count() // block_terms))
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    if blocks > 1:
+        rows = stored(rows, "numbered")  # every pass must see the same numbers
+    schema = "row long, doc_id long, lang string, n long, sums array<double>"
+    passes: list[DataFrame] = []
+    for block in range(blocks):
+        tables = rows.sparkSession.sparkContext.broadcast(_slice(model, names, block, blocks))
+        found = rows.mapInArrow(_scorer(tables), schema)
+        if blocks > 1:
+            found = stored(found, "sums").withColumn("block", F.lit(block))
+            tables.unpersist()
+        passes.append(found)
+    out = passes[0]
+    if blocks > 1:
+        parts = F.array_sort(F.collect_list(F.struct("block", "sums"))).getField("sums")
+        added = F.aggregate(parts, F.array_repeat(F.lit(0.0), len(names)), lambda x, y: F.zip_with(x, y, lambda p, q: p + q))
+        out = functools.reduce(DataFrame.union, passes).groupBy("row").agg(
+            F.first("doc_id").alias("doc_id"), F.first("lang").alias("lang"), F.first("n").alias("n"), added.alias("sums")
+        )
+    return out.mapInArrow(_guesser(names), "doc_id long, lang string, lang_pred string, score double, cross_entropy double")
+
+
 def identify_language(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.995
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.995,
+    block_terms: int = 1 << 21,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, lang_pred, score, cross_entropy, rejected.
 
@@ -230,11 +254,7 @@ def identify_language(
     )
     held_out = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
     train = F.coalesce(remainder("doc_id", 4) != 2, F.lit(False))
-    models = docs.sparkSession.sparkContext.broadcast(fit_languages(rows, train))
-    guessed = rows.mapInArrow(
-        _guesser(models), "doc_id long, lang string, lang_pred string, score double, cross_entropy double"
-    )
-    guessed = stored(guessed, "languages")
+    guessed = stored(_scores(rows, fit_languages(rows, train), block_terms), "languages")
     limits = guessed.filter(train & (F.col("lang") == F.col("lang_pred"))).groupBy("lang_pred").agg(
         (F.percentile_approx("cross_entropy", quantile, 1000) * 1.25).alias("limit")
     )

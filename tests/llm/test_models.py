@@ -55,6 +55,28 @@ def test_language(spark, docs):
     assert none[0].lang_pred == "und" and none[0].score == 0
 
 
+def test_language_keeps_all_grams(spark):
+    chance = np.random.default_rng(3)
+
+    def words(n, kinds, first):
+        letters = chance.integers(first, first + kinds, n)
+        return "".join(chr(c) + (" " if i % 20 == 19 else "") for i, c in enumerate(letters.tolist()))
+
+    rows = [(i, words(40_000, 5_000, 0x4E00), "zh") for i in range(10)]  # nearly every n-gram occurs once
+    rows += [(i, words(4_000, 26, 0x61), "en") for i in range(10, 20)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole = {r.doc_id: r for r in identify_language(frame).collect()}
+    assert len(whole) == 20 and any(r.held_out for r in whole.values())
+    for i, _, lang in rows:
+        assert whole[i].lang_pred == lang
+        assert whole[i].held_out or whole[i].cross_entropy < np.log(5_000)
+    parts = {r.doc_id: r for r in identify_language(frame, block_terms=500_000).collect()}
+    assert len(parts) == 20
+    for i, r in whole.items():
+        assert parts[i].lang_pred == r.lang_pred and parts[i].rejected == r.rejected
+        assert parts[i].cross_entropy == pytest.approx(r.cross_entropy, abs=1e-9)
+
+
 @pytest.mark.parametrize("hide", [
     lambda s: base64.b64encode(s.encode()).decode(),
     lambda s: base64.b64encode(base64.b64encode(s.encode())).decode(),
