@@ -36,12 +36,17 @@ _URL_PART = re.compile(r"(?:%[0-9A-Fa-f]{2})+|\+")
 _UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{60,}(?:\r?\n[A-Za-z0-9+/_-]+)+={0,2}|[A-Za-z0-9+/_-]{16,}={0,2}")
 _BASE64_LINE = re.compile(r"[A-Za-z0-9+/_-]{16,}")
-_BASE64_CHARS = re.compile(r"[^\r\n=]")
+_BASE64_CHARS = re.compile(r"[^ \t\r\n=]")
 _PRINTED, _OTHER = re.compile(rb"[\x20-\x7e]{16,}"), re.compile(rb"[^\x20-\x7e]")
 _BINARY_AS_TEXT = re.compile(r"[^\t\n\r\x20-\x7e\x80-\U0010ffff]")
 
-#: Bytes that the compressed layers of one text may unfold to; a piece beyond is left as it is.
-MAX_UNFOLDED = 64 << 20
+# What follows the first line of base64: lines of the same width, also indented, and a last shorter one.
+_NEXT_LINE = re.compile(r"[ \t]*\r?\n[ \t]*([A-Za-z0-9+/_-]+)(?=={0,2}(?:[ \t]*(?:\r?\n|\Z)|[^\sA-Za-z0-9+/_=-]))")
+
+#: Bytes of what a compressed piece holds that are scanned at once, and that are read at once.
+WINDOW, _READ = 4 << 20, 1 << 16
+# Behind these bytes a window may end: no secret, run of base64 or URL token reaches over them.
+_CUT = re.compile(rb"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]|[,;!?(){}<>\[\]|][\x20\t\r\n]")
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -76,77 +81,132 @@ def _char_starts(data: bytes) -> np.ndarray:
     return np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
 
 
-def _member(data: bytes, room: int) -> tuple[bytes, bytes] | None:
-    """What the compressed member at the front holds, by its first bytes, and what is behind it; None if it is none, damaged or too large."""
+def _codec(head: bytes):
+    """A decompressor for what begins with these bytes; None if they begin nothing compressed."""
+    if head[:2] == b"\x1f\x8b" or head[:1] == b"\x78" and len(head) > 2 and (head[0] * 256 + head[1]) % 31 == 0:
+        return zlib.decompressobj(wbits=47)
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    if head[:4] == b"\x28\xb5\x2f\xfd" or _skipped(head):
+        return zstandard.ZstdDecompressor(max_window_size=1 << 27).decompressobj()
+    return None
+
+
+def _skipped(head: bytes) -> bool:
+    return head[1:4] == b"\x2a\x4d\x18" and head[0] >> 4 == 5 and len(head) >= 8  # a frame that zstd skips
+
+
+class _Bytes:
+    """Bytes from an iterator, some of which can be looked at first or put back."""
+
+    def __init__(self, chunks: Iterator[bytes]):
+        self.chunks, self.held, self.damaged = chunks, b"", False
+
+    def look(self, n: int) -> bytes:
+        while len(self.held) < n and (chunk := next(self.chunks, None)) is not None:
+            self.held += chunk
+        return self.held[:n]
+
+    def take(self, n: int = _READ) -> bytes:
+        out = self.look(n) if len(self.held) < 1 else self.held[:n]
+        self.held = self.held[len(out) :]
+        return out
+
+    def __iter__(self) -> Iterator[bytes]:
+        while chunk := self.take():
+            yield chunk
+
+
+_OUT_BYTES = 1 << 20
+_DAMAGE = (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError, ValueError)
+
+
+def _one_member(data: _Bytes, codec) -> Iterator[bytes]:
+    """What the member in front of ``data`` holds, as far as it can be read, a bounded number of bytes at a time."""
+    if _skipped(head := data.look(8)):
+        left = 8 + int.from_bytes(head[4:8], "little")
+        while left > 0 and (chunk := data.take(min(left, _READ))):
+            left -= len(chunk)
+        return
+    zstd = head[:4] == b"\x28\xb5\x2f\xfd"
+    size = 1 << 10 if zstd else _READ  # a KiB of zstd can hold some MiB
+    chunk = rest = out = b""
     try:
-        if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
-            codec = zlib.decompressobj(wbits=47)
-        elif data[:3] == b"BZh":
-            codec = bz2.BZ2Decompressor()
-        elif data[:6] == b"\xfd7zXZ\x00":
-            codec = lzma.LZMADecompressor()
-        elif data[:4] == b"\x28\xb5\x2f\xfd":
-            codec = zstandard.ZstdDecompressor(max_window_size=1 << 27).decompressobj()
-            out = []
-            for at in range(0, len(data), 1 << 10):
-                out.append(codec.decompress(data[at : at + (1 << 10)]))
-                room -= len(out[-1])
-                if room < 0:
-                    return None
-                if codec.eof:
-                    return b"".join(out), codec.unused_data + data[at + (1 << 10) :]
-            return None
-        elif data[1:4] == b"\x2a\x4d\x18" and data[0] >> 4 == 5 and len(data) >= 8:  # a frame that zstd skips
-            size = 8 + int.from_bytes(data[4:8], "little")
-            return (b"", data[size:]) if size <= len(data) else None
-        else:
-            return None
-        out = codec.decompress(data, room + 1)
-        return (out, codec.unused_data) if codec.eof and len(out) <= room else None
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError, ValueError):
+        while not codec.eof:
+            if not rest and len(out) < _OUT_BYTES and getattr(codec, "needs_input", True):
+                if not (taken := data.take(size)):
+                    data.damaged = True
+                    data.held = chunk + data.held
+                    return
+                chunk = rest = taken
+            out = codec.decompress(rest) if zstd else codec.decompress(rest, _OUT_BYTES)
+            rest = b"" if zstd else getattr(codec, "unconsumed_tail", b"")
+            for at in range(0, len(out), _READ):
+                yield out[at : at + _READ]
+            if zstd:
+                out = b""
+    except _DAMAGE:
+        data.damaged, data.held = True, chunk + data.held  # its bytes may be something else
+        return
+    data.held = codec.unused_data + data.held
+
+
+def _unfolded(data: _Bytes, above: frozenset[bytes] = frozenset(), behind: bool = True) -> Iterator[bytes] | None:
+    """What the compressed members in front hold below all their layers, then what is ``behind`` them; None if there are none.
+
+    A later member that is compressed twice is unfolded by itself; a first one together with those behind it.
+    """
+    head = data.look(_READ)
+    if (codec := _codec(head)) is None or head in above:  # such as a file that unfolds to itself
         return None
 
+    def members() -> Iterator[bytes]:
+        first, found = True, codec
+        while found is not None:
+            inner = _Bytes(_one_member(data, found))
+            deeper = None if first or _codec(inner.look(8)) is None else _unfolded(inner, above | {head})
+            yield from inner if deeper is None else deeper
+            first = False
+            while not data.damaged and data.look(1) == b"\0":  # padding between members
+                data.held = data.held.lstrip(b"\0")
+            found = None if data.damaged else _codec(data.look(8))
+        if behind and data.look(1):
+            yield b"\0"
+            yield from data
+
+    whole = _Bytes(members())
+    if not whole.look(1):
+        return None
+    return iter(whole) if (deeper := _again(whole, above | {head})) is None else deeper
 
-def _unfold(data: bytes, room: int) -> tuple[list[bytes], bytes]:
-    """What the compressed members at the front of a piece hold, one after the other, and the bytes behind the last."""
-    members: list[bytes] = []
-    while (member := _member(data, room)) is not None:
-        out, data = member
-        members.append(out)
-        room -= len(out)
-        if not data.startswith(b"\0"):
-            continue
-        behind = data.lstrip(b"\0")  # padding between members
-        if not behind or _member(behind, room) is not None:
-            data = behind
-    return members, data
-
-
-def _unfolded(data: bytes, room: int) -> tuple[list[bytes], bytes, int]:
-    """What a piece holds below all its compressed layers, the bytes behind them in the piece itself, and the bytes unfolded."""
-    members, behind = _unfold(data, room)
-    found: list[bytes] = []
-    used, seen = sum(map(len, members)), {data}
-    work = [members] if members else []
-    while work:
-        members = work.pop()
-        whole = b"".join(members)
-        if whole in seen:  # such as a file that unfolds to itself
-            continue
-        seen.add(whole)
-        inner, rest = _unfold(whole, room - used)
-        if inner:
-            used += sum(map(len, inner))
-            work.append(inner)
-            found.append(rest)
+
+def _again(whole: _Bytes, above: frozenset[bytes]) -> Iterator[bytes] | None:
+    """What ``whole`` unfolds to; None leaves it as it was."""
+    head = whole.look(_READ)
+    if _codec(head) is None or head in above:
+        return None
+    # Its first bytes must hold something, else they only look like a compressed piece.
+    if not any(_one_member(_Bytes(iter([head])), _codec(head))):
+        return None
+    return _unfolded(whole, above)
+
+
+def _windows(chunks: Iterator[bytes]) -> Iterator[str]:
+    """The bytes as texts of about ``WINDOW``, cut only where nothing reaches over."""
+    held = bytearray()
+    for chunk in chunks:
+        at = max(0, len(held) - 1)
+        held += chunk
+        if len(held) < WINDOW:
             continue
-        found.append(whole)
-        for out in members[1:]:
-            inner, rest = _unfold(out, room - used)
-            if inner:
-                used += sum(map(len, inner))
-                work.append(inner)
-    return [piece for piece in found if piece], behind, used
+        end = max((m.end() for m in _CUT.finditer(held, at if at >= WINDOW else 0)), default=0)
+        if end:
+            yield held[:end].decode("utf-8", "replace")
+            del held[:end]
+    if held:
+        yield held.decode("utf-8", "replace")
 
 
 def _escaped(layer: _Layer, escapes: list[re.Match], decode) -> _Layer | None:
@@ -224,8 +284,8 @@ def _printed_layer(layer: _Layer, data: bytes, places: np.ndarray, skip: int, be
     return _Layer(_OTHER.sub(b" ", data[begin:]).decode("ascii"), layer.begin[first], layer.end[last])
 
 
-def _base64_layer(layer: _Layer, body: str, places: np.ndarray, room: int) -> tuple[list[_Layer], int]:
-    """A run of base64 as text, or as what compressed pieces in it unfold to, and the bytes unfolded.
+def _base64_layer(layer: _Layer, body: str, places: np.ndarray) -> Iterator[tuple[_Layer, bool]]:
+    """A run of base64 as text, or as what compressed pieces in it unfold to, and whether that is all there is in it.
 
     Characters in front may belong to something else, so all four phases are tried.
     """
@@ -240,41 +300,67 @@ def _base64_layer(layer: _Layer, body: str, places: np.ndarray, room: int) -> tu
             byte = _char_starts(data)
             first = places[skip + byte[:-1] * 4 // 3]
             last = places[skip + ((byte[1:] - 1) * 8 + 7) // 6]
-            return [_Layer(text, layer.begin[first], layer.end[last])], 0
-        contents, behind, used = _unfolded(data, room)
-        if used:
-            found = []
-            for content in contents:
-                # Archives and mixed content: control characters stay, other bytes that are no UTF-8 become marks.
-                text = content.decode("utf-8", "replace")
+            yield _Layer(text, layer.begin[first], layer.end[last]), True
+            return
+        source = _Bytes(data[at : at + _READ] for at in range(0, len(data), _READ))
+        if (contents := _unfolded(source, behind=False)) is not None:
+            # Archives and mixed content: control characters stay, other bytes that are no UTF-8 become marks.
+            for text in _windows(contents):
                 n = len(text)  # no character of a compressed piece has a place of its own
-                whole = np.full(n, layer.begin[places[skip]]), np.full(n, layer.end[places[-1]])
-                found.append(_Layer(text, *whole))
-            if behind and (printed := _printed_layer(layer, data, places, skip, len(data) - len(behind))):
-                found.append(printed)
-            return found, used
+                begin, end = layer.begin[places[skip]], layer.end[places[-1]]
+                yield _Layer(text, np.broadcast_to(begin, n), np.broadcast_to(end, n)), False
+            if not source.damaged:
+                if printed := _printed_layer(layer, data, places, skip, len(data) - sum(map(len, source))):
+                    yield printed, False
+                return
         if printed := _printed_layer(layer, data, places, skip):  # text behind or between something else
-            return [printed], 0
-    return [], 0
+            yield printed, False
+            return
+
+
+def _lines(text: str, first: re.Match) -> tuple[int, bool]:
+    """Where the lines of base64 that begin with ``first`` end, and whether there are several."""
+    end, width, several = first.end(), first.end() - first.start(), False
+    while (line := _NEXT_LINE.match(text, end)) and len(line.group(1)) <= width:
+        end, several = line.end(), True
+        if len(line.group(1)) < width:
+            break
+    return end, several
 
 
-def _base64_layers(layer: _Layer, room: int) -> tuple[list[_Layer], int]:
-    found, used = [], 0
+def _base64_layers(layer: _Layer) -> Iterator[_Layer]:
+    joined_to = 0
     for run in _BASE64.finditer(layer.text):
         body = run.group().rstrip("=")
-        if "\n" in body:
-            places = np.array([m.start() for m in _BASE64_CHARS.finditer(body)]) + run.start()
-            joined, more = _base64_layer(layer, re.sub(r"[\r\n=]", "", body), places, room - used)
-            used += more
-            if joined:
-                found += joined
-                continue
+        alone = True
+        spans = [(run.start(), run.start() + len(body))] if "\n" in body else []
+        if run.start() >= joined_to:
+            end, several = _lines(layer.text, _BASE64_LINE.match(layer.text, run.start()))
+            if several and (run.start(), end) not in spans:
+                joined_to = end
+                spans.append((run.start(), end))
+        for start, end in spans:
+            places = np.array([m.start() for m in _BASE64_CHARS.finditer(layer.text, start, end)])
+            for joined, complete in _base64_layer(layer, re.sub(r"[ \t\r\n=]", "", layer.text[start:end]), places):
+                yield joined
+                alone = alone and not (complete and end >= run.start() + len(body))
+        if not alone:
+            continue
         for line in _BASE64_LINE.finditer(body):
             places = np.arange(run.start() + line.start(), run.start() + line.end())
-            alone, more = _base64_layer(layer, line.group(), places, room - used)
-            used += more
-            found += alone
-    return found, used
+            for single, _ in _base64_layer(layer, line.group(), places):
+                yield single
+
+
+def _inner_layers(layer: _Layer) -> Iterator[_Layer | None]:
+    yield from _base64_layers(layer)
+    if "%" in layer.text:
+        yield _url_layer(layer)
+    if "\\" in layer.text:
+        yield _unicode_layer(layer)
+
+
+_END = object()
 
 
 def find_secrets(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -284,28 +370,24 @@ def find_secrets(text: str | None) -> tuple[list[tuple[int, int, int]], list[tup
     if not ("%" in text and _PERCENT.search(text)) and "\\" not in text and not _BASE64.search(text):
         return base, base
     places = np.arange(len(text) + 1)
-    work = [_Layer(text, places[:-1], places[1:])]
+    work = [_inner_layers(_Layer(text, places[:-1], places[1:]))]
     seen: set[tuple[bytes, int, int]] = set()
-    spans, room = set(base), MAX_UNFOLDED
+    spans = set(base)
     while work:
-        layer = work.pop()
-        found, used = _base64_layers(layer, room)
-        room -= used
-        if "%" in layer.text:
-            found.append(_url_layer(layer))
-        if "\\" in layer.text:
-            found.append(_unicode_layer(layer))
-        for inner in found:
-            if inner is None or not inner.text:
-                continue
-            # The same content from the same place is a cycle, such as a file that unfolds to itself.
-            mark = hashlib.md5(inner.text.encode("utf-8", "replace")).digest(), int(inner.begin[0]), int(inner.end[-1])
-            if mark in seen:
-                continue
-            seen.add(mark)
-            work.append(inner)
-            for start, kind, end in scan(inner.text):
-                spans.add((int(inner.begin[start:end].min()), kind, int(inner.end[start:end].max())))
+        inner = next(work[-1], _END)
+        if inner is _END:
+            work.pop()
+            continue
+        if inner is None or not inner.text:
+            continue
+        # The same content from the same place is a cycle, such as a file that unfolds to itself.
+        mark = hashlib.md5(inner.text.encode("utf-8", "replace")).digest(), int(inner.begin[0]), int(inner.end[-1])
+        if mark in seen:
+            continue
+        seen.add(mark)
+        work.append(_inner_layers(inner))
+        for start, kind, end in scan(inner.text):
+            spans.add((int(inner.begin[start:end].min()), kind, int(inner.end[start:end].max())))
     return base, sorted(spans)
 
 

@@ -127,6 +127,27 @@ def test_secrets_in_compressed_binary_and_further_members(content):
     assert "[secret]" in clean and clean.startswith("é ") and clean.endswith(" behind") and len(clean) < len(text)
 
 
+@pytest.mark.parametrize("width,indent", [(48, ""), (56, "    "), (76, "  "), (64, "")])
+def test_secrets_in_wrapped_base64(width, indent):
+    noise = np.random.default_rng(1).integers(32, 127, 600, np.uint8).tobytes().decode().replace("\\", " ").replace("%", " ")
+    for data in (gzip.compress((noise + " " + SECRET).encode()), ("ordinary words " * 9 + SECRET).encode()):
+        code = base64.b64encode(data).decode()
+        text = "data:\n" + "".join(indent + code[i : i + width] + "\n" for i in range(0, len(code), width)) + "(behind it)"
+        _, spans = find_secrets(text)
+        assert {kind for _, kind, _ in spans} == {0, 2}
+        assert redact(text, spans).endswith("(behind it)")
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zstandard.compress])
+def test_secrets_behind_much_content(pack):
+    line = b"nothing to see here, or there\n"
+    large = pack(line * (70_000_000 // len(line)) + SECRET.encode())
+    small = gzip.compress(SECRET.encode())
+    text = " ".join(base64.b64encode(x).decode() for x in (large, small, large))
+    _, spans = find_secrets(text)
+    assert len({start for start, kind, _ in spans if kind == 0}) == 3
+
+
 def test_no_secrets_joined_over_binary():
     text = base64.b64encode(gzip.compress(b"token:" + b"\0" * 9 + b"abcdefghijklmnop")).decode()
     assert find_secrets(text) == ([], [])
