@@ -201,7 +201,18 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
     return kept
 
 
-def _searcher(options: GraphSearch):
+def _compared(q: np.ndarray, x: np.ndarray, options: GraphSearch) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (query, node) of at least the cosine asked for."""
+    a, b = np.nonzero(q @ x.T >= options.cosine - 1e-9)
+    hit = [np.empty(0, bool)]
+    for at in range(0, len(a), 1 << 16):
+        i, j = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
+        hit.append(np.einsum("nd,nd->n", q[i], x[j]) >= options.cosine)
+    hit = np.concatenate(hit)
+    return a[hit], b[hit]
+
+
+def _searcher(options: GraphSearch, exact: bool):
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         shard, query_block, node_block = key[2], key[3], key[4]
         group = group.sort_values("cid").reset_index(drop=True)
@@ -217,7 +228,7 @@ def _searcher(options: GraphSearch):
         graph = np.full((len(nodes), max(1, degrees.max(initial=0))), -1)
         graph[owner, np.arange(len(owner)) - (np.cumsum(degrees) - degrees)[owner]] = place[inside]
         own = np.arange(len(nodes)) if query_block == node_block else np.full(len(queries), -1)
-        a, b = _search(q, x, graph, own, options)
+        a, b = _compared(q, x, options) if exact else _search(q, x, graph, own, options)
         ia, ib = query_ids[a], node_ids[b]
         pairs = np.unique(np.stack([np.minimum(ia, ib), np.maximum(ia, ib)])[:, ia != ib], axis=1)
         # Place of both in the group; a pair counts in the first shard that both are in.
@@ -234,12 +245,14 @@ def _searcher(options: GraphSearch):
         a, b = a[counted], b[counted]
         weight = group["copies"].to_numpy()
         links = np.bincount(a, weights=weight[b], minlength=len(ids)) + np.bincount(b, weights=weight[a], minlength=len(ids))
-        some = np.flatnonzero(links)
+        peers = np.bincount(a, minlength=len(ids)) + np.bincount(b, minlength=len(ids))
+        some = np.flatnonzero(peers)
         kept = np.array(_forest(a, b, len(ids)), np.int64).reshape(-1, 2)
         return pd.DataFrame({
             "a": np.concatenate([ids[some], ids[kept[:, 0]]]),
             "b": np.concatenate([ids[some], ids[kept[:, 1]]]),
             "links": np.concatenate([links[some].astype(np.int64), np.zeros(len(kept), np.int64)]),
+            "peers": np.concatenate([peers[some], np.zeros(len(kept), np.int64)]),
         })
 
     return run
@@ -283,8 +296,11 @@ def _classes(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -
     return rows, stored(classes, "classes")
 
 
-def _linked(classes: DataFrame, centres, probes: int, options: GraphSearch) -> DataFrame:
-    """(a, b, links): with a = b the links of a class, weighted by copies, else a link of the forest."""
+def _linked(classes: DataFrame, centres, probes: int, options: GraphSearch, exact: bool = False) -> DataFrame:
+    """(a, b, links, peers): with a = b the links of a class, weighted by copies and not, else a link of the forest.
+
+    If ``exact``, each block of a shard is compared with each other.
+    """
     vectors = classes.select("cid", "label", "dim", "copies", "unit")
     kinds = "cid long, label long, dim int, copies long, unit array<double>"
     placed = stored(
@@ -294,22 +310,28 @@ def _linked(classes: DataFrame, centres, probes: int, options: GraphSearch) -> D
     sizes = placed.groupBy("label", "dim", "shard").agg(F.ceil(F.count("*") / options.block).alias("blocks"))
     placed = placed.join(F.broadcast(sizes), ["label", "dim", "shard"])
     placed = placed.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
-    built = placed.groupBy("label", "dim", "shard", "block").applyInPandas(_builder(options), "cid long, neighbours array<long>")
-    union = built.groupBy("cid").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours"))
-    placed = placed.join(union, "cid")
+    if exact:
+        placed = placed.withColumn("neighbours", F.array().cast("array<long>"))
+    else:
+        built = placed.groupBy("label", "dim", "shard", "block").applyInPandas(_builder(options), "cid long, neighbours array<long>")
+        union = built.groupBy("cid").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours"))
+        placed = placed.join(union, "cid")
     # A block of queries meets each block of nodes of its shard once.
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     dealt = placed.withColumn("other", other)
     dealt = dealt.withColumn("query_block", F.least("block", "other")).withColumn("node_block", F.greatest("block", "other"))
     dealt = dealt.drop("other", "blocks")
     found = dealt.groupBy("label", "dim", "shard", "query_block", "node_block").applyInPandas(
-        _searcher(options), "a long, b long, links long"
+        _searcher(options, exact), "a long, b long, links long, peers long"
     )
     return stored(found, "found")
 
 
 def _recall(classes: DataFrame, found: DataFrame, options: GraphSearch) -> float:
-    """Share of the links of a bounded sample of vectors, compared with all others, that the search has found."""
+    """Share of the links of a bounded sample of classes, compared with all others, that the search has found.
+
+    A link of two classes counts once, whatever their copies.
+    """
     spark = classes.sparkSession
     asked = classes.orderBy(F.xxhash64("cid", F.lit(1))).limit(options.audit).toPandas()
     shared = spark.sparkContext.broadcast(
@@ -323,11 +345,11 @@ def _recall(classes: DataFrame, found: DataFrame, options: GraphSearch) -> float
                     ids, q = shared.value[key]
                     hit = np.stack(rows["unit"].to_numpy()) @ q.T >= options.cosine
                     hit &= rows["cid"].to_numpy()[:, None] != ids
-                    yield pd.DataFrame({"cid": ids, "n": (hit * rows["copies"].to_numpy()[:, None]).sum(0)})
+                    yield pd.DataFrame({"cid": ids, "n": hit.sum(0)})
 
-    vectors = classes.select("cid", "label", "dim", "copies", "unit")
+    vectors = classes.select("cid", "label", "dim", "unit")
     true = vectors.mapInPandas(run, "cid long, n long").groupBy("cid").agg(F.sum("n").alias("n")).toPandas()
-    mine = found.filter("a = b").filter(F.col("a").isin(asked["cid"].tolist())).groupBy("a").agg(F.sum("links").alias("n")).toPandas()
+    mine = found.filter("a = b").filter(F.col("a").isin(asked["cid"].tolist())).groupBy("a").agg(F.sum("peers").alias("n")).toPandas()
     return float(mine["n"].sum()) / total if (total := float(true["n"].sum())) else 1.0
 
 
@@ -341,7 +363,8 @@ def near_vectors(
     a label are linked with nothing. Equal vectors are one class, and each of its rows links with
     the others. A null id is kept only where its component has no other id. An empty table gives an
     empty result; other columns are not read. Every pair counted is verified; the recall of a sample against all
-    rows is measured, and shards overlap more until it reaches ``recall``.
+    rows is measured, and shards overlap more until it reaches ``recall``; where the widest search does not,
+    all vectors of equal labels and dimensions are compared, block by block.
     """
     rows, classes = _classes(vectors, id_col, vector_col, label_col)
     centres = vectors.sparkSession.sparkContext.broadcast(_fit_centres(classes, options))
@@ -349,6 +372,9 @@ def near_vectors(
         found = _linked(classes, centres, probes, options)
         if _recall(classes, found, options) >= options.recall:
             break
+    else:
+        one = {key: np.zeros((1, key[1])) for key in centres.value}
+        found = _linked(classes, vectors.sparkSession.sparkContext.broadcast(one), 1, options, exact=True)
     components = connected_components(found.filter("a != b").select("a", "b"))
     links = found.filter("a = b").groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
     named = classes.select("key", "cid", "vec_id", "copies").join(links, "cid", "left").join(

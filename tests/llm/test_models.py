@@ -15,7 +15,7 @@ import numpy as np
 import pytest
 import zstandard
 
-from dumpsieve.llm.embeddings import near_vectors
+from dumpsieve.llm.embeddings import GraphSearch, near_vectors
 from dumpsieve.llm.html import extract_pages
 from dumpsieve.llm.language import identify_language
 from dumpsieve.llm.quality import keep_good, score_quality
@@ -188,6 +188,21 @@ def test_vectors(spark):
     assert near_vectors(frame.limit(0)).count() == 0
 
 
+def test_vectors_compared_where_the_search_misses(spark):
+    random = np.random.default_rng(7)
+    rows = [(i, (np.eye(12)[0] + random.normal(scale=0.05, size=12)).tolist(), 0) for i in range(200)]
+    units = np.array([v for _, v, _ in rows]) / np.linalg.norm([v for _, v, _ in rows], axis=1, keepdims=True)
+    links = (units @ units.T >= 0.98).sum(1) - 1
+    rows += [(1000 + i, rows[0][1], 0) for i in range(300)]  # copies that outweigh all other links
+    links = links + 300 * ((units @ units[0] >= 0.98) & (np.arange(200) > 0))
+    links[0] += 300
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    # One centre for each two vectors, one probe, blocks of 16: the search must miss most links.
+    weak = GraphSearch(shard=2, block=16, probes=(1,), beam=1, slack=0.0, degree=1, recall=1.0)
+    got = {r.vec_id: r.n_links for r in near_vectors(frame, weak).collect()}
+    assert [got[i] for i in range(200)] == links.tolist()
+
+
 def test_pages(spark):
     pages = spark.read.parquet(f"{SF_DIR}/pages.parquet")
     odd = [(10**6, None, None), (10**6 + 1, "u", ""), (10**6 + 2, "u", "<" * 500), (10**6 + 3, "u", "<div>" * 3000)]
