@@ -74,6 +74,14 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", line.alias("value"))
 
 
+COMMENT_LINE_SQL = f"""
+  '{{"id":"c' || conv_id || '_' || turn || '","link_id":"' || CASE WHEN role = 'system' THEN '' ELSE 't3_' END || conv_id
+  || '","subreddit":' || to_json(role)::VARCHAR || ',"author":' || to_json(role || conv_id)::VARCHAR
+  || ',"body":' || to_json(text)::VARCHAR || ',"score":' || turn
+  || ',"created_utc":' || ({START} - conv_id * 31536000 + turn * 60)
+  || CASE WHEN role = 'assistant' THEN ',"permalink":"/r/x/' || conv_id || '"' ELSE '' END || '}}'"""
+
+
 def damaged(lines: DataFrame) -> DataFrame:
     """Submission lines, damaged in a way that depends on their language."""
     v, lang = F.col("value"), F.col("lang")
@@ -104,3 +112,8 @@ def dump(spark: SparkSession, sf_dir: str, window_log: int | None = None) -> str
 def label_of(file: Column) -> Column:
     """Language or role in the name of a file of the dump."""
     return F.regexp_extract(file, r"R[SC]_([a-z]+)", 1)
+
+
+def name_of(file: Column) -> Column:
+    """The same with the prefix of the kind."""
+    return F.regexp_extract(file, r"R[SC]_[a-z]+", 0)

@@ -50,6 +50,11 @@ def config_hash(spark: SparkSession, spec: FilterSpec) -> str:
     return spec.config_hash("" if values is None else values.digest())
 
 
+def output_label(spec: FilterSpec, values: ValueList | None = None) -> str:
+    """What stands for the value in the names of outputs."""
+    return spec.value if values is None else "list-" + spec.config_hash(values.digest())[:12]
+
+
 def filter_dump(spark: SparkSession, path: str, spec: FilterSpec, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Matching lines of the dump files below ``path`` as a DataFrame.
 
@@ -66,7 +71,7 @@ def filter_dump(spark: SparkSession, path: str, spec: FilterSpec, split_bytes: i
 
 
 def check_output(output: str) -> None:
-    """Outputs replace files of the same name, so the root of a file system is refused."""
+    """The root of a file system is refused."""
     if not re.sub(r"^[a-z0-9+.-]+:(//[^/]*)?", "", output).strip("/"):
         raise ValueError(f"the output must be a folder below the root, not {output!r}")
 
@@ -97,14 +102,15 @@ def filter_files(
     listed = todo = collect_files(files)
     done = read_manifest(spark, output)
     if listed and done is not None:
-        todo = collect_files(skip_processed(files, done, hashed))
+        todo = collect_files(skip_processed(files, done, hashed, output_label(spec, values)))
     run_id = uuid.uuid4().hex
     if not todo:
         return FilterReport(run_id, 0, len(listed), 0, 0, 0, spark.createDataFrame([], MANIFEST_SCHEMA))
 
     with scratch_folder(spark) as folder:
         scanned, piece = _scan(spark, todo, split_bytes, folder)
-        write_dump(sink_rows(scanned, spec, values, piece), output, run_id, hashed, spec.error_rate)
+        rows = sink_rows(scanned, spec, values, piece)
+        write_dump(rows, output, run_id, hashed, spec.error_rate, output_label(spec, values))
 
     run = spark.read.schema(MANIFEST_SCHEMA).parquet(f"{manifest_path(output)}/{run_id}.parquet")
     totals = run.agg(
@@ -134,12 +140,9 @@ def sink_rows(
     kind = kind.when(F.col("status").isNotNull(), CLOSE)
     rows = tagged.withColumn("kind", kind).where(F.col("kind").isNotNull())
     order = ["file", "split", "piece", "line"]
-    label = spec.value
-    if values is not None:
-        label = "list-" + spec.config_hash(values.digest())[:12]
-        if values.size_bytes > BROADCAST_BYTES:  # the join has moved the lines
-            rows = rows.repartition(*order[:3]).sortWithinPartitions(*order)
-    out = output_name(F.col("file"), F.lit(label))
+    if values is not None and values.size_bytes > BROADCAST_BYTES:  # the join has moved the lines
+        rows = rows.repartition(*order[:3]).sortWithinPartitions(*order)
+    out = output_name(F.col("file"), F.lit(output_label(spec, values)))
     if spec.split_by_letter:
         out = F.concat(F.coalesce(F.concat("letter", F.lit("/")), F.lit("")), out)
         rows = rows.sortWithinPartitions(*order[:3], F.asc_nulls_last("letter"), "line")
@@ -149,10 +152,12 @@ def sink_rows(
 
 def write_dump(
     rows: DataFrame, output: str, run_id: str | None = None, config_hash: str = "",
-    error_rate: float | None = None, manifest: bool = True, window_log: int | None = None,
+    error_rate: float | None = None, label: str = "", versions: bool = True, window_log: int | None = None,
 ) -> None:
     """Write rows of ``SINK_SCHEMA`` as zstd NDJSON files below ``output``.
 
+    ``versions`` writes a run of which the manifest tells what is live; else the outputs
+    are plain files, which must not be there before.
     ``window_log`` asks for long windows (27 is 128 MiB, 31 is 2 GiB).
     """
     rows.sparkSession.dataSource.register(DumpSink)
@@ -160,7 +165,8 @@ def write_dump(
         rows.write.format(FORMAT).mode("append")
         .option("run_id", run_id or uuid.uuid4().hex)
         .option("config_hash", config_hash)
-        .option("manifest", str(manifest).lower())
+        .option("label", label)
+        .option("versions", str(versions).lower())
     )
     if window_log is not None:
         writer = writer.option("window_log", window_log)
@@ -175,11 +181,11 @@ def write_dump(
 
 
 def write_lines(lines: DataFrame, output: str, window_log: int | None = None) -> None:
-    """Write lines (``out``, ``value``) as dump files named by ``out``; lines stay in their tasks."""
+    """Write lines (``out``, ``value``) as new dump files named by ``out``; lines stay in their tasks."""
     none = F.lit(None).cast("string")
     rows = lines.sortWithinPartitions("out").select(
         "out", F.col("out").alias("file"), F.spark_partition_id().cast("bigint").alias("split"),
         F.lit("").alias("piece"), F.lit(0).cast("bigint").alias("line"), F.lit(LINE).alias("kind"),
         F.col("value").cast("binary").alias("value"), none.alias("status"),
     )
-    write_dump(rows, output, manifest=False, window_log=window_log)
+    write_dump(rows, output, versions=False, window_log=window_log)

@@ -1,14 +1,19 @@
-"""Sink ``dump_parts``: zstd NDJSON files written by tasks, published on commit.
+"""Sink ``dump_parts``: zstd NDJSON files written by tasks, live by what the manifest says.
 
 Rows carry the output file they belong to.  Every task encodes the lines it is
-given, so no line moves between tasks.  Task attempts write under unique names in a
-hidden folder; the commit publishes the parts of the attempts that succeeded, so a
-lost executor or a second attempt leaves nothing behind.  What passes through the
-driver is one short message per part.
-
-An output written by one task is a file.  One written by several is a folder of the
-same name holding ``name.p00000.zst``, ``name.p00001.zst``...: in order, and together
-(``cat``) one valid file.
+given, so no line moves between tasks, and writes each part once, to the place where
+it stays: ``_runs/<run>/<output>/<split>-<line>-<attempt>.zst``.  A run becomes visible
+by one file: ``_manifest/<run>.parquet`` has a row per input file with the parts of the
+attempts that succeeded.  Nothing is renamed, and nothing that readers may be using is
+replaced or removed: what is live follows from the rows (``operators.manifest``), also
+where a later run had no match in a file or failed to read it.  A run that does not
+get as far leaves a folder that no row names.
+
+An output's parts, in the order of their names, are together (``cat``) one valid file.
+
+``versions=false`` writes plain dumps for others to read: parts go to a hidden folder,
+and the commit moves them to ``<output>``, a file or, of several tasks, a folder of
+numbered parts. There an output must not exist before.
 """
 
 from __future__ import annotations
@@ -41,15 +46,18 @@ SINK_SCHEMA = (
     "out string, file string, split bigint, piece string, line bigint, kind int, value binary, status string"
 )
 
-MANIFEST_DIR = "_manifest"
+MANIFEST_DIR, RUNS_DIR = "_manifest", "_runs"
+# ``label`` stands for the value in the names of outputs; ``outs`` has the paths of their parts.
 MANIFEST_SCHEMA = (
     "file string, processed_at timestamp, match_count bigint, total_lines bigint, "
-    "bad_lines bigint, failure string, hashed_config string, run_id string"
+    "bad_lines bigint, failure string, hashed_config string, run_id string, label string, "
+    "outs array<struct<out: string, parts: array<string>>>"
 )
 _MANIFEST_ARROW = pa.schema([
     ("file", pa.string()), ("processed_at", pa.timestamp("us", "UTC")), ("match_count", pa.int64()),
     ("total_lines", pa.int64()), ("bad_lines", pa.int64()), ("failure", pa.string()),
-    ("hashed_config", pa.string()), ("run_id", pa.string()),
+    ("hashed_config", pa.string()), ("run_id", pa.string()), ("label", pa.string()),
+    ("outs", pa.list_(pa.struct([("out", pa.string()), ("parts", pa.list_(pa.string()))]))),
 ])
 RATE_EXCEEDED = "error rate exceeded"
 _PUBLISHERS = 32
@@ -65,7 +73,7 @@ class Part:
     file: str
     split: int
     first: int
-    temp: str | None = None
+    path: str | None = None  # below the target, once something is written
     matched: int = 0
     bad: int = 0
     lines: int = 0
@@ -80,14 +88,16 @@ class Written(WriterCommitMessage):
 class _Encoder:
     """The one part a task has open."""
 
-    def __init__(self, fs: pafs.FileSystem, folder: str, part: Part, window_log: int | None):
-        self.fs, self.folder, self.part, self.window_log = fs, folder, part, window_log
+    def __init__(self, fs: pafs.FileSystem, target: str, part: Part, path: str, window_log: int | None):
+        self.fs, self.target, self.part, self.path, self.window_log = fs, target, part, path, window_log
         self.raw = self.stream = None
 
     def write(self, values: pa.Array) -> None:
         if self.stream is None:
-            self.part.temp = f"{self.folder}/{uuid.uuid4().hex}"
-            self.raw = self.fs.open_output_stream(self.part.temp)
+            name = f"{self.target}/{self.path}"
+            self.fs.create_dir(name.rsplit("/", 1)[0], recursive=True)
+            self.part.path = self.path
+            self.raw = self.fs.open_output_stream(name, compression=None)
             settings = {}
             if self.window_log:
                 settings["compression_params"] = zstandard.ZstdCompressionParameters.from_level(
@@ -111,18 +121,22 @@ class DumpWriter(DataSourceArrowWriter):
         self.target = options["path"].rstrip("/")
         self.run_id = options["run_id"]
         self.config_hash = options.get("config_hash", "")
-        self.manifest = options.get("manifest", "true") == "true"
+        self.label = options.get("label", "")
+        self.versions = options.get("versions", "true") == "true"
         rate = options.get("error_rate", "")
         self.error_rate = float(rate) if rate else None
         self.window_log = int(options.get("window_log", "0")) or None
-        self.hidden = f"_tmp-{self.run_id}"
+        self.folder = f"{RUNS_DIR}/{self.run_id}" if self.versions else f"_tmp-{self.run_id}"
 
     # ------------------------------------------------------------ on executors
 
+    def _path(self, part: Part) -> str:
+        """A name of its own for every attempt, in the order of the file."""
+        name = f"{part.split:015d}-{part.first:010d}-{uuid.uuid4().hex[:12]}{EXTENSION}"
+        return f"{self.folder}/{part.out}/{name}" if self.versions else f"{self.folder}/{name}"
+
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, target = open_fs(self.target)
-        folder = f"{target}/{self.hidden}"
-        fs.create_dir(folder, recursive=True)
         message, encoder, open_key = Written(), None, None
         for batch in iterator:
             keys = pc.binary_join_element_wise(
@@ -136,8 +150,8 @@ class DumpWriter(DataSourceArrowWriter):
                 if key != open_key:
                     if encoder is not None:
                         message.parts.append(encoder.close())
-                    head = [rows[c][0].as_py() for c in ("out", "file", "split", "line")]
-                    encoder, open_key = _Encoder(fs, folder, Part(*head), self.window_log), key
+                    part = Part(*[rows[c][0].as_py() for c in ("out", "file", "split", "line")])
+                    encoder, open_key = _Encoder(fs, target, part, self._path(part), self.window_log), key
                 self._take(encoder, rows)
         if encoder is not None:
             message.parts.append(encoder.close())
@@ -166,22 +180,17 @@ class DumpWriter(DataSourceArrowWriter):
         rows = [self._summary(file, group) for file, group in by_file.items()]
         self._check_rate(rows)
         fs, target = open_fs(self.target)
-        failed = {r["file"] for r in rows if r["failure"] is not None}
-        by_out: dict[str, list[Part]] = {}
-        for file, group in by_file.items():
-            if file not in failed:
-                for part in group:
-                    if part.temp is not None:
-                        by_out.setdefault(part.out, []).append(part)
-        self._publish(fs, target, by_out)
-        if self.manifest:
-            table = pa.Table.from_pylist(rows, _MANIFEST_ARROW)
-            folder = f"{target}/{MANIFEST_DIR}"
-            fs.create_dir(folder, recursive=True)
-            temp = f"{target}/{self.hidden}/manifest"
-            pq.write_table(table, temp, filesystem=fs)
-            fs.move(temp, f"{folder}/{self.run_id}.parquet")
-        self._drop_hidden()
+        if not self.versions:
+            self._publish(fs, target, by_file)
+            self._drop(fs, target)
+            return
+        # The one step that publishes the run.
+        folder = f"{target}/{MANIFEST_DIR}"
+        for name in (folder, f"{target}/{self.folder}"):
+            fs.create_dir(name, recursive=True)
+        noted = f"{target}/{self.folder}/manifest"
+        pq.write_table(pa.Table.from_pylist(rows, _MANIFEST_ARROW), noted, filesystem=fs)
+        fs.move(noted, f"{folder}/{self.run_id}.parquet")
 
     def _summary(self, file: str, group: list[Part]) -> dict:
         """Counts of a file; as reading a failed file in order would have given them."""
@@ -189,6 +198,10 @@ class DumpWriter(DataSourceArrowWriter):
         if failure is not None:
             stop = next(p.split for p in group if p.failure is not None)
             group = [p for p in group if p.split <= stop]
+        outs: dict[str, list[str]] = {}
+        for part in group:
+            if failure is None and part.path is not None:
+                outs.setdefault(part.out, []).append(part.path)
         return {
             "file": file,
             "processed_at": datetime.now(timezone.utc),
@@ -198,6 +211,8 @@ class DumpWriter(DataSourceArrowWriter):
             "failure": failure,
             "hashed_config": self.config_hash,
             "run_id": self.run_id,
+            "label": self.label,
+            "outs": [{"out": out, "parts": paths} for out, paths in outs.items()],
         }
 
     def _check_rate(self, rows: list[dict]) -> None:
@@ -209,32 +224,36 @@ class DumpWriter(DataSourceArrowWriter):
             raise RuntimeError(f"{RATE_EXCEEDED}: {errors} errors in {lines} lines")
 
     @staticmethod
-    def _publish(fs: pafs.FileSystem, target: str, by_out: dict[str, list[Part]]) -> None:
+    def _publish(fs: pafs.FileSystem, target: str, by_file: dict[str, list[Part]]) -> None:
+        by_out: dict[str, list[str]] = {}
+        for group in by_file.values():
+            for part in group:
+                if part.path is not None:
+                    by_out.setdefault(part.out, []).append(part.path)
+        there = fs.get_file_info([f"{target}/{out}" for out in by_out])
+        for info in there:
+            if info.type != pafs.FileType.NotFound:
+                raise FileExistsError(f"{info.path} is there already")
+
         def publish(out: str) -> None:
             final, group = f"{target}/{out}", by_out[out]
-            earlier = fs.get_file_info(final).type
-            if earlier == pafs.FileType.Directory:
-                fs.delete_dir(final)
-            elif earlier == pafs.FileType.File:
-                fs.delete_file(final)
             if len(group) == 1:
                 fs.create_dir(final.rsplit("/", 1)[0], recursive=True)
-                fs.move(group[0].temp, final)
+                fs.move(f"{target}/{group[0]}", final)
                 return
             fs.create_dir(final, recursive=True)
             stem = final.rsplit("/", 1)[1][: -len(EXTENSION)]
-            for i, part in enumerate(group):
-                fs.move(part.temp, f"{final}/{stem}.p{i:05d}{EXTENSION}")
+            for i, path in enumerate(group):
+                fs.move(f"{target}/{path}", f"{final}/{stem}.p{i:05d}{EXTENSION}")
 
         with ThreadPoolExecutor(_PUBLISHERS) as pool:  # renames wait on the file system
             list(pool.map(publish, by_out))
 
     def abort(self, messages: list[Written | None]) -> None:
-        self._drop_hidden()
+        self._drop(*open_fs(self.target))
 
-    def _drop_hidden(self) -> None:
-        fs, target = open_fs(self.target)
-        folder = f"{target}/{self.hidden}"
+    def _drop(self, fs: pafs.FileSystem, target: str) -> None:
+        folder = f"{target}/{self.folder}"
         if fs.get_file_info(folder).type == pafs.FileType.Directory:
             fs.delete_dir(folder)
 

@@ -16,7 +16,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from dumpsieve.functions.regex import re2_search
 from dumpsieve.functions.text import base_name
+from dumpsieve.operators.manifest import failed_files, read_manifest
 from dumpsieve.plans.filter_run import config_hash, filter_files
+from dumpsieve.sources.listing import list_input_files
 from dumpsieve.sources.scan import SPLIT_BYTES
 from dumpsieve.sources.zst import EXTENSION
 from dumpsieve.specs import FilterSpec
@@ -47,15 +49,28 @@ def stream_filter(
     spark: SparkSession, path: str, output: str, spec: FilterSpec, checkpoint: str,
     max_files: int | None = None, split_bytes: int = SPLIT_BYTES,
 ) -> StreamingQuery:
-    """Filter what has arrived since the last call; one checkpoint per settings."""
+    """Filter what has arrived since the last call; one checkpoint per settings.
+
+    A micro-batch also has the files that the latest run could not read, as far as they
+    are still there: the source hands out a file once, so a mended one would not come again.
+    They go with every call in which something new arrives.
+    """
+    hashed = config_hash(spark, spec)
 
     def filter_batch(batch: DataFrame, _: int) -> None:
-        filter_files(batch.sparkSession, batch, output, spec, split_bytes)
+        session = batch.sparkSession
+        manifest = read_manifest(session, output)
+        if manifest is not None:
+            failed = failed_files(manifest, hashed)
+            if not failed.isEmpty():
+                again = list_input_files(session, path, spec.file_filter).join(F.broadcast(failed), "file")
+                batch = batch.unionByName(again.join(batch.select("file"), "file", "left_anti").select(*batch.columns))
+        filter_files(session, batch, output, spec, split_bytes)
 
     return (
         stream_files(spark, path, spec.file_filter, max_files)
         .writeStream.foreachBatch(filter_batch)
-        .option("checkpointLocation", f"{checkpoint.rstrip('/')}/{config_hash(spark, spec)}")
+        .option("checkpointLocation", f"{checkpoint.rstrip('/')}/{hashed}")
         .trigger(availableNow=True)
         .start()
     )

@@ -4,7 +4,6 @@ import os
 import sys
 
 import pytest
-import zstandard
 from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -24,21 +23,6 @@ def spark():
     session.stop()
 
 
-def frame(data: bytes, **options) -> bytes:
-    return zstandard.ZstdCompressor(**options).compress(data)
-
-
-def raw_frame(data: bytes, window_log: int) -> bytes:
-    """A frame by hand: one raw block, and a header that asks for a window of 2**window_log."""
-    header = b"\x28\xb5\x2f\xfd" + bytes([0, (window_log - 10) << 3])
-    return header + (len(data) << 3 | 1).to_bytes(3, "little") + data
-
-
-def read_zst(path) -> bytes:
-    with open(path, "rb") as file:
-        return zstandard.ZstdDecompressor().stream_reader(file, read_across_frames=True).read()
-
-
 @pytest.fixture
 def dump(tmp_path):
     """Folder to put dump files in: ``dump({name: bytes})``."""

@@ -1,7 +1,7 @@
 import os
 
 import pytest
-from conftest import frame, raw_frame, read_zst
+from dump_files import frame, raw_frame, read_zst
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

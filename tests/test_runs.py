@@ -1,16 +1,18 @@
 import os
 
 import pytest
-from conftest import frame, read_zst
+from dump_files import frame, read_zst
 from pyspark.sql import functions as F
 
 from dumpsieve.operators import value_list as lists
 from dumpsieve.operators.counters import error_rate_gate, per_file_stats
-from dumpsieve.operators.manifest import read_manifest
+from dumpsieve.operators.manifest import (
+    collect_superseded, compact_manifest, export_live, live_files, live_parts, read_manifest, read_output,
+)
 from dumpsieve.operators.predicates import tag_matches
 from dumpsieve.plans import filter_run
 from dumpsieve.plans.csv_run import csv_projection, run_csv, write_csv
-from dumpsieve.plans.filter_run import ErrorRateExceeded, filter_dump, run_filter, write_lines
+from dumpsieve.plans.filter_run import ErrorRateExceeded, filter_dump, filter_files, run_filter, write_lines
 from dumpsieve.sources.listing import NoInputError
 from dumpsieve.sources.scan import only_lines, scan_dump_lines
 from dumpsieve.specs import CsvSpec, FilterSpec
@@ -28,27 +30,36 @@ MATCHED = b'{"author":"AB","n":1}\n{"author":"ab","title":"a,b"}\n{"author":"Ab"
 SPEC = FilterSpec("author", "ab")
 
 
-def outputs(root) -> dict[str, bytes]:
-    """Output files by name; the parts of one output joined in order."""
+def outputs(spark, root) -> dict[str, bytes]:
+    """Live outputs by name; the parts of one output joined in order."""
+    found = {}
+    for r in sorted(live_parts(spark, str(root)).collect(), key=lambda r: r.part):
+        found[r.out] = found.get(r.out, b"") + read_zst(r.path)
+    return found
+
+
+def plain(root) -> dict[str, bytes]:
     found = {}
     for folder, _, names in sorted(os.walk(root)):
         for name in sorted(names):
             path = os.path.relpath(os.path.join(folder, name), root)
-            if name.endswith(".zst"):
-                key = os.path.dirname(path) if os.path.dirname(path).endswith(".zst") else path
-                found[key] = found.get(key, b"") + read_zst(os.path.join(folder, name))
+            key = os.path.dirname(path) if os.path.dirname(path).endswith(".zst") else path
+            found[key] = found.get(key, b"") + read_zst(os.path.join(folder, name))
     return found
 
 
 def leftovers(root) -> list[str]:
-    return [n for n in os.listdir(root) if n.startswith("_tmp")]
+    """Folders of runs without a row in the manifest, and hidden ones."""
+    runs, done = f"{root}/_runs", {n.split(".")[0] for n in os.listdir(f"{root}/_manifest")} if os.path.isdir(f"{root}/_manifest") else set()
+    unknown = [n for n in os.listdir(runs) if n not in done] if os.path.isdir(runs) else []
+    return unknown + [n for n in os.listdir(root) if n.startswith("_tmp")]
 
 
 @pytest.mark.parametrize("split_bytes", [1 << 27, 16, 1])  # 1: long splits, staged
 def test_filter_run(spark, dump, tmp_path, split_bytes):
     out = str(tmp_path / "out")
     report = run_filter(spark, dump(FILES), out, SPEC, split_bytes)
-    assert outputs(out) == {
+    assert outputs(spark, out) == {
         "RS_1_ab.zst": MATCHED, "sub/RS_1_ab.zst": b'{"author":"ab","from":"sub"}\n',
         "RC_1_ab.zst": b'{"author":"ab","body":"q\\"","score":2}\n'}
     assert leftovers(out) == []
@@ -63,7 +74,7 @@ def test_filter_run(spark, dump, tmp_path, split_bytes):
     assert (again.new_files, again.skipped_files) == (1, 4)
     other = run_filter(spark, dump({}), out, FilterSpec("author", "ab", partial=True), split_bytes)
     assert other.new_files == 5
-    assert outputs(out)["RS_1_ab.zst"] == MATCHED.replace(b"\n", b'\n{"author":"xaby"}\n', 1)
+    assert outputs(spark, out)["RS_1_ab.zst"] == MATCHED.replace(b"\n", b'\n{"author":"xaby"}\n', 1)
 
 
 def test_run_with_nothing_new(spark, dump, tmp_path):
@@ -75,20 +86,20 @@ def test_run_with_nothing_new(spark, dump, tmp_path):
     assert report.files.isEmpty()
     dump({"RS_2.zst": frame(b'{"author":"aB"}\n')})
     assert run_filter(spark, root, out, SPEC).new_files == 1
-    assert set(outputs(out)) == {"RS_1_ab.zst", "RS_2_ab.zst"}
+    assert set(outputs(spark, out)) == {"RS_1_ab.zst", "RS_2_ab.zst"}
     assert read_manifest(spark, out).count() == 2
     with pytest.raises(NoInputError):
         run_filter(spark, root, out, FilterSpec("author", "ab", file_filter="nothing"))
 
 
-def test_output_cut_into_parts_replaces_a_single_file_and_back(spark, dump, tmp_path):
+def test_parts_replace_a_single_file_and_back(spark, dump, tmp_path):
     out = str(tmp_path / "out")
     root = dump({"RS_1.zst": frame(b'{"author":"ab"}\n') + frame(b'{"author":"AB"}\n' * 2)})
-    for i, (split_bytes, whole) in enumerate([(1 << 20, True), (8, False), (1 << 20, True)]):
+    for i, (split_bytes, parts) in enumerate([(1 << 20, 1), (8, 2), (1 << 20, 1)]):
         # a new name filter makes it a new run
         run_filter(spark, root, out, FilterSpec("author", "ab", file_filter="RS" + ".*" * i), split_bytes)
-        assert os.path.isfile(f"{out}/RS_1_ab.zst") == whole
-        assert outputs(out) == {"RS_1_ab.zst": b'{"author":"ab"}\n{"author":"AB"}\n{"author":"AB"}\n'}
+        assert live_parts(spark, out).count() == parts
+        assert outputs(spark, out) == {"RS_1_ab.zst": b'{"author":"ab"}\n{"author":"AB"}\n{"author":"AB"}\n'}
 
 
 def test_error_rate(spark, dump, tmp_path):
@@ -96,7 +107,7 @@ def test_error_rate(spark, dump, tmp_path):
     out = str(tmp_path / "out")
     with pytest.raises(ErrorRateExceeded):
         run_filter(spark, root, out, FilterSpec("author", "ab", error_rate=24))
-    assert outputs(out) == {} and leftovers(out) == [] and read_manifest(spark, out) is None
+    assert outputs(spark, out) == {} and leftovers(out) == [] and read_manifest(spark, out) is None
     assert run_filter(spark, root, out, FilterSpec("author", "ab", error_rate=25)).errors == 1
     tagged = tag_matches(only_lines(scan_dump_lines(spark, root)), SPEC)
     assert error_rate_gate(tagged, 24).first().passed is False
@@ -109,7 +120,7 @@ def test_split_by_letter(spark, dump, tmp_path):
     root = dump({"RS_1.zst": frame(b'{"title":"Ax"}\n{"title":"bx"}\n{"title":"ax2"}\n{"title":"/x"}\n{"title":"q"}\n')})
     out = str(tmp_path / "out")
     run_filter(spark, root, out, FilterSpec("title", "x", partial=True, split_by_letter=True))
-    assert outputs(out) == {
+    assert outputs(spark, out) == {
         "a/RS_1_x.zst": b'{"title":"Ax"}\n{"title":"ax2"}\n', "b/RS_1_x.zst": b'{"title":"bx"}\n', "_/RS_1_x.zst": b'{"title":"/x"}\n'}
 
 
@@ -123,7 +134,7 @@ def test_value_list(spark, dump, tmp_path, monkeypatch, limit):
     out = str(tmp_path / "out")
     spec = FilterSpec("author", value_list=str(path))
     report = run_filter(spark, root, out, spec, split_bytes=8)
-    (got,) = outputs(out).values()
+    (got,) = outputs(spark, out).values()
     want = MATCHED.replace(b"\n", b'\n{"author":"xaby"}\n', 1) + b'{"author":"S"}\n{"author":"aB"}\n{"author":"s"}\n'
     assert got == want and (report.matched, report.errors, report.processed) == (7, 1, 10)
     assert run_filter(spark, root, out, spec).new_files == 0
@@ -152,18 +163,84 @@ def test_long_and_blank_lists_of_patterns(spark, tmp_path):
 
 
 def test_the_latest_run_decides(spark, dump, tmp_path):
-    root, output = dump({"RS_a.zst": frame(b'{"author":"ab"}\n{"author":"xaby"}\n')}), str(tmp_path / "out")
+    root, output = dump({
+        "RS_a.zst": frame(b'{"author":"ab"}\n{"author":"xaby"}\n'),
+        "RS_b.zst": frame(b'{"author":"xaby"}\n'),  # only the middle run matches
+        "RS_c.zst": frame(b'{"author":"ab"}\n'),  # fails in the last run
+    }), str(tmp_path / "out")
     exact, partial = FilterSpec("author", "ab"), FilterSpec("author", "ab", partial=True)
-    for spec, lines in ((exact, 1), (partial, 2), (exact, 1)):
-        assert run_filter(spark, root, output, spec).new_files == 1
-        assert read_zst(f"{output}/RS_a_ab.zst").count(b"\n") == lines
-    assert run_filter(spark, root, output, exact).new_files == 0
-    assert run_filter(spark, root, output, FilterSpec("author", "ab", split_by_letter=True)).new_files == 1
+    a, b = b'{"author":"ab"}\n', b'{"author":"xaby"}\n'
+    both = {"RS_a_ab.zst": a + b, "RS_b_ab.zst": b, "RS_c_ab.zst": a}
+    for spec, live in ((exact, {"RS_a_ab.zst": a, "RS_c_ab.zst": a}), (partial, both)):
+        assert run_filter(spark, root, output, spec).new_files == 3
+        assert outputs(spark, output) == live
+    resolved = live_files(spark, output).collect()
+    dump({"RS_c.zst": frame(b'{"author":"ab"}\n')[:-2]})
+    assert run_filter(spark, root, output, exact).new_files == 3
+    assert outputs(spark, output) == {"RS_a_ab.zst": a}
+    assert live_parts(spark, output, partial.config_hash()).isEmpty()
+    assert all(os.path.exists(f.path) for f in resolved)  # a reader that is still at the earlier run is not disturbed
+    assert run_filter(spark, root, output, exact).new_files == 1  # the failed one
+    # Another value has outputs of its own, which do not make the first ones old.
+    other = FilterSpec("author", "xaby")
+    run_filter(spark, root, output, other)
+    assert outputs(spark, output) == {"RS_a_ab.zst": a, "RS_a_xaby.zst": b, "RS_b_xaby.zst": b}
+    assert run_filter(spark, root, output, exact).new_files == 1
+    dump({"RS_c.zst": frame(b'{"author":"ab"}\n')})
+    assert run_filter(spark, root, output, FilterSpec("author", "ab", split_by_letter=True)).new_files == 3
+    assert set(outputs(spark, output)) == {"a/RS_a_ab.zst", "a/RS_c_ab.zst", "RS_a_xaby.zst", "RS_b_xaby.zst"}
     for bad in ("/", "file:///", "//"):
         with pytest.raises(ValueError):
             run_filter(spark, root, bad, exact)
 
 
+def test_superseded_runs_are_collected(spark, dump, tmp_path):
+    root, output = dump({f"RS_{i}.zst": frame(b'{"author":"ab"}\n{"author":"xaby"}\n') for i in range(3)}), str(tmp_path / "out")
+    assert collect_superseded(spark, output) == 0
+    run_filter(spark, root, output, FilterSpec("author", "ab"))
+    run_filter(spark, root, output, FilterSpec("author", "ab", partial=True, file_filter="RS_[01]"))
+    run_filter(spark, root, output, FilterSpec("author", "ab", partial=True, file_filter="RS_[01].*"))
+    os.makedirs(f"{output}/_runs/running/RS_9_ab.zst")  # another driver is at work
+    (tmp_path / "out/_runs/running/RS_9_ab.zst/part").write_bytes(b"")
+    (live,) = {r.run_id for r in live_parts(spark, output).where("file = 'RS_0.zst'").collect()}
+    (tmp_path / f"out/_runs/{live}/RS_0_ab.zst/lost-attempt.zst").write_bytes(b"?")
+    before = outputs(spark, output)
+    lines = sorted(r.value for r in read_output(spark, output).collect())
+    assert len(lines) == 5
+    # Two parts of the first run, the second run whole, the part of a lost attempt.
+    assert collect_superseded(spark, output) == 4
+    assert outputs(spark, output) == before and sorted(r.value for r in read_output(spark, output).collect()) == lines
+    assert len([n for n in os.listdir(f"{output}/_manifest") if n.endswith(".parquet")]) == 1
+    assert sorted(os.listdir(f"{output}/_runs"))[-1] == "running" and len(os.listdir(f"{output}/_runs")) == 3
+    assert collect_superseded(spark, output) == 0 and compact_manifest(spark, output) == 0
+    assert run_filter(spark, root, output, FilterSpec("author", "ab", partial=True, file_filter="RS_[01].*")).new_files == 0
+    # An older run loses to a later one also after its rows were put together.
+    run_filter(spark, root, output, FilterSpec("author", "AB"))
+    assert set(outputs(spark, output)) == {f"RS_{i}_{v}.zst" for i in range(3) for v in ("ab", "AB")}
+
+
+def test_live_outputs_as_plain_files(spark, dump, tmp_path):
+    root, output = dump({"sub/RS_1.zst": frame(b'{"author":"ab"}\n') + frame(b'{"author":"AB"}\n' * 2)}), str(tmp_path / "out")
+    run_filter(spark, root, output, SPEC, split_bytes=8)
+    (row,) = export_live(spark, output, str(tmp_path / "copy")).collect()
+    assert (row.name, row.parts, row.bytes) == ("sub/RS_1_ab.zst", 2, os.path.getsize(tmp_path / "copy/sub/RS_1_ab.zst"))
+    assert plain(tmp_path / "copy") == outputs(spark, output)
+    assert export_live(spark, output, str(tmp_path / "parts"), whole=False).count() == 2
+    assert plain(tmp_path / "parts") == outputs(spark, output)
+    # Outputs can be filtered again.
+    again = str(tmp_path / "again")
+    filter_files(spark, live_files(spark, output), again, FilterSpec("author", "AB", partial=True))
+    assert b"".join(outputs(spark, again).values()) == b'{"author":"ab"}\n{"author":"AB"}\n{"author":"AB"}\n'
+
+
+def test_plain_dumps_are_not_replaced(spark, tmp_path):
+    lines = spark.createDataFrame([("RS_1.zst", "a")], "out string, value string")
+    write_lines(lines, str(tmp_path / "d"))
+    with pytest.raises(Exception, match="there already"):
+        write_lines(lines, str(tmp_path / "d"))
+    assert plain(tmp_path / "d") == {"RS_1.zst": b"a\n"} and leftovers(tmp_path / "d") == []
+
+
 def test_missing_and_empty_lists(spark, tmp_path):
     (tmp_path / "empty.txt").write_text("")
     for bad in ("empty.txt", "missing.txt"):
@@ -239,19 +316,31 @@ def test_stream_equals_batch(spark, dump, tmp_path):
     spec, state = FilterSpec("author", "a", partial=True), str(tmp_path / "state")
     run_filter(spark, root, str(tmp_path / "batch"), spec)
     stream_filter(spark, root, str(tmp_path / "stream"), spec, state, max_files=1).awaitTermination()
-    assert outputs(tmp_path / "stream") == outputs(tmp_path / "batch") != {}
+    assert outputs(spark, tmp_path / "stream") == outputs(spark, tmp_path / "batch") != {}
     dump({"new/RS_9.zst": frame(b'{"author":"A"}\n')})
     stream_filter(spark, root, str(tmp_path / "stream"), spec, state).awaitTermination()
-    assert outputs(tmp_path / "stream")["new/RS_9_a.zst"] == b'{"author":"A"}\n'
+    assert outputs(spark, tmp_path / "stream")["new/RS_9_a.zst"] == b'{"author":"A"}\n'
     assert read_manifest(spark, str(tmp_path / "stream")).count() == 5
 
 
+def test_stream_tries_failed_files_again(spark, dump, tmp_path):
+    good = frame(b'{"author":"ab"}\n')
+    root, state, out = dump({"RS_1.zst": good, "RS_2.zst": good[:-2]}), str(tmp_path / "state"), str(tmp_path / "out")
+    stream_filter(spark, root, out, SPEC, state).awaitTermination()
+    assert set(outputs(spark, out)) == {"RS_1_ab.zst"}
+    times = os.stat(f"{root}/RS_2.zst")
+    dump({"RS_2.zst": good, "RS_3.zst": good})
+    os.utime(f"{root}/RS_2.zst", ns=(times.st_atime_ns, times.st_mtime_ns))  # the source has seen this one
+    stream_filter(spark, root, out, SPEC, state).awaitTermination()
+    assert set(outputs(spark, out)) == {"RS_1_ab.zst", "RS_2_ab.zst", "RS_3_ab.zst"}
+
+
 def test_written_dump_reads_back(spark, tmp_path):
     table = spark.range(0, 1000, 1, 4).select(
         F.concat(F.lit("RS_"), (F.col("id") % 3).cast("string"), F.lit(".zst")).alias("out"),
         F.concat(F.lit("line "), F.col("id").cast("string")).alias("value"))
     write_lines(table, str(tmp_path / "d"))
-    assert len(outputs(tmp_path / "d")) == 3
+    assert len(plain(tmp_path / "d")) == 3
     back = only_lines(scan_dump_lines(spark, str(tmp_path / "d"))).select("value")
     assert back.exceptAll(table.select("value")).isEmpty() and back.count() == 1000
 
