@@ -26,7 +26,7 @@ from dumpsieve.operators import projections as pj
 from dumpsieve.operators.manifest import export_live, read_manifest, read_output, skip_processed
 from dumpsieve.operators.predicates import field_present, file_name_filter, filter_lines, tag_matches
 from dumpsieve.operators.value_list import value_list_source
-from dumpsieve.plans.csv_run import csv_lines, csv_projection, run_csv, write_by_letter
+from dumpsieve.plans.csv_run import csv_lines, csv_projection, read_csv_parts, run_csv, write_by_letter
 from dumpsieve.plans.filter_run import filter_dump, filter_files, run_filter
 from dumpsieve.sources.listing import NoInputError, dump_kind, list_input_files
 from dumpsieve.sources.scan import ingest, only_lines, read_staged, scan_dump_lines, shared_folder
@@ -595,6 +595,48 @@ def sink_csv(spark, sf_dir):
     return table.csv(f"{output}/output.csv").na.fill("")
 
 
+@query("sink_csv_default", _TABLE)
+def sink_csv_default(spark, sf_dir):
+    # The one table of a default run, read back from its parts.
+    (report,) = run_csv(spark, fx.dump(spark, sf_dir), shared_folder(spark, "csv"))
+    return read_csv_parts(spark, report.path)
+
+
+@query("sink_csv_per_kind", f"""
+  SELECT author, score, created, link, text AS body, 0 AS errors FROM (SELECT {SUBMISSION_ROW} FROM documents)
+  UNION ALL SELECT author, score, created, link, body, 0 FROM (SELECT {COMMENT_ROW} FROM conversations)""")
+def sink_csv_per_kind(spark, sf_dir):
+    first, second = run_csv(spark, fx.dump(spark, sf_dir), shared_folder(spark, "csv"), CsvSpec(per_kind=True))
+    names = ("author", "score", "created", "link")
+    tables = [read_csv_parts(spark, r.path) for r in (first, second)]
+    parts = [t.select(*names, F.col(t.columns[-1] if "body" in t.columns else "text").alias("body")) for t in tables]
+    return parts[0].union(parts[1]).withColumn("errors", F.lit(first.errors + second.errors))
+
+
+@query("csv_failure_policy", f"""
+  SELECT {SUBMISSION_ROW}, true AS torn FROM documents WHERE lang = 'es'
+  UNION ALL SELECT author, '', score, created, link, '', '', true FROM (SELECT {COMMENT_ROW} FROM conversations)""")
+def csv_failure_policy(spark, sf_dir):
+    # Some files end in something that is no frame: the rows in front of that stay, in one table with the whole files.
+    root, damaged = fx.dump(spark, sf_dir), shared_folder(spark, "torn")
+    files = list_input_files(spark, root, "^(RC_|RS_es)").select("file", "path", "length")
+
+    def copy(row) -> None:
+        source, name = open_fs(row.path)
+        target, folder = open_fs(damaged)
+        target.create_dir(f"{folder}/{row.file}".rsplit("/", 1)[0], recursive=True)
+        with target.open_output_stream(f"{folder}/{row.file}", compression=None) as write:
+            with source.open_input_file(name) as read:
+                while data := read.read(1 << 20):
+                    write.write(data)
+            if "RS_es" in row.file:
+                write.write(b"no frame")
+
+    files.foreach(copy)
+    (report,) = run_csv(spark, damaged, shared_folder(spark, "csv"), split_bytes=16 << 10)
+    return read_csv_parts(spark, report.path).withColumn("torn", F.lit(report.errors > 0))
+
+
 @query("sink_csv_exact", rf"""
   WITH t AS (SELECT {SUBMISSION_ROW} FROM documents)
   SELECT concat_ws(',', author, '"' || replace(title, '"', '""') || '"', score, created, link,

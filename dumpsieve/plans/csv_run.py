@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,12 +14,14 @@ from dumpsieve.functions.text import first_letter
 from dumpsieve.functions.values import csv_line
 from dumpsieve.operators import counters
 from dumpsieve.operators.projections import COLUMNS, column, keys_for, project
+from dumpsieve.sources.csv_sink import FORMAT as CSV_FORMAT
+from dumpsieve.sources.csv_sink import CsvSink, read_report
 from dumpsieve.sources.listing import DumpFile, collect_files, kind_of, list_input_files
 from dumpsieve.sources.scan import (
-    SPLIT_BYTES, first_failures, keep_until_failure, only_lines, plan_scan, scan_splits,
+    SPLIT_BYTES, first_failures, keep_until_failure, only_lines, plan_scan, scan_in_pieces, scan_splits,
     scratch_folder, shared_folder, stage,
 )
-from dumpsieve.sources.zst import FAILED
+from dumpsieve.sources.zst import FAILED, open_fs
 from dumpsieve.specs import CsvSpec
 
 OUTPUT_NAME = "output.csv"
@@ -73,7 +77,7 @@ def _usable_lines(
     """
     plan = plan_scan(spark, files, split_bytes, folder)
     scanned = scan_splits(plan)
-    if not plan.cut and not plan.uneven:
+    if not plan.cut:
         return scanned, 0
     staged = stage(scanned, folder + "/lines")
     lines = keep_until_failure(staged).withColumn("status", F.lit(None).cast("string"))
@@ -83,6 +87,8 @@ def _usable_lines(
 def _write(
     spark: SparkSession, files: list[DumpFile], kind: str, path: str, spec: CsvSpec, split_bytes: int
 ) -> CsvReport:
+    if spec.exact:
+        return _write_exact(spark, files, kind, path, spec, split_bytes)
     columns = COLUMNS[kind]
     seen = Observation()
     with scratch_folder(spark) as folder:
@@ -97,11 +103,40 @@ def _write(
             F.count_if(F.startswith("status", F.lit(FAILED))).alias("failed"),
         )
         table = counted.where(~F.col("is_bad")).select(*columns)
-        write_csv(table, path, spec.exact)
+        write_csv(table, path, exact=False)
     got = seen.get
     return CsvReport(kind, got["processed"], got["bad_lines"], got["bad_lines"] + got["failed"] + failed, path)
 
 
+def _write_exact(
+    spark: SparkSession, files: list[DumpFile], kind: str, path: str, spec: CsvSpec, split_bytes: int
+) -> CsvReport:
+    """One pass: records are written as they are read, and what stands behind a failure is left out at the end."""
+    columns = COLUMNS[kind]
+    with scratch_folder(spark) as folder:
+        lines = scan_in_pieces(plan_scan(spark, files, split_bytes, folder), folder, placed=True)
+        parsed = parse_ndjson(lines, keys_for(columns))
+        record = csv_line([column(c, spec.number_style) for c in columns])
+        value = F.when(F.col("status").isNull() & ~F.col("is_bad"), record).alias("value")
+        rows = parsed.select("file", "place", "piece", "whole", "line", value, "is_bad", "status")
+        spark.dataSource.register(CsvSink)
+        writer = rows.write.format(CSV_FORMAT).mode("append").option("run_id", uuid.uuid4().hex)
+        writer.option("header", ",".join(columns)).save(path)
+    got = read_report(path)
+    return CsvReport(kind, got["processed"], got["bad_lines"], got["bad_lines"] + len(got["failed_files"]), path)
+
+
+def read_csv_parts(spark: SparkSession, path: str) -> DataFrame:
+    """The table that a run has written in the default form, as text columns."""
+    fs, folder = open_fs(path)
+    header = next(i for i in fs.get_file_info(pafs.FileSelector(folder)) if i.base_name.endswith("header"))
+    with fs.open_input_stream(header.path, compression=None) as file:
+        columns = file.read().decode().strip().split(",")
+    reader = spark.read.schema(", ".join(f"{c} string" for c in columns))
+    options = dict(multiLine=True, quote='"', escape='"', nullValue="\u0000", lineSep="\n", pathGlobFilter="*.csv")
+    return reader.options(**options).csv(path).na.fill("")
+
+
 def csv_lines(table: DataFrame) -> DataFrame:
     """Rows of text columns as CSV lines, quoted only where needed."""
     return table.select(csv_line([F.col(c) for c in table.columns]).alias("value"))

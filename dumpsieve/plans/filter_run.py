@@ -7,7 +7,7 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dumpsieve.functions.text import output_name
@@ -19,7 +19,7 @@ from dumpsieve.sources.dump_sink import (
 )
 from dumpsieve.sources.listing import DumpFile, NoInputError, collect_files, list_input_files
 from dumpsieve.sources.scan import (
-    SPLIT_BYTES, drop_failed_files, piece_of_staged, plan_scan, scan_splits, scratch_folder, shared_folder, stage,
+    SPLIT_BYTES, drop_failed_files, plan_scan, scan_in_pieces, scratch_folder, shared_folder, stage,
 )
 from dumpsieve.specs import FilterSpec
 
@@ -63,7 +63,7 @@ def filter_dump(spark: SparkSession, path: str, spec: FilterSpec, split_bytes: i
     """
     folder = shared_folder(spark, "filter")
     files = collect_files(list_input_files(spark, path, spec.file_filter))
-    scanned, _ = _scan(spark, files, split_bytes, folder)
+    scanned = scan_in_pieces(plan_scan(spark, files, split_bytes, folder), folder)
     tagged = tag_matches(scanned, spec, _values(spark, spec))
     found = tagged.where(F.col("matched") | F.col("status").isNotNull())
     found = found.select("file", "split", "line", "value", "status")
@@ -93,8 +93,8 @@ def filter_files(
     """Filter listed files in one pass.
 
     Lines are decoded, tested, counted and encoded in the task that reads them,
-    without an exchange.  Only where a file is one huge frame, which one task has to
-    decode, are the lines staged for many tasks to test.
+    without an exchange.  Only the lines of a huge frame, which one task has to
+    decode, are staged for many tasks to test.
     """
     check_output(output)
     values = _values(spark, spec)
@@ -108,8 +108,8 @@ def filter_files(
         return FilterReport(run_id, 0, len(listed), 0, 0, 0, spark.createDataFrame([], MANIFEST_SCHEMA))
 
     with scratch_folder(spark) as folder:
-        scanned, piece = _scan(spark, todo, split_bytes, folder)
-        rows = sink_rows(scanned, spec, values, piece)
+        scanned = scan_in_pieces(plan_scan(spark, todo, split_bytes, folder), folder)
+        rows = sink_rows(scanned, spec, values)
         write_dump(rows, output, run_id, hashed, spec.error_rate, output_label(spec, values))
 
     run = spark.read.schema(MANIFEST_SCHEMA).parquet(f"{manifest_path(output)}/{run_id}.parquet")
@@ -119,22 +119,12 @@ def filter_files(
     return FilterReport(run_id, len(todo), len(listed) - len(todo), *totals, run)
 
 
-def _scan(
-    spark: SparkSession, files: list[DumpFile], split_bytes: int, folder: str
-) -> tuple[DataFrame, Column]:
-    """Lines, staged if some split is huge, and the run of lines that each is read in."""
-    plan = plan_scan(spark, files, split_bytes, folder)
-    scanned = scan_splits(plan)
-    if plan.uneven:
-        return stage(scanned, folder + "/lines"), piece_of_staged()
-    return scanned, F.lit("")
-
-
 def sink_rows(
-    scanned: DataFrame, spec: FilterSpec, values: ValueList | None = None, piece: Column | None = None
+    scanned: DataFrame, spec: FilterSpec, values: ValueList | None = None
 ) -> DataFrame:
     """Scanned lines as rows for the sink: matches, bad lines to count, closing rows."""
-    scanned = scanned.withColumn("piece", F.lit("") if piece is None else piece)
+    if "piece" not in scanned.columns:
+        scanned = scanned.withColumn("piece", F.lit(""))
     tagged = tag_matches(scanned, spec, values)
     kind = F.when(F.col("matched"), LINE).when(F.col("is_bad"), BAD)
     kind = kind.when(F.col("status").isNotNull(), CLOSE)

@@ -8,17 +8,16 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dumpsieve.sources.listing import DumpFile, NoInputError, collect_files, list_input_files
-from dumpsieve.sources.zst import END, LINE_SCHEMA, SPLIT_SCHEMA, open_fs, plan_splits, read_splits
+from dumpsieve.sources.zst import END, LINE_SCHEMA, PLACED_SCHEMA, find_frames, open_fs, read_placed_splits, read_splits
 
 SPLIT_BYTES = 128 << 20  # compressed
-_MAX_WALKS = 10_000
 _UNEVEN = 8
 _STAGE_ROWS_PER_FILE = 20_000_000
 
@@ -52,39 +51,55 @@ class ScanPlan:
     splits: DataFrame
     n_tasks: int
     cut: bool  # some file is read by several tasks
-    uneven: bool  # some split is so long that its lines should be spread before use
+    uneven: DataFrame | None = None  # file, first: splits with so much to decode that their lines should be spread before use
 
 
 def plan_scan(
     spark: SparkSession, files: list[DumpFile], split_bytes: int = SPLIT_BYTES, folder: str | None = None
 ) -> ScanPlan:
-    """Cut the files for reading; splits of large files are noted in the shared ``folder``.
+    """Cut the files for reading into ranges of ``split_bytes``, by their lengths alone.
 
     Files are laid end to end and cut into bins, one task each; a task reads the
     splits whose middle lies in its bin, so small files share a task and files larger
-    than ``split_bytes`` get many.  What is moved and stored here describes splits: a short
-    row for every ``split_bytes``, never a line.
+    than ``split_bytes`` get many.  What is moved here describes splits: a short row for
+    every ``split_bytes``, never a line.
+
+    With a ``folder`` for staging, splits are also looked at that may be uneven: those of files
+    longer than ``_UNEVEN`` of them.  One task each finds where the first frame in it begins;
+    where the next one is too far away, the split is ``uneven``.
     """
     if not files:
         raise NoInputError("there is no dump file to read")
     total = sum(f.length for f in files)
     bin_bytes = max(1, min(split_bytes, total // spark.sparkContext.defaultParallelism))
-    rows, base, large = [], 0, 0
+    rows, base = [], 0
     for f in files:
-        rows.append((f.file, f.path, f.length, base, large % _MAX_WALKS))
+        rows.append((f.file, f.path, f.length, base))
         base += f.length
-        large += f.length > split_bytes
-    listed = spark.createDataFrame(rows, "file string, path string, length bigint, base bigint, slot int")
+    listed = spark.createDataFrame(rows, "file string, path string, length bigint, base bigint")
+    begins = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split_bytes).cast("bigint"))
+    cut = listed.select("file", "path", "length", "base", F.explode(begins).alias("first"))
+    last = F.least(F.col("first") + split_bytes, F.col("length"))
+    middle = F.col("base") + F.shiftright(F.col("first") + last, 1)
+    splits = cut.select(
+        "file", "path", "first", last.alias("last"), F.floor(middle / bin_bytes).cast("int").alias("bin"),
+        (F.col("base") + F.col("first")).alias("place"), "length",
+    )
     n_tasks = total // bin_bytes + 1
-    if not large:
-        return ScanPlan(listed.mapInArrow(plan_splits(split_bytes, bin_bytes), SPLIT_SCHEMA), n_tasks, False, False)
-    # Walking the frames of a large file takes a while: spread these files, walk once.
-    noted = (folder or shared_folder(spark, "scan")) + "/splits"
-    walked = listed.repartitionById(min(large, _MAX_WALKS) + 1, "slot")
-    walked.mapInArrow(plan_splits(split_bytes, bin_bytes), SPLIT_SCHEMA).write.parquet(noted)
-    splits = spark.read.schema(SPLIT_SCHEMA).parquet(noted)
-    longest, last_start = splits.agg(F.max(F.col("last") - F.col("first")), F.max("first")).first()
-    return ScanPlan(splits, n_tasks, last_start > 0, longest > _UNEVEN * split_bytes)
+    plan = ScanPlan(splits.drop("length"), n_tasks, any(f.length > split_bytes for f in files))
+    long = [f.length for f in files if f.length > _UNEVEN * split_bytes]
+    if folder is None or not long:
+        return plan
+    maybe = splits.where(F.col("length") > _UNEVEN * split_bytes)
+    dealt = maybe.repartition(max(1, min(sum(long) // split_bytes + 1, 100_000)), "file", "first")
+    found = stage(dealt.select("file", "path", "first", "last", "bin").mapInArrow(find_frames, "file string, first bigint, begin bigint"), folder + "/frames")
+    # One short row per split of a long file.
+    ahead = Window.partitionBy("file").orderBy("begin")
+    frames = found.where("begin IS NOT NULL").join(listed.select("file", "length"), "file")
+    reach = F.coalesce(F.lead("begin").over(ahead), F.col("length")) - F.col("begin")
+    uneven = frames.select("file", "first", reach.alias("reach")).where(F.col("reach") > _UNEVEN * split_bytes).select("file", "first")
+    uneven = stage(uneven, folder + "/uneven")
+    return plan if uneven.isEmpty() else replace(plan, uneven=uneven)
 
 
 def scan_splits(plan: ScanPlan) -> DataFrame:
@@ -94,10 +109,31 @@ def scan_splits(plan: ScanPlan) -> DataFrame:
     whose status is ``end`` or the reason why reading failed, and whose ``line`` is
     the number of its lines.  Within a split, rows keep the order of the file.
     """
-    lines = plan.splits.repartitionById(plan.n_tasks, "bin").mapInArrow(read_splits, LINE_SCHEMA)
+    return _read(plan.splits, plan.n_tasks)
+
+
+def _read(splits: DataFrame, n_tasks: int, placed: bool = False) -> DataFrame:
+    read, schema = (read_placed_splits, PLACED_SCHEMA) if placed else (read_splits, LINE_SCHEMA)
+    lines = splits.repartitionById(n_tasks, "bin").mapInArrow(read, schema)
     return lines.withColumn("value", F.col("value").cast("string"))
 
 
+def scan_in_pieces(plan: ScanPlan, folder: str, placed: bool = False) -> DataFrame:
+    """As ``scan_splits``, with ``piece``: names the run of consecutive lines that one task gets of a split.
+    ``placed`` adds the columns of ``read_placed_splits``.
+
+    The lines of uneven splits, and no others, are staged below ``folder`` first and read from there by
+    many tasks; all other splits are read directly.
+    """
+    whole = F.lit("").alias("piece")
+    if plan.uneven is None:
+        return _read(plan.splits, plan.n_tasks, placed).select("*", whole)
+    marks = F.broadcast(plan.uneven)  # one short row per uneven split; the driver holds the list of all files
+    direct = _read(plan.splits.join(marks, ["file", "first"], "left_anti"), plan.n_tasks, placed)
+    staged = stage(_read(plan.splits.join(marks, ["file", "first"], "left_semi"), plan.n_tasks, placed), folder + "/lines")
+    return direct.select("*", whole).unionByName(staged.select("*", piece_of_staged().alias("piece")))
+
+
 def scan_dump_lines(
     spark: SparkSession, path: str, file_filter: str = ".*", split_bytes: int = SPLIT_BYTES
 ) -> DataFrame:
@@ -112,7 +148,7 @@ def only_lines(scanned: DataFrame) -> DataFrame:
 
 
 def stage(scanned: DataFrame, dest: str) -> DataFrame:
-    """Write scanned lines once as Parquet and read them back.
+    """Write scanned lines (or what is known of splits) once as Parquet and read them back.
 
     Decoding then happens once, failures are known before the lines are used, and
     even a dump of a single frame is read by many tasks from here on.
@@ -123,7 +159,7 @@ def stage(scanned: DataFrame, dest: str) -> DataFrame:
         .option("maxRecordsPerFile", _STAGE_ROWS_PER_FILE)
         .parquet(dest)
     )
-    return read_staged(scanned.sparkSession, dest)
+    return scanned.sparkSession.read.schema(scanned.schema).parquet(dest)
 
 
 def read_staged(spark: SparkSession, path: str) -> DataFrame:

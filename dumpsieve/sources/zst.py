@@ -2,10 +2,13 @@
 
 A zstd file is a sequence of independent frames, so a large dump made of several
 frames (parallel compressors and appended files produce them) is read by several
-tasks.  A split is a run of whole frames.  As with any splittable text, a line
-belongs to the split in which it starts: a split that does not open the file skips
-to its first newline, and every split reads on past its end to finish its last
-line.  A file of one frame is one split.
+tasks.  A split is a range of bytes, cut without a look at the file; it stands for
+the frames that begin in it.  The task that reads a split finds the first of them: in
+the seek table at the end of the file if there is one, else by the magic number and a
+valid chain of block headers behind it.  As with any splittable text, a line belongs
+to the split in which it starts: a split that does not open the file skips to its
+first newline, and every split reads on past its end to finish its last line.  Of a
+file of one frame all but the first split are empty.
 """
 
 from __future__ import annotations
@@ -23,6 +26,9 @@ from pyspark import cloudpickle
 # Fixed values of the zstd format.
 _FRAME_MAGIC = b"\x28\xb5\x2f\xfd"
 _SKIPPABLE_MAGIC = b"\x2a\x4d\x18"  # after a byte 0x50..0x5f
+_SEEK_TABLE_MAGIC = b"\x5e\x2a\x4d\x18"
+_SEEK_FOOTER_MAGIC = b"\xb1\xea\x92\x8f"
+_MAX_BLOCK = 128 << 10
 
 # Fixed values of the reader.
 MAX_WINDOW = 1 << 31
@@ -32,9 +38,11 @@ EXTENSION = ".zst"
 _READ_BYTES = 64 << 10  # compressed bytes decoded at a time; bounds the output of one step
 _BATCH_BYTES = 4 << 20
 _HEADER_BYTES = 1 << 20
+_CHAIN_BLOCKS = 64  # so many valid block headers in a row make a frame
 
-SPLIT_SCHEMA = "file string, path string, first bigint, last bigint, bin int"
+SPLIT_SCHEMA = "file string, path string, first bigint, last bigint, bin int, place bigint"
 LINE_SCHEMA = "file string, split bigint, line bigint, value binary, status string"
+PLACED_SCHEMA = LINE_SCHEMA + ", place bigint, whole boolean"
 END = "end"
 FAILED = "failed: "
 
@@ -61,81 +69,116 @@ class _Headers:
 
     def read(self, at: int, n: int) -> bytes:
         if at < self.start or at + n > self.start + len(self.data):
-            self.file.seek(min(at, self.size))
-            self.start, self.data = at, self.file.read(max(n, _HEADER_BYTES))
+            want = min(max(n, _HEADER_BYTES), max(0, self.size - at))
+            self.start, self.data = at, self.file.read_at(want, at) if want else b""
         return self.data[at - self.start : at - self.start + n]
 
 
-def frame_starts(file) -> Iterator[int]:
-    """Offsets of the data frames of a zstd file; stops where the format ends.
-
-    Only block headers are looked at, nothing is decoded.  What follows a damaged
-    header stays part of the last frame, whose reader will report the damage.
-    """
-    headers, at = _Headers(file), 0
-    while at < headers.size:
-        head = headers.read(at, 18)
-        if len(head) >= 8 and head[1:4] == _SKIPPABLE_MAGIC and head[0] & 0xF0 == 0x50:
-            at += 8 + int.from_bytes(head[4:8], "little")
-            continue
-        if len(head) < 5 or head[:4] != _FRAME_MAGIC:
-            return
-        yield at
-        flags = head[4]
-        single_segment = flags >> 5 & 1
-        size_bytes = (single_segment, 2, 4, 8)[flags >> 6]
-        at += 5 + (1 - single_segment) + (0, 1, 2, 4)[flags & 3] + size_bytes
-        while True:
-            block = headers.read(at, 3)
-            if len(block) < 3:
-                return
-            word = int.from_bytes(block, "little")
-            kind = word >> 1 & 3
-            if kind == 3:
-                return
-            at += 3 + (1 if kind == 1 else word >> 3)
-            if word & 1:
-                break
-        at += 4 * (flags >> 2 & 1)
+def _skippable(head: bytes) -> int:
+    """Length of the skippable frame that begins so, or 0."""
+    if len(head) >= 8 and head[1:4] == _SKIPPABLE_MAGIC and head[0] & 0xF0 == 0x50:
+        return 8 + int.from_bytes(head[4:8], "little")
+    return 0
 
 
-def frame_splits(path: str, size: int, split_bytes: int) -> list[tuple[int, int]]:
-    """Runs of whole frames of at least ``split_bytes``, covering the file."""
-    fs, name = open_fs(path)
-    starts = [0]
-    with fs.open_input_file(name) as file:
-        for at in frame_starts(file):
-            if at - starts[-1] >= split_bytes:
-                starts.append(at)
-    return list(zip(starts, starts[1:] + [size]))
+def _next_frame(headers: _Headers, at: int) -> int:
+    """Behind the skippable frames at ``at``."""
+    while at < headers.size and (skip := _skippable(headers.read(at, 8))):
+        at += skip
+    return at
 
 
-def plan_splits(split_bytes: int, bin_bytes: int):
-    """Task function: rows (file, path, length, base) -> rows of ``SPLIT_SCHEMA``.
+def begins_frame(headers: _Headers, at: int) -> bool:
+    """Whether a data frame begins here: its blocks follow each other by their headers, for many
+    blocks or up to an end behind which there is another frame or nothing.
 
-    ``base`` is the sum of the lengths of the files before; a split goes to the bin
-    of ``bin_bytes`` that holds its middle, so files of about that size get one each.
+    By chance that happens about once in 2^68 bytes. It also holds for a frame that is stored
+    as content inside another one, which text cannot have (its bytes are not UTF-8) and
+    which the reader of the outer frame finds out.
     """
-
-    def plan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["length"] <= split_bytes:
-                    spans = [(0, row["length"])]
-                else:
-                    try:
-                        spans = frame_splits(row["path"], row["length"], split_bytes)
-                    except OSError:  # the reader of the file will report it
-                        spans = [(0, row["length"])]
-                yield pa.RecordBatch.from_pydict({
-                    "file": [row["file"]] * len(spans),
-                    "path": [row["path"]] * len(spans),
-                    "first": pa.array([a for a, _ in spans], pa.int64()),
-                    "last": pa.array([b for _, b in spans], pa.int64()),
-                    "bin": pa.array([(row["base"] + (a + b) // 2) // bin_bytes for a, b in spans], pa.int32()),
-                })
-
-    return plan
+    head = headers.read(at, 18)
+    if len(head) < 6 or head[:4] != _FRAME_MAGIC or head[4] & 8:
+        return False
+    flags = head[4]
+    single_segment = flags >> 5 & 1
+    size_bytes = (single_segment, 2, 4, 8)[flags >> 6]
+    at += 5 + (1 - single_segment) + (0, 1, 2, 4)[flags & 3] + size_bytes
+    for _ in range(_CHAIN_BLOCKS):
+        block = headers.read(at, 3)
+        if len(block) < 3:
+            return False
+        word = int.from_bytes(block, "little")
+        kind, size = word >> 1 & 3, word >> 3
+        if kind == 3 or size > _MAX_BLOCK:
+            return False
+        at += 3 + (1 if kind == 1 else size)
+        if word & 1:
+            at += 4 * (flags >> 2 & 1)
+            head = headers.read(at, 8)
+            return at == headers.size or head[:4] == _FRAME_MAGIC or _skippable(head) > 0
+    return at <= headers.size
+
+
+def seek_table(headers: _Headers) -> np.ndarray | None:
+    """Offsets of the frames by the table in a skippable frame at the end, if there is one that fits the file."""
+    size = headers.size
+    foot = headers.read(size - 9, 9) if size >= 17 else b""
+    if foot[5:] != _SEEK_FOOTER_MAGIC:
+        return None
+    count, width = int.from_bytes(foot[:4], "little"), 12 if foot[4] & 0x80 else 8
+    length = count * width + 9
+    at = size - length - 8
+    if at < 0 or headers.read(at, 8) != _SEEK_TABLE_MAGIC + length.to_bytes(4, "little"):
+        return None
+    entries = np.frombuffer(headers.read(at + 8, count * width), "<u4").reshape(count, width // 4)
+    ends = np.cumsum(entries[:, 0].astype(np.int64))
+    if count and ends[-1] != at:
+        return None
+    return np.concatenate([[0], ends])[:-1] if count else np.zeros(0, np.int64)
+
+
+def first_frame(file, first: int, last: int) -> int | None:
+    """Where the first data frame begins in [first, last), or None."""
+    if first == 0:
+        return 0
+    headers = _Headers(file)
+    table = seek_table(headers)
+    if table is not None:
+        at = int(np.searchsorted(table, first))
+        # The table may count skippable frames: they are no place to begin.
+        while at < len(table) and table[at] < last:
+            if headers.read(int(table[at]), 4) == _FRAME_MAGIC:
+                return int(table[at])
+            at += 1
+        return None
+    end, at = min(last, headers.size), first
+    while at < end:
+        data = file.read_at(min(_HEADER_BYTES, end + 3 - at), at)
+        hit = data.find(_FRAME_MAGIC)
+        while hit >= 0 and at + hit < end:
+            if begins_frame(_Headers(file), at + hit):
+                return at + hit
+            hit = data.find(_FRAME_MAGIC, hit + 1)
+        if len(data) < 4:
+            break
+        at += len(data) - 3
+    return None
+
+
+def find_frames(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task function: rows of ``SPLIT_SCHEMA`` -> file, first, begin (of the first frame in the split, or null)."""
+    for batch in batches:
+        begins = []
+        for row in batch.to_pylist():
+            try:
+                fs, name = open_fs(row["path"])
+                with fs.open_input_file(name) as file:
+                    begins.append(first_frame(file, row["first"], row["last"]))
+            except OSError:  # the reader of the file will report it
+                begins.append(0 if row["first"] == 0 else None)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("file"), batch.column("first"), pa.array(begins, pa.int64())], names=["file", "first", "begin"]
+        )
 
 
 # ---------------------------------------------------------------- bytes
@@ -145,33 +188,67 @@ class DumpError(Exception):
     """A file that cannot be read to its end."""
 
 
-def _decoded(file, first: int, last: int) -> Iterator[bytes]:
-    """Decoded bytes of the frames in [first, last), up to the damage if there is any."""
-    file.seek(first)
-    codec = zstandard.ZstdDecompressor(max_window_size=MAX_WINDOW)
-    at, data = first, b""  # offset behind data, which is still to be decoded
-    frame, frame_at, frame_out = None, first, 0
-    while True:
-        if not data:
-            data = file.read(min(_READ_BYTES, last - at)) if at < last else b""
-            at += len(data)
+class _Decoded:
+    """Decoded bytes of the frames from ``first`` on, up to the damage if there is any.
+
+    Ends at the first frame that begins at ``limit`` or later, where the next split
+    takes over; ``last`` is then the place of that frame, or the size of the file.
+    """
+
+    def __init__(self, file, first: int, limit: int):
+        self.file, self.first, self.limit = file, first, limit
+        self.headers, self.size, self.last = _Headers(file), file.size(), first
+
+    def _ends(self, at: int) -> bool:
+        """Whether the next split begins with the frame at ``at``. What is none stays with this one, which will report it."""
+        if at < self.limit:
+            return False
+        at = _next_frame(self.headers, at)
+        if at < self.size and not begins_frame(self.headers, at):
+            return False
+        self.last = min(at, self.size)
+        return True
+
+    def __iter__(self) -> Iterator[bytes]:
+        codec = zstandard.ZstdDecompressor(max_window_size=MAX_WINDOW)
+        at, data = self.first, b""  # offset behind data, which is still to be decoded
+        frame, frame_at, frame_out = None, self.first, 0
+        seen, tail = [], b""  # places behind the limit that look like a frame
+        while True:
             if not data:
-                break
-        if frame is None:
-            frame, frame_at, frame_out = codec.decompressobj(), at - len(data), 0
-        try:
-            out = frame.decompress(data)
-        except zstandard.ZstdError:
-            yield from _until_damage(file, frame_at, at - len(data), at, frame_out)
-            raise
-        frame_out += len(out)
-        data = b""
-        if frame.eof:
-            data, frame = frame.unused_data, None
-        if out:
-            yield out
-    if at < last or frame is not None:
-        raise DumpError("unexpected end of file")
+                data = self.file.read_at(min(_READ_BYTES, self.size - at), at)
+                if at + len(data) > self.limit:
+                    both = tail + data
+                    hit = both.find(_FRAME_MAGIC)
+                    while hit >= 0:
+                        seen.append(at - len(tail) + hit)
+                        hit = both.find(_FRAME_MAGIC, hit + 1)
+                tail = (tail + data)[-3:]
+                at += len(data)
+                if not data:
+                    break
+            if frame is None:
+                if self._ends(at - len(data)):
+                    break
+                frame, frame_at, frame_out = codec.decompressobj(), at - len(data), 0
+            try:
+                out = frame.decompress(data)
+            except zstandard.ZstdError:
+                yield from _until_damage(self.file, frame_at, at - len(data), at, frame_out)
+                raise
+            frame_out += len(out)
+            data = b""
+            if frame.eof:
+                data, frame = frame.unused_data, None
+            if out:
+                yield out
+        if frame is not None:
+            raise DumpError("unexpected end of file")
+        if not data:
+            self.last = self.size
+        for place in seen:
+            if self.limit <= place < self.last and begins_frame(self.headers, place) and seek_table(self.headers) is None:
+                raise DumpError(f"a frame seems to begin at {place}, inside another: read this file in one split")
 
 
 def _until_damage(file, frame_at: int, bad_from: int, bad_to: int, skip: int) -> Iterator[bytes]:
@@ -192,9 +269,10 @@ def _until_damage(file, frame_at: int, bad_from: int, bad_to: int, skip: int) ->
         skip = max(0, skip - len(out))
 
 
-def _split_bytes_with_last_line(file, first: int, last: int, size: int) -> Iterator[bytes]:
-    """The bytes of the lines that start in a split."""
-    chunks = _decoded(file, first, last)
+def _split_bytes_with_last_line(file, first: int, limit: int) -> Iterator[bytes]:
+    """The bytes of the lines that start in a split whose first frame is at ``first``."""
+    own = _Decoded(file, first, limit)
+    chunks = iter(own)
     if first > 0:
         for chunk in chunks:
             cut = chunk.find(b"\n") + 1
@@ -204,8 +282,8 @@ def _split_bytes_with_last_line(file, first: int, last: int, size: int) -> Itera
         else:
             return  # no line starts here
     yield from chunks
-    if last < size:
-        for chunk in _decoded(file, last, size):
+    if own.last < own.size:
+        for chunk in _Decoded(file, own.last, own.size):
             cut = chunk.find(b"\n") + 1
             if cut:
                 yield chunk[:cut]
@@ -284,12 +362,7 @@ def _batch(file: str, split: int, line: int, values: pa.Array, status: str | Non
     )
 
 
-def read_splits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Task function: rows of ``SPLIT_SCHEMA`` -> rows of ``LINE_SCHEMA``.
-
-    Each split closes with one row without value whose ``line`` is the number of
-    lines and whose ``status`` is ``end`` or tells why reading stopped.
-    """
+def _rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[dict, pa.RecordBatch]]:
     for batch in batches:
         for row in sorted(batch.to_pylist(), key=lambda r: (r["file"], r["first"])):
             file, first, line = row["file"], row["first"], 0
@@ -297,11 +370,32 @@ def read_splits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             try:
                 fs, name = open_fs(row["path"])
                 with fs.open_input_file(name) as source:
-                    chunks = _split_bytes_with_last_line(source, first, row["last"], source.size())
+                    row["whole"] = first == 0 and row["last"] >= source.size()
+                    begin = first_frame(source, first, row["last"])
+                    chunks = iter(()) if begin is None else _split_bytes_with_last_line(source, begin, row["last"])
                     for values in _line_arrays(chunks):
                         if len(values):
-                            yield _batch(file, first, line, values, None)
+                            yield row, _batch(file, first, line, values, None)
                             line += len(values)
             except (DumpError, zstandard.ZstdError, OSError) as err:
                 status = FAILED + str(err)
-            yield _batch(file, first, line, pa.nulls(1, pa.binary()), status)
+            yield row, _batch(file, first, line, pa.nulls(1, pa.binary()), status)
+
+
+def read_splits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task function: rows of ``SPLIT_SCHEMA`` -> rows of ``LINE_SCHEMA``.
+
+    Each split closes with one row without value whose ``line`` is the number of
+    lines and whose ``status`` is ``end`` or tells why reading stopped.
+    """
+    for _, batch in _rows_of(batches):
+        yield batch
+
+
+def read_placed_splits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As ``read_splits``, with ``place``, where the split begins when all files are laid end to end,
+    and ``whole``, whether it is all of its file."""
+    for row, batch in _rows_of(batches):
+        n = batch.num_rows
+        more = [pa.repeat(pa.scalar(row["place"], pa.int64()), n), pa.repeat(pa.scalar(row.get("whole", False)), n)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "place", "whole"])

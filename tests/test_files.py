@@ -1,5 +1,6 @@
 import os
 
+import pyarrow as pa
 import pytest
 from dump_files import frame, raw_frame, read_zst
 from hypothesis import given, settings
@@ -7,9 +8,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from dumpsieve.sources import zst
-from dumpsieve.sources.listing import NoInputError, collect_files, dump_kind, kind_of, list_input_files
+from dumpsieve.sources.listing import DumpFile, NoInputError, collect_files, dump_kind, kind_of, list_input_files
 from dumpsieve.sources.scan import (
-    drop_failed_files, ingest, keep_until_failure, only_lines, read_staged, scan_dump_lines, shared_folder, stage,
+    drop_failed_files, ingest, keep_until_failure, only_lines, plan_scan, read_staged, scan_dump_lines, scan_in_pieces,
+    shared_folder, stage,
 )
 
 
@@ -189,3 +191,155 @@ def test_plan_moves_no_lines(spark, dump):
     plan = scan_dump_lines(spark, root)._jdf.queryExecution().executedPlan().toString()
     assert plan.index("MapInArrow") < plan.index("Exchange")  # the reader stands above the last exchange
     assert read_zst(f"{root}/RS_1.zst") == b"a\n"
+
+
+# ---------------------------------------------------------------- splits without a look at the file
+
+
+class _Counting:
+    """A file system that counts the bytes read through it."""
+
+    def __init__(self):
+        self.bytes = 0
+
+    def open_input_file(self, name):
+        return _CountingFile(open(name, "rb"), self)
+
+
+class _CountingFile:
+    def __init__(self, file, owner):
+        self.file, self.owner = file, owner
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.file.close()
+
+    def size(self):
+        return os.fstat(self.file.fileno()).st_size
+
+    def read_at(self, n, at):
+        self.file.seek(at)
+        data = self.file.read(n)
+        self.owner.bytes += len(data)
+        return data
+
+    def seek(self, at):
+        self.file.seek(at)
+
+    def read(self, n):
+        data = self.file.read(n)
+        self.owner.bytes += len(data)
+        return data
+
+
+def read_by(monkeypatch, path, splits):
+    """Values and statuses of the splits of a file as a task reads them, and the bytes that took."""
+    counting = _Counting()
+    monkeypatch.setattr(zst, "open_fs", lambda uri: (counting, uri))
+    rows = [{"file": "f", "path": str(path), "first": a, "last": b, "bin": 0, "place": a} for a, b in splits]
+    batches = list(zst.read_splits([pa.RecordBatch.from_pylist(rows)]))
+    values = [v for b in batches for v, s in zip(b["value"].to_pylist(), b["status"].to_pylist()) if s is None]
+    return values, [s for b in batches for s in b["status"].to_pylist() if s is not None], counting.bytes
+
+
+def ranges(size, step):
+    return [(a, min(a + step, size)) for a in range(0, size, step)]
+
+
+def test_planning_reads_no_file(spark):
+    files = [DumpFile("RS_1.zst", "/nowhere/RS_1.zst", 1000), DumpFile("RS_2.zst", "/nowhere/RS_2.zst", 250)]
+    plan = plan_scan(spark, files, 300)
+    got = [(r.file, r["first"], r["last"], r.place) for r in plan.splits.orderBy("place").collect()]
+    assert got == [("RS_1.zst", a, b, a) for a, b in ranges(1000, 300)] + [("RS_2.zst", 0, 250, 1000)]
+    assert plan.cut and plan.uneven is None
+
+
+def test_a_split_reads_little_besides_its_own_bytes(monkeypatch, tmp_path):
+    monkeypatch.setattr(zst, "_HEADER_BYTES", 4 << 10)
+    lines = [os.urandom(5000).hex().encode() for _ in range(200)]
+    frames = [frame(b"\n".join(lines[i : i + 4]) + b"\n") for i in range(0, 200, 4)]
+    path = tmp_path / "RS_1.zst"
+    path.write_bytes(b"".join(frames))
+    size, longest = path.stat().st_size, max(map(len, frames))
+    step, got = size // 8, []
+    for split in ranges(size, step):
+        values, ends, read = read_by(monkeypatch, path, [split])
+        got += values
+        # Its own frames, the rest of one in front of them, the headers of two, the line behind.
+        assert ends == ["end"] and read < step + 4 * longest + 3 * zst._READ_BYTES
+    assert got == lines
+
+
+def test_a_false_magic_in_a_frame(monkeypatch, tmp_path):
+    false = b"\x28\xb5\x2f\xfd\x20\x05\x09\x00\x00" + b"x" * 40
+    content = b"one\n" + false + b"\n" + b"\x28\xb5\x2f\xfd" + b"\ntwo\n"
+    path = tmp_path / "RS_1.zst"
+    path.write_bytes(frame(b"a\n") + raw_frame(content, 20) + frame(b"b\n"))
+    want = [b"a", b"one", false, b"\x28\xb5\x2f\xfd", b"two", b"b"]
+    for step in range(1, path.stat().st_size + 1):
+        values, ends, _ = read_by(monkeypatch, path, ranges(path.stat().st_size, step))
+        assert values == want and set(ends) == {"end"}
+
+
+def test_whole_frames_stored_in_a_frame(monkeypatch, tmp_path):
+    """Text cannot hold them. Inside content they are passed over; at its very end, where they look like frames of the file, that is reported."""
+    inner = frame(b"inner\n") + frame(b"inner 2\n")
+    path = tmp_path / "RS_1.zst"
+    path.write_bytes(frame(b"a\n") + raw_frame(b"x\n" + inner + b"\ny\n", 20) + frame(b"b\n"))
+    whole, _, _ = read_by(monkeypatch, path, [(0, path.stat().st_size)])
+    for step in (1, 5, 30):
+        values, ends, _ = read_by(monkeypatch, path, ranges(path.stat().st_size, step))
+        assert values == whole or any("inside another" in e for e in ends)
+    path.write_bytes(frame(b"a\n") + raw_frame(b"x\ny\n" + inner, 20) + frame(b"b\n"))
+    _, ends, _ = read_by(monkeypatch, path, ranges(path.stat().st_size, 1))
+    assert any("inside another" in e for e in ends)
+    _, ends, _ = read_by(monkeypatch, path, [(0, path.stat().st_size)])
+    assert ends == ["end"]
+
+
+def test_the_seek_table_tells_where_frames_begin(monkeypatch, tmp_path):
+    inner = frame(b"inner\n") + frame(b"inner 2\n")
+    frames = [frame(b"a\n"), raw_frame(b"x\ny\n" + inner, 20), frame(b"b\nc\n"), frame(b"d\n")]
+    entries = b"".join(len(f).to_bytes(4, "little") + bytes(4) for f in frames)
+    table = entries + len(frames).to_bytes(4, "little") + b"\0" + b"\xb1\xea\x92\x8f"
+    path = tmp_path / "RS_1.zst"
+    path.write_bytes(b"".join(frames) + b"\x5e\x2a\x4d\x18" + len(table).to_bytes(4, "little") + table)
+    starts = [sum(map(len, frames[:i])) for i in range(len(frames))]
+    with _Counting().open_input_file(path) as file:
+        assert zst.seek_table(zst._Headers(file)).tolist() == starts
+        assert [zst.first_frame(file, s - 1, s + 1) for s in starts[1:]] == starts[1:]
+        assert zst.first_frame(file, starts[1] + 1, starts[2]) is None
+    whole, _, _ = read_by(monkeypatch, path, [(0, path.stat().st_size)])
+    for step in (1, 7, 40):
+        values, ends, _ = read_by(monkeypatch, path, ranges(path.stat().st_size, step))
+        assert values == whole and set(ends) == {"end"}
+    # A table that does not fit the file is not believed.
+    path.write_bytes(b"".join(frames[1:]) + b"\x5e\x2a\x4d\x18" + len(table).to_bytes(4, "little") + table)
+    with _Counting().open_input_file(path) as file:
+        assert zst.seek_table(zst._Headers(file)) is None
+
+
+def test_only_uneven_splits_are_staged(spark, dump, tmp_path):
+    many = [b"%06d" % i + os.urandom(30).hex().encode() for i in range(3000)]
+    one = [b"one %06d" % i + os.urandom(30).hex().encode() for i in range(3000)]
+    root = dump({
+        "RS_even.zst": b"".join(frame(b"\n".join(many[i : i + 50]) + b"\n") for i in range(0, 3000, 50)),
+        "RS_one.zst": frame(b"\n".join(one) + b"\n"), "RS_small.zst": frame(b"s\n"),
+        "RS_tail.zst": b"".join(frame(b"\n".join(many[i : i + 50]) + b"\n") for i in range(0, 3000, 50)) + frame(b"\n".join(one) + b"\n"),
+    })
+    folder = str(tmp_path / "staged")
+    plan = plan_scan(spark, collect_files(list_input_files(spark, root)), 8 << 10, folder)
+    uneven = {(r.file, r["first"] > 0) for r in plan.uneven.collect()}
+    assert uneven == {("RS_one.zst", False), ("RS_tail.zst", True)}
+    rows = scan_in_pieces(plan, folder).where("status IS NULL").orderBy("file", "split", "line").collect()
+    for name, want in (("RS_even.zst", many), ("RS_one.zst", one), ("RS_small.zst", [b"s"]), ("RS_tail.zst", many + one)):
+        assert [r.value.encode() for r in rows if r.file == name] == want
+    staged = spark.read.parquet(folder + "/lines")
+    assert {r.file for r in staged.select("file").distinct().collect()} == {"RS_one.zst", "RS_tail.zst"}
+    assert staged.where("status IS NULL").count() < 2 * 3000 + 200
+    written = sum(os.path.getsize(os.path.join(folder, "lines", n)) for n in os.listdir(folder + "/lines"))
+    assert written < 1.3 * 2 * os.path.getsize(f"{root}/RS_one.zst")
+    plain = scan_in_pieces(plan_scan(spark, collect_files(list_input_files(spark, root, "even|small")), 8 << 10, folder + "2"), folder + "2")
+    assert plain.count() > 3000 and not os.path.exists(folder + "2/lines")

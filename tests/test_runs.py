@@ -1,5 +1,6 @@
 import os
 
+import pyarrow as pa
 import pytest
 from dump_files import frame, read_zst
 from pyspark.sql import functions as F
@@ -11,8 +12,9 @@ from dumpsieve.operators.manifest import (
 )
 from dumpsieve.operators.predicates import tag_matches
 from dumpsieve.plans import filter_run
-from dumpsieve.plans.csv_run import csv_projection, run_csv, write_csv
+from dumpsieve.plans.csv_run import csv_projection, read_csv_parts, run_csv, write_csv
 from dumpsieve.plans.filter_run import ErrorRateExceeded, filter_dump, filter_files, run_filter, write_lines
+from dumpsieve.sources.csv_sink import CsvPartsWriter, read_report
 from dumpsieve.sources.listing import NoInputError
 from dumpsieve.sources.scan import only_lines, scan_dump_lines
 from dumpsieve.specs import CsvSpec, FilterSpec
@@ -303,6 +305,53 @@ def test_csv_of_mixed_kinds(spark, dump, tmp_path):
         run_csv(spark, root, str(tmp_path / "three"), CsvSpec(file_filter="nothing"))
 
 
+@pytest.mark.parametrize("split_bytes", [1 << 27, 64])
+def test_csv_keeps_the_rows_in_front_of_a_failure_in_order(spark, dump, tmp_path, split_bytes):
+    def lines(name, i):
+        return b"".join(b'{"author":"%s%d"}\n' % (name, 10 * i + k) for k in range(10))
+
+    bad = bytearray(frame(lines(b"b", 5), write_checksum=True))
+    bad[-1] ^= 1
+    root = dump({
+        "RS_a.zst": frame(lines(b"a", 0)),
+        "RS_b.zst": b"".join(frame(lines(b"b", i)) for i in range(5)) + bytes(bad) + b"".join(frame(lines(b"b", i)) for i in range(6, 9)),
+        "RS_c.zst": frame(b"bad\n") + b"".join(frame(lines(b"c", i)) for i in range(4)),
+    })
+    out = str(tmp_path / "out")
+    for _ in range(2):  # the second run replaces what the first has written
+        (report,) = run_csv(spark, root, out, split_bytes=split_bytes)
+        rows = [line.split(",")[0] for line in whole(report.path).splitlines()]
+        assert rows == ["author", *[f"u/a{i}" for i in range(10)], *[f"u/b{i}" for i in range(60)], *[f"u/c{i}" for i in range(40)]]
+        assert (report.processed, report.bad_lines, report.errors) == (110, 1, 2)
+        assert sorted(os.listdir(out)) == ["output.csv"]
+    table = read_csv_parts(spark, report.path)
+    assert table.count() == 110 and table.columns[0] == "author"
+
+
+def test_parts_of_lost_attempts_are_left_out(tmp_path):
+    options = {"path": str(tmp_path / "t.csv"), "header": "a", "run_id": "r"}
+    schema = pa.schema([("file", pa.string()), ("place", pa.int64()), ("piece", pa.string()), ("whole", pa.bool_()), ("line", pa.int64()),
+                        ("value", pa.string()), ("is_bad", pa.bool_()), ("status", pa.string())])
+
+    def rows(place, *values, status="end"):
+        lines = [("f", place, "", False, i, v, v == "bad", None) for i, v in enumerate(values)]
+        return pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in [*lines, ("f", place, "", False, len(values), None, None, status)]], schema)
+
+    def task(*batches):
+        return CsvPartsWriter(options).write(iter(batches))
+
+    first, lost, second = task(rows(0, "1", "2")), task(rows(10, "3")), task(rows(10, "3", "bad"), rows(20, "4", status="failed: x"))
+    third = task(rows(30, "5"))
+    CsvPartsWriter(options).commit([first, second, None, third])
+    assert lost.parts and whole(tmp_path / "t.csv") == "a\n1\n2\n3\n4\n"
+    assert read_report(str(tmp_path / "t.csv")) == {"processed": 4, "bad_lines": 1, "failed_files": ["f"]}
+    CsvPartsWriter({**options, "run_id": "s"}).commit([])  # nothing to read: a table without rows
+    assert whole(tmp_path / "t.csv") == "a\n" and os.listdir(tmp_path) == ["t.csv"]
+    task(rows(0, "1"))
+    CsvPartsWriter(options).abort([])
+    assert os.listdir(tmp_path) == ["t.csv"]
+
+
 def test_csv_with_a_header_in_each_part(spark, tmp_path):
     rows = [("a,b", ""), ('q"', "x\ny"), ("é", "z")]
     table = spark.createDataFrame(rows, "a string, b string").repartition(2)
