@@ -2,41 +2,17 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from dumpsieve.llm.shared import LOWER, UPPER, WHITE
 
-_FOLD = str.maketrans(UPPER, LOWER)
+from dumpsieve.llm.scan import join_counted
+from dumpsieve.llm.shared import LOWER, UPPER, WHITE, stored
 
 
 def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(WHITE)), UPPER, LOWER)
 
 
-def _hash(line: str) -> bytes:
-    return hashlib.md5(line.strip(WHITE).translate(_FOLD).encode("utf-8", "replace")).digest()
-
-
-@F.pandas_udf(T.StructType([T.StructField("kept", T.StringType()), T.StructField("n_dropped", T.LongType())]))
-def _keep_lines(texts: pd.Series, drops: pd.Series) -> pd.DataFrame:
-    kept, counts = [], []
-    for text, drop in zip(texts, drops):
-        if drop is None or not len(drop):
-            kept.append(text)
-            counts.append(0)
-            continue
-        gone, lines = set(map(bytes, drop)), text.split("\n")
-        stay = [line for line in lines if _hash(line) not in gone]
-        kept.append("\n".join(stay))
-        counts.append(len(lines) - len(stay))
-    return pd.DataFrame({"kept": kept, "n_dropped": counts})
-
-
 def drop_repeated_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 2, min_chars: int = 10
 ) -> DataFrame:
@@ -45,27 +21,44 @@ def drop_repeated_lines(
     A line's key has no white space around it and A-Z lower-cased. Keys of ``min_chars``
     code points or more in at least ``min_docs`` documents keep their lines only in the
     document of the smallest id (there all of them). Null is the empty text, one empty
-    line. Rows with the same id are one document; a null id is a document of its own
-    that comes last. An empty table gives an empty result; other columns are not read.
-    Only hashes and ids are exchanged to count; each text moves once, to meet what it loses.
+    line. Rows with the same id are one document; each row with a null id is a document of
+    its own, and all of these come last, in the order of the table. Lines and texts of any
+    length are taken whole. An empty table gives an empty result; other columns are not read.
+
+    Texts are split into lines once, of which hash, row and position are written; these
+    narrow rows are counted, and joined to what was found to repeat. Only texts that lose a
+    line meet their positions and are put together again. ``docs`` should be a written
+    table: it is read again, and rows must come in the same order.
     """
-    last = F.lit((1 << 63) - 1)
     rows = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), last).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
+        F.col(f"`{id_col}`").cast("long").alias("doc"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
+        F.monotonically_increasing_id().alias("row"),
     )
-    lines = rows.select("doc", F.explode(F.split("text", "\n", -1)).alias("line")).select("doc", line_key(F.col("line")).alias("line"))
-    # With a cut: the two joined inputs below must not explode the texts twice as wide.
-    keys = lines.filter(F.char_length("line") >= min_chars).select("doc", F.unhex(F.md5(F.col("line").cast("binary"))).alias("key"))
-    often = F.min("doc") < F.max("doc") if min_docs <= 2 else F.count_distinct("doc") >= min_docs
-    repeated = keys.groupBy("key").agg(F.min("doc").alias("first"), often.alias("often")).filter("often")
-    losses = (
-        keys.join(repeated.select("key", "first"), "key").filter(F.col("doc") != F.col("first"))
-        .groupBy("doc").agg(F.collect_set("key").alias("drop"))
+    lines = rows.select("doc", "row", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    lines = lines.select("doc", "row", "pos", line_key(F.col("line")).alias("line")).filter(F.char_length("line") >= min_chars)
+    keys = stored(lines.select("doc", "row", "pos", F.unhex(F.md5(F.col("line").cast("binary"))).alias("key")), "line-keys")
+
+    # Ids, and rows without one, of the first and last document of a key.
+    nameless = F.when(F.col("doc").isNull(), F.col("row"))
+    found = keys.groupBy("key").agg(
+        F.count("*").alias("n"), F.min("doc").alias("low"), F.max("doc").alias("high"),
+        F.min(nameless).alias("low_row"), F.max(nameless).alias("high_row"),
+        *([] if min_docs <= 2 else [F.count_distinct(F.struct("doc", nameless)).alias("docs")]),
     )
-    whole = rows.join(losses, "doc", "left").withColumn("out", _keep_lines("text", "drop"))
-    return whole.select(
-        F.when(F.col("doc") != last, F.col("doc")).alias("doc_id"),
-        F.col("out.kept").alias("kept"),
-        F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"),
-        F.col("out.n_dropped").alias("n_dropped"),
+    if min_docs <= 2:
+        several = (F.col("low") < F.col("high")) | (F.col("low_row") < F.col("high_row")) | (F.col("low").isNotNull() & F.col("low_row").isNotNull())
+    else:
+        several = F.col("docs") >= min_docs
+    repeated = stored(found.filter(F.coalesce(several, F.lit(False))).select("key", "n", "low", "low_row"), "repeated-lines")
+    lost = F.when(F.col("low").isNull(), F.col("row") != F.col("low_row")).otherwise(~F.col("doc").eqNullSafe(F.col("low")))
+    losses = join_counted(keys, repeated, ["key"], "n", keys.count()).filter(lost)
+    # As many positions as the text has lines at most.
+    losses = losses.groupBy("row").agg(F.collect_list("pos").alias("drop"))
+    met = rows.join(losses, "row", "left")
+    parts = F.split("text", "\n", -1)
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("drop"))
+    kept = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))
+    return met.select(
+        F.col("doc").alias("doc_id"), kept.alias("kept"), F.size(parts).cast("long").alias("n_lines"),
+        F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"),
     )
