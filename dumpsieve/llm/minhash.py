@@ -100,19 +100,19 @@ def _sketcher(words: int, k: int):
             sets = [hashlib.md5(values[a:b].tobytes()).digest() for a, b in zip(begin[:-1], begin[1:])]
             offsets = np.concatenate([[0], np.cumsum(kept)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(sets, pa.binary()),
+                [part.column("doc_id"), part.column("row"), pa.array(n, pa.int64()), pa.array(sets, pa.binary()),
                  pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))]
                 + [pa.array(np.ascontiguousarray(parities[:, i])) for i in range(4)],
-                names=["doc_id", "n", "set_key", "sketch", *_PARITIES],
+                names=["doc_id", "row", "n", "set_key", "sketch", *_PARITIES],
             )
 
     return run
 
 
 def sketches(docs: DataFrame, options: MinHash, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n (size of the shingle set), set_key (equal for equal sets), sketch and its parities."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_id long, n long, set_key binary, sketch array<long>, " + ", ".join(f"{p} long" for p in _PARITIES)
+    """doc_id, row, n (size of the shingle set), set_key (equal for equal sets), sketch and its parities."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+    schema = "doc_id long, row long, n long, set_key binary, sketch array<long>, " + ", ".join(f"{p} long" for p in _PARITIES)
     return rows.mapInArrow(_sketcher(options.shingle, options.k), schema)
 
 
@@ -237,7 +237,7 @@ def _bucket_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _prefixer(percent: int, counts):
-    """Rows of each set's rarest shingles, with their place and the parities of the whole set."""
+    """Rows of each set's rarest shingles, with their place and the parities of the set without those in front of it."""
     names = ["value", "cid", "component", "n", "place", *_PARITIES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,11 +249,16 @@ def _prefixer(percent: int, counts):
                 order = np.lexsort((values, common))[: n + (-n * percent // 100) + 1]
                 place = np.flatnonzero(common[order] > 1)  # a counter of 1: no other set has the value
                 fixed = [cid, component, n]
+                bucket = ((values[order] >> np.uint64(20)) & np.uint64(255)).astype(np.int64)
+                rest = np.zeros((len(order) + 1, 32), np.uint8)
+                rest[0] = _parities(values, np.array([n])).view(np.uint8)
+                rest[np.arange(1, len(order) + 1), bucket >> 3] = (128 >> (bucket & 7)).astype(np.uint8)
+                rest = np.bitwise_xor.accumulate(rest, axis=0)[place].view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(values[order[place]].view(np.int64))]
                     + [pa.array(np.full(len(place), x, np.int64)) for x in fixed]
                     + [pa.array(place.astype(np.int64))]
-                    + [pa.array(np.full(len(place), x, np.int64)) for x in _parities(values, np.array([n]))[0]],
+                    + [pa.array(np.ascontiguousarray(rest[:, i])) for i in range(4)],
                     names=names,
                 )
 
@@ -265,9 +270,11 @@ def _pairs_between(sets: DataFrame, options: MinHash) -> DataFrame:
 
     Members of a group of near copies share most retained values, so their lists would give all pairs of the group. In
     an order that all sets share, rarest first, two sets at the threshold have their first common shingle so early that
-    enough are left behind it in both. A pair is kept only where a common shingle stands early enough, and where the
-    buckets whose parities differ (at most as many as shingles that one set lacks) allow the threshold. Both bounds are
-    exact. In each list only sets outside of its largest component look for partners.
+    enough are left behind it in both. A pair is kept only where a common shingle stands early enough, and where what
+    is in front of it in either set, with the buckets behind it whose parities differ (at most as many as shingles that
+    one set lacks), allows the threshold. Both bounds are exact at the first common shingle, and at later ones, where
+    common shingles count as different, they hardly ever let a pair pass again. In each list only sets outside of its
+    largest component look for partners.
     """
     spark = sets.sparkSession
     found = sets.mapInArrow(_bucket_counter, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
@@ -289,7 +296,7 @@ def _pairs_between(sets: DataFrame, options: MinHash) -> DataFrame:
         (F.col("component_a") != F.col("component_b"))
         & ((F.col("component_b") == F.col("main")) | (F.col("cid_a") < F.col("cid_b")))
         & (left * whole >= both * percent)
-        & ((both - _unlike()) * whole >= both * (2 * percent))
+        & ((both - F.col("place_a") - F.col("place_b") - _unlike()) * whole >= both * (2 * percent))
     )
     return pairs.select(F.least("cid_a", "cid_b").alias("a"), F.greatest("cid_a", "cid_b").alias("b")).distinct()
 
@@ -369,22 +376,14 @@ def _proven(pairs: DataFrame, sets: DataFrame, options: MinHash) -> DataFrame:
     return stored(found, "proven")
 
 
-def near_duplicates(
-    docs: DataFrame, options: MinHash = MinHash(), id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
-
-    Documents whose shingle sets have a similarity of ``percent`` or more are linked;
-    component_id is the smallest id reachable, kept marks it. Null and empty texts have no
-    shingles and are linked with nothing. Equal sets (also of repeated rows) are one class
-    and are compared once. A null id is kept only where its component has no other id. An
-    empty table gives an empty result; other columns are not read.
+def _linked(docs: DataFrame, options: MinHash, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, row, n, component (a number, null without shingles), component_id (its smallest id) per row of ``docs``.
 
     First every class is compared with a few leaders of each of its inverted lists. Classes whose lists
     still hold other components then meet those by the rarest shingles of their full sets; so large groups
     of copies cost a few comparisons per member, and no pair of different components is left out.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     drawn = stored(sketches(texts, options), "sketches")
     classes = drawn.filter("n > 0").groupBy("set_key").agg(
         F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"),
@@ -407,10 +406,24 @@ def near_duplicates(
         components.select(F.col("node").alias("cid"), "component"), "cid", "left"
     ).withColumn("component", F.coalesce("component", "cid"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(smallest, "component").select("set_key", "component_id")
-    out = drawn.select("doc_id", "n", F.when(F.col("n") > 0, F.col("set_key")).alias("set_key")).join(named, "set_key", "left")
+    named = named.join(smallest, "component").select("set_key", "component", "component_id")
+    rows = drawn.select("doc_id", "row", "n", F.when(F.col("n") > 0, F.col("set_key")).alias("set_key"))
+    return rows.join(named, "set_key", "left").drop("set_key")
+
+
+def near_duplicates(
+    docs: DataFrame, options: MinHash = MinHash(), id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
+
+    Documents whose shingle sets have a similarity of ``percent`` or more are linked;
+    component_id is the smallest id reachable, kept marks it. Null and empty texts have no
+    shingles and are linked with nothing. Equal sets (also of repeated rows) are one class
+    and are compared once. A null id is kept only where its component has no other id. Texts
+    of any length are read whole. An empty table gives an empty result; other columns are not read.
+    """
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select(
+    return _linked(docs, options, id_col, text_col).select(
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
         F.col("doc_id").eqNullSafe(component).alias("kept"),
     )
@@ -419,7 +432,15 @@ def near_duplicates(
 def drop_near_copies(
     docs: DataFrame, options: MinHash = MinHash(), id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its group, all columns; rows with the same id are one document."""
-    found = near_duplicates(docs, options, id_col, text_col)
-    gone = stored(found.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("_gone")), "left_anti")
+    """One row of each group of linked rows of ``docs``, all columns: the smallest id, null ids last, of equal ids the first row.
+
+    Rows are told apart by their place in the table, so null and repeated ids are documents of
+    their own. Rows without shingles (null, empty texts) all stay. ``docs`` should be a written
+    table: it is read again, and rows must come in the same order.
+    """
+    found = stored(_linked(docs, options, id_col, text_col).filter("n > 0").select("row", "doc_id", "component"), "linked")
+    order = F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), "row")
+    stays = found.groupBy("component").agg(F.min(order).alias("best")).select(F.col("best.row").alias("row"))
+    gone = stored(found.join(stays, "row", "left_anti").select(F.col("row").alias("_gone_row")), "gone")
+    rows = docs.withColumn("_here_row", F.monotonically_increasing_id())
+    return rows.join(gone, F.col("_here_row") == F.col("_gone_row"), "left_anti").drop("_here_row")
