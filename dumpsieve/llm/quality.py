@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dumpsieve.llm.shared import remainder, stored, text_chunks, words_of
+from dumpsieve.llm.shared import bloom_bits, member_bitmap, passes_bloom, remainder, stored, text_chunks, words_of
 
 #: Punctuation of plain prose; any other sign that is no letter or digit counts as a symbol.
 _PROSE = set(".,;:'\"?()-–—’‘“”¿¡«»…")
@@ -89,6 +89,9 @@ def document_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return rows.mapInArrow(_featurizer, "doc_id long, features array<double>")
 
 
+_SEEDS = (41, 42)
+
+
 @dataclass(frozen=True)
 class QualityModel:
     """Per class its mean, the inverse of its Cholesky factor and the constant of its log density."""
@@ -172,11 +175,11 @@ def score_quality(
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= accept).cast("int").alias("predicted"))
 
 
-def _judge(model, accept: float):
+def _judge(model, text_col: str, accept: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_chunks(batches):
-            good = model.value.scores(features(part.column("text"))) >= accept
-            yield part.select(["doc"]).filter(pa.array(good))
+        for part in text_chunks(batches, text_col):
+            good = model.value.scores(features(part.column(text_col))) >= accept
+            yield part.filter(pa.array(good))
 
     return run
 
@@ -184,12 +187,17 @@ def _judge(model, accept: float):
 def keep_good(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", accept: float = 0.3
 ) -> DataFrame:
-    """The rows of ``docs`` that :func:`score_quality` does not reject, all columns."""
-    known = stored(document_features(docs, id_col, text_col), "quality")
+    """The rows of ``docs`` that :func:`score_quality` does not reject, all columns; rules as there.
+
+    For the fit only texts are looked at whose id may be labelled, by a bounded bitmap of the
+    labels' ids. Each text then goes to a task of Python once, with its row, and comes back if it stays.
+    """
+    ids = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).select("doc_id")
+    bits = bloom_bits(ids.count())
+    bitmap = stored(member_bitmap(ids, F.col("doc_id").cast("long"), _SEEDS, bits), "bloom")
+    named = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).filter("doc_id IS NOT NULL")
+    maybe = passes_bloom(named, F.col("doc_id"), bitmap, _SEEDS, bits).filter("maybe").drop("maybe")
+    known = stored(document_features(maybe), "quality")
     train = F.coalesce(remainder("doc_id", 5) != 0, F.lit(False))
     model = docs.sparkSession.sparkContext.broadcast(fit_quality(known, labels, train))
-    whole = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text")
-    )
-    kept = whole.mapInArrow(_judge(model, accept), f"doc {whole.schema['doc'].dataType.simpleString()}")
-    return kept.select("doc.*")
+    return docs.mapInArrow(_judge(model, text_col, accept), docs.schema)

@@ -405,28 +405,26 @@ def redact(text: str, spans: list[tuple[int, int, int]], mark: str = "[secret]")
     return "".join([*out, text[at:]]) if spans else text
 
 
-def _scanner(with_text: bool):
+def _scanner():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_chunks(batches):
-            counts, listed, base_listed, clean = [], [], [], []
+            counts, listed, base_listed = [], [], []
             for text in part.column("text").to_pylist():
                 base, spans = find_secrets(text)
                 counts.append([sum(kind == k for _, kind, _ in base) for k in range(3)])
                 base_listed.append(_listed(base))
                 listed.append(_listed(spans))
-                if with_text:
-                    clean.append(text if not spans else redact(text, spans))
             n = np.array(counts, np.int64).reshape(-1, 3)
             rest = [i for i, name in enumerate(part.schema.names) if name != "text"]
-            columns = [part.column(i) for i in rest] + [pa.array(clean if with_text else [None] * part.num_rows, pa.string())]
+            columns = [part.column(i) for i in rest]
             columns += [pa.array(n[:, k]) for k in range(3)] + [pa.array(base_listed, pa.string()), pa.array(listed, pa.string())]
-            names = [part.schema.names[i] for i in rest] + ["clean", "n_assign", "n_access", "n_hex", "base_spans", "spans"]
+            names = [part.schema.names[i] for i in rest] + ["n_assign", "n_access", "n_hex", "base_spans", "spans"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
-_OUT = "clean string, n_assign long, n_access long, n_hex long, base_spans string, spans string"
+_OUT = "n_assign long, n_access long, n_hex long, base_spans string, spans string"
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -439,14 +437,25 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_scanner(False), f"doc_id {kind}, {_OUT}").drop("clean")
+    return rows.mapInArrow(_scanner(), f"doc_id {kind}, {_OUT}")
+
+
+def _redactor(text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_chunks(batches, text_col):
+            clean = []
+            for text in part.column(text_col).to_pylist():
+                _, spans = find_secrets(text)
+                clean.append(redact(text, spans) if spans else text)
+            columns = [pa.array(clean, f.type) if f.name == text_col else c for f, c in zip(part.schema, part.columns)]
+            yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
+
+    return run
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with the spans of all secrets in ``text_col`` replaced by a mark; null stays null."""
-    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
-    rows = docs.select(rest, F.col(f"`{text_col}`").alias("text"))
-    done = rows.mapInArrow(_scanner(True), f"doc {rows.schema['doc'].dataType.simpleString()}, {_OUT}")
-    return done.select(*[
-        F.col("clean").alias(c) if c == text_col else F.col(f"doc.`{c}`").alias(c) for c in docs.columns
-    ])
+    """``docs`` with the spans of all secrets in ``text_col`` replaced by a mark; null stays null.
+
+    All rows and columns stay as they are otherwise; texts of any length are scanned whole.
+    """
+    return docs.mapInArrow(_redactor(text_col), docs.schema)
