@@ -17,6 +17,8 @@ from tokenizers import Tokenizer
 from dumpsieve.llm.shared import spread, stored, text_chunks, words_of
 
 _CACHED_WORDS = 500_000
+_TOGETHER = 20_000
+_CHUNK_CHARS = 12 << 20
 
 
 @dataclass(frozen=True)
@@ -45,19 +47,23 @@ class _Words:
             self.forget()
         new = [w for w in words if w not in self.number]
         if new:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            ids, sizes = [self.ids], []
+            for at in range(0, len(new), _TOGETHER):  # many words in one result: a result for each costs more than its ids
+                some = new[at : at + _TOGETHER]
+                found = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+                ids.append(np.array(found.ids, np.int32))
+                sizes.append(np.bincount(np.array(found.word_ids, np.int64), minlength=len(some)))
+            sizes = np.concatenate(sizes)
             self.number.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new))))
             self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
             self.sizes = np.concatenate([self.sizes, sizes])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for e in found for i in e), np.int32, int(sizes.sum()))])
+            self.ids = np.concatenate(ids)
         return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
 
 
 @functools.lru_cache(maxsize=2)
 def _words(vocabulary: str) -> _Words:
     tokenizer = Tokenizer.from_str(vocabulary)
-    tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
     tokenizer.no_truncation()
     return _Words(tokenizer)
 
@@ -65,7 +71,8 @@ def _words(vocabulary: str) -> _Words:
 def encode(texts: pa.Array, words: _Words, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, each with ``end_id`` behind, and where each text begins.
 
-    The vocabulary splits at white space before all else, so words can be encoded one by one.
+    The vocabulary splits at white space before all else, and the names of its special tokens, which become
+    their ids, hold none: so words can be encoded one by one.
     """
     rows, codes, dictionary = words_of(texts)
     codes = words.numbers(dictionary)[codes] if dictionary else codes
@@ -81,7 +88,7 @@ def encode(texts: pa.Array, words: _Words, end_id: int) -> tuple[np.ndarray, np.
 def _cutter(vocabulary, options: Packing, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(vocabulary.value)
-        for part in text_chunks(batches):
+        for part in text_chunks(batches, size=_CHUNK_CHARS):
             ids, begin = encode(part.column("text"), words, options.end_id)
             total = np.diff(begin)
             n = -(-total // options.length)

@@ -43,7 +43,6 @@ def test_byte_bpe(docs, native):
 def test_packing(docs):
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     rows = [(i, (t or "") * (40 if i % 3 else 1) if t is not None else None) for i, t in enumerate(_texts())]
     with open(path, encoding="utf-8") as file:
         got = pack_documents(docs(rows), file.read(), Packing(length=64, group=32, merge=4)).collect()
@@ -107,3 +106,19 @@ def test_many_sequences_in_a_team(spark):
     )
     got = pack(rows, Packing(length=2, group=280_000)).groupBy("sequence_id").agg(F.sum("length").alias("n"))
     assert got.filter("n > 2").count() == 0 and got.count() == 280_000
+
+
+def test_names_of_special_tokens_in_a_text():
+    """As the plain library does without special tokens added: a name in a text is its one id, also inside a word."""
+    import random
+
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        vocabulary = file.read()
+    plain, words, rng = Tokenizer.from_str(vocabulary), packing._words(vocabulary), random.Random(1)
+    bits = ["<|endoftext|>", "<|startoftext|>", "abc", "<|", "é", " ", "　x", "İ", "ﬁ", "'s", "12", "\n", "\x85", "<|EndOfText|>", "​", "中文", "\x1c", "ß"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(0, 14))) for _ in range(2000)]
+    ids, begin = packing.encode(pa.array(texts), words, 1)
+    for text, a, b in zip(texts, begin[:-1], begin[1:]):
+        assert ids[a:b].tolist() == [*plain.encode(text, add_special_tokens=False).ids, 1]
