@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dumpsieve.llm.shared import bloom_bits, member_bitmap, passes_bloom, remainder, stored, text_chunks, words_of
+from dumpsieve.llm.shared import bloom_bits, give_back, member_bitmap, passes_bloom, remainder, stored, text_chunks, words_of
 
 #: Punctuation of plain prose; any other sign that is no letter or digit counts as a symbol.
 _PROSE = set(".,;:'\"?()-–—’‘“”¿¡«»…")
@@ -180,6 +180,7 @@ def _judge(model, text_col: str, accept: float):
         for part in text_chunks(batches, text_col):
             good = model.value.scores(features(part.column(text_col))) >= accept
             yield part.filter(pa.array(good))
+        give_back()
 
     return run
 

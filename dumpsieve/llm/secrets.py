@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dumpsieve.llm.shared import text_chunks
+from dumpsieve.llm.shared import give_back, text_chunks
 
 # Fixed patterns of the kinds of secrets, in the order in which spans at one place are listed.
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
@@ -449,6 +449,7 @@ def _redactor(text_col: str):
                 clean.append(redact(text, spans) if spans else text)
             columns = [pa.array(clean, f.type) if f.name == text_col else c for f, c in zip(part.schema, part.columns)]
             yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
+        give_back()
 
     return run
 
