@@ -30,26 +30,33 @@ class GraphSearch:
     degree: int = 24
     alpha: float = 1.2
     beam: int = 32
-    shard: int = 1000  # vectors meant for one shard
+    shard: int = 256  # vectors nearest to one centre; with all that overlap, a shard stays one block
     block: int = 2048  # vectors in one graph at most; larger shards are searched block by block
     centres: int = 4096  # over all labels; bounds what is broadcast
     sample: int = 20_000  # vectors that the centres are fitted on
-    probes: tuple[int, ...] = (3, 6, 12)
-    audit: int = 200
+    probes: tuple[int, ...] = (2, 4, 8)
+    audit: int = 200  # classes compared with all others, and links that they must have together
+    audit_rounds: int = 3  # each with eight times as many classes, while they have fewer links
     recall: float = 0.95
 
 
 # ---------------------------------------------------------------- centres
 
 
-def _fit_centres(vectors: DataFrame, options: GraphSearch) -> dict[tuple[int, int], np.ndarray]:
+def _drawn(vectors: DataFrame, rows: int, share_of: int, seed: int) -> DataFrame:
+    """About so many rows, drawn by a hash of their class before their vectors are looked at."""
+    share = min(1.0, rows / max(share_of, 1))
+    return vectors.filter(F.pmod(F.xxhash64("cid", F.lit(seed)), F.lit(1 << 32)) < int(share * (1 << 32)))
+
+
+def _fit_centres(vectors: DataFrame, options: GraphSearch) -> dict[tuple[str, int], np.ndarray]:
     """Centres per label and dimension, by a few rounds of spherical k-means on a bounded sample."""
     totals = vectors.groupBy("label", "dim").count().collect()
     rows = sum(r["count"] for r in totals)
-    drawn = vectors.select("label", "dim", "unit").orderBy(F.xxhash64("cid")).limit(options.sample).toPandas()
+    drawn = _drawn(vectors, options.sample, rows, 0).select("cid", "label", "dim", "unit").toPandas().sort_values("cid")
     centres = {}
     for total in totals:
-        key = int(total["label"]), int(total["dim"])
+        key = total["label"], int(total["dim"])
         own = drawn[(drawn["label"] == key[0]) & (drawn["dim"] == key[1])]
         k = int(np.clip(total["count"] / options.shard, 1, max(1, options.centres * total["count"] // rows)))
         if len(own) == 0 or k == 1:
@@ -72,7 +79,7 @@ def _assigner(shared, probes: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for (label, dim), rows in batch.groupby(["label", "dim"]):
-                middle = shared.value[(int(label), int(dim))]
+                middle = shared.value[(label, int(dim))]
                 n = min(probes, len(middle))
                 near = np.argsort(-(np.stack(rows["unit"].to_numpy()) @ middle.T), axis=1, kind="stable")[:, :n]
                 out = rows.loc[rows.index.repeat(n)].copy()
@@ -285,9 +292,9 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _classes(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> tuple[DataFrame, DataFrame]:
     """All rows with the key of their class, and one row per class of equal vectors with equal labels."""
     rows = vectors.select(
-        F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"),
+        F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"),
         F.col(vector_col).cast("array<double>").alias("vector"),
-    ).mapInArrow(_units, "vec_id long, label long, unit array<double>, key binary")
+    ).mapInArrow(_units, "vec_id long, label string, unit array<double>, key binary")
     rows = stored(rows, "vectors")
     classes = rows.filter("unit IS NOT NULL").groupBy("key", "label").agg(
         F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.first("unit").alias("unit")
@@ -302,7 +309,7 @@ def _linked(classes: DataFrame, centres, probes: int, options: GraphSearch, exac
     If ``exact``, each block of a shard is compared with each other.
     """
     vectors = classes.select("cid", "label", "dim", "copies", "unit")
-    kinds = "cid long, label long, dim int, copies long, unit array<double>"
+    kinds = "cid long, label string, dim int, copies long, unit array<double>"
     placed = stored(
         vectors.mapInPandas(_assigner(centres, probes), f"{kinds}, shard long, shards array<long>"), "placed"
     )
@@ -327,30 +334,44 @@ def _linked(classes: DataFrame, centres, probes: int, options: GraphSearch, exac
     return stored(found, "found")
 
 
-def _recall(classes: DataFrame, found: DataFrame, options: GraphSearch) -> float:
-    """Share of the links of a bounded sample of classes, compared with all others, that the search has found.
+def _audit(classes: DataFrame, options: GraphSearch) -> dict[int, int]:
+    """Links of a bounded sample of classes, compared with all others.
 
-    A link of two classes counts once, whatever their copies.
+    More classes are drawn while those drawn have too few links to tell a recall by.
     """
     spark = classes.sparkSession
-    asked = classes.orderBy(F.xxhash64("cid", F.lit(1))).limit(options.audit).toPandas()
-    shared = spark.sparkContext.broadcast(
-        {k: (g["cid"].to_numpy(), np.stack(g["unit"].to_numpy())) for k, g in asked.groupby(["label", "dim"])}
-    )
+    rows, size = classes.count(), options.audit
+    for _ in range(options.audit_rounds):
+        asked = _drawn(classes, size, rows, 1).select("cid", "label", "dim", "unit").toPandas()
+        shared = spark.sparkContext.broadcast(
+            {k: (g["cid"].to_numpy(), np.stack(g["unit"].to_numpy())) for k, g in asked.groupby(["label", "dim"])}
+        )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for key, rows in batch.groupby(["label", "dim"]):
-                if key in shared.value:
-                    ids, q = shared.value[key]
-                    hit = np.stack(rows["unit"].to_numpy()) @ q.T >= options.cosine
-                    hit &= rows["cid"].to_numpy()[:, None] != ids
-                    yield pd.DataFrame({"cid": ids, "n": hit.sum(0)})
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for key, rows in batch.groupby(["label", "dim"]):
+                    if key in shared.value:
+                        ids, q = shared.value[key]
+                        hit = np.stack(rows["unit"].to_numpy()) @ q.T >= options.cosine
+                        hit &= rows["cid"].to_numpy()[:, None] != ids
+                        yield pd.DataFrame({"cid": ids, "n": hit.sum(0)})
+
+        vectors = classes.select("cid", "label", "dim", "unit")
+        true = vectors.mapInPandas(run, "cid long, n long").groupBy("cid").agg(F.sum("n").alias("n")).toPandas()
+        if true["n"].sum() >= options.audit or size >= rows:
+            break
+        size *= 8
+    return dict(zip(true["cid"].tolist(), true["n"].tolist()))
 
-    vectors = classes.select("cid", "label", "dim", "unit")
-    true = vectors.mapInPandas(run, "cid long, n long").groupBy("cid").agg(F.sum("n").alias("n")).toPandas()
-    mine = found.filter("a = b").filter(F.col("a").isin(asked["cid"].tolist())).groupBy("a").agg(F.sum("peers").alias("n")).toPandas()
-    return float(mine["n"].sum()) / total if (total := float(true["n"].sum())) else 1.0
+
+def _recall(true: dict[int, int], found: DataFrame) -> float:
+    """Share of the links of the audited classes that the search has found. A link of two classes counts
+    once, whatever their copies; 1 if there is no link."""
+    total = sum(true.values())
+    mine = found.filter("a = b").join(
+        F.broadcast(found.sparkSession.createDataFrame(list(true.items()), "a long, n long").select("a")), "a"
+    )
+    return float(mine.agg(F.sum("peers")).first()[0] or 0) / total if total else 1.0
 
 
 def near_vectors(
@@ -358,7 +379,7 @@ def near_vectors(
 ) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept.
 
-    Vectors of equal labels and dimensions are linked if their cosine in double precision reaches
+    Vectors of equal labels (compared as text) and dimensions are linked if their cosine in double precision reaches
     ``cosine``. Null, empty and zero vectors, those with a null or non-finite component and those without
     a label are linked with nothing. Equal vectors are one class, and each of its rows links with
     the others. A null id is kept only where its component has no other id. An empty table gives an
@@ -368,9 +389,10 @@ def near_vectors(
     """
     rows, classes = _classes(vectors, id_col, vector_col, label_col)
     centres = vectors.sparkSession.sparkContext.broadcast(_fit_centres(classes, options))
+    true = _audit(classes, options)
     for probes in options.probes:
         found = _linked(classes, centres, probes, options)
-        if _recall(classes, found, options) >= options.recall:
+        if _recall(true, found) >= options.recall:
             break
     else:
         one = {key: np.zeros((1, key[1])) for key in centres.value}

@@ -203,6 +203,21 @@ def test_vectors_compared_where_the_search_misses(spark):
     assert [got[i] for i in range(200)] == links.tolist()
 
 
+def test_vectors_over_many_shards_with_text_labels(spark):
+    random = np.random.default_rng(11)
+    base = random.normal(size=(300, 24))
+    rows = [(i, (base[i % 300] + random.normal(scale=0.02, size=24)).tolist(), "ab"[i % 2], "x", 1, i) for i in range(900)]
+    rows += rows[:5]  # repeated rows
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string, key string, unit int, cid int")
+    x = np.array([row[1] for row in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    labels = np.array([row[2] for row in rows])
+    links = ((x @ x.T >= 0.98) & (labels[:, None] == labels)).sum(1) - 1
+    got = near_vectors(frame, GraphSearch(shard=40, audit=100)).collect()
+    assert sorted((r.vec_id, r.n_links) for r in got) == sorted((row[0], int(n)) for row, n in zip(rows, links))
+    assert links.max() > 1 and sum(r.kept for r in got) < len(got)
+
+
 def test_pages(spark):
     pages = spark.read.parquet(f"{SF_DIR}/pages.parquet")
     odd = [(10**6, None, None), (10**6 + 1, "u", ""), (10**6 + 2, "u", "<" * 500), (10**6 + 3, "u", "<div>" * 3000)]
