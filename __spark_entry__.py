@@ -669,6 +669,21 @@ def filter_value_list_partial(spark, sf_dir):
     return filter_lines(fx.submissions(spark, sf_dir), spec, value_list_source(spark, path)).select("doc_id", "value")
 
 
+_PASSAGES = "SELECT DISTINCT item FROM (SELECT {lines} AS item FROM {documents} WHERE lang <> 'en') WHERE contains(item, ' ')"
+
+
+@query("filter_value_list_passages", _matching(
+    "EXISTS (SELECT 1 FROM (" + _PASSAGES.format(lines="unnest(string_split(text, chr(10)))", documents="documents")
+    + ") WHERE contains(lower(documents.text), lower(item)))"))
+def filter_value_list_passages(spark, sf_dir):
+    # Whole lines, more than one automaton should hold, anywhere in a text.
+    path = shared_folder(spark, "passages")
+    sql = _PASSAGES.replace("{lines}", r"explode(split(text, '\n'))")
+    spark.sql(sql, documents=fx.table(spark, sf_dir, "documents")).write.text(path)
+    spec = FilterSpec("selftext", value_list=path, partial=True)
+    return filter_lines(fx.submissions(spark, sf_dir), spec, value_list_source(spark, path)).select("doc_id", "value")
+
+
 @query("filter_value_list_regex", _matching(
     f"EXISTS (SELECT 1 FROM ({_STARTS.format(benchmark='benchmark')}) WHERE item <> '' AND regexp_matches(text, item))"))
 def filter_value_list_regex(spark, sf_dir):

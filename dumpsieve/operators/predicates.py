@@ -28,19 +28,21 @@ def field_present(v: Column) -> Column:
 
 
 def tag_matches(
-    lines: DataFrame, spec: FilterSpec, values: ValueList | None = None, value: str = "value"
+    lines: DataFrame, spec: FilterSpec, values: ValueList | None = None, value: str = "value",
+    folder: str | None = None,
 ) -> DataFrame:
     """Add ``is_bad`` and ``matched`` to lines; a blank line is neither.
 
     Absent keys and values that are not strings do not match.  With
     ``split_by_letter``, matched lines also get the ``letter`` their field starts with.
+    What a long list needs staged goes below ``folder``.
     """
     field = string_or_null(F.col(spec.field))
     parsed = parse_ndjson(lines, [spec.field], value)
     if values is None:
         tagged = parsed.withColumn("matched", matches(field, spec))
     else:
-        tagged = flag_listed(parsed, field, values, spec)
+        tagged = flag_listed(parsed, field, values, spec, folder)
     good = F.coalesce(~F.col("is_bad"), F.lit(False))
     tagged = tagged.withColumn("matched", F.coalesce("matched", F.lit(False)) & good)
     if spec.split_by_letter:

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from dumpsieve.functions.regex import check_re2, re2_search
 from dumpsieve.functions.text import contains_any_lower, fold
+from dumpsieve.operators.contained import flag_contained
 from dumpsieve.sources.zst import open_fs
 from dumpsieve.specs import FilterSpec
 
 BROADCAST_BYTES = 64 << 20  # a list file up to this size goes to every task
+AUTOMATON_BYTES = 1 << 20  # a list file up to this size becomes one automaton in every task
 PATTERN_BYTES = 32 << 10  # of the values that one pattern joins
 SALTS = 64
 
@@ -65,8 +67,22 @@ def _joined(patterns: list[str]) -> list[str]:
     return ["|".join(group) for group in out if group]
 
 
-def flag_listed(parsed: DataFrame, x: Column, values: ValueList, spec: FilterSpec) -> DataFrame:
-    """Add ``matched``: the string ``x`` matches some value of the list; an empty list matches nothing."""
+def moves_lines(values: ValueList | None, spec: FilterSpec) -> bool:
+    """Whether lines are exchanged to be matched, and so come in another order."""
+    if values is None or spec.regex:
+        return False
+    return values.size_bytes > (AUTOMATON_BYTES if spec.partial else BROADCAST_BYTES)
+
+
+def flag_listed(
+    parsed: DataFrame, x: Column, values: ValueList, spec: FilterSpec, folder: str | None = None
+) -> DataFrame:
+    """Add ``matched``: the string ``x`` matches some value of the list; an empty list matches nothing.
+
+    Long lists for partial matching are staged below ``folder``, with the lines.
+    """
+    if spec.partial and moves_lines(values, spec):
+        return flag_contained(parsed, x, values.items, folder)
     if spec.partial:
         return parsed.withColumn("matched", contains_any_lower(x, _texts(values)))
     if spec.regex:

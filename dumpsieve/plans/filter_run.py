@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from dumpsieve.functions.text import output_name
 from dumpsieve.operators.manifest import manifest_path, read_manifest, skip_processed
 from dumpsieve.operators.predicates import tag_matches
-from dumpsieve.operators.value_list import BROADCAST_BYTES, ValueList, value_list_source
+from dumpsieve.operators.value_list import ValueList, moves_lines, value_list_source
 from dumpsieve.sources.dump_sink import (
     BAD, CLOSE, FORMAT, LINE, MANIFEST_SCHEMA, RATE_EXCEEDED, DumpSink,
 )
@@ -64,7 +64,7 @@ def filter_dump(spark: SparkSession, path: str, spec: FilterSpec, split_bytes: i
     folder = shared_folder(spark, "filter")
     files = collect_files(list_input_files(spark, path, spec.file_filter))
     scanned = scan_in_pieces(plan_scan(spark, files, split_bytes, folder), folder)
-    tagged = tag_matches(scanned, spec, _values(spark, spec))
+    tagged = tag_matches(scanned, spec, _values(spark, spec), folder=folder)
     found = tagged.where(F.col("matched") | F.col("status").isNotNull())
     found = found.select("file", "split", "line", "value", "status")
     return drop_failed_files(stage(found, folder + "/found"))
@@ -94,7 +94,7 @@ def filter_files(
 
     Lines are decoded, tested, counted and encoded in the task that reads them,
     without an exchange.  Only the lines of a huge frame, which one task has to
-    decode, are staged for many tasks to test.
+    decode, are staged for many tasks to test, and all lines for a long list.
     """
     check_output(output)
     values = _values(spark, spec)
@@ -109,7 +109,7 @@ def filter_files(
 
     with scratch_folder(spark) as folder:
         scanned = scan_in_pieces(plan_scan(spark, todo, split_bytes, folder), folder)
-        rows = sink_rows(scanned, spec, values)
+        rows = sink_rows(scanned, spec, values, folder)
         write_dump(rows, output, run_id, hashed, spec.error_rate, output_label(spec, values))
 
     run = spark.read.schema(MANIFEST_SCHEMA).parquet(f"{manifest_path(output)}/{run_id}.parquet")
@@ -120,17 +120,17 @@ def filter_files(
 
 
 def sink_rows(
-    scanned: DataFrame, spec: FilterSpec, values: ValueList | None = None
+    scanned: DataFrame, spec: FilterSpec, values: ValueList | None = None, folder: str | None = None
 ) -> DataFrame:
     """Scanned lines as rows for the sink: matches, bad lines to count, closing rows."""
     if "piece" not in scanned.columns:
         scanned = scanned.withColumn("piece", F.lit(""))
-    tagged = tag_matches(scanned, spec, values)
+    tagged = tag_matches(scanned, spec, values, folder=folder)
     kind = F.when(F.col("matched"), LINE).when(F.col("is_bad"), BAD)
     kind = kind.when(F.col("status").isNotNull(), CLOSE)
     rows = tagged.withColumn("kind", kind).where(F.col("kind").isNotNull())
     order = ["file", "split", "piece", "line"]
-    if values is not None and values.size_bytes > BROADCAST_BYTES:  # the join has moved the lines
+    if moves_lines(values, spec):
         rows = rows.repartition(*order[:3]).sortWithinPartitions(*order)
     out = output_name(F.col("file"), F.lit(output_label(spec, values)))
     if spec.split_by_letter:

@@ -129,7 +129,7 @@ def test_split_by_letter(spark, dump, tmp_path):
 @pytest.mark.parametrize("limit", [lists.BROADCAST_BYTES, 0])
 def test_value_list(spark, dump, tmp_path, monkeypatch, limit):
     monkeypatch.setattr(lists, "BROADCAST_BYTES", limit)
-    monkeypatch.setattr(filter_run, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(lists, "AUTOMATON_BYTES", limit)
     path = tmp_path / "values.txt"
     path.write_bytes("AB\r\n\nXaBy\nab\nſ\n".encode())
     root = dump({"RS_1.zst": frame(SUBMISSIONS + b'{"author":"S"}\n') + frame(b'{"author":"aB"}\n{"author":"s"}\n')})
