@@ -90,7 +90,7 @@ def _codec(head: bytes):
     if head[:6] == b"\xfd7zXZ\x00":
         return lzma.LZMADecompressor()
     if head[:4] == b"\x28\xb5\x2f\xfd" or _skipped(head):
-        return zstandard.ZstdDecompressor(max_window_size=1 << 27).decompressobj()
+        return zstandard.ZstdDecompressor(max_window_size=1 << 31).decompressobj()
     return None
 
 

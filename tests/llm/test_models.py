@@ -231,3 +231,11 @@ def test_pages(spark):
     assert got[10**6 + 4].text == "Head & more\n\nOne two three"
     assert sum("copy" in r.text or "©" in r.text for r in got.values()) == 0
     assert extract_pages(pages.limit(0)).count() == 0
+
+
+def test_secrets_behind_a_wide_zstd_window(docs):
+    wide = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(1, window_log=28)).compressobj()
+    packed = wide.compress(b"password=abcdefghijklmnop1") + wide.flush()
+    assert zstandard.get_frame_parameters(packed).window_size == 1 << 28
+    rows = [(1, base64.b64encode(packed).decode())]
+    assert redact_secrets(docs(rows)).first().text == "[secret]"
