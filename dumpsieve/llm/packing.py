@@ -14,11 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from dumpsieve.llm.shared import spread, stored, text_chunks, words_of
+from dumpsieve.llm.shared import give_back, spread, stored, text_chunks, words_of
 
 _CACHED_WORDS = 500_000
-_TOGETHER = 20_000
-_CHUNK_CHARS = 12 << 20
+_TOGETHER = 5_000
+_CHUNK_CHARS = 6 << 20
 
 
 @dataclass(frozen=True)
@@ -109,6 +109,7 @@ def _cutter(vocabulary, options: Packing, with_ids: bool):
                 columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
+            give_back()
 
     return run
 
