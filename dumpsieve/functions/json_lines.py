@@ -10,7 +10,8 @@ What it does not notice by itself is handled here, still in a single parse:
   line lacks or has too much, the mark is then not found in its place;
 * *a line* ``null``, which counts as an empty record;
 * *numbers too large for a double*, which make the line bad;
-* *lone surrogate escapes*, which become U+FFFD.
+* *lone surrogate escapes*, which become U+FFFD;
+* *zeros with a sign*, which are doubles that keep it.
 """
 
 from __future__ import annotations
@@ -27,7 +28,10 @@ _OPTIONS = {
     "maxNestingDepth": str(MAX_DEPTH + 1), "maxNumLen": "20000000",
 }
 _NULL_RECORD = r"^[ \t\r\n]*+null[ \t\r\n]*+\z"
-_HUGE_NUMBER = r"[0-9][eE]\+?[0-9]{3}|[0-9]{309}|[0-9]{200}[0-9.]*+[eE]\+?[0-9]{2}"
+# Of every number that may overflow; one digit first, so that most characters are passed with one comparison.
+_MAYBE_HUGE = r"[0-9](?:[eE]\+?[0-9]{3}|[0-9]{199})"
+# A zero with a sign, which decoding as a whole number or a decimal would lose.
+_SIGNED_ZERO = r"(?<![0-9.eE])-0(?:\.0++)?(?:[eE][+-]?[0-9]++)?(?![0-9.eE])"
 _NUMBER = r"-?[0-9][0-9.]*+(?:[eE][+-]?[0-9]++)?"
 _LONE_HIGH = r"\\u[dD][89abAB][0-9a-fA-F]{2}(?!\\u[dD][c-fC-F][0-9a-fA-F]{2})"
 _LONE_LOW = r"(?<!\\u[dD][89abAB][0-9a-fA-F]{2})\\u[dD][c-fC-F][0-9a-fA-F]{2}"
@@ -46,13 +50,25 @@ def _without_lone_surrogates(line: Column) -> Column:
     return F.when(F.contains(line, _lit("\\u")) & surrogates, mended).otherwise(line)
 
 
+def _with_signed_zeros(line: Column) -> Column:
+    """``-0`` outside strings -> ``-0e0``, which is decoded as a double; runs only on lines that hold one somewhere."""
+    # Without escaped backslashes and quotes, every quote begins or ends a string.
+    plain = F.replace(F.replace(line, _lit("\\\\"), _lit("\\u005c")), _lit('\\"'), _lit("\\u0022"))
+    parts = F.regexp_extract_all(plain, _lit('"[^"]*+"?|[^"]++'), _lit(0))
+    mended = F.transform(
+        parts, lambda p: F.when(F.startswith(p, _lit('"')), p).otherwise(F.regexp_replace(p, _SIGNED_ZERO, "-0e0"))
+    )
+    there = F.contains(line, _lit("-0")) & F.rlike(line, _lit(_SIGNED_ZERO))
+    return F.when(there, F.array_join(mended, "")).otherwise(line)
+
+
 def has_overflowing_number(line: Column) -> Column:
     """True if a number anywhere in the JSON line does not fit a double."""
     no_escapes = F.replace(F.replace(line, _lit("\\\\"), _lit("")), _lit('\\"'), _lit(""))
     outside_strings = F.regexp_replace(no_escapes, '"[^"]*+"', "")
     numbers = F.regexp_extract_all(outside_strings, _lit(_NUMBER), _lit(0))
     overflows = F.exists(numbers, lambda n: F.abs(n.try_cast("double")) == F.lit(float("inf")))
-    return F.when(F.rlike(line, _lit(_HUGE_NUMBER)), overflows).otherwise(F.lit(False))
+    return F.when(F.rlike(line, _lit(_MAYBE_HUGE)), overflows).otherwise(F.lit(False))
 
 
 def _overflows(v: Column) -> Column:
@@ -75,7 +91,7 @@ def parse_ndjson(
     present = line.isNotNull() & (line != "")
     schema = ", ".join([f"`{k}` VARIANT" for k in keys] + [f"{END_MARK} STRING"])
     framed = F.concat(
-        _lit("["), _without_lone_surrogates(line), _lit(f',{{"{END_MARK}":"'), mark, _lit('"}]')
+        _lit("["), _with_signed_zeros(_without_lone_surrogates(line)), _lit(f',{{"{END_MARK}":"'), mark, _lit('"}]')
     )
     both = F.from_json(F.when(present, framed), f"array<struct<{schema}>>", _OPTIONS)
     # inline() computes the parse once and keeps the optimizer from copying it into

@@ -78,7 +78,7 @@ def _shortest_general(number: Column) -> Column:
         )
 
     def signed(n: Column) -> Column:
-        return F.when(F.length(n["digits"]) == 0, "0").otherwise(F.concat(n["sign"], text(n)))
+        return F.concat(n["sign"], F.when(F.length(n["digits"]) == 0, "0").otherwise(text(n)))
 
     return _let(_let(parts, layout), signed)
 
@@ -86,7 +86,7 @@ def _shortest_general(number: Column) -> Column:
 def _number_text(written: Column, number_style: str) -> Column:
     """Text of a number from its JSON form."""
     if number_style == "plain":
-        return written
+        return F.when(written == "-0.0", "-0").otherwise(written)
     # Up to 15 digits a decimal is its own shortest form; past that the double decides.
     few_digits = F.length(F.regexp_replace(written, r"[eE].*|^-?0*|\.", "")) <= 15
     shortest = F.when(few_digits, written).otherwise(written.cast("double").cast("string"))

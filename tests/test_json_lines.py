@@ -134,3 +134,20 @@ def test_comment_columns(spark):
 def test_plain_numbers(spark):
     table = parsed(spark, ['{"k":1234567}', '{"k":12}'], ["k"])
     assert [r.t for r in table.select(default_text(F.col("k"), "plain").alias("t")).collect()] == ["1234567", "12"]
+
+
+def test_zeros_keep_their_sign(spark):
+    cases = {
+        '{"a":-0}': "-0", '{"a":-0.0}': "-0", '{"a":-0e5}': "-0", '{"a":-0.00E-7}': "-0", '{"a": -0 }': "-0",
+        '{"a":0}': "0", '{"a":-0.5}': "-0.5", '{"a":1e-0}': "1", '{"a":10e-01}': "1", '{"a":-0.0e0,"a":7}': "7",
+        '{"a":[-0,0,"-0"]}': "[-0 0 -0]", '{"a":{"k":-0,"l":":-0,"}}': "map[k:-0 l::-0,]",
+        '{"a":"say \\"-0\\", -0 \\\\","b":-0}': 'say "-0", -0 \\', '{"a":-00}': None, '{"a":--0}': None, '{"a":1-0}': None,
+        '{"a":-0.}': None, '{"a":-0e}': None, '{"a":"-0': None, '{"a":-0} \\"': None,
+    }
+    rows = parsed(spark, list(cases), ["a"]).select("value", "is_bad", default_text(F.col("a")).alias("t")).collect()
+    assert {r.value: None if r.is_bad else r.t for r in rows} == cases
+
+
+def test_long_digit_runs_that_fit_are_good(spark):
+    lines = ['{"a":' + "0." + "1" * 400 + "}", '{"a":' + "1" * 308 + "}", '{"a":' + "1" * 310 + "}", '{"a":1' + "0" * 250 + "e60}"]
+    assert [r.is_bad for r in parsed(spark, lines, []).collect()] == [False, False, True, True]
