@@ -692,6 +692,22 @@ def filter_value_list_regex(spark, sf_dir):
     return filter_lines(fx.submissions(spark, sf_dir), spec, value_list_source(spark, path)).select("doc_id", "value")
 
 
+_ONE_SPACE = "regexp_replace({}, ' +', ' ', 'g')"
+
+
+@query("filter_value_list_patterns", _matching(
+    "EXISTS (SELECT 1 FROM (" + _PASSAGES.format(lines="unnest(string_split(text, chr(10)))", documents="documents")
+    + f") WHERE contains({_ONE_SPACE.format('documents.text')}, {_ONE_SPACE.format('item')}))"))
+def filter_value_list_patterns(spark, sf_dir):
+    # Whole lines as regular expressions that take any number of spaces, more than one expression should hold.
+    path = shared_folder(spark, "line-patterns")
+    lines = spark.sql(_PASSAGES.replace("{lines}", r"explode(split(text, '\n'))"), documents=fx.table(spark, sf_dir, "documents"))
+    quoted = F.regexp_replace("item", r"([\\\[\]{}().*+?^$|])", r"\\$1")
+    lines.select(F.regexp_replace(quoted, " +", " +")).write.text(path)
+    spec = FilterSpec("selftext", value_list=path, regex=True)
+    return filter_lines(fx.submissions(spark, sf_dir), spec, value_list_source(spark, path)).select("doc_id", "value")
+
+
 @query("parse_deep_lines", "SELECT doc_id, doc_id % 2 = 1 AS is_bad, text FROM documents")
 def parse_deep_lines(spark, sf_dir):
     # A key that nobody reads nests to the limit, or one level beyond.

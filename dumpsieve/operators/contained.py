@@ -132,23 +132,32 @@ def _bitmap(index: DataFrame):
     return index.sparkSession.sparkContext.broadcast(bits)
 
 
+def occurrences(texts: DataFrame, lows: DataFrame, folder: str) -> DataFrame:
+    """``row`` and ``low`` for the distinct non-empty values ``low`` in each text (``row``, ``text``), as they are written.
+
+    A value that a text holds twice may come twice. Both inputs are read more than once. A run that many texts
+    have is joined as a skewed key, which adaptive execution splits.
+    """
+    index = stage(lows.mapInArrow(_filer(_counts(lows)), "gram long, before int, low string"), folder + "/index")
+    widths = sorted(r[0] for r in index.select(F.least(F.char_length("low"), F.lit(GRAM))).distinct().collect())
+    found = _finder(_bitmap(index), widths)
+    seen = texts.select("row", F.col("text").alias("low")).mapInArrow(found, "row long, gram long, at long")
+    maybe = seen.join(index, "gram").select("row", (F.col("at") - F.col("before")).alias("begin"), "low").where("begin >= 0")
+    there = F.substr("text", (F.col("begin") + 1).cast("int"), F.char_length("low")) == F.col("low")
+    return maybe.join(texts, "row").where(there).select("row", "low")
+
+
 def flag_contained(rows: DataFrame, x: Column, items: DataFrame, folder: str | None = None) -> DataFrame:
     """Add ``matched`` to the rows: lower-cased, ``x`` contains some ``item``; NULL or false where it does not.
 
     An empty list or value matches nothing, and neither does a null ``x``. The rows are staged below ``folder``
-    (a fresh shared one if there is none) and change their order. A run that many lines have is joined as a skewed
-    key, which adaptive execution splits.
+    (a fresh shared one if there is none) and change their order.
     """
     folder = folder or shared_folder(rows.sparkSession, "contained")
     lows = stage(items.select(lower_simple(F.col("item")).alias("low")).where("low <> ''").distinct(), folder + "/values")
-    index = stage(lows.mapInArrow(_filer(_counts(lows)), "gram long, before int, low string"), folder + "/index")
-    widths = sorted(r[0] for r in index.select(F.least(F.char_length("low"), F.lit(GRAM))).distinct().collect())
     held = stage(
         rows.withColumn("_low", lower_simple(x)).withColumn("_row", F.monotonically_increasing_id()), folder + "/tested"
     )
     texts = held.where("_low <> ''").select(F.col("_row").alias("row"), F.col("_low").alias("text"))
-    seen = texts.select("row", F.col("text").alias("low")).mapInArrow(_finder(_bitmap(index), widths), "row long, gram long, at long")
-    maybe = seen.join(index, "gram").select("row", (F.col("at") - F.col("before")).alias("begin"), "low").where("begin >= 0")
-    there = F.substr("text", (F.col("begin") + 1).cast("int"), F.char_length("low")) == F.col("low")
-    found = maybe.join(texts, "row").where(there).select(F.col("row").alias("_row")).distinct()
+    found = occurrences(texts, lows, folder).select(F.col("row").alias("_row")).distinct()
     return held.join(found.withColumn("matched", F.lit(True)), "_row", "left").drop("_row", "_low")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,12 +11,13 @@ from pyspark.sql import functions as F
 from dumpsieve.functions.regex import check_re2, re2_search
 from dumpsieve.functions.text import contains_any_lower, fold
 from dumpsieve.operators.contained import flag_contained
+from dumpsieve.operators.patterns import flag_patterns
 from dumpsieve.sources.zst import open_fs
 from dumpsieve.specs import FilterSpec
 
 BROADCAST_BYTES = 64 << 20  # a list file up to this size goes to every task
 AUTOMATON_BYTES = 1 << 20  # a list file up to this size becomes one automaton in every task
-PATTERN_BYTES = 32 << 10  # of the values that one pattern joins
+PATTERN_BYTES = 32 << 10  # a list file up to this size becomes one regular expression
 SALTS = 64
 
 
@@ -55,23 +55,12 @@ def _texts(values: ValueList) -> list[str]:
     return sorted(r.item for r in values.items.toLocalIterator())
 
 
-def _joined(patterns: list[str]) -> list[str]:
-    """Alternatives of bounded length that match what any of the patterns does."""
-    out, size = [[]], 0
-    for pattern in patterns:
-        if out[-1] and size + len(pattern) > PATTERN_BYTES:
-            out.append([])
-            size = 0
-        out[-1].append(f"(?:{pattern})")
-        size += len(pattern)
-    return ["|".join(group) for group in out if group]
-
-
 def moves_lines(values: ValueList | None, spec: FilterSpec) -> bool:
     """Whether lines are exchanged to be matched, and so come in another order."""
-    if values is None or spec.regex:
+    if values is None:
         return False
-    return values.size_bytes > (AUTOMATON_BYTES if spec.partial else BROADCAST_BYTES)
+    limit = PATTERN_BYTES if spec.regex else AUTOMATON_BYTES if spec.partial else BROADCAST_BYTES
+    return values.size_bytes > limit
 
 
 def flag_listed(
@@ -79,8 +68,10 @@ def flag_listed(
 ) -> DataFrame:
     """Add ``matched``: the string ``x`` matches some value of the list; an empty list matches nothing.
 
-    Long lists for partial matching are staged below ``folder``, with the lines.
+    Long lists for partial matching and of regular expressions are staged below ``folder``, with the lines.
     """
+    if spec.regex and moves_lines(values, spec):
+        return flag_patterns(parsed, x, values.items, folder)
     if spec.partial and moves_lines(values, spec):
         return flag_contained(parsed, x, values.items, folder)
     if spec.partial:
@@ -89,8 +80,8 @@ def flag_listed(
         patterns = _texts(values)
         for pattern in patterns:
             check_re2(pattern)
-        found = [re2_search(x, joined) for joined in _joined(patterns)]
-        return parsed.withColumn("matched", reduce(lambda a, b: a | b, found, F.lit(False)))
+        found = re2_search(x, "|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(False)
+        return parsed.withColumn("matched", found)
     return _flag_equal(parsed, x, values)
 
 
