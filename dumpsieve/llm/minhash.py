@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dumpsieve.llm.graph import connected_components
@@ -135,7 +135,7 @@ def _indexer(options: MinHash, counts):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out_cid, out_value, out_n = [], [], []
+            out_cid, out_value, out_n, out_all = [], [], [], []
             for cid, n, sketch in zip(*(batch.column(c).to_pylist() for c in ("cid", "n", "sketch"))):
                 values = np.array(sketch, np.int64)
                 if n * 100 <= k * percent:  # every partner's sketch is its whole set
@@ -147,9 +147,10 @@ def _indexer(options: MinHash, counts):
                 out_value.append(values)
                 out_cid.append(np.full(len(values), cid, np.int64))
                 out_n.append(np.full(len(values), n, np.int64))
+                out_all.append(np.full(len(values), len(values), np.int64))
             if out_cid:
-                columns = [pa.array(np.concatenate(x)) for x in (out_value, out_cid, out_n)]
-                yield pa.RecordBatch.from_arrays(columns, names=["value", "cid", "n"])
+                columns = [pa.array(np.concatenate(x)) for x in (out_value, out_cid, out_n, out_all)]
+                yield pa.RecordBatch.from_arrays(columns, names=["value", "cid", "n", "indexed"])
 
     return run
 
@@ -160,20 +161,28 @@ def _index(classes: DataFrame, options: MinHash) -> DataFrame:
     Two sets at the threshold share at least ``overlap`` retained values. In any order that
     all share, here rarest first, the values left after taking away ``overlap`` - ``common`` of
     the last ones hold ``common`` shared ones. So very common values are seldom indexed.
-    Values that only one class has are dropped. Leaders are the first members in orders that
-    are the same for all lists, so lists of the same classes have the same leaders.
+    Values that only one class has are dropped. Leaders are the members with the fewest of
+    these, in a group of near copies those next to the text that it comes from; of equal
+    members the first in orders that are the same for all lists, so lists of the same classes
+    have the same leaders.
     """
     spark = classes.sparkSession
     counts = spark.sparkContext.broadcast(_counters(classes))
-    rows = classes.select("cid", "n", "sketch").mapInArrow(_indexer(options, counts), "value long, cid long, n long")
+    rows = classes.select("cid", "n", "sketch").mapInArrow(
+        _indexer(options, counts), "value long, cid long, n long, indexed long"
+    )
     rows = stored(rows, "index")
+    lists = rows.groupBy("value").agg(F.max("cid").alias("last"), F.min("cid").alias("first"))
+    rows = rows.join(lists.filter("first < last").select("value"), "value")
+    alone = F.col("indexed") - F.count("*").over(Window.partitionBy("cid"))
+    rows = stored(rows.select("value", "cid", "n", alone.alias("alone")), "index")
     masks = [0] + [int.from_bytes(hashlib.md5(bytes([i])).digest()[:7], "big") for i in range(1, options.leaders)]
-    leader = [F.min(F.col("cid").bitwiseXOR(F.lit(m).cast("long"))).bitwiseXOR(F.lit(m).cast("long")) for m in masks]
-    lists = rows.groupBy("value").agg(
-        F.max("cid").alias("last"), F.min("cid").alias("first"), F.array_distinct(F.array(*leader)).alias("leaders")
-    )
-    lists = stored(lists.filter("first < last").select("value", "leaders"), "lists")
-    return stored(rows.join(lists, "value"), "index")
+    leader = [
+        F.min(F.struct("alone", F.col("cid").bitwiseXOR(F.lit(m).cast("long")).alias("cid"))).getField("cid")
+        .bitwiseXOR(F.lit(m).cast("long")) for m in masks
+    ]
+    lists = stored(rows.groupBy("value").agg(F.array_distinct(F.array(*leader)).alias("leaders")), "lists")
+    return stored(rows.drop("alone").join(lists, "value"), "index")
 
 
 def _need(options: MinHash):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 
+from dumpsieve.llm import minhash
 from dumpsieve.llm.exact import drop_exact_copies, exact_groups
 from dumpsieve.llm.graph import connected_components
 from dumpsieve.llm.lines import drop_repeated_lines
@@ -82,3 +83,25 @@ def test_near_copies(docs):
         assert got == _brute(rows, n)
     kept = drop_near_copies(docs(rows), MinHash(shingle=5))
     assert {r.doc_id for r in kept.collect()} == {i for i, (_, c) in _brute(rows, 5).items() if i == c}
+
+
+def test_copies_of_one_text_meet_it_first(docs, monkeypatch):
+    # Copies are like their text, not like each other: any other leader leaves all of them to the search of pairs.
+    chance = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(1000, " ".join(base))]
+    for i in range(60):
+        edited = list(base)
+        for k in range(9):
+            edited[20 * k + chance.randrange(1, 19)] = f"own{i}x{k}"
+        rows.append((i, " ".join(edited)))
+    met, search = [], minhash._pairs_between
+
+    def counted(*args):
+        met.append(search(*args).count())
+        return search(*args)
+
+    monkeypatch.setattr(minhash, "_pairs_between", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs(rows), MinHash(shingle=2)).collect()}
+    assert got == _brute(rows, 2) and {c for _, c in got.values()} == {0}
+    assert met == [0]
