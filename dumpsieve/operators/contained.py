@@ -1,7 +1,7 @@
 """Which texts contain a value of a list that is too long for one automaton.
 
-The list becomes an index: each value is filed under one run of ``GRAM`` of its characters (all of a shorter
-value), the one whose runs are rarest in the list. The runs of every text that a bitmap of the index lets pass
+The list becomes an index: each value is filed under one run of ``GRAM`` of its characters (of ``SHORT`` in a shorter
+value, all of a still shorter one), the one whose runs are rarest in the list. The runs of every text that a bitmap of the index lets pass
 meet the index in a join, and what meets is compared with the text itself. So no task and not the driver holds
 the list: they hold counters and bitmaps of a fixed size, and lines without a candidate cost one pass over
 their text.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from dumpsieve.functions.text import lower_simple
 from dumpsieve.sources.scan import shared_folder, stage
 
-GRAM = 8
+GRAM, SHORT = 16, 8  # characters of a run; values below the first are filed under one of the second at most
 COUNTERS = 1 << 20  # of runs in the list; 8 MiB
 BITS = 1 << 27  # of the bitmap of the index; 16 MiB
 _WINDOW = 1 << 20  # characters looked at together
@@ -60,7 +60,7 @@ def _runs(texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
     codes, begin = _code_points(texts)
     for i, (a, b) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist())):
         if b > a:
-            yield i, _hashes(codes[a:b], min(b - a, GRAM))
+            yield i, _hashes(codes[a:b], GRAM if b - a >= GRAM else min(b - a, SHORT))
 
 
 def _count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +139,9 @@ def occurrences(texts: DataFrame, lows: DataFrame, folder: str) -> DataFrame:
     have is joined as a skewed key, which adaptive execution splits.
     """
     index = stage(lows.mapInArrow(_filer(_counts(lows)), "gram long, before int, low string"), folder + "/index")
-    widths = sorted(r[0] for r in index.select(F.least(F.char_length("low"), F.lit(GRAM))).distinct().collect())
+    size = F.char_length("low")
+    width = F.when(size >= GRAM, GRAM).otherwise(F.least(size, F.lit(SHORT)))
+    widths = sorted(r[0] for r in index.select(width).distinct().collect())
     found = _finder(_bitmap(index), widths)
     seen = texts.select("row", F.col("text").alias("low")).mapInArrow(found, "row long, gram long, at long")
     maybe = seen.join(index, "gram").select("row", (F.col("at") - F.col("before")).alias("begin"), "low").where("begin >= 0")

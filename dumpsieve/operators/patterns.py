@@ -1,7 +1,7 @@
 """Long lists of regular expressions, by the literals they require.
 
-Every match of most patterns holds some fixed text. Case-folded, this text is looked for with the index of
-``contained``; only pairs of a row and a pattern whose text was found are searched, with RE2. So the plan is the
+Every match of most patterns holds some fixed text. Case-folded and with single spaces, this text is looked for with
+the index of ``contained``; only pairs of a row and a pattern whose text was found are searched, with RE2. So the plan is the
 same for any number of patterns, and no task holds them. Patterns that require nothing (or very little) have to
 be tried on every row: those go, joined, to all tasks.
 """
@@ -36,19 +36,22 @@ _FLAGS = re.compile(r"\(\?[A-Za-z-]+\)")
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def required_texts(pattern: str) -> list[str]:
-    """Texts of which every match of the RE2 pattern holds one, up to case; none if nothing is known."""
+def required_texts(pattern: str, spaced: bool = False) -> list[str]:
+    """Texts of which every match of the RE2 pattern holds one, up to case; none if nothing is known.
+
+    ``spaced``: up to the lengths of runs of spaces too, so that `` +`` does not end a text.
+    """
     if r"\Q" in pattern:
         return []
-    found, end = _alternatives(pattern, 0)
+    found, end = _alternatives(pattern, 0, spaced)
     return found if end == len(pattern) and found and min(map(len, found)) >= SHORTEST else []
 
 
-def _alternatives(pattern: str, at: int) -> tuple[list[str], int]:
+def _alternatives(pattern: str, at: int, spaced: bool) -> tuple[list[str], int]:
     """What is required up to the end of the group that begins at ``at``: one text for each alternative."""
     known, all_known = [], True
     while True:
-        texts, at = _sequence(pattern, at)
+        texts, at = _sequence(pattern, at, spaced)
         known += texts
         all_known &= bool(texts)
         if at >= len(pattern) or pattern[at] == ")":
@@ -56,7 +59,7 @@ def _alternatives(pattern: str, at: int) -> tuple[list[str], int]:
         at += 1  # a bar
 
 
-def _sequence(pattern: str, at: int) -> tuple[list[str], int]:
+def _sequence(pattern: str, at: int, spaced: bool) -> tuple[list[str], int]:
     """The part of one alternative that is best to look for, and where the alternative ends."""
     best, run = [], ""
 
@@ -70,7 +73,7 @@ def _sequence(pattern: str, at: int) -> tuple[list[str], int]:
         if flags := _FLAGS.match(pattern, at):
             at = flags.end()
         elif char == "(":
-            inner, at = _alternatives(pattern, _OPENING.match(pattern, at).end())
+            inner, at = _alternatives(pattern, _OPENING.match(pattern, at).end(), spaced)
             at += 1
         elif char == "[":
             bracket = _CLASS.match(pattern, at)
@@ -88,7 +91,7 @@ def _sequence(pattern: str, at: int) -> tuple[list[str], int]:
             if repeat[0][0] in "*?" or repeat[1] is not None and int(repeat[1]) == 0:
                 literal, inner = "", []
             run += literal
-            literal = ""
+            literal = literal if spaced and literal == " " else ""
         else:
             run += literal
         if not literal:
@@ -109,7 +112,7 @@ def _file_patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             except ValueError as err:
                 rows.append((pattern, None, str(err)))
                 continue
-            rows += [(pattern, text, None) for text in required_texts(pattern) or [None]]
+            rows += [(pattern, text, None) for text in required_texts(pattern, spaced=True) or [None]]
         columns = [pa.array(c, pa.string()) for c in zip(*rows)] if rows else [pa.array([], pa.string())] * 3
         yield pa.RecordBatch.from_arrays(columns, names=["pattern", "low", "wrong"])
 
@@ -152,6 +155,11 @@ def _any_of(rows: DataFrame, x: Column, patterns: list[str]) -> Column:
     return search(x)
 
 
+def _plain(x: Column) -> Column:
+    """Case-folded, with single spaces."""
+    return F.regexp_replace(fold(x), " {2,}", " ")
+
+
 def flag_patterns(rows: DataFrame, x: Column, items: DataFrame, folder: str | None = None) -> DataFrame:
     """Add ``matched`` to the rows: some RE2 pattern ``item`` is found in ``x``; NULL or false where none is.
 
@@ -162,7 +170,7 @@ def flag_patterns(rows: DataFrame, x: Column, items: DataFrame, folder: str | No
     folder = folder or shared_folder(rows.sparkSession, "patterns")
     items = items.select("item").where("item <> ''").distinct()
     filed = stage(
-        items.mapInArrow(_file_patterns, "pattern string, low string, wrong string").withColumn("low", fold(F.col("low"))),
+        items.mapInArrow(_file_patterns, "pattern string, low string, wrong string").withColumn("low", _plain(F.col("low"))),
         folder + "/patterns",
     )
     for row in filed.where("wrong is not null").limit(1).collect():
@@ -176,7 +184,7 @@ def flag_patterns(rows: DataFrame, x: Column, items: DataFrame, folder: str | No
     # Rows that a pattern tried on all of them has matched need no other.
     open_rows = held.where("_text <> '' and not _free").select(F.col("_row").alias("row"), F.col("_text").alias("text"))
     lows = filed.where("low is not null").select("low").distinct()
-    held_by = occurrences(open_rows.withColumn("text", fold(F.col("text"))), lows, folder)
+    held_by = occurrences(open_rows.withColumn("text", _plain(F.col("text"))), lows, folder)
     pairs = held_by.join(filed, "low").select("row", "pattern").distinct().join(open_rows, "row")
     found = pairs.mapInArrow(_search_pairs, "row long").select(F.col("row").alias("_row")).distinct()
     matched = F.coalesce("_found", "_free")

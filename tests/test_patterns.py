@@ -5,6 +5,7 @@ import random
 import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
+from dumpsieve.operators import patterns
 from dumpsieve.operators import value_list as lists
 from dumpsieve.operators.patterns import flag_patterns, required_texts
 from dumpsieve.operators.predicates import tag_matches
@@ -27,6 +28,37 @@ def test_required_texts(pattern, want):
     assert required_texts(pattern) == want
 
 
+@pytest.mark.parametrize("pattern, want", [
+    ("one +two +three", ["one two three"]), ("one {2}two", ["one two"]), ("one {1,}two", ["one two"]),
+    (r"one\ +?two", ["one two"]), ("one *twos", ["twos"]), ("one {0,2}twos", ["twos"]), ("one +two|six +ten", ["one two", "six ten"]),
+    ("(one +two)? +three", [" three"]), ("one  +two", ["one  two"]), ("one[ ]+twos", ["twos"]), ("one +tw+o", ["one tw"]),
+])
+def test_required_texts_with_any_spaces(pattern, want):
+    assert required_texts(pattern, spaced=True) == want
+
+
+def test_spaces_in_patterns(spark):
+    texts = ["ONE   two three", "one two  three", "onetwo three", "one two", " one\ttwo three", "one  two three "]
+    lines = ["one +two +three", "one {2}two", "(?i)one {3}two", "one +tw[o] *three$"]
+    want = [any(pc.match_substring_regex(pa.array([t]), p)[0].as_py() for p in lines) for t in texts]
+    assert want == [True, True, False, False, False, True]
+    assert flags(spark, texts, lines) == want
+
+
+def test_patterns_that_share_their_longest_word(spark, monkeypatch):
+    # Each line holds the longest word of all patterns, but the text of one: what is looked for tells them apart.
+    asked, search = [], patterns.occurrences
+
+    def counted(texts, lows, folder):
+        asked.append(lows.count())
+        return search(texts, lows, folder)
+
+    monkeypatch.setattr(patterns, "occurrences", counted)
+    texts = [f"so{i}x  many  extraordinary x{i}" for i in range(50)]
+    assert flags(spark, texts, [f"so{i}x +many +extraordinary +x{i}$" for i in range(50)]) == [True] * 50
+    assert asked == [50]
+
+
 def flags(spark, texts, patterns):
     rows = spark.createDataFrame(list(enumerate(texts)), "n int, x string")
     items = spark.createDataFrame([(p,) for p in patterns], "item string")
