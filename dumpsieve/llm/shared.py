@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dumpsieve.sources.scan import shared_folder
+from dumpsieve.sources.zst import give_back  # noqa: F401 - for the operators
 
 WHITE = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -94,15 +94,6 @@ def text_chunks(
             begin += rows
 
 
-def give_back() -> None:
-    """Return what this Python worker holds unused, which else stays with it until its executor ends."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (OSError, AttributeError):  # not the GNU C library
-        pass
-
-
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Row of each word, number of each word in the dictionary, and the dictionary.
 

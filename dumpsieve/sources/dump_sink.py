@@ -34,7 +34,7 @@ import zstandard
 from pyspark import cloudpickle
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
-from dumpsieve.sources.zst import END, EXTENSION, open_fs
+from dumpsieve.sources.zst import END, EXTENSION, give_back, open_fs
 
 FORMAT = "dump_parts"
 
@@ -61,6 +61,7 @@ _MANIFEST_ARROW = pa.schema([
 ])
 RATE_EXCEEDED = "error rate exceeded"
 _PUBLISHERS = 32
+_WRITE_BYTES = 4 << 20  # of lines that are joined at once
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -104,9 +105,12 @@ class _Encoder:
                     3, window_log=self.window_log, enable_ldm=True
                 )
             self.stream = zstandard.ZstdCompressor(**settings).stream_writer(self.raw, closefd=False)
-        one_list = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-        self.stream.write(pc.binary_join(one_list, b"\n")[0].as_buffer())
-        self.stream.write(b"\n")
+        step = max(1, len(values) * _WRITE_BYTES // max(1, values.nbytes))
+        for first in range(0, len(values), step):
+            some = values[first : first + step]
+            one_list = pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some)
+            self.stream.write(pc.binary_join(one_list, b"\n")[0].as_buffer())
+            self.stream.write(b"\n")
         self.part.matched += len(values)
 
     def close(self) -> Part:
@@ -155,6 +159,8 @@ class DumpWriter(DataSourceArrowWriter):
                 self._take(encoder, rows)
         if encoder is not None:
             message.parts.append(encoder.close())
+        encoder = batch = rows = keys = runs = None
+        give_back()
         return message
 
     @staticmethod

@@ -13,6 +13,7 @@ file of one frame all but the first split are empty.
 
 from __future__ import annotations
 
+import ctypes
 import sys
 from collections.abc import Iterable, Iterator
 
@@ -184,6 +185,15 @@ def find_frames(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---------------------------------------------------------------- bytes
 
 
+def give_back() -> None:
+    """Return what this Python worker holds unused, which else stays with it until its executor ends."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not the GNU C library
+        pass
+
+
 class DumpError(Exception):
     """A file that cannot be read to its end."""
 
@@ -380,6 +390,8 @@ def _rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[dict, pa.Recor
             except (DumpError, zstandard.ZstdError, OSError) as err:
                 status = FAILED + str(err)
             yield row, _batch(file, first, line, pa.nulls(1, pa.binary()), status)
+    values = chunks = None
+    give_back()
 
 
 def read_splits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

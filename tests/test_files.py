@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from dumpsieve.sources import zst
+from dumpsieve.sources import dump_sink, zst
 from dumpsieve.sources.listing import DumpFile, NoInputError, collect_files, dump_kind, kind_of, list_input_files
 from dumpsieve.sources.scan import (
     drop_failed_files, ingest, keep_until_failure, only_lines, plan_scan, read_staged, scan_dump_lines, scan_in_pieces,
@@ -343,3 +343,20 @@ def test_only_uneven_splits_are_staged(spark, dump, tmp_path):
     assert written < 1.3 * 2 * os.path.getsize(f"{root}/RS_one.zst")
     plain = scan_in_pieces(plan_scan(spark, collect_files(list_input_files(spark, root, "even|small")), 8 << 10, folder + "2"), folder + "2")
     assert plain.count() > 3000 and not os.path.exists(folder + "2/lines")
+
+
+def test_lines_are_written_a_few_mib_at_a_time():
+    class Stream:
+        pieces = []
+
+        def write(self, data):
+            self.pieces.append(bytes(data))
+
+    part = dump_sink.Part("out", "file", 0, 0)
+    encoder = dump_sink._Encoder(None, "", part, "", None)
+    encoder.stream = Stream()
+    lines = [b"%07d" % i * 1000 for i in range(3000)] + [b"", b"x" * (6 << 20), b"end"]
+    encoder.write(pa.array(lines)[1:])
+    assert part.matched == len(lines) - 1
+    assert b"".join(Stream.pieces) == b"".join(line + b"\n" for line in lines[1:])
+    assert max(map(len, Stream.pieces)) < 12 << 20
