@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from dumpsieve.operators import contained
 from dumpsieve.operators.contained import flag_contained
@@ -42,3 +44,15 @@ def test_one_run_in_all_lines(spark):
     texts = [f"the same beginning of all lines {i % 7}" for i in range(2000)]
     values = [f"same beginning of all lines {i}" for i in (3, 5)]
     assert sum(flags(spark, texts, values)) == sum(i % 7 in (3, 5) for i in range(2000))
+
+
+def test_lines_of_the_same_words_are_told_apart():
+    # All counters are equal, as those of a very long list are nearly.
+    class Full:
+        value = np.ones(contained.COUNTERS, np.int64)
+
+    draw = random.Random(3)
+    words = [f"{i:07d}" for i in range(20)]
+    lines = [" ".join(draw.choices(words, k=40)) for _ in range(200)]
+    (filed,) = contained._filer(Full)([pa.RecordBatch.from_arrays([pa.array(lines)], names=["low"])])
+    assert len(set(filed["gram"].to_pylist())) > 100
