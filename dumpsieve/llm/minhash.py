@@ -274,16 +274,11 @@ def _prefixer(percent: int, counts):
     return run
 
 
-def _pairs_between(sets: DataFrame, options: MinHash) -> DataFrame:
-    """Pairs of different components that can reach the threshold, by the rarest shingles of their full sets.
+def _prefixes(sets: DataFrame, options: MinHash) -> DataFrame:
+    """value, cid, component, n, place, parities, alone: the rarest shingles of full sets that another set has too.
 
-    Members of a group of near copies share most retained values, so their lists would give all pairs of the group. In
-    an order that all sets share, rarest first, two sets at the threshold have their first common shingle so early that
-    enough are left behind it in both. A pair is kept only where a common shingle stands early enough, and where what
-    is in front of it in either set, with the buckets behind it whose parities differ (at most as many as shingles that
-    one set lacks), allows the threshold. Both bounds are exact at the first common shingle, and at later ones, where
-    common shingles count as different, they hardly ever let a pair pass again. In each list only sets outside of its
-    largest component look for partners.
+    Alone is how many of a set's rarest shingles no other set has: next to none in the text that a group of near copies
+    comes from. A sketch often has none of a copy's own shingles, so there such a text is hard to tell.
     """
     spark = sets.sparkSession
     found = sets.mapInArrow(_bucket_counter, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
@@ -291,22 +286,76 @@ def _pairs_between(sets: DataFrame, options: MinHash) -> DataFrame:
     counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
     schema = "value long, cid long, component long, n long, place long, " + ", ".join(f"{p} long" for p in _PARITIES)
     rows = stored(sets.mapInArrow(_prefixer(options.percent, spark.sparkContext.broadcast(counts)), schema), "prefixes")
+    lists = rows.groupBy("value").agg(F.max("cid").alias("last"), F.min("cid").alias("first"))
+    rows = rows.join(lists.filter("first < last").select("value"), "value")
+    looked = F.col("n") - F.ceil(F.col("n") * options.percent / 100) + 1
+    return stored(rows.withColumn("alone", looked - F.count("*").over(Window.partitionBy("cid"))), "shared")
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows in lists of several components, with ``main``, the list's largest component."""
     sizes = rows.groupBy("value", "component").agg(F.count("*").alias("members"))
     lists = sizes.groupBy("value").agg(F.max(F.struct("members", "component")).alias("top"), F.count("*").alias("parts"))
     lists = stored(lists.filter("parts > 1").select("value", F.col("top.component").alias("main")), "lists")
-    rows = stored(rows.join(lists, "value"), "mixed")
-    few = rows.filter("component != main").drop("main")
-    few = few.select("value", *(F.col(c).alias(f"{c}_a") for c in few.columns if c != "value"))
-    every = rows.select("value", "main", *(F.col(c).alias(f"{c}_b") for c in rows.columns if c not in ("value", "main")))
+    return stored(rows.join(lists, "value"), "mixed")
+
+
+def _reachable(options: MinHash) -> Column:
+    """Whether two members of a list, of different components, can reach the threshold.
+
+    Only where the common shingle stands early enough, and where what is in front of it in either set, with the buckets
+    behind it whose parities differ (at most as many as shingles that one set lacks), allows the threshold. Both bounds are
+    exact at the first common shingle, and at later ones, where common shingles count as different, they hardly ever let a
+    pair pass again.
+    """
     both = F.col("n_a") + F.col("n_b")
     left = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
     percent, whole = options.percent, 100 + options.percent
-    pairs = few.join(every, "value").filter(
+    return (
         (F.col("component_a") != F.col("component_b"))
-        & ((F.col("component_b") == F.col("main")) | (F.col("cid_a") < F.col("cid_b")))
         & (left * whole >= both * percent)
         & ((both - F.col("place_a") - F.col("place_b") - _unlike()) * whole >= both * (2 * percent))
     )
+
+
+_IN_LIST = ("cid", "component", "n", "place", *_PARITIES)
+
+
+def _hub_pairs(rows: DataFrame, options: MinHash) -> DataFrame:
+    """Every set with a few hubs of its lists that lie in other components: a bounded number for each row of the lists.
+
+    Hubs have the fewest shingles of their own: one of all members, more of those about as near to their text, and one
+    outside of the list's largest component. Large components that are linked many times become one here, so that the
+    search of pairs has only those left to which few links lead.
+    """
+    masks = [int.from_bytes(hashlib.md5(bytes([i])).digest()[:7], "big") for i in range(options.leaders)]
+    mixed = _mixed(rows)
+    member = F.struct(*_IN_LIST)
+
+    def hub(i: int, *of: Column) -> Column:
+        order = F.struct(F.shiftright("alone", i), F.col("cid").bitwiseXOR(F.lit(masks[i]).cast("long")))
+        return F.min_by(member, F.when(of[0], order) if of else order)
+
+    hubs = [hub(i) for i in range(options.leaders)] + [hub(0, F.col("component") != F.col("main"))]
+    hubs = stored(mixed.groupBy("value").agg(F.array_distinct(F.array(*hubs)).alias("hubs")), "hubs")
+    pairs = mixed.join(hubs, "value").select(*(F.col(c).alias(f"{c}_a") for c in _IN_LIST), F.explode("hubs").alias("hub"))
+    pairs = pairs.select("*", *(F.col(f"hub.{c}").alias(f"{c}_b") for c in _IN_LIST)).filter(_reachable(options))
+    return pairs.select(F.least("cid_a", "cid_b").alias("a"), F.greatest("cid_a", "cid_b").alias("b")).distinct()
+
+
+def _pairs_between(rows: DataFrame, options: MinHash) -> DataFrame:
+    """Pairs of different components that can reach the threshold, by the rarest shingles of their full sets.
+
+    Members of a group of near copies share most retained values, so their lists would give all pairs of the group. In
+    an order that all sets share, rarest first, two sets at the threshold have their first common shingle so early that
+    enough are left behind it in both. In each list only sets outside of its largest component look for partners.
+    """
+    mixed = _mixed(rows)
+    few = mixed.filter("component != main").select("value", *(F.col(c).alias(f"{c}_a") for c in _IN_LIST))
+    every = mixed.select("value", "main", *(F.col(c).alias(f"{c}_b") for c in _IN_LIST))
+    pairs = few.join(every, "value").filter(
+        _reachable(options) & ((F.col("component_b") == F.col("main")) | (F.col("cid_a") < F.col("cid_b")))
+    )
     return pairs.select(F.least("cid_a", "cid_b").alias("a"), F.greatest("cid_a", "cid_b").alias("b")).distinct()
 
 
@@ -389,8 +438,9 @@ def _linked(docs: DataFrame, options: MinHash, id_col: str, text_col: str) -> Da
     """doc_id, row, n, component (a number, null without shingles), component_id (its smallest id) per row of ``docs``.
 
     First every class is compared with a few leaders of each of its inverted lists. Classes whose lists
-    still hold other components then meet those by the rarest shingles of their full sets; so large groups
-    of copies cost a few comparisons per member, and no pair of different components is left out.
+    still hold other components then meet those by the rarest shingles of their full sets, first a few hubs of each
+    list, then all that is left; so large groups of copies cost a few comparisons per member, and no pair of
+    different components is left out.
     """
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     drawn = stored(sketches(texts, options), "sketches")
@@ -405,12 +455,15 @@ def _linked(docs: DataFrame, options: MinHash, id_col: str, text_col: str) -> Da
     asked = stored(asked.select("cid", F.col("doc_id").alias("doc"), "set_key", F.col("cid").alias("component")), "asked")
     components = connected_components(_proven(first, _sets(asked, texts, options), options))
     sets = _sets(_unsettled(index, components, classes, options), texts, options)
-    second = stored(_thin(_pairs_between(sets, options), classes, options), "pairs")
-    more = _proven(second, sets, options)
-    if not more.isEmpty():
-        # What is known moves on as links to the components, not as all links.
-        known = components.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        components = connected_components(known.unionByName(more))
+    rows = _prefixes(sets, options)
+    for search in (_hub_pairs, _pairs_between):
+        more = _proven(stored(_thin(search(rows, options), classes, options), "pairs"), sets, options)
+        if not more.isEmpty():
+            # What is known moves on as links to the components, not as all links.
+            known = components.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            components = connected_components(known.unionByName(more))
+            now = components.select(F.col("node").alias("cid"), F.col("component").alias("now"))
+            rows = rows.join(now, "cid", "left").withColumn("component", F.coalesce("now", "component")).drop("now")
     named = classes.select("cid", "set_key", "doc_id").join(
         components.select(F.col("node").alias("cid"), "component"), "cid", "left"
     ).withColumn("component", F.coalesce("component", "cid"))

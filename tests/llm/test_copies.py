@@ -105,3 +105,26 @@ def test_copies_of_one_text_meet_it_first(docs, monkeypatch):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs(rows), MinHash(shingle=2)).collect()}
     assert got == _brute(rows, 2) and {c for _, c in got.values()} == {0}
     assert met == [0]
+
+
+def test_leaders_that_find_nothing_do_not_leave_all_pairs(docs, monkeypatch):
+    # All copies are like each other; the first pass links none of them, as where its leaders are like no other copy.
+    chance = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(1000, " ".join(base))]
+    for i in range(60):
+        edited = list(base)
+        for k in range(3):
+            edited[60 * k + chance.randrange(1, 59)] = f"own{i}x{k}"
+        rows.append((i, " ".join(edited)))
+    met, search, lead = [], minhash._pairs_between, minhash._leader_pairs
+
+    def counted(*args):
+        met.append(search(*args).count())
+        return search(*args)
+
+    monkeypatch.setattr(minhash, "_pairs_between", counted)
+    monkeypatch.setattr(minhash, "_leader_pairs", lambda *args: lead(*args).limit(0))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs(rows), MinHash(shingle=2)).collect()}
+    assert got == _brute(rows, 2) and {c for _, c in got.values()} == {0}
+    assert met == [0]
