@@ -38,11 +38,27 @@ def _code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _hashes(codes: np.ndarray, width: int) -> np.ndarray:
-    """A hash of the ``width`` characters from each place on, as far as there are so many."""
-    n = max(0, len(codes) - width + 1)
-    out = np.full(n, width, np.uint64)
-    for k in range(width):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + n]
+    """A hash of the ``width`` characters from each place on, as far as there are so many.
+
+    A polynomial of the characters, put together from those of 1, 2, 4, ... characters.
+    """
+    n = len(codes) - width + 1
+    if n <= 0:
+        return np.empty(0, np.int64)
+
+    def joined(left: np.ndarray, by: int, right: np.ndarray, size: int) -> np.ndarray:
+        m = len(codes) - by - size + 1
+        return left[:m] * np.uint64(pow(0x9E3779B97F4A7C15, size, 1 << 64)) + right[by : by + m]
+
+    part, by, out, size = codes.astype(np.uint64), 1, None, 0
+    while by <= width:
+        if width & by:
+            out = part if out is None else joined(part, by, out, size)
+            size += by
+        if 2 * by <= width:
+            part = joined(part, by, part, by)
+        by *= 2
+    out = out ^ np.uint64(width)
     out ^= out >> np.uint64(32)
     out *= np.uint64(0xD6E8FEB86659FD93)
     return (out ^ (out >> np.uint64(29))).view(np.int64)
@@ -55,34 +71,54 @@ def _places(gram):
     return gram & (BITS - 1), (gram >> 32) & (BITS - 1)
 
 
-def _runs(texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
-    """Number of each value, and the hashes of its runs."""
-    codes, begin = _code_points(texts)
-    for i, (a, b) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist())):
-        if b > a:
-            yield i, _hashes(codes[a:b], GRAM if b - a >= GRAM else min(b - a, SHORT))
+def _places_of(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of several ranges, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1]) + np.repeat(starts - (ends - sizes), sizes)
+
+
+def _runs(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Numbers of non-empty values of one width, where the runs of each begin, and the hashes of all these runs.
+
+    Values of about ``_WINDOW`` characters are taken together; a longer one is not cut.
+    """
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+    first = 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + _WINDOW, "right")))
+        codes, begin = _code_points(texts[first:last])
+        sizes = np.diff(begin)
+        widths = np.where(sizes >= GRAM, GRAM, np.minimum(sizes, SHORT))
+        for width in np.unique(widths[widths > 0]).tolist():
+            which = np.flatnonzero(widths == width)
+            n = sizes[which] - width + 1
+            some = codes[_places_of(begin[which], sizes[which])]
+            at = np.cumsum(sizes[which]) - sizes[which]
+            yield which + first, np.cumsum(n) - n, _hashes(some, width)[_places_of(at, n)]
+        first = last
 
 
 def _count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often the list has runs, by counters of their hashes."""
+    """How often the list has runs, by counters of their hashes: once for all rows of a task."""
+    total = np.zeros(COUNTERS, np.int64)
     for batch in batches:
-        found = [np.empty(0, np.int64)] + [np.unique(h & (COUNTERS - 1)) for _, h in _runs(batch.column("low").to_pylist())]
-        counter, n = np.unique(np.concatenate(found), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(counter), pa.array(n)], names=["counter", "n"])
+        for _, _, hashes in _runs(batch.column("low").to_pylist()):
+            total += np.bincount(hashes & (COUNTERS - 1), minlength=COUNTERS)
+    counter = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(counter), pa.array(total[counter])], names=["counter", "n"])
 
 
 def _filer(counts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lows = batch.column("low")
-            row, gram, before = [], [], []
-            for i, hashes in _runs(lows.to_pylist()):
-                at = int(counts.value[hashes & (COUNTERS - 1)].argmin())
-                row.append(i)
-                gram.append(int(hashes[at]))
-                before.append(at)
-            columns = [pa.array(gram, pa.int64()), pa.array(before, pa.int32()), lows.take(pa.array(row, pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["gram", "before", "low"])
+            for row, begin, hashes in _runs(lows.to_pylist()):
+                often = counts.value[hashes & (COUNTERS - 1)]
+                least = np.minimum.reduceat(often, begin)
+                rarest = np.flatnonzero(often == np.repeat(least, np.diff(np.append(begin, len(hashes)))))
+                at = rarest[np.searchsorted(rarest, begin)]  # the first one of each value
+                columns = [pa.array(hashes[at]), pa.array((at - begin).astype(np.int32)), lows.take(pa.array(row))]
+                yield pa.RecordBatch.from_arrays(columns, names=["gram", "before", "low"])
 
     return run
 
@@ -90,6 +126,10 @@ def _filer(counts):
 def _finder(bitmap, widths: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bitmap.value
+
+        def known(place: np.ndarray) -> np.ndarray:
+            return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
@@ -98,10 +138,8 @@ def _finder(bitmap, widths: list[int]):
                 for width in widths:
                     for a in range(0, len(codes), _WINDOW):  # runs of a window reach into the next one
                         gram = _hashes(codes[a : a + _WINDOW + width - 1], width)
-                        maybe = np.ones(len(gram), bool)
-                        for place in _places(gram):
-                            maybe &= (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-                        at = np.flatnonzero(maybe)
+                        at = np.flatnonzero(known(_places(gram)[0]))
+                        at = at[known(_places(gram[at])[1])]  # few are left for the second bit
                         place = at + a
                         owner = np.searchsorted(begin, place, "right") - 1
                         inside = place + width <= begin[owner + 1]  # not across two texts

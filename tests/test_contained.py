@@ -56,3 +56,12 @@ def test_lines_of_the_same_words_are_told_apart():
     lines = [" ".join(draw.choices(words, k=40)) for _ in range(200)]
     (filed,) = contained._filer(Full)([pa.RecordBatch.from_arrays([pa.array(lines)], names=["low"])])
     assert len(set(filed["gram"].to_pylist())) > 100
+
+
+def test_a_task_counts_its_runs_once():
+    # What is sent on is bounded by the counters, not by the number of batches.
+    lines = [pa.RecordBatch.from_arrays([pa.array([f"the line of number {i}", "", "short"])], names=["low"]) for i in range(50)]
+    (counted,) = contained._count_runs(iter(lines))
+    counts = dict(zip(counted["counter"].to_pylist(), counted["n"].to_pylist()))
+    assert len(counts) == counted.num_rows and max(counts.values()) == 50
+    assert sum(counts.values()) == sum(len(f"the line of number {i}") - contained.GRAM + 1 for i in range(50)) + 50
