@@ -23,7 +23,8 @@ from dumpsieve.sources.scan import shared_folder, stage
 
 GRAM, SHORT = 16, 8  # characters of a run; values below the first are filed under one of the second at most
 COUNTERS = 1 << 20  # of runs in the list; 8 MiB
-BITS = 1 << 27  # of the bitmap of the index; 16 MiB
+BITS = 1 << 28  # at most, of the bitmap of the runs of one width; 32 MiB
+PLACES = 4  # bits that a run sets
 _WINDOW = 1 << 20  # characters looked at together
 _BITMAP = 32768  # bits in one bitmap of Spark's bitmap functions
 
@@ -64,11 +65,12 @@ def _hashes(codes: np.ndarray, width: int) -> np.ndarray:
     return (out ^ (out >> np.uint64(29))).view(np.int64)
 
 
-def _places(gram):
-    """Two bits of the bitmap for a hash; the same for a column and for an array."""
+def _places(gram, bits, which: int):
+    """One of the bits of a bitmap that a hash sets; the same for a column and for an array."""
     if isinstance(gram, Column):
-        return gram.bitwiseAND(F.lit(BITS - 1)), F.shiftright(gram, 32).bitwiseAND(F.lit(BITS - 1))
-    return gram & (BITS - 1), (gram >> 32) & (BITS - 1)
+        first, step = gram.bitwiseAND(bits - 1), F.shiftright(gram, 32).bitwiseAND(bits - 1).bitwiseOR(F.lit(1))
+        return (first + step * which).bitwiseAND(bits - 1)
+    return ((gram & (bits - 1)) + ((gram >> 32) & (bits - 1) | 1) * which) & (bits - 1)
 
 
 def _places_of(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -127,8 +129,9 @@ def _finder(bitmap, widths: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bitmap.value
 
-        def known(place: np.ndarray) -> np.ndarray:
-            return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+        def known(gram: np.ndarray, width: int, which: int) -> np.ndarray:
+            place = _places(gram, 8 * len(bits[width]), which)
+            return (bits[width][place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
 
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
@@ -138,8 +141,9 @@ def _finder(bitmap, widths: list[int]):
                 for width in widths:
                     for a in range(0, len(codes), _WINDOW):  # runs of a window reach into the next one
                         gram = _hashes(codes[a : a + _WINDOW + width - 1], width)
-                        at = np.flatnonzero(known(_places(gram)[0]))
-                        at = at[known(_places(gram[at])[1])]  # few are left for the second bit
+                        at = np.flatnonzero(known(gram, width, 0))
+                        for which in range(1, PLACES):  # few are left for the other bits
+                            at = at[known(gram[at], width, which)]
                         place = at + a
                         owner = np.searchsorted(begin, place, "right") - 1
                         inside = place + width <= begin[owner + 1]  # not across two texts
@@ -158,16 +162,29 @@ def _counts(lows: DataFrame):
     return lows.sparkSession.sparkContext.broadcast(table)
 
 
+def _width(low: Column) -> Column:
+    size = F.char_length(low)
+    return F.when(size >= GRAM, GRAM).otherwise(F.least(size, F.lit(SHORT)))
+
+
 def _bitmap(index: DataFrame):
-    """Bits of the runs that the index knows, to every task: ``BITS`` at most."""
-    place = index.select(F.explode(F.array(*_places(F.col("gram")))).alias("place"))
-    found = place.groupBy(F.floor(F.col("place") / _BITMAP).alias("bucket")).agg(
+    """For each width, the bits of the runs that the index knows, to every task: about 32 for each of them, ``BITS`` at most.
+
+    So texts pass by chance hardly more often where the list is long, and not because of runs of another width.
+    """
+    runs = index.select(_width(F.col("low")).alias("width"), "gram")
+    bits = {r.width: min(BITS, max(_BITMAP, 1 << (32 * r.n - 1).bit_length())) for r in runs.groupBy("width").agg(F.count("*").alias("n")).collect()}
+    of = F.lit(0).cast("long")
+    for width, n in bits.items():
+        of = F.when(F.col("width") == width, F.lit(n).cast("long")).otherwise(of)
+    place = F.explode(F.array(*(_places(F.col("gram"), of, which) for which in range(PLACES)))).alias("place")
+    found = runs.select("width", place).groupBy("width", F.floor(F.col("place") / _BITMAP).alias("bucket")).agg(
         F.bitmap_construct_agg(F.pmod("place", F.lit(_BITMAP))).alias("bits")
     ).toArrow()
-    bits = np.zeros(BITS // 8, np.uint8)
-    for bucket, part in zip(found["bucket"].to_pylist(), found["bits"].to_pylist()):
-        bits[bucket * _BITMAP // 8 : (bucket + 1) * _BITMAP // 8] = np.frombuffer(part, np.uint8)
-    return index.sparkSession.sparkContext.broadcast(bits)
+    maps = {width: np.zeros(n // 8, np.uint8) for width, n in bits.items()}
+    for width, bucket, part in zip(*(found[c].to_pylist() for c in ("width", "bucket", "bits"))):
+        maps[width][bucket * _BITMAP // 8 : (bucket + 1) * _BITMAP // 8] = np.frombuffer(part, np.uint8)
+    return index.sparkSession.sparkContext.broadcast(maps)
 
 
 def occurrences(texts: DataFrame, lows: DataFrame, folder: str) -> DataFrame:
@@ -177,10 +194,8 @@ def occurrences(texts: DataFrame, lows: DataFrame, folder: str) -> DataFrame:
     have is joined as a skewed key, which adaptive execution splits.
     """
     index = stage(lows.mapInArrow(_filer(_counts(lows)), "gram long, before int, low string"), folder + "/index")
-    size = F.char_length("low")
-    width = F.when(size >= GRAM, GRAM).otherwise(F.least(size, F.lit(SHORT)))
-    widths = sorted(r[0] for r in index.select(width).distinct().collect())
-    found = _finder(_bitmap(index), widths)
+    bitmap = _bitmap(index)
+    found = _finder(bitmap, sorted(bitmap.value))
     seen = texts.select("row", F.col("text").alias("low")).mapInArrow(found, "row long, gram long, at long")
     maybe = seen.join(index, "gram").select("row", (F.col("at") - F.col("before")).alias("begin"), "low").where("begin >= 0")
     there = F.substr("text", (F.col("begin") + 1).cast("int"), F.char_length("low")) == F.col("low")

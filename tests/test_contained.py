@@ -65,3 +65,20 @@ def test_a_task_counts_its_runs_once():
     counts = dict(zip(counted["counter"].to_pylist(), counted["n"].to_pylist()))
     assert len(counts) == counted.num_rows and max(counts.values()) == 50
     assert sum(counts.values()) == sum(len(f"the line of number {i}") - contained.GRAM + 1 for i in range(50)) + 50
+
+
+def test_a_full_bitmap_lets_few_runs_pass(spark, monkeypatch):
+    # Half of the list are short values, whose bits are no concern of the longer ones.
+    monkeypatch.setattr(contained, "BITS", 1 << 17)
+    draw = random.Random(4)
+    text = lambda n: "".join(draw.choices("abcdefghijklmnop", k=n))
+    values = [text(n) for n in (8, 16) for _ in range(6_000)]
+
+    class Full:
+        value = np.ones(contained.COUNTERS, np.int64)
+
+    filed = contained._filer(Full)([pa.RecordBatch.from_arrays([pa.array(values)], names=["low"])])
+    index = spark.createDataFrame(pa.Table.from_batches(filed))
+    rows = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([text(200_000)])], names=["row", "low"])
+    passed = sum(found.num_rows for found in contained._finder(contained._bitmap(index), [8, 16])([rows]))
+    assert passed < 0.005 * 2 * 200_000
