@@ -19,8 +19,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dumpsieve.llm.graph import connected_components
-from dumpsieve.llm.shared import bloom_bits, member_bitmap, passes_bloom, spread, stored, text_chunks, words_of
+from dumpsieve.llm.shared import bloom_bits, give_back, member_bitmap, passes_bloom, spread, stored, text_chunks, words_of
 
+_CHUNK_CHARS = 1 << 20  # shingling needs some 40 bytes for each of text
 _COUNTERS = 1 << 20  # of the table that orders values by how common they are: 4 MiB, fixed
 _SEEDS = (31, 32)
 _PARITIES = ("p0", "p1", "p2", "p3")
@@ -91,7 +92,7 @@ def _unlike() -> Column:
 
 def _sketcher(words: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_chunks(batches):
+        for part in text_chunks(batches, size=_CHUNK_CHARS):
             values, begin = shingle_sets(part.column("text"), words)
             n = np.diff(begin)
             kept = np.minimum(n, k)
@@ -105,6 +106,7 @@ def _sketcher(words: int, k: int):
                 + [pa.array(np.ascontiguousarray(parities[:, i])) for i in range(4)],
                 names=["doc_id", "row", "n", "set_key", "sketch", *_PARITIES],
             )
+            give_back()
 
     return run
 
@@ -388,7 +390,7 @@ def _thin(pairs: DataFrame, classes: DataFrame, options: MinHash) -> DataFrame:
 
 def _set_maker(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_chunks(batches):
+        for part in text_chunks(batches, size=_CHUNK_CHARS):
             values, begin = shingle_sets(part.column("text"), words)
             sets = [values[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:])]
             same = [hashlib.md5(s).digest() == key for s, key in zip(sets, part.column("set_key").to_pylist())]
@@ -396,6 +398,7 @@ def _set_maker(words: int):
                 [part.column("cid"), part.column("component"), pa.array(sets, pa.binary())], names=["cid", "component", "members"]
             )
             yield out.filter(pa.array(same, pa.bool_()))
+            give_back()
 
     return run
 

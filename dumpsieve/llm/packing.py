@@ -18,7 +18,7 @@ from dumpsieve.llm.shared import give_back, spread, stored, text_chunks, words_o
 
 _CACHED_WORDS = 500_000
 _TOGETHER = 5_000
-_CHUNK_CHARS = 6 << 20
+_CHUNK_CHARS = 2 << 20
 
 
 @dataclass(frozen=True)
@@ -81,7 +81,9 @@ def encode(texts: pa.Array, words: _Words, end_id: int) -> tuple[np.ndarray, np.
     begin = np.concatenate([[0], np.cumsum(n + 1)])
     ids = np.full(begin[-1], end_id, np.int32)
     if len(codes):
-        ids[spread(begin[:-1], n)] = words.ids[spread(words.starts[codes], sizes)]
+        inside = np.ones(len(ids), bool)
+        inside[begin[1:] - 1] = False
+        ids[inside] = words.ids[spread(words.starts[codes], sizes)]
     return ids, begin
 
 
