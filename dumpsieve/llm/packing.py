@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import functools
+import itertools
+import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -10,16 +12,33 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from dumpsieve.llm.shared import give_back, spread, stored, text_chunks, words_of
+from dumpsieve.llm.shared import coded_words, give_back, spread, stored, text_chunks
 
-_CACHED_WORDS = 500_000
+_CACHED = 500_000  # strings whose ids a worker keeps
 _TOGETHER = 5_000
 _CHUNK_CHARS = 2 << 20
 
+# Steps of a vocabulary before its merges that Arrow does as well for words of Latin letters, digits and signs: NFC
+# changes nothing there, lower case is one character for one, and RE2 splits as the tokenizer does.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+_STEPS = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [{"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True}, _BYTES],
+    },
+}
+_LATIN = r"^[!-~\x{A1}-\x{12F}\x{131}-\x{17F}]+$"
+
 
 @dataclass(frozen=True)
 class Packing:
@@ -30,42 +49,79 @@ class Packing:
 
 
 class _Words:
-    """Ids of words seen so far, in one array; forgotten when there are too many."""
+    """Ids of the strings seen so far, in one array; forgotten when there are too many.
+
+    Strings are the parts that the tokenizer splits words into: there are fewer of them, and they need nothing but its
+    merges. Words with other characters or the name of an added token are taken whole, and all words if the
+    vocabulary has other steps before the merges.
+    """
 
-    def __init__(self, tokenizer: Tokenizer):
-        self.tokenizer = tokenizer
+    def __init__(self, vocabulary: str):
+        steps = json.loads(vocabulary)
+        self.whole = Tokenizer.from_str(vocabulary)
+        self.whole.no_truncation()
+        self.names = [token["content"].lower() for token in steps["added_tokens"]]
+        self.parts = None
+        if all(steps[name] == step for name, step in _STEPS.items()):
+            only = {"normalizer": None, "pre_tokenizer": _BYTES, "added_tokens": [], "truncation": None}
+            self.parts = Tokenizer.from_str(json.dumps(steps | only))
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number: dict[Tokenizer, dict[str, int]] = {self.whole: {}, self.parts: {}}
         self.ids = np.empty(0, np.int32)
         self.starts = np.empty(0, np.int64)
         self.sizes = np.empty(0, np.int64)
 
-    def numbers(self, words: list[str]) -> np.ndarray:
-        if len(self.number) > _CACHED_WORDS:
-            self.forget()
-        new = [w for w in words if w not in self.number]
+    def _numbers(self, tokenizer: Tokenizer, strings: pa.Array) -> np.ndarray:
+        number, strings = self.number[tokenizer], strings.to_numpy(zero_copy_only=False)
+        numbers = np.fromiter(map(number.get, strings, itertools.repeat(-1)), np.int64, len(strings))
+        new = strings[numbers < 0].tolist()
         if new:
             ids, sizes = [self.ids], []
-            for at in range(0, len(new), _TOGETHER):  # many words in one result: a result for each costs more than its ids
+            for at in range(0, len(new), _TOGETHER):  # many strings in one result: a result for each costs more than its ids
                 some = new[at : at + _TOGETHER]
-                found = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+                found = tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
                 ids.append(np.array(found.ids, np.int32))
                 sizes.append(np.bincount(np.array(found.word_ids, np.int64), minlength=len(some)))
             sizes = np.concatenate(sizes)
-            self.number.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new))))
+            numbers[numbers < 0] = np.arange(len(self.sizes), len(self.sizes) + len(new))
+            number.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new))))
             self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
             self.sizes = np.concatenate([self.sizes, sizes])
             self.ids = np.concatenate(ids)
-        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        return numbers
+
+    def _splits(self, words: pa.Array, lower: pa.Array) -> np.ndarray:
+        """Which words can be taken by their parts."""
+        if self.parts is None:
+            return np.zeros(len(words), bool)
+        plain = pc.match_substring_regex(words, _LATIN)
+        for name in self.names:
+            plain = pc.and_not(plain, pc.match_substring(lower, name))
+        return plain.to_numpy(zero_copy_only=False)
+
+    def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, one after the other, and how many each has."""
+        if sum(map(len, self.number.values())) > _CACHED:
+            self.forget()
+        lower = pc.utf8_lower(words)
+        splits = self._splits(words, lower)
+        owner, codes, parts = coded_words(pc.replace_substring_regex(lower.filter(pa.array(splits)), _SPLIT, r"\0 "))
+        n = np.ones(len(words), np.int64)
+        n[splits] = np.bincount(owner, minlength=np.count_nonzero(splits))
+        of_parts = np.repeat(splits, n)
+        numbers = np.empty(len(of_parts), np.int64)
+        numbers[of_parts] = self._numbers(self.parts, parts)[codes]
+        numbers[~of_parts] = self._numbers(self.whole, words.filter(pa.array(~splits)))
+        sizes = self.sizes[numbers]
+        ids = self.ids[spread(self.starts[numbers], sizes)]
+        return ids, np.bincount(np.repeat(np.arange(len(words)), n), weights=sizes, minlength=len(words)).astype(np.int64)
 
 
 @functools.lru_cache(maxsize=2)
 def _words(vocabulary: str) -> _Words:
-    tokenizer = Tokenizer.from_str(vocabulary)
-    tokenizer.no_truncation()
-    return _Words(tokenizer)
+    return _Words(vocabulary)
 
 
 def encode(texts: pa.Array, words: _Words, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,16 +130,16 @@ def encode(texts: pa.Array, words: _Words, end_id: int) -> tuple[np.ndarray, np.
     The vocabulary splits at white space before all else, and the names of its special tokens, which become
     their ids, hold none: so words can be encoded one by one.
     """
-    rows, codes, dictionary = words_of(texts)
-    codes = words.numbers(dictionary)[codes] if dictionary else codes
-    sizes = words.sizes[codes] if len(codes) else np.empty(0, np.int64)
-    n = np.bincount(rows, weights=sizes, minlength=len(texts)).astype(np.int64)
-    begin = np.concatenate([[0], np.cumsum(n + 1)])
+    rows, codes, distinct = coded_words(texts)
+    of_words, n = words.encode(distinct)
+    sizes = n[codes]
+    total = np.bincount(rows, weights=sizes, minlength=len(texts)).astype(np.int64)
+    begin = np.concatenate([[0], np.cumsum(total + 1)])
     ids = np.full(begin[-1], end_id, np.int32)
     if len(codes):
         inside = np.ones(len(ids), bool)
         inside[begin[1:] - 1] = False
-        ids[inside] = words.ids[spread(words.starts[codes], sizes)]
+        ids[inside] = of_words[spread((np.cumsum(n) - n)[codes], sizes)]
     return ids, begin
 
 

@@ -94,7 +94,7 @@ def text_chunks(
             begin += rows
 
 
-def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def coded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Row of each word, number of each word in the dictionary, and the dictionary.
 
     Words are maximal runs of characters other than ASCII white space.
@@ -104,7 +104,13 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     there = pc.not_equal(words, "")
     rows, words = rows.filter(there), words.filter(there)
     coded = pc.dictionary_encode(words)
-    return rows.to_numpy().astype(np.int64), coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+    return rows.to_numpy().astype(np.int64), coded.indices.to_numpy().astype(np.int64), coded.dictionary
+
+
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """As :func:`coded_words`, with the dictionary as a list."""
+    rows, codes, dictionary = coded_words(texts)
+    return rows, codes, dictionary.to_numpy(zero_copy_only=False).tolist()
 
 
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
