@@ -19,7 +19,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dumpsieve.llm.graph import connected_components
-from dumpsieve.llm.shared import bloom_bits, give_back, member_bitmap, passes_bloom, spread, stored, text_chunks, words_of
+from dumpsieve.llm.shared import (
+    bloom_bits, give_back, member_bitmap, passes_bloom, scratch_folder, spread, stored, text_chunks, words_of,
+)
 
 _CHUNK_CHARS = 1 << 20  # shingling needs some 40 bytes for each of text
 _COUNTERS = 1 << 20  # of the table that orders values by how common they are: 4 MiB, fixed
@@ -157,7 +159,21 @@ def _indexer(options: MinHash, counts):
     return run
 
 
-def _index(classes: DataFrame, options: MinHash) -> DataFrame:
+def _in_list(column: Column) -> Column:
+    """An aggregate over each list, told to its rows where they lie: a join would move them again.
+
+    The rows are dealt by value first, or else what the aggregates are made of would move with them.
+    """
+    return column.over(Window.partitionBy("value"))
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """The rows of lists with more than one class."""
+    many = _in_list(F.min("cid")) < _in_list(F.max("cid"))
+    return rows.repartition("value").withColumn("many", many).filter("many").drop("many")
+
+
+def _index(classes: DataFrame, options: MinHash, folder: str) -> DataFrame:
     """value, cid, n, leaders: the values of each class under which it can meet its partners.
 
     Two sets at the threshold share at least ``overlap`` retained values. In any order that
@@ -173,18 +189,16 @@ def _index(classes: DataFrame, options: MinHash) -> DataFrame:
     rows = classes.select("cid", "n", "sketch").mapInArrow(
         _indexer(options, counts), "value long, cid long, n long, indexed long"
     )
-    rows = stored(rows, "index")
-    lists = rows.groupBy("value").agg(F.max("cid").alias("last"), F.min("cid").alias("first"))
-    rows = rows.join(lists.filter("first < last").select("value"), "value")
-    alone = F.col("indexed") - F.count("*").over(Window.partitionBy("cid"))
-    rows = stored(rows.select("value", "cid", "n", alone.alias("alone")), "index")
     masks = [0] + [int.from_bytes(hashlib.md5(bytes([i])).digest()[:7], "big") for i in range(1, options.leaders)]
     leader = [
-        F.min(F.struct("alone", F.col("cid").bitwiseXOR(F.lit(m).cast("long")).alias("cid"))).getField("cid")
+        _in_list(F.min(F.struct("alone", F.col("cid").bitwiseXOR(F.lit(m).cast("long")).alias("cid")))).getField("cid")
         .bitwiseXOR(F.lit(m).cast("long")) for m in masks
     ]
-    lists = stored(rows.groupBy("value").agg(F.array_distinct(F.array(*leader)).alias("leaders")), "lists")
-    return stored(rows.drop("alone").join(lists, "value"), "index")
+    with scratch_folder(spark) as aside:
+        rows = _shared(stored(rows, "rows", aside))
+        alone = F.col("indexed") - F.count("*").over(Window.partitionBy("cid"))
+        rows = stored(rows.select("value", "cid", "n", alone.alias("alone")), "shared", aside).repartition("value")
+        return stored(rows.select("value", "cid", "n", F.array_distinct(F.array(*leader)).alias("leaders")), "index", folder)
 
 
 def _need(options: MinHash):
@@ -204,7 +218,7 @@ def _leader_pairs(index: DataFrame, options: MinHash) -> DataFrame:
     return _enough(rows.select(F.least("leader", "cid").alias("a"), F.greatest("leader", "cid").alias("b"), "need"))
 
 
-def _unsettled(index: DataFrame, components: DataFrame, classes: DataFrame, options: MinHash) -> DataFrame:
+def _unsettled(index: DataFrame, components: DataFrame, classes: DataFrame, options: MinHash, folder: str) -> DataFrame:
     """The classes that may have partners in other components: cid, doc, set_key, component.
 
     Those that meet a class of a like sketch in a list of at most ``long_list`` members, and those in enough longer lists:
@@ -215,15 +229,15 @@ def _unsettled(index: DataFrame, components: DataFrame, classes: DataFrame, opti
     found = index.select("value", "cid", "n", need.alias("need")).join(
         components.select(F.col("node").alias("cid"), "component"), "cid", "left"
     ).withColumn("component", F.coalesce("component", "cid"))
-    found = stored(found, "members")
+    found = stored(found, "members", folder)
     lists = found.groupBy("value").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), (F.count("*") > options.long_list).alias("long")
     )
-    lists = stored(lists.filter("low < high").select("value", "long"), "lists")
+    lists = stored(lists.filter("low < high").select("value", "long"), "lists", folder)
     found = found.join(lists, "value")
     many = found.filter("long").groupBy("cid").agg(F.count("*").alias("shared"), F.min("need").alias("need"))
     few = found.filter("not long").join(classes.select("cid", *_PARITIES), "cid")
-    few = stored(few.select("value", "cid", "component", "n", *_PARITIES), "members")
+    few = stored(few.select("value", "cid", "component", "n", *_PARITIES), "few", folder)
     a, b = (few.select("value", *(F.col(c).alias(f"{c}_{side}") for c in few.columns if c != "value")) for side in "ab")
     least, most = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
     whole = (least + most - _unlike()) * (100 + options.percent) >= (least + most) * (2 * options.percent)
@@ -276,7 +290,7 @@ def _prefixer(percent: int, counts):
     return run
 
 
-def _prefixes(sets: DataFrame, options: MinHash) -> DataFrame:
+def _prefixes(sets: DataFrame, options: MinHash, folder: str) -> DataFrame:
     """value, cid, component, n, place, parities, alone: the rarest shingles of full sets that another set has too.
 
     Alone is how many of a set's rarest shingles no other set has: next to none in the text that a group of near copies
@@ -287,19 +301,20 @@ def _prefixes(sets: DataFrame, options: MinHash) -> DataFrame:
     counts = np.zeros(_COUNTERS, np.int64)
     counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
     schema = "value long, cid long, component long, n long, place long, " + ", ".join(f"{p} long" for p in _PARITIES)
-    rows = stored(sets.mapInArrow(_prefixer(options.percent, spark.sparkContext.broadcast(counts)), schema), "prefixes")
-    lists = rows.groupBy("value").agg(F.max("cid").alias("last"), F.min("cid").alias("first"))
-    rows = rows.join(lists.filter("first < last").select("value"), "value")
+    rows = sets.mapInArrow(_prefixer(options.percent, spark.sparkContext.broadcast(counts)), schema)
     looked = F.col("n") - F.ceil(F.col("n") * options.percent / 100) + 1
-    return stored(rows.withColumn("alone", looked - F.count("*").over(Window.partitionBy("cid"))), "shared")
+    with scratch_folder(spark) as aside:
+        rows = _shared(stored(rows, "prefixes", aside))
+        return stored(rows.withColumn("alone", looked - F.count("*").over(Window.partitionBy("cid"))), "shared", folder)
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
     """The rows in lists of several components, with ``main``, the list's largest component."""
-    sizes = rows.groupBy("value", "component").agg(F.count("*").alias("members"))
-    lists = sizes.groupBy("value").agg(F.max(F.struct("members", "component")).alias("top"), F.count("*").alias("parts"))
-    lists = stored(lists.filter("parts > 1").select("value", F.col("top.component").alias("main")), "lists")
-    return stored(rows.join(lists, "value"), "mixed")
+    members = F.count("*").over(Window.partitionBy("value", "component"))
+    parts = _in_list(F.min("component")) < _in_list(F.max("component"))
+    rows = rows.repartition("value").withColumn("members", members)
+    rows = rows.withColumns({"main": _in_list(F.max(F.struct("members", "component"))).getField("component"), "mixed": parts})
+    return rows.filter("mixed").drop("mixed", "members")
 
 
 def _reachable(options: MinHash) -> Column:
@@ -331,16 +346,15 @@ def _hub_pairs(rows: DataFrame, options: MinHash) -> DataFrame:
     search of pairs has only those left to which few links lead.
     """
     masks = [int.from_bytes(hashlib.md5(bytes([i])).digest()[:7], "big") for i in range(options.leaders)]
-    mixed = _mixed(rows)
     member = F.struct(*_IN_LIST)
 
     def hub(i: int, *of: Column) -> Column:
         order = F.struct(F.shiftright("alone", i), F.col("cid").bitwiseXOR(F.lit(masks[i]).cast("long")))
-        return F.min_by(member, F.when(of[0], order) if of else order)
+        return _in_list(F.min_by(member, F.when(of[0], order) if of else order))
 
     hubs = [hub(i) for i in range(options.leaders)] + [hub(0, F.col("component") != F.col("main"))]
-    hubs = stored(mixed.groupBy("value").agg(F.array_distinct(F.array(*hubs)).alias("hubs")), "hubs")
-    pairs = mixed.join(hubs, "value").select(*(F.col(c).alias(f"{c}_a") for c in _IN_LIST), F.explode("hubs").alias("hub"))
+    found = _mixed(rows).select(*_IN_LIST, F.array_distinct(F.array(*hubs)).alias("hubs"))
+    pairs = found.select(*(F.col(c).alias(f"{c}_a") for c in _IN_LIST), F.explode("hubs").alias("hub"))
     pairs = pairs.select("*", *(F.col(f"hub.{c}").alias(f"{c}_b") for c in _IN_LIST)).filter(_reachable(options))
     return pairs.select(F.least("cid_a", "cid_b").alias("a"), F.greatest("cid_a", "cid_b").alias("b")).distinct()
 
@@ -352,13 +366,15 @@ def _pairs_between(rows: DataFrame, options: MinHash) -> DataFrame:
     an order that all sets share, rarest first, two sets at the threshold have their first common shingle so early that
     enough are left behind it in both. In each list only sets outside of its largest component look for partners.
     """
-    mixed = _mixed(rows)
-    few = mixed.filter("component != main").select("value", *(F.col(c).alias(f"{c}_a") for c in _IN_LIST))
-    every = mixed.select("value", "main", *(F.col(c).alias(f"{c}_b") for c in _IN_LIST))
-    pairs = few.join(every, "value").filter(
-        _reachable(options) & ((F.col("component_b") == F.col("main")) | (F.col("cid_a") < F.col("cid_b")))
-    )
-    return pairs.select(F.least("cid_a", "cid_b").alias("a"), F.greatest("cid_a", "cid_b").alias("b")).distinct()
+    with scratch_folder(rows.sparkSession) as aside:
+        mixed = stored(_mixed(rows), "mixed", aside)
+        few = mixed.filter("component != main").select("value", *(F.col(c).alias(f"{c}_a") for c in _IN_LIST))
+        every = mixed.select("value", "main", *(F.col(c).alias(f"{c}_b") for c in _IN_LIST))
+        pairs = few.join(every, "value").filter(
+            _reachable(options) & ((F.col("component_b") == F.col("main")) | (F.col("cid_a") < F.col("cid_b")))
+        )
+        pairs = pairs.select(F.least("cid_a", "cid_b").alias("a"), F.greatest("cid_a", "cid_b").alias("b")).distinct()
+        return stored(pairs, "pairs")
 
 
 # ---------------------------------------------------------------- estimate and proof
@@ -371,6 +387,7 @@ def _estimate(a: np.ndarray, b: np.ndarray, k: int) -> float:
 
 
 def _thin(pairs: DataFrame, classes: DataFrame, options: MinHash) -> DataFrame:
+    """The pairs whose sketches, of ``classes`` (cid, n, sketch), are alike enough for a proof."""
     k, least = options.k, options.estimate
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,14 +405,19 @@ def _thin(pairs: DataFrame, classes: DataFrame, options: MinHash) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _set_maker(words: int):
+def _set_maker(words: int, k: int = MinHash.k):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_chunks(batches, size=_CHUNK_CHARS):
             values, begin = shingle_sets(part.column("text"), words)
             sets = [values[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:])]
             same = [hashlib.md5(s).digest() == key for s, key in zip(sets, part.column("set_key").to_pylist())]
+            n = np.diff(begin)
+            offsets = np.concatenate([[0], np.cumsum(np.minimum(n, k))]).astype(np.int32)
+            flat = pa.array(values[spread(begin[:-1], np.minimum(n, k))].view(np.int64))
             out = pa.RecordBatch.from_arrays(
-                [part.column("cid"), part.column("component"), pa.array(sets, pa.binary())], names=["cid", "component", "members"]
+                [part.column("cid"), part.column("component"), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat),
+                 pa.array(sets, pa.binary())],
+                names=["cid", "component", "n", "sketch", "members"],
             )
             yield out.filter(pa.array(same, pa.bool_()))
             give_back()
@@ -403,17 +425,20 @@ def _set_maker(words: int):
     return run
 
 
-def _sets(asked: DataFrame, texts: DataFrame, options: MinHash) -> DataFrame:
-    """cid, component and full sets of the documents in ``asked``.
+def _sets(asked: DataFrame, texts: DataFrame, options: MinHash, folder: str) -> DataFrame:
+    """cid, component, n, sketch and full sets of the documents in ``asked``.
 
-    A bounded Bloom bitmap of the documents in question keeps other texts out of the exchange.
+    A bounded Bloom bitmap of the documents in question keeps other texts out of the exchange. The sets are moved once more
+    only where some come twice, as they do if ids repeat.
     """
     bits = bloom_bits(asked.count())
     bitmap = stored(member_bitmap(asked, F.col("doc"), _SEEDS, bits), "bloom")
     some = passes_bloom(texts, F.col("doc_id"), bitmap, _SEEDS, bits).filter("maybe").drop("maybe")
     some = some.join(asked, some.doc_id.eqNullSafe(asked.doc)).select("cid", "component", "set_key", "text")
-    made = some.mapInArrow(_set_maker(options.shingle), "cid long, component long, members binary")
-    return stored(made.dropDuplicates(["cid"]), "sets")
+    schema = "cid long, component long, n long, sketch array<long>, members binary"
+    made = stored(some.mapInArrow(_set_maker(options.shingle, options.k), schema), "sets", folder)
+    twice = made.groupBy("cid").agg(F.count("*").alias("copies")).filter("copies > 1")
+    return made if twice.isEmpty() else stored(made.dropDuplicates(["cid"]), "sets_once", folder)
 
 
 def _prover(percent: int):
@@ -446,27 +471,34 @@ def _linked(docs: DataFrame, options: MinHash, id_col: str, text_col: str) -> Da
     different components is left out.
     """
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    drawn = stored(sketches(texts, options), "sketches")
-    classes = drawn.filter("n > 0").groupBy("set_key").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"),
-        *(F.first(p).alias(p) for p in _PARITIES),
-    )
-    classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    index = _index(classes, options)
-    first = stored(_thin(_leader_pairs(index, options), classes, options), "pairs")
-    asked = first.select(F.col("a").alias("cid")).union(first.select(F.col("b").alias("cid"))).distinct().join(classes, "cid")
-    asked = stored(asked.select("cid", F.col("doc_id").alias("doc"), "set_key", F.col("cid").alias("component")), "asked")
-    components = connected_components(_proven(first, _sets(asked, texts, options), options))
-    sets = _sets(_unsettled(index, components, classes, options), texts, options)
-    rows = _prefixes(sets, options)
-    for search in (_hub_pairs, _pairs_between):
-        more = _proven(stored(_thin(search(rows, options), classes, options), "pairs"), sets, options)
-        if not more.isEmpty():
-            # What is known moves on as links to the components, not as all links.
-            known = components.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            components = connected_components(known.unionByName(more))
-            now = components.select(F.col("node").alias("cid"), F.col("component").alias("now"))
-            rows = rows.join(now, "cid", "left").withColumn("component", F.coalesce("now", "component")).drop("now")
+    spark = docs.sparkSession
+    with scratch_folder(spark) as aside:
+        drawn = stored(sketches(texts, options), "sketches", aside)
+        classes = drawn.filter("n > 0").groupBy("set_key").agg(
+            F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"),
+            *(F.first(p).alias(p) for p in _PARITIES),
+        )
+        classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+        drawn = stored(drawn.select("doc_id", "row", "n", "set_key"), "drawn")
+    with scratch_folder(spark) as aside:
+        index = _index(classes, options, aside)
+        first = stored(_thin(_leader_pairs(index, options), classes, options), "pairs")
+        asked = first.select(F.col("a").alias("cid")).union(first.select(F.col("b").alias("cid"))).distinct().join(classes, "cid")
+        asked = stored(asked.select("cid", F.col("doc_id").alias("doc"), "set_key", F.col("cid").alias("component")), "asked")
+        with scratch_folder(spark) as beside:
+            components = connected_components(_proven(first, _sets(asked, texts, options, beside), options))
+        asked = _unsettled(index, components, classes, options, aside)
+    with scratch_folder(spark) as aside:
+        sets = _sets(asked, texts, options, aside)
+        rows = _prefixes(sets, options, aside)
+        for search in (_hub_pairs, _pairs_between):
+            more = _proven(stored(_thin(search(rows, options), sets, options), "pairs"), sets, options)
+            if not more.isEmpty():
+                # What is known moves on as links to the components, not as all links.
+                known = components.select(F.col("node").alias("a"), F.col("component").alias("b"))
+                components = connected_components(known.unionByName(more))
+                now = components.select(F.col("node").alias("cid"), F.col("component").alias("now"))
+                rows = rows.join(now, "cid", "left").withColumn("component", F.coalesce("now", "component")).drop("now")
     named = classes.select("cid", "set_key", "doc_id").join(
         components.select(F.col("node").alias("cid"), "component"), "cid", "left"
     ).withColumn("component", F.coalesce("component", "cid"))

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dumpsieve.sources.scan import shared_folder
+from dumpsieve.sources.scan import scratch_folder, shared_folder  # noqa: F401 - for the operators
 from dumpsieve.sources.zst import give_back  # noqa: F401 - for the operators
 
 WHITE = " \t\n\x0b\f\r"
@@ -25,9 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(frame: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder: cuts lineage and outlives executors."""
-    path = shared_folder(frame.sparkSession, name)
+def stored(frame: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """The rows as a table in the shared folder: cuts lineage and outlives executors.
+
+    A table in a ``folder`` of :func:`scratch_folder` goes away with that; other names in the folder must differ.
+    """
+    path = f"{folder}/{name}" if folder else shared_folder(frame.sparkSession, name)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
