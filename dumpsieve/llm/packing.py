@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 
 from dumpsieve.llm.shared import coded_words, give_back, spread, stored, text_chunks
 
-_CACHED = 500_000  # strings whose ids a worker keeps
+_CACHED = 250_000  # strings whose ids a worker keeps
 _TOGETHER = 5_000
 _CHUNK_CHARS = 2 << 20
 
