@@ -74,7 +74,7 @@ class CsvPartsWriter(DataSourceArrowWriter):
         def close() -> None:
             if stream is not None:
                 stream.close()
-            if part is not None:
+            if part is not None and (part.rows or part.bad):
                 message.parts.append(part)
 
         for batch in iterator:

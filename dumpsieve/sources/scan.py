@@ -18,6 +18,7 @@ from dumpsieve.sources.listing import DumpFile, NoInputError, collect_files, lis
 from dumpsieve.sources.zst import END, LINE_SCHEMA, PLACED_SCHEMA, find_frames, open_fs, read_placed_splits, read_splits
 
 SPLIT_BYTES = 128 << 20  # compressed
+TASK_BYTES = 8 << 20  # compressed; shorter splits of a large dump share a task
 _UNEVEN = 8
 _STAGE_ROWS_PER_FILE = 20_000_000
 
@@ -61,17 +62,18 @@ def plan_scan(
 
     Files are laid end to end and cut into bins, one task each; a task reads the
     splits whose middle lies in its bin, so small files share a task and files larger
-    than ``split_bytes`` get many.  What is moved here describes splits: a short row for
-    every ``split_bytes``, never a line.
+    than ``split_bytes`` get many.  Splits below ``TASK_BYTES`` share a task where there is enough for
+    all cores: tasks are as many as the bytes ask for, not the splits.  What is moved here describes
+    splits: a short row for every ``split_bytes``, never a line.
 
     With a ``folder`` for staging, splits are also looked at that may be uneven: those of files
-    longer than ``_UNEVEN`` of them.  One task each finds where the first frame in it begins;
+    longer than ``_UNEVEN`` of them.  Tasks as many find where the first frame in each begins;
     where the next one is too far away, the split is ``uneven``.
     """
     if not files:
         raise NoInputError("there is no dump file to read")
     total = sum(f.length for f in files)
-    bin_bytes = max(1, min(split_bytes, total // spark.sparkContext.defaultParallelism))
+    bin_bytes = max(1, min(max(split_bytes, TASK_BYTES), total // spark.sparkContext.defaultParallelism))
     rows, base = [], 0
     for f in files:
         rows.append((f.file, f.path, f.length, base))
@@ -91,7 +93,7 @@ def plan_scan(
     if folder is None or not long:
         return plan
     maybe = splits.where(F.col("length") > _UNEVEN * split_bytes)
-    dealt = maybe.repartition(max(1, min(sum(long) // split_bytes + 1, 100_000)), "file", "first")
+    dealt = maybe.repartition(max(1, min(sum(long) // bin_bytes + 1, 100_000)), "file", "first")
     found = stage(dealt.select("file", "path", "first", "last", "bin").mapInArrow(find_frames, "file string, first bigint, begin bigint"), folder + "/frames")
     # One short row per split of a long file.
     ahead = Window.partitionBy("file").orderBy("begin")

@@ -38,6 +38,7 @@ EXTENSION = ".zst"
 
 _READ_BYTES = 64 << 10  # compressed bytes decoded at a time; bounds the output of one step
 _BATCH_BYTES = 4 << 20
+_BATCH_ROWS = 10_000  # of short batches that are sent as one
 _HEADER_BYTES = 1 << 20
 _CHAIN_BLOCKS = 64  # so many valid block headers in a row make a frame
 
@@ -394,20 +395,38 @@ def _rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[dict, pa.Recor
     give_back()
 
 
+def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in fewer batches: many splits have few lines, most of a large frame none but their closing row."""
+    held, rows, size = [], 0, 0
+    for batch in batches:
+        held.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows >= _BATCH_ROWS or size >= _BATCH_BYTES:
+            yield from _joined(held)
+            held, rows, size = [], 0, 0
+    yield from _joined(held)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    return batches if len(batches) < 2 else pa.Table.from_batches(batches).combine_chunks().to_batches()
+
+
 def read_splits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Task function: rows of ``SPLIT_SCHEMA`` -> rows of ``LINE_SCHEMA``.
 
     Each split closes with one row without value whose ``line`` is the number of
     lines and whose ``status`` is ``end`` or tells why reading stopped.
     """
-    for _, batch in _rows_of(batches):
-        yield batch
+    yield from _packed(batch for _, batch in _rows_of(batches))
 
 
 def read_placed_splits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """As ``read_splits``, with ``place``, where the split begins when all files are laid end to end,
     and ``whole``, whether it is all of its file."""
-    for row, batch in _rows_of(batches):
+
+    def placed(row: dict, batch: pa.RecordBatch) -> pa.RecordBatch:
         n = batch.num_rows
         more = [pa.repeat(pa.scalar(row["place"], pa.int64()), n), pa.repeat(pa.scalar(row.get("whole", False)), n)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "place", "whole"])
+        return pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "place", "whole"])
+
+    yield from _packed(placed(row, batch) for row, batch in _rows_of(batches))

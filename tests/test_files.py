@@ -256,6 +256,25 @@ def test_planning_reads_no_file(spark):
     assert plan.cut and plan.uneven is None
 
 
+def test_short_splits_share_tasks(spark):
+    files = [DumpFile("RS_1.zst", "/nowhere/RS_1.zst", 1 << 30), DumpFile("RS_2.zst", "/nowhere/RS_2.zst", 1 << 20)]
+    plan = plan_scan(spark, files, 64 << 10)
+    tasks = plan.splits.groupBy("bin").agg(F.count("*").alias("n"), F.sum(F.col("last") - F.col("first")).alias("size")).collect()
+    assert sum(t.n for t in tasks) == (1 << 14) + 16 and len(tasks) <= plan.n_tasks <= 130
+    assert max(t.size for t in tasks) <= 9 << 20 and max(t.bin for t in tasks) < plan.n_tasks
+
+
+def test_splits_without_lines_are_sent_together(monkeypatch, tmp_path):
+    path = tmp_path / "RS_1.zst"
+    path.write_bytes(frame(b"".join(b"%d\n" % i for i in range(2000))))
+    rows = [{"file": "f", "path": str(path), "first": a, "last": b, "bin": 0, "place": a} for a, b in ranges(path.stat().st_size, 16)]
+    for read in (zst.read_splits, zst.read_placed_splits):
+        (batch,) = read([pa.RecordBatch.from_pylist(rows)])
+        assert [v for v in batch["value"].to_pylist() if v is not None] == [b"%d" % i for i in range(2000)]
+        assert batch["status"].to_pylist().count("end") == len(rows) > 100
+        assert batch["split"].to_pylist()[1999:] == [0, *(a for a, _ in ranges(path.stat().st_size, 16))]
+
+
 def test_a_split_reads_little_besides_its_own_bytes(monkeypatch, tmp_path):
     monkeypatch.setattr(zst, "_HEADER_BYTES", 4 << 10)
     lines = [os.urandom(5000).hex().encode() for _ in range(200)]
