@@ -1,8 +1,9 @@
 """Long lists of regular expressions, by the literals they require.
 
 Every match of most patterns holds some fixed text. Case-folded and with single spaces, this text is looked for with
-the index of ``contained``; only pairs of a row and a pattern whose text was found are searched, with RE2. So the plan is the
-same for any number of patterns, and no task holds them. Patterns that require nothing (or very little) have to
+the index of ``contained``; only pairs of a row and a pattern whose text was found are searched, with RE2. Patterns that are
+nothing but text, up to the lengths of runs of spaces, are decided by the index: RE2 takes a thousand times longer to compile
+such a line than the line takes to be compared. So the plan is the same for any number of patterns, and no task holds them. Patterns that require nothing (or very little) have to
 be tried on every row: those go, joined, to all tasks.
 """
 
@@ -20,11 +21,12 @@ from pyspark.sql import functions as F
 
 from dumpsieve.functions.regex import check_re2
 from dumpsieve.functions.text import fold
-from dumpsieve.operators.contained import occurrences
+from dumpsieve.operators.contained import MATCH, MATCH_AS_IS, PATTERN, fingerprint, flag_rows, marked, occurrences
 from dumpsieve.sources.scan import shared_folder, stage
 
 SHORTEST = 3  # characters of a required text that is worth looking for
 JOINED_BYTES = 32 << 10  # of the patterns without such a text that are searched as one
+PLAIN_BYTES = 512 << 10  # of a pattern of text alone that RE2 accepts for sure; it takes 698,880
 
 _REPEAT = re.compile(r"(?:[*?+]|\{(\d+)(?:,\d*)?\})\??")
 _CLASS = re.compile(r"\[\^?\]?(?:\[:\^?\w+:\]|\\.|[^\]\\])*\]", re.DOTALL)
@@ -32,6 +34,12 @@ _ESCAPE = re.compile(r"\\(?:x\{[^}]*\}|x..|[pP]\{[^}]*\}|[pP].|[0-7]{1,3}|.)", r
 _OPENING = re.compile(r"\((?:\?P?<\w+>|\?[A-Za-z-]*:)?")
 _FLAGS = re.compile(r"\(\?[A-Za-z-]+\)")
 
+# Patterns that are text alone: all their spaces take any number, or each stands for itself.
+_TEXT = r"""[^\\\[\](){}.*+?^$| ]++|\\[!-/:-@\[-^`{-~]"""
+_ANY_SPACES = re.compile(rf"(?:{_TEXT}| \+(?! ))*+")
+_OWN_SPACES = re.compile(rf"(?:{_TEXT}| (?! ))*+")
+_ESCAPED = re.compile(r"\\(.)")
+
 # The functions below run inside tasks.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -102,19 +110,38 @@ def _sequence(pattern: str, at: int, spaced: bool) -> tuple[list[str], int]:
     return best, at
 
 
+def plain_text(pattern: str) -> tuple[str, int] | None:
+    """Text such that the RE2 pattern is found where the text is, by what its kind says; None if the pattern says more than that.
+
+    ``MATCH``: found in texts of which the form with single spaces holds the text. ``MATCH_AS_IS``: in those that hold it.
+    """
+    if len(pattern) > PLAIN_BYTES // 4:
+        return None
+    if _ANY_SPACES.fullmatch(pattern):
+        text, kind = _ESCAPED.sub(r"\1", pattern.replace(" +", " ")), MATCH
+    elif _OWN_SPACES.fullmatch(pattern):
+        text, kind = _ESCAPED.sub(r"\1", pattern), MATCH_AS_IS
+    else:
+        return None
+    return (text, kind) if len(text) >= SHORTEST else None
+
+
 def _file_patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per pattern and text that it may require; ``wrong`` says why RE2 refuses it."""
+    """One row per plain text, and per pattern and text that it may require; ``wrong`` says why RE2 refuses it."""
     for batch in batches:
         rows = []
         for pattern in batch.column("item").to_pylist():
+            if plain := plain_text(pattern):
+                rows.append((plain[0], None, None, plain[1]))
+                continue
             try:
                 check_re2(pattern)
             except ValueError as err:
-                rows.append((pattern, None, str(err)))
+                rows.append((pattern, None, str(err), PATTERN))
                 continue
-            rows += [(pattern, text, None) for text in required_texts(pattern, spaced=True) or [None]]
-        columns = [pa.array(c, pa.string()) for c in zip(*rows)] if rows else [pa.array([], pa.string())] * 3
-        yield pa.RecordBatch.from_arrays(columns, names=["pattern", "low", "wrong"])
+            rows += [(pattern, text, None, PATTERN) for text in required_texts(pattern, spaced=True) or [None]]
+        columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.string()] * 3 + [pa.int32()])]
+        yield pa.RecordBatch.from_arrays(columns, names=["pattern", "low", "wrong", "kind"])
 
 
 def _search_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,27 +195,29 @@ def flag_patterns(rows: DataFrame, x: Column, items: DataFrame, folder: str | No
     order. Patterns without a required text of ``SHORTEST`` characters pass the driver.
     """
     folder = folder or shared_folder(rows.sparkSession, "patterns")
-    items = items.select("item").where("item <> ''").distinct()
+    items = items.select("item").where("item <> ''")
     filed = stage(
-        items.mapInArrow(_file_patterns, "pattern string, low string, wrong string").withColumn("low", _plain(F.col("low"))),
+        items.mapInArrow(_file_patterns, "pattern string, low string, wrong string, kind int").withColumn("low", _plain(F.col("low"))),
         folder + "/patterns",
     )
     for row in filed.where("wrong is not null").limit(1).collect():
         raise ValueError(row.wrong)
-    free = sorted(r.pattern for r in filed.where("low is null").select("pattern").toLocalIterator())
+    no_text = filed.where(f"kind = {PATTERN} and low is null")
+    free = sorted(r.pattern for r in no_text.select("pattern").distinct().toLocalIterator())
     held = stage(
-        rows.withColumn("_text", x).withColumn("_row", F.monotonically_increasing_id())
-        .withColumn("_free", _any_of(rows, F.col("_text"), free)),
+        rows.withColumn("_row", F.monotonically_increasing_id()).withColumn("_free", _any_of(rows, x, free)),
         folder + "/tested",
     )
     # Rows that a pattern tried on all of them has matched need no other.
-    open_rows = held.where("_text <> '' and not _free").select(F.col("_row").alias("row"), F.col("_text").alias("text"))
-    lows = filed.where("low is not null").select("low").distinct()
-    held_by = occurrences(open_rows.withColumn("text", _plain(F.col("text"))), lows, folder)
-    pairs = held_by.join(filed, "low").select("row", "pattern").distinct().join(open_rows, "row")
-    found = pairs.mapInArrow(_search_pairs, "row long").select(F.col("row").alias("_row")).distinct()
-    matched = F.coalesce("_found", "_free")
-    return (
-        held.join(found.withColumn("_found", F.lit(True)), "_row", "left")
-        .withColumn("matched", matched).drop("_row", "_text", "_free", "_found")
-    )
+    open_rows = held.where("not _free").select(F.col("_row").alias("row"), x.alias("text")).where("text <> ''")
+    with_text = filed.where(f"kind <> {PATTERN} or low is not null")
+    lows = with_text.select(F.coalesce("low", "pattern").alias("low"), "kind")
+    said = stage(occurrences(open_rows, lows, folder), folder + "/said")
+    sure, pairs = said.where("print is null").select("row"), said.where("print is not null")
+    if not pairs.isEmpty():
+        searched = filed.where(f"kind = {PATTERN} and low is not null").withColumn("print", fingerprint(F.col("low")))
+        asked = marked(open_rows, "row", pairs).where("marked").drop("marked")
+        both = pairs.join(searched, "print").select("row", "pattern").distinct().join(asked, "row")
+        sure = sure.union(stage(both.mapInArrow(_search_pairs, "row long"), folder + "/searched"))
+    free_rows = held.where("_free").select(F.col("_row").alias("row"))
+    return flag_rows(held.drop("_free"), sure.union(free_rows) if free else sure)

@@ -23,10 +23,16 @@ SALTS = 64
 
 @dataclass
 class ValueList:
-    """Distinct non-empty values (column ``item``) and a bound of their size in bytes."""
+    """Distinct non-empty values (column ``item``), a bound of their size in bytes, and the values as they are listed,
+    some perhaps more than once."""
 
     items: DataFrame
     size_bytes: int
+    listed: DataFrame | None = None
+
+    def any_order(self) -> DataFrame:
+        """All values, without an exchange if possible; a value may come again."""
+        return self.items if self.listed is None else self.listed
 
     def digest(self) -> str:
         """Identifies the set of values, whatever their order."""
@@ -48,7 +54,8 @@ def value_list_source(spark: SparkSession, path: str) -> ValueList:
         raise ValueError(f"the value list at {path} holds nothing")
     text = spark.read.option("lineSep", "\n").text(path)
     item = F.regexp_replace("value", r"\r\z", "")
-    return ValueList(text.select(item.alias("item")).where("item <> ''").distinct(), size)
+    listed = text.select(item.alias("item")).where("item <> ''")
+    return ValueList(listed.distinct(), size, listed)
 
 
 def _texts(values: ValueList) -> list[str]:
@@ -71,9 +78,9 @@ def flag_listed(
     Long lists for partial matching and of regular expressions are staged below ``folder``, with the lines.
     """
     if spec.regex and moves_lines(values, spec):
-        return flag_patterns(parsed, x, values.items, folder)
+        return flag_patterns(parsed, x, values.any_order(), folder)
     if spec.partial and moves_lines(values, spec):
-        return flag_contained(parsed, x, values.items, folder)
+        return flag_contained(parsed, x, values.any_order(), folder)
     if spec.partial:
         return parsed.withColumn("matched", contains_any_lower(x, _texts(values)))
     if spec.regex:

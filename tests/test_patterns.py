@@ -7,7 +7,8 @@ import pyarrow.compute as pc
 import pytest
 from dumpsieve.operators import patterns
 from dumpsieve.operators import value_list as lists
-from dumpsieve.operators.patterns import flag_patterns, required_texts
+from dumpsieve.operators.contained import MATCH, MATCH_AS_IS, flag_contained
+from dumpsieve.operators.patterns import flag_patterns, plain_text, required_texts
 from dumpsieve.operators.predicates import tag_matches
 from dumpsieve.specs import FilterSpec
 from pyspark.sql import functions as F
@@ -37,6 +38,58 @@ def test_required_texts_with_any_spaces(pattern, want):
     assert required_texts(pattern, spaced=True) == want
 
 
+@pytest.mark.parametrize("pattern, want", [
+    ("hello", ("hello", MATCH)), ("one +two", ("one two", MATCH)), ("one two", ("one two", MATCH_AS_IS)), (" +ab", (" ab", MATCH)),
+    (r"a\.b\-c +d", ("a.b-c d", MATCH)), (r"a\\b", (r"a\b", MATCH)), (r"one \+two", ("one +two", MATCH_AS_IS)), ("é 😀 K", ("é 😀 K", MATCH_AS_IS)),
+    *[(p, None) for p in ("one +two three", "one  +two", " + +ab", "one  two", "ab c +?", "one ++", "one *two", r"a\_bc", r"a\dbc", "abc\\", "abc]",
+                          "ab{2}", "(?i)abc", "^abc", "abc$", "a|bcd", "ab", r"\Qabc\E", "x" * (1 << 18))],
+])
+def test_patterns_of_text_alone(pattern, want):
+    assert plain_text(pattern) == want
+    for filler in ("x", "\U0001f600", " +x"):
+        longest = pattern + filler * (patterns.PLAIN_BYTES // 4 // len(filler) - len(pattern))
+        assert plain_text(longest) is None or pc.match_substring_regex(pa.array([""]), longest)[0].as_py() is False
+
+
+def test_re2_compiles_no_pattern_of_text_alone(monkeypatch):
+    def refuse(pattern):
+        raise AssertionError(pattern)
+
+    monkeypatch.setattr(patterns, "check_re2", refuse)
+    lines = [r"The +line\. +\(one\)", "plain", "two words"]
+    (filed,) = patterns._file_patterns([pa.RecordBatch.from_arrays([pa.array(lines)], names=["item"])])
+    assert filed["pattern"].to_pylist() == ["The line. (one)", "plain", "two words"]
+    assert filed["kind"].to_pylist() == [MATCH, MATCH, MATCH_AS_IS]
+
+
+def test_text_alone_like_brute_force(spark):
+    # Case, runs of spaces, characters that fold to others, text across two of them, next to patterns that are searched.
+    draw = random.Random(5)
+    text = lambda n: "".join(draw.choices("aAkK\u212as\u017féÉ  .", k=n))
+    texts = [text(draw.randrange(2, 40)) for _ in range(400)] + [None, "", "one  two", "One two", "one two"]
+    lines = {text(draw.randrange(3, 6)).replace(".", r"\.") for _ in range(60)} | {"one two", "one  two"}
+    lines |= {" +".join(line.split()) for line in lines} | {"One +two", "on[e] +two$"}
+    lines = sorted(line for line in lines if plain_text(line) or required_texts(line))
+    assert {k and k[1] for k in map(plain_text, lines)} == {None, MATCH, MATCH_AS_IS}
+    for some in (lines, ["one  +two"], ["one two"], ["One +two"]):
+        want = [t is not None and any(pc.match_substring_regex(pa.array([t]), p)[0].as_py() for p in some) for t in texts]
+        assert any(want) and not all(want)
+        assert flags(spark, texts, some) == want
+
+
+def test_the_list_is_not_exchanged(spark, tmp_path):
+    # Values of 2,000 characters go into the index as numbers; the rows are staged as they are, and once.
+    draw = random.Random(6)
+    lines = ["".join(draw.choices("abcdefghij", k=2000)) for _ in range(300)]
+    rows = spark.createDataFrame([(i, "x " + line) for i, line in enumerate(lines)], "n int, x string")
+    for flag, items in ((flag_contained, lines), (flag_patterns, lines)):
+        folder = str(tmp_path / flag.__name__)
+        assert flag(rows, F.col("x"), spark.createDataFrame([(v,) for v in items], "item string"), folder).where("matched").count() == 300
+        index = spark.read.parquet(folder + "/index")
+        assert index.count() == 300 and "string" not in {t for _, t in index.dtypes}
+        assert [t for _, t in spark.read.parquet(folder + "/tested").dtypes].count("string") == 1
+
+
 def test_spaces_in_patterns(spark):
     texts = ["ONE   two three", "one two  three", "onetwo three", "one two", " one\ttwo three", "one  two three "]
     lines = ["one +two +three", "one {2}two", "(?i)one {3}two", "one +tw[o] *three$"]
