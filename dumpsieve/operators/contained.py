@@ -28,7 +28,8 @@ GRAM, SHORT = 16, 8  # characters of a run; values below the first are filed und
 COUNTERS = 1 << 20  # of runs in the list; 8 MiB
 BITS = 1 << 28  # at most, of the bitmap of the runs of one width; 32 MiB
 PLACES = 4  # bits that a run sets
-_WINDOW = 1 << 20  # characters looked at together
+_WINDOW = 1 << 20  # characters of the list looked at together
+_STRETCH = 1 << 17  # of texts
 _BITMAP = 32768  # bits in one bitmap of Spark's bitmap functions
 MARKS = 1 << 20  # words of 64 rows that are broadcast, about 60 MB; more are joined
 
@@ -92,11 +93,10 @@ def _hashes(codes: np.ndarray, width: int) -> np.ndarray:
     return (out ^ (out >> np.uint64(29))).view(np.int64)
 
 
-def _places(gram, bits, which: int):
-    """One of the bits of a bitmap that a hash sets; the same for a column and for an array."""
-    if isinstance(gram, Column):
-        first, step = gram.bitwiseAND(bits - 1), F.shiftright(gram, 32).bitwiseAND(bits - 1).bitwiseOR(F.lit(1))
-        return (first + step * which).bitwiseAND(bits - 1)
+def _places(gram: np.ndarray, bits: int, which: int) -> np.ndarray:
+    """One of the bits of a bitmap that a hash sets."""
+    if which == 0:
+        return gram & (bits - 1)
     return ((gram & (bits - 1)) + ((gram >> 32) & (bits - 1) | 1) * which) & (bits - 1)
 
 
@@ -167,13 +167,37 @@ def _filer(counts, folds: np.ndarray | None = None):
     return run
 
 
+def _bit_setter(bits: dict[int, int]):
+    """Task function: ``width`` and ``gram`` -> the bitmaps of all rows of a task, in pieces that hold some bit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maps = {}
+        for batch in batches:
+            widths, grams = batch.column("width").to_numpy(), batch.column("gram").to_numpy()
+            for width in np.unique(widths).tolist():
+                held = maps.setdefault(width, np.zeros(bits[width] // 8, np.uint8))
+                some = grams[widths == width]
+                for which in range(PLACES):
+                    place = _places(some, bits[width], which)
+                    np.bitwise_or.at(held, place >> 3, np.uint8(1) << (place & 7).astype(np.uint8))
+        for width, held in maps.items():
+            pieces = held.reshape(-1, _BITMAP // 8)
+            buckets = np.flatnonzero(pieces.any(axis=1))
+            for first in range(0, len(buckets), 256):
+                some = buckets[first : first + 256]
+                columns = [pa.array(np.full(len(some), width, np.int32)), pa.array(some), pa.array([p.tobytes() for p in pieces[some]], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["width", "bucket", "bits"])
+
+    return run
+
+
 def _finder(bitmap, widths: list[int], folds: np.ndarray | None = None, spaced: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bitmap.value
 
         def known(gram: np.ndarray, width: int, which: int) -> np.ndarray:
             place = _places(gram, 8 * len(bits[width]), which)
-            return (bits[width][place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+            return ((bits[width][place >> 3] >> (place & 7).astype(np.uint8)) & 1).view(bool)
 
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
@@ -181,18 +205,21 @@ def _finder(bitmap, widths: list[int], folds: np.ndarray | None = None, spaced:
                 ids = part.column("row").to_numpy()
                 lows = part.column("low").to_pylist()
                 codes, begin = _code_points([_SPACES.sub(" ", low) for low in lows] if spaced else lows, folds)
-                for width in widths:
-                    for a in range(0, len(codes), _WINDOW):  # runs of a window reach into the next one
-                        gram = _hashes(codes[a : a + _WINDOW + width - 1], width)
+                step, seen = min(_WINDOW, _STRETCH), []
+                for a in range(0, len(codes), step):
+                    for width in widths:
+                        gram = _hashes(codes[a : a + step + width - 1], width)  # runs of a stretch reach into the next one
                         at = np.flatnonzero(known(gram, width, 0))
                         for which in range(1, PLACES):  # few are left for the other bits
                             at = at[known(gram[at], width, which)]
                         place = at + a
                         owner = np.searchsorted(begin, place, "right") - 1
                         inside = place + width <= begin[owner + 1]  # not across two texts
-                        at, place, owner = at[inside], place[inside], owner[inside]
-                        columns = [pa.array(ids[owner]), pa.array(gram[at]), pa.array(place - begin[owner])]
-                        yield pa.RecordBatch.from_arrays(columns, names=["row", "gram", "at"])
+                        if inside.any():
+                            owner = owner[inside]
+                            seen.append((ids[owner], gram[at[inside]], place[inside] - begin[owner]))
+                if seen:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*seen)], names=["row", "gram", "at"])
 
     return run
 
@@ -217,13 +244,8 @@ def _bitmap(index: DataFrame):
     """
     runs = index.select(_width(F.col("size")).alias("width"), "gram")
     bits = {r.width: min(BITS, max(_BITMAP, 1 << (32 * r.n - 1).bit_length())) for r in runs.groupBy("width").agg(F.count("*").alias("n")).collect()}
-    of = F.lit(0).cast("long")
-    for width, n in bits.items():
-        of = F.when(F.col("width") == width, F.lit(n).cast("long")).otherwise(of)
-    place = F.explode(F.array(*(_places(F.col("gram"), of, which) for which in range(PLACES)))).alias("place")
-    found = runs.select("width", place).groupBy("width", F.floor(F.col("place") / _BITMAP).alias("bucket")).agg(
-        F.bitmap_construct_agg(F.pmod("place", F.lit(_BITMAP))).alias("bits")
-    ).toArrow()
+    pieces = runs.mapInArrow(_bit_setter(bits), "width int, bucket long, bits binary")
+    found = pieces.groupBy("width", "bucket").agg(F.bitmap_or_agg("bits").alias("bits")).toArrow()
     maps = {width: np.zeros(n // 8, np.uint8) for width, n in bits.items()}
     for width, bucket, part in zip(*(found[c].to_pylist() for c in ("width", "bucket", "bits"))):
         maps[width][bucket * _BITMAP // 8 : (bucket + 1) * _BITMAP // 8] = np.frombuffer(part, np.uint8)

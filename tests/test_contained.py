@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from dumpsieve.operators import contained
+from dumpsieve.functions.text import fold_table, lower_table
 from dumpsieve.operators.contained import flag_contained
 from pyspark.sql import functions as F
 
@@ -67,6 +68,31 @@ def test_a_task_counts_its_runs_once():
     assert sum(counts.values()) == sum(len(f"the line of number {i}") - contained.GRAM + 1 for i in range(50)) + 50
 
 
+def test_bits_are_set_once_for_all_rows_of_a_task():
+    # What is sent on is bounded by the bitmap, not by the runs of the index.
+    draw = np.random.default_rng(7)
+    grams = draw.integers(-(1 << 62), 1 << 62, 40_000)
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.full(len(g), 16, np.int32)), pa.array(g)], names=["width", "gram"]) for g in np.split(grams, 8)]
+    sent = list(contained._bit_setter({16: 1 << 20})(iter(batches)))
+    assert sum(b.num_rows for b in sent) == 32
+    whole = np.unpackbits(np.frombuffer(b"".join(p for b in sent for p in b["bits"].to_pylist()), np.uint8), bitorder="little")
+    want = np.unique(np.concatenate([contained._places(grams, 1 << 20, which) for which in range(contained.PLACES)]))
+    assert np.flatnonzero(whole).tolist() == want.tolist()
+
+
+def test_folded_like_the_tables():
+    text = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x1F200)]))
+    for folds in (fold_table(), lower_table()):
+        assert contained._folded(["", text, "K"], contained._table(folds)) == ["", text.translate(folds), "k"]
+
+
+def test_values_of_one_run_share_no_text(spark):
+    # All values are filed under the same run; each text is compared with all of them and holds its own, or nearly.
+    values = [f"{i:05d} the beginning of all the lines" for i in range(200)]
+    texts = [v.upper() + "!" for v in values] + [v.replace("lines", "line") for v in values]
+    assert flags(spark, texts, values * 2) == [True] * 200 + [False] * 200
+
+
 def test_a_full_bitmap_lets_few_runs_pass(spark, monkeypatch):
     # Half of the list are short values, whose bits are no concern of the longer ones.
     monkeypatch.setattr(contained, "BITS", 1 << 17)
